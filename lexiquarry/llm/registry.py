@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing
+from . import chat_format, exact_dedup, mixing, packing, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {
