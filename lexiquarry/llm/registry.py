@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, packing, token_counts
+from . import chat_format, exact_dedup, licences, mixing, packing, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_secrets": secrets.op4_secrets,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_licences": licences.op8_licences,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
@@ -15,5 +18,6 @@ QUERIES = {
 SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_licences": licences.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
