@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, licences, mixing, packing, secrets, token_counts, toxicity
+from . import chat_format, exact_dedup, licences, mixing, packing, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
-    "op4_secrets": secrets.op4_secrets,
+    "op4_secrets": secret_scan.op4_secrets,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licences": licences.op8_licences,
     "op9_mixing": mixing.op9_mixing,
