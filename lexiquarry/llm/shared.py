@@ -47,3 +47,37 @@ def without_blanks(text):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches, keys: list[str]):
+    """From Arrow batches in which equal keys (integers) stand together: (table, bounds) with whole groups."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        table = table if held is None else pa.concat_tables([held, table])
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            v = table[k].to_numpy()
+            new |= v[1:] != v[:-1]
+        starts = np.r_[0, np.flatnonzero(new) + 1]
+        if len(starts) > 1:
+            done = table.slice(0, starts[-1])
+            yield done, starts
+            table = table.slice(starts[-1])
+        held = table.combine_chunks()
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def in_groups(df: DataFrame, keys: list[str], partitions: int, do, schema: str) -> DataFrame:
+    """``df.mapInArrow(do)`` with the rows of equal keys together, in order."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(do, schema)
+
+
+def partitions_for(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
