@@ -8,13 +8,14 @@ the level for each place in that order; the first place whose source isn't full
 answer, which is where repeated clamping and sharing out ends too.
 
 A source's target is then sampled: whole repetitions of each document, and one more for some.  Documents
-of a source stand in the order of a seeded digest; those up to the missing words get one more.  Words are
-summed by (source, digest bucket) first, so that only the documents of the one bucket in which the
-missing words end are ordered one by one: no source's documents meet in one task.
+of a source stand in the order of a seeded digest; those that fit whole into the missing words get one
+more, and so does the one of the others whose size is nearest to what is left then, ``fills`` times.  Words are summed by (source,
+digest bucket) first, so that only the documents of the one bucket in which the missing words end are
+ordered one by one: no source's documents meet in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null
 doc_id is a document like others; rows that repeat a doc_id are separate documents, taken in the order of
-their sizes where the digest ties; an empty table gives an empty result; other columns are carried along.
+their sizes where the digest ties, but fill what is left together; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -46,12 +47,13 @@ def water_fill(sources: DataFrame, cap: float = 3.0, share: float = 1.0) -> Data
     total = F.sum("_words").over(Window.partitionBy()) * F.lit(float(share))
     full = F.coalesce(F.sum(room).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("_weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    laid = sources.withColumn("_room", room).withColumn("_at", (total - full) / rest)
-    level = F.min(F.when(F.col("_room") >= F.col("_at") * F.col("_weight"), F.col("_at"))).over(Window.partitionBy())
-    return laid.withColumn("_target", F.least("_room", F.coalesce(level * F.col("_weight"), F.col("_room")))).drop("_room", "_at")
+    laid = sources.withColumn("_room", room).withColumn("_at", (total - full) / rest).withColumn("_place", F.row_number().over(order))
+    fits = F.when(F.col("_room") >= F.col("_at") * F.col("_weight"), F.struct("_place", "_at"))
+    level = F.min(fits).over(Window.partitionBy())["_at"]
+    return laid.withColumn("_target", F.least("_room", F.coalesce(level * F.col("_weight"), F.col("_room")))).drop("_room", "_at", "_place")
 
 
-def mix(docs: DataFrame, *, size: Column, source: str = "source", key: str = "doc_id", weigh=cycled, cap: float = 3.0, share: float = 1.0, seed: str = "mix-1", hex_digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, *, size: Column, source: str = "source", key: str = "doc_id", weigh=cycled, cap: float = 3.0, share: float = 1.0, seed: str = "mix-1", hex_digits: int = 3, fills: int = 3) -> DataFrame:
     """``docs`` with size, source_size, target, epochs and taken added (see the module's text)."""
     clash = {c for c in docs.columns if c in ("size", "source_size", "target", "epochs", "taken") or c.startswith("_")}
     rows = docs.withColumns({
@@ -71,13 +73,36 @@ def mix(docs: DataFrame, *, size: Column, source: str = "source", key: str = "do
     run = buckets.withColumn("_sum", F.sum("_words").over(up_to)).withColumnRenamed("_source", "_of").withColumnRenamed("_words", "_own")
     ends = run.join(sources, same).filter(F.col("_sum") > F.col("_extra")).groupBy("_of").agg(F.min(F.struct("_bucket", (F.col("_sum") - F.col("_own")).alias("_before"))).alias("_end"))
     plan = sources.join(ends, same, "left").select(F.col("_source").alias("_of"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), "_whole", "_extra", F.col("_end._bucket").alias("_edge"), F.col("_end._before").alias("_before"))
-    placed = join_keyed(rows, settle(plan, "mix-plan"), same).drop("_of")
+    plan = settle(plan, "mix-plan")
     inner = Window.partitionBy("_source").orderBy("_digest", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = 2 * (F.col("_before") + F.sum("_size").over(inner)) - F.col("_size")
-    edge = placed.filter(F.col("_bucket") == F.col("_edge")).withColumn("_more", (middle <= 2 * F.col("_extra")).cast("int"))
-    clear = placed.filter(F.coalesce(F.col("_bucket") != F.col("_edge"), F.lit(True))).withColumn("_more", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)).cast("int"))
-    out = clear.unionByName(edge).withColumn("size", F.col("_size")).withColumn("epochs", F.col("_whole") + F.col("_more")).withColumn("taken", F.col("_size") * F.col("epochs"))
-    return out.drop(*OWN, "_size", "_whole", "_extra", "_edge", "_before", "_more")
+    upto = F.col("_before") + F.sum("_size").over(inner)
+
+    def placed(some: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Documents in the bucket where the missing words end, and the others; _more: 1 if they get one more."""
+        all_ = join_keyed(some, plan, same).drop("_of")
+        edge = all_.filter(F.col("_bucket") == F.col("_edge")).withColumn("_upto", upto).withColumn("_more", (F.col("_upto") <= F.col("_extra")).cast("int"))
+        clear = all_.filter(F.coalesce(F.col("_bucket") != F.col("_edge"), F.lit(True)))
+        return edge, clear.withColumn("_more", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)).cast("int"))
+
+    # what is missing after the last that fits whole, and the documents that come nearest to that
+    slim = rows.select(*OWN, "_size")
+    edge, clear = placed(slim, plan)
+    given = edge.filter("_more = 1").groupBy(F.col("_source").alias("_of")).agg(F.max("_upto").alias("_given"))
+    left = plan.alias("p").join(given.alias("g"), F.col("p._of").eqNullSafe(F.col("g._of")), "left")
+    left = left.select("p.*", (F.col("_extra") - F.coalesce("_given", "_before")).alias("_left"), F.array().cast("array<string>").alias("_fill"))
+    spare = settle(clear.filter("_more = 0 AND _size > 0").select(*OWN, "_size").union(edge.filter("_more = 0 AND _size > 0").select(*OWN, "_size")), "mix-spare")
+    for k in range(fills):
+        left = settle(left, f"mix-left-{k}")
+        near = join_keyed(spare, left.select("_of", "_left", "_fill"), same)
+        near = near.withColumn("_off", F.abs(F.col("_size") - F.col("_left"))).filter((F.col("_off") < F.col("_left")) & ~F.array_contains("_fill", F.col("_digest")))
+        near = near.groupBy("_of").agg(F.min(F.struct("_off", "_digest", "_size")).alias("_next"))
+        left = left.alias("p").join(near.alias("n"), F.col("p._of").eqNullSafe(F.col("n._of")), "left").select("p.*", "n._next")
+        left = left.withColumn("_left", F.col("_left") - F.coalesce("_next._size", F.lit(0))).withColumn("_fill", F.array_compact(F.concat("_fill", F.array("_next._digest")))).drop("_next")
+    edge, clear = placed(rows, settle(left, "mix-final"))
+    out = clear.unionByName(edge.drop("_upto"))
+    out = out.withColumn("_more", F.when(F.array_contains("_fill", F.col("_digest")), 1).otherwise(F.col("_more")))
+    out = out.withColumn("size", F.col("_size")).withColumn("epochs", F.col("_whole") + F.col("_more")).withColumn("taken", F.col("_size") * F.col("epochs"))
+    return out.drop(*OWN, "_size", "_whole", "_extra", "_edge", "_before", "_left", "_fill", "_more")
 
 
 def repeated(docs: DataFrame, **kw) -> DataFrame:
@@ -106,18 +131,24 @@ WITH sized AS (
   SELECT *, 3.0::DOUBLE * words AS room,
     (CAST(sum(words) OVER () AS DOUBLE)
       - coalesce(sum(3.0::DOUBLE * words) OVER (ORDER BY 3.0::DOUBLE * words / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY 3.0::DOUBLE * words / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+    / sum(w) OVER (ORDER BY 3.0::DOUBLE * words / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl,
+    row_number() OVER (ORDER BY 3.0::DOUBLE * words / w, source NULLS LAST) AS place
   FROM sources
 ), filled AS (
-  SELECT source, words, least(room, coalesce((SELECT min(lvl) FROM laid WHERE room >= lvl * w) * w, room)) AS target FROM laid
+  SELECT source, words, least(room, coalesce((SELECT arg_min(lvl, place) FROM laid WHERE room >= lvl * w) * w, room)) AS target FROM laid
 ), planned AS (
   SELECT *, CASE WHEN words > 0 THEN CAST(floor(target / words) AS BIGINT) ELSE 0 END AS whole FROM filled
 ), summed AS (
-  SELECT d.doc_id, d.source, d.size, p.words, p.target, p.whole, p.target - p.whole * p.words AS extra,
+  SELECT d.doc_id, d.source, d.size, d.h, p.words, p.target, p.whole, p.target - p.whole * p.words AS extra,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
-)
-SELECT doc_id, size, words AS source_size, target,
-  CAST(size * (whole + CASE WHEN 2 * upto - size <= 2 * extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM summed
-"""
+), s0 AS (
+  SELECT *, CASE WHEN upto <= extra THEN 1 ELSE 0 END AS more, extra - coalesce(max(CASE WHEN upto <= extra THEN upto END) OVER (PARTITION BY source), 0) AS rest FROM summed
+FILLS)
+SELECT doc_id, size, words AS source_size, target, CAST(size * (whole + more) AS BIGINT) AS taken FROM s3
+""".replace("FILLS", "".join(f"""
+), f{k} AS (
+  SELECT *, arg_min(h, (abs(size - rest), h)) FILTER (WHERE more = 0 AND size > 0 AND abs(size - rest) < rest) OVER (PARTITION BY source) AS pick,
+    coalesce(arg_min(size, (abs(size - rest), h)) FILTER (WHERE more = 0 AND size > 0 AND abs(size - rest) < rest) OVER (PARTITION BY source), 0) AS got FROM s{k}
+), s{k + 1} AS (
+  SELECT * EXCLUDE (more, rest, pick, got), CASE WHEN h = pick THEN 1 ELSE more END AS more, rest - got AS rest FROM f{k}""" for k in range(3)) + "\n")
