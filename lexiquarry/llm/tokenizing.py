@@ -14,6 +14,7 @@ Tables are bounded; when one is full it is emptied.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -26,8 +27,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Letters and signs whose lower case and composed form don't depend on their neighbours.
 PLAIN = re.compile("[\x21-\x7eÀ-įı-ɏ]+")
+TAIL = ".,;:!?"
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-PIECES, WORDS = 400_000, 800_000
+PIECES, WORDS = 600_000, 800_000
 
 
 class Encoder:
@@ -62,55 +64,77 @@ class Encoder:
 
     def _merge(self, words: list[str]) -> None:
         """Let the library merge pre-tokens: all in one text, cut again where words end."""
-        if len(self.words) > WORDS:
-            self.words = dict(self.whole)
         ids = np.array(self._library([" ".join(words)])[0], "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
-            at = 0
-            for word, to in zip(words, cuts.tolist()):
-                self.words[word] = self._value(ids[at:to])
-                at = to
+            if self.counts:
+                self.words.update(zip(words, np.diff(cuts, prepend=0).tolist()))
+            else:
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.words.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
         else:
             for word, alone in zip(words, self._library(words)):
                 self.words[word] = self._value(alone)
 
-    def _split(self, piece: str) -> list[str] | None:
-        """The pre-tokens of a plain piece."""
-        if "<|" in piece or not PLAIN.fullmatch(piece):
-            return None
-        low = piece.lower()
-        core = low.rstrip(".,;:!?")
-        if core.isalpha():
-            return [core] if len(core) == len(low) else [core, low[len(core) :]]
-        return self.pretokens(low)
-
     def learn(self, pieces: set[str]) -> None:
         if len(self.pieces) + len(pieces) > PIECES:
             self.pieces = {}
-        split = {p: self._split(p) for p in pieces}
-        if missing := list({w for words in split.values() if words for w in words if w not in self.words}):
+        words, put = self.words, self.pieces
+        waiting, other, want = [], [], set()
+        for piece in pieces:
+            low = piece.lower()
+            core = low.rstrip(TAIL)
+            if core.isalpha() and (piece.isascii() or PLAIN.fullmatch(piece)):  # a word, and signs behind it
+                value = words.get(core)
+                tail = low[len(core) :] if len(core) < len(low) else None
+                if tail is not None and tail not in words:
+                    want.add(tail)
+                    value = None
+                if value is None:
+                    waiting.append((piece, core, tail))
+                    if core not in words:
+                        want.add(core)
+                else:
+                    put[piece] = value if tail is None else value + words[tail]
+            elif "<|" not in piece and PLAIN.fullmatch(piece):
+                pretokens = self.pretokens(low)
+                other.append((piece, pretokens))
+                want.update(w for w in pretokens if w not in words)
+            else:
+                other.append((piece, None))
+        if want:
+            missing = list(want)
+            if len(words) + len(missing) > WORDS:
+                kept = {w for _, core, tail in waiting for w in (core, tail) if w} | {w for _, ws in other if ws for w in ws}
+                missing = list(kept.difference(self.whole))
+                self.words = words = dict(self.whole)
             for k in range(0, len(missing), 4096):
                 self._merge(missing[k : k + 4096])
-        known, join = self.words, sum if self.counts else b"".join
-        for piece, words in split.items():
-            if words is not None and all(w in known for w in words):
-                self.pieces[piece] = join(map(known.__getitem__, words))
-        if rest := [p for p in pieces if p not in self.pieces]:
+        for piece, core, tail in waiting:
+            put[piece] = words[core] if tail is None else words[core] + words[tail]
+        join = sum if self.counts else b"".join
+        for piece, pretokens in other:
+            if pretokens is not None:
+                put[piece] = join([words[w] for w in pretokens])
+        if rest := [piece for piece, pretokens in other if pretokens is None]:
             for piece, ids in zip(rest, self._library(rest)):
-                self.pieces[piece] = self._value(ids)
+                put[piece] = self._value(ids)
 
     def texts(self, texts: list[str | None]) -> list:
         """The count or the ids of each text, some 2 MB of texts at a time."""
         out: list = []
         at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < 2_000_000):
-                size += len(texts[to] or "")
-                to += 1
-            out += self._some(texts[at:to])
-            at = to
+        gc.disable()  # nothing here has cycles, and the tables are large
+        try:
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size < 2_000_000):
+                    size += len(texts[to] or "")
+                    to += 1
+                out += self._some(texts[at:to])
+                at = to
+        finally:
+            gc.enable()
         return out
 
     def _some(self, texts: list[str | None]) -> list:
