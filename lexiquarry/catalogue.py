@@ -2,6 +2,680 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import similarity as S
+from .functions import text as T
+from .operators import evaluate, feedback, generate, ingest, publish, retrieval, reuse, vector
+from .plans import views as V
+from .plans.config import DRIVER
+from .plans.views import with_views
+
 QUERIES: dict = {}
 SQL: dict = {}
 FLAGSHIP = "q18_capped_selection"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- scans, branches
+
+@query("q01_active_registry", with_views("SELECT document_id, doc_uid_base, language, content_hash FROM registry WHERE status = 'active'", "registry"))
+def q01(spark, d):
+    return V.registry(spark, d).filter("status = 'active'").select("document_id", "doc_uid_base", "language", "content_hash")
+
+
+@query("q02_blocks", with_views("SELECT document_id, block_order, content, block_type FROM blocks", "blocks"))
+def q02(spark, d):
+    return V.blocks(spark, d).select("document_id", "block_order", "content", "block_type")
+
+
+def _score_sql(columns: list[str], w: float, boost: str = "0") -> str:
+    hit = " OR ".join(f"contains(lower({c}), t)" for c in columns)
+    return f"round(list_sum(list_transform(terms, lambda t: CASE WHEN {hit} THEN {w}::DOUBLE ELSE 0::DOUBLE END)) + ({boost}), 6)"
+
+
+def _weight_sql(branch: str) -> str:
+    from .plans.config import STRATEGIES
+
+    return "CASE intent " + " ".join(f"WHEN '{i}' THEN {s.weight(branch)}::DOUBLE" for i, s in STRATEGIES.items()) + f" ELSE {STRATEGIES['other'].weight(branch)}::DOUBLE END"
+
+
+_BLOCK_BOOST = "CASE WHEN intent IN ('procedure', 'appeal') THEN CASE WHEN block_type IN ('paragraph', 'list', 'heading') THEN 0.2 ELSE 0 END WHEN block_type IN ('paragraph', 'list') THEN 0.1 ELSE 0 END::DOUBLE"
+_FACT_BOOST = "CASE WHEN measure_code = measure THEN 1.0 ELSE 0 END::DOUBLE"
+_TABLE_BOOST = "CASE WHEN table_type IN ('eligibility_table', 'documents_table', 'deadline_table', 'form_table') THEN 0.25 ELSE 0 END::DOUBLE"
+
+
+def _block_score():
+    return F.round(retrieval.term_score(F.col("terms"), 0.35, [F.col("content")]) + retrieval.block_boost(F.col("intent"), F.col("block_type")), 6)
+
+
+def _branch_sql(name: str, view: str, branch: str, score: str, k: int, where: str = "true") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT question_id, intent, source_id, document_id, '{branch}' AS source_type, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_id) AS place
+  FROM (SELECT question_id, intent, v.source_id, v.document_id, {score} * {_weight_sql(branch)} AS score FROM questions, {view} v
+    WHERE v.document_id IN (SELECT document_id FROM registry WHERE status = 'active') AND ({where}))) WHERE place <= {k} AND score > 0)"""
+
+
+_B4 = _branch_sql("b4", "blocks", "block", _score_sql(["content"], 0.35, _BLOCK_BOOST), 12)
+_B1 = _branch_sql("b1", "facts", "legal_fact", _score_sql(["note"], 0.35, _FACT_BOOST), 10, "measure IS NULL OR measure_code IS NULL OR measure_code = measure")
+_B2 = _branch_sql("b2", "tabs", "table", _score_sql(["title", "table_type"], 0.40, _TABLE_BOOST), 10)
+_B3 = _branch_sql("b3", "rws", "table_row", _score_sql(["summary"], 0.45), 12)
+_ALL = ("registry", "blocks", "facts", "tables", "rows", "questions")
+_OUT = "SELECT question_id, source_id, document_id, score, CAST(place AS INTEGER) AS place FROM "
+
+
+@query("q03_block_scores", with_views(f"SELECT question_id, v.source_id, {_score_sql(['content'], 0.35, _BLOCK_BOOST)} * {_weight_sql('block')} AS score FROM questions, blocks v WHERE v.document_id IN (SELECT document_id FROM registry WHERE status = 'active')", "registry", "blocks", "questions"))
+def q03(spark, d):
+    own = V.blocks(spark, d).join(V.statuses(spark, d).filter("status = 'active'").select("document_id"), "document_id", "left_semi")
+    return own.crossJoin(F.broadcast(V.questions(spark))).select("question_id", "source_id", (_block_score() * retrieval.strategy_weight(F.col("intent"), "block")).alias("score"))
+
+
+def _blocks(spark, d):
+    return retrieval.branch(V.questions(spark), V.blocks(spark, d), V.statuses(spark, d), "block", _block_score())
+
+
+def _facts(spark, d):
+    score = F.round(retrieval.term_score(F.col("terms"), 0.35, [F.col("note")]) + retrieval.fact_boost(F.col("intent"), F.col("fact_type"), F.col("measure_code"), F.col("measure")), 6)
+    return retrieval.branch(V.questions(spark), V.facts(spark, d), V.statuses(spark, d), "legal_fact", score, keep=retrieval.exact_or_null(F.col("measure_code"), F.col("measure")))
+
+
+def _tables(spark, d):
+    score = F.round(retrieval.term_score(F.col("terms"), 0.40, [F.col("title"), F.col("table_type")]) + retrieval.table_boost(F.col("table_type")), 6)
+    return retrieval.branch(V.questions(spark), V.tables(spark, d), V.statuses(spark, d), "table", score)
+
+
+def _rows(spark, d):
+    return retrieval.branch(V.questions(spark), V.rows(spark, d), V.statuses(spark, d), "table_row", F.round(retrieval.term_score(F.col("terms"), 0.45, [F.col("summary")]), 6))
+
+
+for _name, _f, _sql in (("q04_block_top_k", _blocks, _B4 + "\n" + _OUT + "b4"), ("q05_fact_top_k", _facts, _B1 + "\n" + _OUT + "b1"), ("q06_table_top_k", _tables, _B2 + "\n" + _OUT + "b2"), ("q07_row_top_k", _rows, _B3 + "\n" + _OUT + "b3")):
+    query(_name, with_views(_sql, *_ALL))(lambda spark, d, f=_f: f(spark, d).select("question_id", "source_id", "document_id", "score", F.col("place").cast("int").alias("place")))
+
+CANDIDATE = ["question_id", "intent", "source_type", "source_id", "document_id", "score", "blob", "terms", "asked"]
+
+
+def candidates(spark, d) -> DataFrame:
+    """The four branches as one relation; blob is the normalised text."""
+    parts = [(_facts, ["note", "fact_type"]), (_rows, ["summary"]), (_tables, ["title", "table_type"]), (_blocks, ["content"])]
+    made = [f(spark, d).withColumn("blob", retrieval.blob(*[F.col(c) for c in cols])).select(*CANDIDATE) for f, cols in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
+_UNION = ",\n".join((_B1, _B2, _B3, _B4)) + """,
+texts AS (SELECT source_id, lower(note || ' ' || fact_type) AS blob FROM facts UNION ALL SELECT source_id, lower(summary) FROM rws UNION ALL SELECT source_id, lower(title || ' ' || table_type) FROM tabs
+  UNION ALL SELECT source_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) FROM blocks),
+cands AS (SELECT u.*, blob, terms, asked FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4) u JOIN texts USING (source_id) JOIN questions USING (question_id))"""
+
+
+@query("q08_union_branches", with_views(_UNION + "\nSELECT question_id, source_type, source_id, document_id, score FROM cands", *_ALL))
+def q08(spark, d):
+    return candidates(spark, d).select("question_id", "source_type", "source_id", "document_id", "score")
+
+
+_MERGED = _UNION + """,
+merged AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE source_type WHEN 'legal_fact' THEN 4 WHEN 'table_row' THEN 3 WHEN 'table' THEN 2 ELSE 1 END DESC, source_id) AS merge_rank
+  FROM (SELECT * FROM (SELECT * FROM cands UNION ALL SELECT * REPLACE (score * 0.5 AS score) FROM cands) QUALIFY row_number() OVER (PARTITION BY question_id, source_type, source_id ORDER BY score DESC) = 1))"""
+
+
+def merged(spark, d) -> DataFrame:
+    own = candidates(spark, d)
+    return retrieval.merge(own.unionByName(own.withColumn("score", F.col("score") * 0.5)))
+
+
+@query("q09_merge_dedupe", with_views(_MERGED + "\nSELECT question_id, source_type, source_id, score, CAST(merge_rank AS INTEGER) AS merge_rank FROM merged", *_ALL))
+def q09(spark, d):
+    return merged(spark, d).select("question_id", "source_type", "source_id", "score", F.col("merge_rank").cast("int").alias("merge_rank"))
+
+
+_FACTOR = "CASE source_type WHEN 'table_row' THEN 1.45 WHEN 'legal_fact' THEN 1.2 WHEN 'table' THEN 1.05 ELSE 0.85 END::DOUBLE"
+
+
+@query("q10_type_factor", with_views(_MERGED + f"\nSELECT question_id, source_type, source_id, round(score * {_FACTOR}, 6) AS score FROM merged", *_ALL))
+def q10(spark, d):
+    return merged(spark, d).select("question_id", "source_type", "source_id", F.round(F.col("score") * retrieval.type_factor(F.col("source_type")), 6).alias("score"))
+
+
+_NOISE = r"""(length(content) <= 40 OR lower(content) IN ('untitled') OR (length(content) <= 180 AND
+  CASE WHEN len(regexp_extract_all(content, '\p{L}')) = 0 THEN 0 ELSE len(regexp_extract_all(content, '\p{Lu}')) / len(regexp_extract_all(content, '\p{L}')) END >= 0.6)
+  OR (length(content) <= 220 AND (contains(lower(content), 'licen') OR contains(lower(content), 'http'))))"""
+
+
+@query("q11_header_noise", with_views(f"SELECT document_id, block_order, {_NOISE} AS is_noise FROM blocks", "blocks"))
+def q11(spark, d):
+    return V.blocks(spark, d).select("document_id", "block_order", retrieval.header_noise(F.col("content"), T.normalize(F.col("content")), DRIVER).alias("is_noise"))
+
+
+@query("q12_anchor_filters", with_views(r"""SELECT question_id, source_id,
+  (CASE WHEN contains(b, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'tion') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'en') THEN 1 ELSE 0 END + len(list_filter(terms, lambda t: length(t) >= 4 AND contains(b, t)))) >= 2 AS documents_anchor,
+  CAST(len(list_filter(terms, lambda t: length(t) >= 3 AND contains(b, t))) AS INTEGER) AS hits
+FROM (SELECT source_id, lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS b FROM blocks), questions""", "blocks", "questions"))
+def q12(spark, d):
+    own = V.blocks(spark, d).select("source_id", T.normalize(F.col("content")).alias("b")).crossJoin(F.broadcast(V.questions(spark)))
+    return own.select("question_id", "source_id", retrieval.documents_anchor(F.col("b"), F.col("terms"), DRIVER).alias("documents_anchor"), retrieval.lexical_hits(F.col("b"), F.col("terms")).alias("hits"))
+
+
+_TEMPORAL = "(contains(b, 'not later') OR contains(b, 'within') OR (regexp_matches(b, '[0-9]') AND (contains(b, 'tion') OR contains(b, 'keit') OR contains(b, 'ment'))))"
+_N = lambda *ws: "(" + " + ".join(f"CASE WHEN contains(b, '{w}') THEN 1 ELSE 0 END" for w in ws) + ")"
+_D, _NO, _PA = _N("that", "this"), _N("sich", "nicht"), _N("pour", "avec", "para")
+_KIND = f"CASE WHEN greatest({_D}, {_NO}, {_PA}) = 0 THEN 'other' WHEN {_D} = greatest({_D}, {_NO}, {_PA}) THEN 'decision' WHEN {_NO} = greatest({_D}, {_NO}, {_PA}) THEN 'notification' ELSE 'payment' END"
+
+
+@query("q13_temporal_kind", with_views(rf"SELECT source_id, {_TEMPORAL} AS is_temporal, {_KIND} AS kind, CASE WHEN contains(b, 'sich') THEN 'notification' WHEN contains(b, 'pour') THEN 'payment' WHEN contains(b, 'that') THEN 'decision' ELSE 'other' END AS asked FROM (SELECT source_id, lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS b FROM blocks)", "blocks"))
+def q13(spark, d):
+    b = F.col("b")
+    own = V.blocks(spark, d).select("source_id", T.normalize(F.col("content")).alias("b"))
+    return own.select("source_id", retrieval.temporal(b, DRIVER).alias("is_temporal"), retrieval.candidate_kind(b, DRIVER).alias("kind"), retrieval.question_kind(b, DRIVER).alias("asked"))
+
+
+_ANCHOR = "(CASE WHEN contains(b, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'tion') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'en') THEN 1 ELSE 0 END + len(list_filter(terms, lambda t: length(t) >= 4 AND contains(b, t)))) >= 2"
+_REQUIRED = "(CASE WHEN contains(b, 'order') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'urgent') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'high') THEN 1 ELSE 0 END) >= 2"
+_RERANKED = _MERGED + f""",
+told AS (SELECT *, blob AS b, score * {_FACTOR} AS base, source_type = 'block' AS is_block, source_type = 'table_row' AS is_row, source_type = 'table' AS is_table FROM merged),
+reranked AS (SELECT *, round(base + CASE WHEN is_row THEN 0.05 WHEN is_table THEN 0.03 ELSE 0 END::DOUBLE + CASE intent
+  WHEN 'documents' THEN CASE WHEN contains(b, '@') THEN CASE WHEN is_row THEN -1.1 WHEN is_table THEN -0.9 ELSE -0.4 END ELSE 0 END::DOUBLE
+    + CASE WHEN {_REQUIRED} THEN CASE WHEN is_row THEN 0.45 WHEN is_table THEN 0.25 ELSE 0 END ELSE 0 END::DOUBLE + CASE WHEN {_ANCHOR} THEN 0.18 ELSE 0 END::DOUBLE
+  WHEN 'deadline' THEN CASE WHEN contains(b, '@') OR contains(b, 'not specified') THEN -1.2 ELSE 0 END::DOUBLE
+    + CASE WHEN {_TEMPORAL} THEN CASE WHEN is_block THEN 0.42 WHEN is_row THEN 0.22 ELSE 0.12 END WHEN is_block THEN -0.9 WHEN is_row THEN -0.6 WHEN is_table THEN -0.6 ELSE 0 END::DOUBLE
+    + CASE WHEN is_row THEN -0.7 ELSE 0 END::DOUBLE + CASE WHEN asked <> 'other' AND {_KIND} = asked THEN 0.55 WHEN asked <> 'other' AND {_KIND} <> 'other' THEN -0.3 ELSE 0 END::DOUBLE
+  ELSE 0 END, 6) AS rerank_score FROM told),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, score DESC, is_block DESC, is_row DESC, merge_rank) - 1 AS rank FROM reranked)"""
+
+
+def reranked(spark, d) -> DataFrame:
+    own = merged(spark, d)
+    none, no, empty = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
+    score = retrieval.rerank_score(DRIVER, kind=F.col("source_type"), intent=F.col("intent"), text=F.col("blob"), terms=F.col("terms"), base=F.col("score") * retrieval.type_factor(F.col("source_type")), semantic=none, has_value=no, chan=none, hints=empty, asked=F.col("asked"))
+    return retrieval.rerank(own, score)
+
+
+@query("q14_rerank", with_views(_RERANKED + "\nSELECT question_id, source_type, source_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM ranked", *_ALL))
+def q14(spark, d):
+    return reranked(spark, d).select("question_id", "source_type", "source_id", "rerank_score", F.col("rank").cast("int").alias("rank"))
+
+
+_STATS = _RERANKED + """,
+stats AS (SELECT *, round(discounted + 0.6 * best + 0.12 * least(n_candidates, 4) + 0.08 * n_types, 6) AS doc_score FROM (SELECT question_id, document_id, count(*) AS n_candidates, greatest(max(rerank_score), 0) AS best, sum(rerank_score / (1 + 0.15 * rank)) AS discounted,
+  count(DISTINCT source_type) AS n_types, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS types, min(rank) AS first_rank FROM ranked GROUP BY question_id, document_id))"""
+
+
+def document_stats(spark, d) -> DataFrame:
+    return retrieval.document_stats(reranked(spark, d)).withColumn("doc_score", F.round("doc_score", 6))
+
+
+@query("q15_document_stats", with_views(_STATS + "\nSELECT question_id, document_id, n_candidates, best, types, CAST(first_rank AS INTEGER) AS first_rank, doc_score FROM stats", *_ALL))
+def q15(spark, d):
+    return document_stats(spark, d).select("question_id", "document_id", "n_candidates", "best", F.array_join("types", ",").alias("types"), F.col("first_rank").cast("int").alias("first_rank"), "doc_score")
+
+
+_PRIORITY = _STATS + """,
+prio AS (SELECT *, max(CASE WHEN place = 1 THEN doc_score END) OVER (PARTITION BY question_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY doc_score DESC, best DESC, n_candidates DESC, first_rank, document_id) AS place FROM stats) WHERE place <= 2)"""
+
+
+@query("q16_priority_documents", with_views(_PRIORITY + "\nSELECT question_id, document_id, doc_score, CAST(place AS INTEGER) AS place FROM prio WHERE place = 1 OR doc_score >= greatest(0.75, 0.62 * top)", *_ALL))
+def q16(spark, d):
+    return retrieval.priority_documents(document_stats(spark, d)).select("question_id", "document_id", "doc_score", F.col("place").cast("int").alias("place"))
+
+
+@query("q17_threshold", with_views(_PRIORITY + "\nSELECT question_id, intent, least(CASE intent WHEN 'documents' THEN 0.35 WHEN 'deadline' THEN 0.45 ELSE 0.4 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE place = 1", *_ALL))
+def q17(spark, d):
+    first = retrieval.priority_documents(document_stats(spark, d), max_documents=1).join(V.questions(spark).select("question_id", "intent"), "question_id")
+    return first.select("question_id", "intent", retrieval.adaptive_threshold(F.col("intent"), F.col("best")).alias("threshold"))
+
+
+def selected(spark, d) -> DataFrame:
+    own = reranked(spark, d).persist()
+    stats = retrieval.document_stats(own)
+    prio = retrieval.priority_documents(stats)
+    top = prio.filter("place = 1").join(V.questions(spark).select("question_id", "intent"), "question_id").select("question_id", retrieval.adaptive_threshold(F.col("intent"), F.col("best")).alias("threshold"))
+    rows = own.join(prio.select("question_id", "document_id", F.lit(True).alias("priority")), ["question_id", "document_id"], "left").withColumn("priority", F.coalesce("priority", F.lit(False))).join(top, "question_id")
+    b = F.col("blob")
+    bucket = retrieval.selection_bucket(F.col("intent"), F.col("source_type"), F.lit(""), F.col("priority"), retrieval.temporal(b, DRIVER), retrieval.candidate_kind(b, DRIVER), F.col("asked"), retrieval.deadline_noise(b, F.lit(""), F.lit(False), DRIVER))
+    return retrieval.select_capped(rows.withColumn("bucket", bucket))
+
+
+@query("q18_capped_selection")
+def q18(spark, d):
+    return selected(spark, d)
+
+
+@query("q19_evidence_quality")
+def q19(spark, d):
+    return retrieval.evidence_quality(selected(spark, d))
+
+
+@query("q19b_evidence_package")
+def q19b(spark, d):
+    return retrieval.evidence_package(selected(spark, d))
+
+
+# ---------------------------------------------------------------- vectors
+
+_VEC = """SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
+  (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id IN ({ids}))) WHERE rank <= 20"""
+
+
+def _vectors(ids):
+    def f(spark, d):
+        e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+        return vector.vector_top_k(e, e.filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))).withColumn("rank", F.col("rank").cast("int"))
+
+    return f
+
+
+query("q20_vector_top_k", _VEC.format(ids="7"))(_vectors([7]))
+query("q21_vector_batch", _VEC.format(ids="1, 17, 42, 99, 256"))(_vectors([1, 17, 42, 99, 256]))
+
+
+# ---------------------------------------------------------------- feedback
+
+_SUM = "sums AS (SELECT answer_id, count(*) AS n_votes, avg(score) AS avg_score, count(*) FILTER (WHERE score <= 2) AS n_low, min(submitted_at) AS first_at, max(submitted_at) AS last_at FROM votes GROUP BY answer_id),\nfull_sums AS (SELECT a.answer_id, coalesce(n_votes, 0) AS n_votes, avg_score, coalesce(n_low, 0) AS n_low, first_at, last_at, a.n % 2 = 0 AS ok FROM (SELECT i AS answer_id, i AS n FROM range(0, 210) r(i)) a LEFT JOIN sums USING (answer_id))"
+
+
+def _summary(spark, d):
+    ids = spark.range(0, 210).withColumnRenamed("id", "answer_id")
+    return feedback.summary(ids, V.votes(spark, d)).withColumn("ok", F.col("answer_id") % 2 == 0)
+
+
+@query("q22_feedback_summary", with_views(_SUM + "\nSELECT answer_id, n_votes, round(avg_score, 6) AS avg_score, n_low, first_at, last_at FROM full_sums", "votes"))
+def q22(spark, d):
+    return _summary(spark, d).select("answer_id", "n_votes", F.round("avg_score", 6).alias("avg_score"), "n_low", "first_at", "last_at")
+
+
+@query("q23_vote_once", with_views("SELECT vote_id, session_id, answer_id, row_number() OVER (PARTITION BY session_id, answer_id ORDER BY submitted_at, vote_id) = 1 AS accepted FROM votes", "votes"))
+def q23(spark, d):
+    return feedback.votes_once(V.votes(spark, d)).select("vote_id", "session_id", "answer_id", "accepted")
+
+
+_RSCORE = "CASE WHEN avg_score IS NULL THEN 0 ELSE round(greatest(least(0.4 * (CASE WHEN ok THEN 1 ELSE 0 END)::DOUBLE + 0.2 * least(n_votes / 5.0::DOUBLE, 1) + 0.3 * greatest(least((avg_score - 1) / 4.0::DOUBLE, 1), 0) + 0.1 * greatest(1 - n_low / n_votes, 0), 1), 0), 4) END::DOUBLE"
+
+
+@query("q24_reuse_score", with_views(_SUM + f"\nSELECT answer_id, {_RSCORE} AS reuse_score FROM full_sums", "votes"))
+def q24(spark, d):
+    return _summary(spark, d).select("answer_id", feedback.reuse_score(F.col("ok"), F.col("n_votes"), F.col("avg_score"), F.col("n_low")).alias("reuse_score"))
+
+
+@query("q25_reuse_status", with_views(_SUM + f""",
+st AS (SELECT *, {_RSCORE} AS rs, answer_id % 17 <> 0 AS allowed, CASE WHEN answer_id % 19 = 0 THEN 'safe_no_answer' ELSE 'grounded_narrative' END AS mode FROM full_sums)
+SELECT answer_id, split_part(x, ':', 1) AS status, nullif(split_part(x, ':', 2), '') AS reason FROM (SELECT answer_id, CASE WHEN NOT allowed THEN 'blocked:answer_event_reuse_not_allowed' WHEN mode = 'safe_no_answer' THEN 'blocked:safe_no_answer_not_reusable'
+  WHEN NOT ok THEN 'blocked:validation_status_not_passed' WHEN n_votes < 3 THEN 'needs_revalidation:insufficient_feedback_count' WHEN avg_score IS NULL THEN 'needs_revalidation:avg_feedback_unavailable' WHEN avg_score < 4.2 THEN 'blocked:avg_feedback_below_threshold'
+  WHEN n_low / n_votes > 0.2 THEN 'blocked:negative_feedback_ratio_too_high' WHEN rs < 0.8 THEN 'needs_revalidation:reuse_score_below_threshold' ELSE 'eligible:' END AS x FROM st)""", "votes"))
+def q25(spark, d):
+    own = _summary(spark, d)
+    rs = feedback.reuse_score(F.col("ok"), F.col("n_votes"), F.col("avg_score"), F.col("n_low"))
+    s = feedback.reuse_status(F.col("answer_id") % 17 != 0, F.when(F.col("answer_id") % 19 == 0, "safe_no_answer").otherwise("grounded_narrative"), F.when(F.col("ok"), "passed").otherwise("failed"), F.col("ok"), F.col("ok"), F.col("n_votes"), F.col("avg_score"), F.col("n_low"), rs)
+    return own.select("answer_id", s["status"].alias("status"), s["reason"].alias("reason"))
+
+
+def _daily_sql(times: str) -> str:
+    return with_views(f"""per AS (SELECT answer_id, count(*) AS nv, sum(score) AS ss, count(*) FILTER (WHERE score <= 2) AS nl FROM votes GROUP BY answer_id)
+SELECT CAST(created_at AS DATE) AS day, channel, intent, measure_code, CAST(sum({times}) AS BIGINT) AS total_answers, CAST(coalesce(sum(nv), 0) AS BIGINT) AS total_feedback, round(sum(ss) / sum(nv), 6) AS avg_score,
+  CAST(sum(CASE WHEN mode = 'reused_answer' THEN {times} ELSE 0 END) AS BIGINT) AS reused_answers, CAST(coalesce(sum(nl), 0) AS BIGINT) AS low_rated, CAST(sum(CASE WHEN validation_status = 'failed' THEN {times} ELSE 0 END) AS BIGINT) AS failed_validation
+FROM answers a LEFT JOIN per ON per.answer_id = a.slot GROUP BY ALL""", "votes", "answers")
+
+
+def _daily(as_written):
+    def f(spark, d):
+        out = feedback.quality_daily(V.answers(spark, d).withColumn("answer_id", F.col("slot")), V.votes(spark, d), as_written=as_written)
+        return out.withColumn("avg_score", F.round("avg_score", 6)).withColumns({c: F.col(c).cast("long") for c in ("total_answers", "total_feedback", "reused_answers", "low_rated", "failed_validation")})
+
+    return f
+
+
+query("q26_quality_daily", _daily_sql("1"))(_daily(False))
+query("q26b_quality_daily_as_written", _daily_sql("greatest(coalesce(nv, 0), 1)"))(_daily(True))
+
+
+@query("q27_session_stats", with_views("""a AS (SELECT session_id, count(*) AS n FROM answers WHERE mode <> 'safe_no_answer' GROUP BY 1), v AS (SELECT session_id, count(*) AS n, max(submitted_at) AS last_vote FROM votes GROUP BY 1)
+SELECT coalesce(a.session_id, v.session_id) AS session_id, coalesce(a.n, 0) AS n_eligible, coalesce(v.n, 0) AS n_votes, last_vote FROM a FULL JOIN v ON a.session_id = v.session_id""", "votes", "answers"))
+def q27(spark, d):
+    return feedback.session_stats(V.answers(spark, d), V.votes(spark, d))
+
+
+def _events(spark, d):
+    return V.table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("is_vote"), F.col("value").alias("value"), "event_type")
+
+
+_EV = "ev AS (SELECT event_id, user_id AS session_id, ts AS tm, event_type = 'purchase' AS is_vote, value, event_type FROM events), "
+_PLACED = "placed AS (SELECT *, row_number() OVER w AS place, max(CASE WHEN is_vote THEN tm END) OVER (PARTITION BY session_id ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_vote, count(*) FILTER (WHERE is_vote) OVER w AS n_votes FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY tm, event_id))"
+
+
+@query("q28_every_n", "WITH " + _EV + _PLACED + " SELECT event_id, CAST(place AS INTEGER) AS place, place % 5 = 0 AS is_nth FROM placed")
+def q28(spark, d):
+    return feedback.every_n(_events(spark, d), 5).select("event_id", F.col("place").cast("int").alias("place"), "is_nth")
+
+
+@query("q29_cooldown", "WITH " + _EV + _PLACED + " SELECT event_id, last_vote, coalesce(tm >= last_vote + INTERVAL 30 MINUTE, true) AS cooldown_ok FROM placed")
+def q29(spark, d):
+    return feedback.cooldown(_events(spark, d), 30).select("event_id", "last_vote", "cooldown_ok")
+
+
+@query("q30_sampling", "WITH " + _EV + _PLACED + """ SELECT event_id, CASE WHEN event_type = 'error' THEN 'answer_mode_not_eligible' WHEN event_type = 'view' THEN 'intent_excluded' WHEN value < 5 THEN 'confidence_below_threshold' WHEN n_votes >= 20 THEN 'session_feedback_limit_reached'
+  WHEN NOT coalesce(tm >= last_vote + INTERVAL 30 MINUTE, true) THEN 'cooldown_active' WHEN event_type = 'signup' AND value > 40 THEN 'priority_reused_answer' WHEN event_type = 'purchase' THEN 'priority_intent' WHEN place % 5 = 0 THEN 'every_n_answers_rule' ELSE 'not_selected_by_sampling_rule' END AS decision FROM placed""")
+def q30(spark, d):
+    own = feedback.cooldown(feedback.every_n(_events(spark, d), 5), 30)
+    w = Window.partitionBy("session_id").orderBy("at", "event_id")
+    own = own.withColumn("n_votes", F.count_if("is_vote").over(w))
+    mode = F.when(F.col("event_type") == "error", "safe_no_answer").when((F.col("event_type") == "signup") & (F.col("value") > 40), "reused_answer").otherwise("grounded_narrative")
+    code = feedback.sampling_decision(enabled=F.lit(True), mode=mode, intent=F.col("event_type"), confidence=F.col("value"), n_votes=F.col("n_votes"), cooldown_ok=F.col("cooldown_ok"), is_nth=F.col("is_nth"), excluded=("view",), priority=("purchase",), max_votes=20, min_confidence=5.0)
+    return own.select("event_id", code.alias("decision"))
+
+
+# ---------------------------------------------------------------- reuse
+
+_PAIRS = r"""q AS (SELECT item_id AS question_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm, list_distinct(string_split(norm, ' ')) AS a FROM benchmark),
+h AS (SELECT doc_id AS past_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS past, list_distinct(string_split(past, ' ')) AS b FROM documents),
+shared AS (SELECT question_id, past_id, norm, past, len(a) + len(b) AS n, CASE WHEN least(len(a), len(b)) >= 0.6 * greatest(len(a), len(b)) THEN len(list_intersect(a, b)) ELSE 0 END AS c FROM q, h),
+sims AS (SELECT question_id, past_id, norm, past, c / (n - c) AS j FROM shared),
+pairs AS (SELECT question_id, past_id, CASE WHEN norm = '' OR past = '' THEN 0 WHEN norm = past THEN 1 WHEN contains(norm, past) OR contains(past, norm) THEN 0.97 WHEN j >= 0.8 THEN 0.95 WHEN j >= 0.7 THEN 0.92 WHEN j >= 0.6 THEN 0.9 ELSE round(j, 4) END::DOUBLE AS similarity FROM sims),
+kept AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, past_id) AS place FROM pairs WHERE similarity >= 0.9)"""
+
+
+def _similar(spark, d):
+    q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    h = V.table(spark, d, "documents").select(F.col("doc_id").alias("past_id"), "text")
+    return reuse.similar(q, h)
+
+
+@query("q31_similar_history", "WITH " + _PAIRS + " SELECT question_id, past_id, similarity, CAST(place AS INTEGER) AS place FROM kept WHERE place <= 20")
+def q31(spark, d):
+    return _similar(spark, d).withColumn("place", F.col("place").cast("int"))
+
+
+_SIG = "round(least((CASE WHEN a.p_type = b.p_type THEN 0.5 ELSE 0 END + CASE WHEN a.m = b.m THEN 0.3 WHEN a.m IS NULL AND b.m IS NULL THEN 0.1 ELSE 0 END + CASE WHEN a.s = b.s THEN 0.2 WHEN a.s IS NULL AND b.s IS NULL THEN 0.05 ELSE 0 END)::DOUBLE, 1), 4)"
+
+
+@query("q32_signature", f"WITH p AS (SELECT p_partkey, p_type, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS m, CASE WHEN p_size % 2 = 0 THEN p_size END AS s FROM part) SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, {_SIG} AS signature, a.p_type = b.p_type AND (a.m IS NULL OR coalesce(a.m = b.m, false)) AND (a.s IS NULL OR coalesce(a.s = b.s, false)) AS matches FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1")
+def q32(spark, d):
+    p = V.table(spark, d, "part").select("p_partkey", "p_type", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("m"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("s"))
+    a, b = p.alias("a"), p.alias("b")
+    six = [F.col(x) for x in ("a.p_type", "b.p_type", "a.m", "b.m", "a.s", "b.s")]
+    return a.join(b, F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), reuse.signature_score(*six).alias("signature"), reuse.signature_matches(*six).alias("matches"))
+
+
+def _evidence(spark, d):
+    """Evidence of orders as answers: lines point to documents, some to two things, hashes by number."""
+    reg = V.registry(spark, d).select(F.col("document_id").alias("reg_id"), "content_hash")
+    l = V.rows(spark, d).join(reg, F.col("document_id") == F.col("reg_id"), "left")
+    k = F.col("row_order")
+    return l.select(
+        F.col("order_key").alias("answer_id"), k.alias("evidence_order"), F.when(k != 6, F.when(F.col("l_returnflag") == "R", F.col("document_id") + 1_000_000).otherwise(F.col("document_id"))).alias("document_id"),
+        F.when(k == 5, F.lit("b")).alias("block_id"), F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("string").alias("table_row_id"), F.lit(None).cast("string").alias("legal_fact_id"),
+        F.when(k <= 3, F.when(k == 2, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash"))).alias("document_content_hash"), F.when(k == 4, F.lit("file")).alias("document_file_hash"))
+
+
+_EVID = """evid AS (SELECT order_key AS answer_id, row_order AS k, CASE WHEN row_order <> 6 THEN CASE WHEN l_returnflag = 'R' THEN r.document_id + 1000000 ELSE r.document_id END END AS document_id, CASE WHEN row_order = 5 THEN 'b' END AS block_id,
+  CASE WHEN row_order <= 3 THEN CASE WHEN row_order = 2 THEN content_hash || 'x' ELSE content_hash END END AS ch, CASE WHEN row_order = 4 THEN 'file' END AS fh FROM rws r LEFT JOIN registry g ON g.document_id = r.document_id)"""
+
+
+@query("q33_freshness", with_views(_EVID + """,
+items AS (SELECT e.answer_id, CASE WHEN g.document_id IS NULL THEN 'nf' WHEN g.status <> 'active' THEN 'na' WHEN e.ch IS NOT NULL THEN CASE WHEN g.content_hash IS DISTINCT FROM e.ch THEN 'c' END WHEN e.fh IS NOT NULL THEN 'f' ELSE 'm' END AS why FROM evid e LEFT JOIN registry g ON g.document_id = e.document_id WHERE e.document_id IS NOT NULL),
+per AS (SELECT answer_id, count(*) AS checked, count(why) AS mismatched FROM items GROUP BY 1)
+SELECT o_orderkey AS answer_id, coalesce(checked, 0) AS checked, coalesce(mismatched, 0) AS mismatched, coalesce(checked, 0) > 0 AND coalesce(mismatched, 0) = 0 AS is_fresh,
+  CASE WHEN coalesce(checked, 0) = 0 THEN 'no_document_bound_evidence' WHEN mismatched > 0 THEN 'freshness_check_failed' END AS block_reason FROM orders LEFT JOIN per ON answer_id = o_orderkey""", "registry", "rows"))
+def q33(spark, d):
+    answers = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"))
+    return reuse.freshness(answers, _evidence(spark, d), V.registry(spark, d).withColumn("file_hash", F.lit(None).cast("string")))
+
+
+@query("q34_integrity", with_views(_EVID + """,
+per AS (SELECT answer_id, count(*) AS n, count(*) FILTER (WHERE (document_id IS NOT NULL)::INT + (block_id IS NOT NULL)::INT <> 1) AS bad, count(*) FILTER (WHERE document_id IS NOT NULL OR block_id IS NOT NULL) AS strong FROM evid GROUP BY 1),
+o AS (SELECT o_orderkey AS answer_id, CASE WHEN o_orderkey % 10 <> 0 THEN 'h' END AS hash, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(strong, 0) AS strong FROM orders LEFT JOIN per ON answer_id = o_orderkey)
+SELECT answer_id, n AS n_items, bad AS n_invalid, CASE WHEN n = 0 THEN 'no_evidence_items' WHEN hash IS NULL THEN 'missing_evidence_hash' WHEN bad > 0 THEN 'invalid_evidence_items' WHEN strong = 0 THEN 'no_strong_evidence_items' END AS block_reason,
+  n > 0 AND hash IS NOT NULL AND bad = 0 AND strong > 0 AS is_valid FROM o""", "registry", "rows"))
+def q34(spark, d):
+    answers = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.when(F.col("o_orderkey") % 10 != 0, "h").alias("evidence_hash"))
+    return reuse.integrity(answers, _evidence(spark, d))
+
+
+_FLAGS = "flagged AS (SELECT *, past_id % 3 <> 0 AS signature_ok, past_id % 5 <> 0 AS is_fresh, past_id % 7 <> 0 AS is_valid, (past_id % 10) / 10.0::DOUBLE AS signature, (past_id % 4) / 4.0::DOUBLE AS reuse_score, 1 + past_id % 5 AS avg_score, past_id % 6 AS n_votes FROM kept WHERE place <= 20)"
+
+
+def _flagged(spark, d):
+    p = F.col("past_id")
+    return _similar(spark, d).withColumns({"signature_ok": p % 3 != 0, "is_fresh": p % 5 != 0, "is_valid": p % 7 != 0, "signature": (p % 10) / 10.0, "reuse_score": (p % 4) / 4.0, "avg_score": 1 + p % 5, "n_votes": p % 6})
+
+
+@query("q35_reuse_decision", "WITH " + _PAIRS + ", " + _FLAGS + """,
+per AS (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE signature_ok) AS c0, count(*) FILTER (WHERE signature_ok AND is_fresh) AS c1, count(*) FILTER (WHERE signature_ok AND is_fresh AND is_valid) AS c2 FROM flagged GROUP BY 1),
+best AS (SELECT question_id, past_id FROM flagged WHERE signature_ok AND is_fresh AND is_valid QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, signature DESC, reuse_score DESC, avg_score DESC, n_votes DESC, past_id) = 1)
+SELECT item_id AS question_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_candidates_found' WHEN c0 = 0 THEN 'signature_mismatch' WHEN c1 = 0 THEN 'all_candidates_stale' WHEN c2 = 0 THEN 'evidence_mismatch' ELSE 'reuse_allowed' END AS decision, coalesce(b.past_id, -1) AS past_id
+FROM benchmark LEFT JOIN per ON per.question_id = item_id LEFT JOIN best b ON b.question_id = item_id""")
+def q35(spark, d):
+    return reuse.decide(V.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id")), _flagged(spark, d)).withColumn("past_id", F.coalesce("past_id", F.lit(-1)))
+
+
+@query("q36_decision_confidence", "WITH " + _PAIRS + ", " + _FLAGS + " SELECT question_id, past_id, round(least(greatest(0.35 * similarity + 0.2 * signature + 0.2 * reuse_score + 0.1 * least(greatest((avg_score - 1) / 4.0::DOUBLE, 0), 1) + 0.1 * is_fresh::INT + 0.05 * is_valid::INT, 0), 1), 4)::DOUBLE AS confidence FROM flagged")
+def q36(spark, d):
+    return _flagged(spark, d).select("question_id", "past_id", reuse.decision_confidence(F.col("similarity"), F.col("signature"), F.col("reuse_score"), F.col("avg_score").cast("double"), F.col("is_fresh"), F.col("is_valid")).alias("confidence"))
+
+
+# ---------------------------------------------------------------- ingestion
+
+@query("q37_chunks")
+def q37(spark, d):
+    return ingest.chunks(V.table(spark, d, "documents"), key="doc_id")
+
+
+@query("q37b_chunks_as_written", r"SELECT doc_id AS document_id, 0 AS chunk_index, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS content FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> ''")
+def q37b(spark, d):
+    return ingest.chunks(V.table(spark, d, "documents"), key="doc_id", as_written=True)
+
+
+@query("q38_normalize_hash", r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS text_hash, sha256(coalesce(text, '')) AS content_hash, length(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS n FROM documents")
+def q38(spark, d):
+    t = F.col("text")
+    return V.table(spark, d, "documents").select("doc_id", T.text_hash(t).alias("text_hash"), T.content_hash(t).alias("content_hash"), F.char_length(T.normalize(t)).cast("long").alias("n"))
+
+
+@query("q39_language", "SELECT doc_id, CASE WHEN c > l THEN 'ru' WHEN l > c THEN 'en' END AS language FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\p{Cyrillic}')) AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l FROM documents)")
+def q39(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+_QC = r"""b AS (SELECT document_id, count(*) AS n_blocks, sum(length(content)) AS chars FROM blocks GROUP BY 1),
+m AS (SELECT doc_id AS document_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS text_chars, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_blocks, 0) AS n_meaningful, CASE WHEN n_blocks > 0 THEN 0 ELSE 1 END::DOUBLE AS empty_ratio,
+  CASE WHEN n_blocks > 0 THEN round(chars / n_blocks, 2) ELSE 0 END::DOUBLE AS avg_block FROM documents LEFT JOIN b ON document_id = doc_id)"""
+
+
+def _metrics(spark, d):
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return ingest.qc_metrics(docs, V.blocks(spark, d))
+
+
+@query("q40_qc_metrics", with_views(_QC + "\nSELECT document_id, text_chars, n_blocks, n_meaningful, empty_ratio, avg_block FROM m", "blocks"))
+def q40(spark, d):
+    return _metrics(spark, d).select("document_id", F.col("text_chars").cast("long").alias("text_chars"), "n_blocks", "n_meaningful", "empty_ratio", "avg_block")
+
+
+@query("q41_qc_verdict", with_views(_QC + """,
+e AS (SELECT *, list_filter([CASE WHEN text_chars = 0 THEN 'normalized_text_empty' END, CASE WHEN text_chars < 200 THEN 'normalized_text_too_short' END, CASE WHEN n_blocks = 0 THEN 'blocks_missing' END, CASE WHEN n_blocks < 3 THEN 'blocks_count_too_low' END,
+  CASE WHEN n_meaningful < 2 THEN 'meaningful_blocks_count_too_low' END, CASE WHEN empty_ratio > 0.3 THEN 'empty_block_ratio_too_high' END], lambda x: x IS NOT NULL) AS errors FROM m)
+SELECT document_id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS passed, errors[1] AS error_code FROM e""", "blocks"))
+def q41(spark, d):
+    return ingest.qc_verdict(_metrics(spark, d)).select("document_id", F.array_join("errors", ",").alias("errors"), "passed", "error_code")
+
+
+@query("q42_duplicate_files", with_views("SELECT document_id, content_hash IN (SELECT content_hash FROM registry WHERE status = 'active') AS is_duplicate FROM registry WHERE status = 'replaced'", "registry"))
+def q42(spark, d):
+    reg = V.registry(spark, d).withColumnRenamed("content_hash", "file_hash")
+    files = reg.filter("status = 'replaced'")
+    dup = ingest.duplicate_files(files, reg).select("document_id", F.lit(True).alias("is_duplicate"))
+    return dup.unionByName(ingest.new_files(files, reg).select("document_id", F.lit(False).alias("is_duplicate")))
+
+
+_PLAN = """act AS (SELECT doc_uid_base AS u, list(document_id ORDER BY document_id) AS ids, list(DISTINCT content_hash) AS hs FROM registry WHERE status = 'active' AND document_id % 2 = 0 GROUP BY 1),
+inc AS (SELECT document_id AS doc_key, CASE WHEN document_id % 9 <> 1 THEN doc_uid_base END AS uid, content_hash, CASE WHEN document_id % 4 = 1 THEN 'd' END AS rev FROM registry WHERE document_id % 2 = 1),
+pl AS (SELECT doc_key, CASE WHEN uid IS NULL THEN 'insert_new_active_unbound' WHEN ids IS NULL THEN 'insert_new_active' WHEN list_contains(hs, inc.content_hash) THEN 'conflict' WHEN rev IS NULL THEN 'replace_active_revision_without_revision_date' ELSE 'replace_active_revision' END AS mode, ids FROM inc LEFT JOIN act ON u = uid)"""
+
+
+def _plan(spark, d):
+    reg = V.registry(spark, d)
+    inc = reg.filter("document_id % 2 = 1").select(F.col("document_id").alias("doc_key"), F.when(F.col("document_id") % 9 != 1, F.col("doc_uid_base")).alias("doc_uid_base"), "content_hash", F.when(F.col("document_id") % 4 == 1, "d").alias("revision_date"))
+    return publish.publication_plan(inc, reg.filter("document_id % 2 = 0"))
+
+
+@query("q43_publication_plan", with_views(_PLAN + "\nSELECT doc_key, mode, CASE WHEN mode LIKE 'replace%' THEN len(ids) ELSE 0 END AS n_replaced FROM pl", "registry"))
+def q43(spark, d):
+    return _plan(spark, d).select("doc_key", "mode", F.size("replaces").cast("long").alias("n_replaced"))
+
+
+@query("q44_replace_revisions", with_views(_PLAN + """,
+gone AS (SELECT id, min(doc_key) AS by_ FROM (SELECT doc_key, unnest(ids) AS id FROM pl WHERE mode LIKE 'replace%') GROUP BY 1)
+SELECT document_id, CASE WHEN by_ IS NOT NULL THEN 'replaced' ELSE status END AS status, coalesce(by_, -1) AS replaced_by FROM registry LEFT JOIN gone ON id = document_id WHERE document_id % 2 = 0""", "registry"))
+def q44(spark, d):
+    return publish.replace_revisions(V.registry(spark, d).filter("document_id % 2 = 0"), _plan(spark, d), F.current_timestamp()).select("document_id", "status", F.coalesce("replaced_by", F.lit(-1)).alias("replaced_by"))
+
+
+@query("q45_carry_forward", with_views("SELECT source_id, coalesce(last_value(CASE WHEN l_returnflag = 'R' THEN 's' || row_order END IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY row_order, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS section FROM rws", "rows"))
+def q45(spark, d):
+    own = V.rows(spark, d).withColumn("at", F.struct("row_order", "source_id"))
+    return ingest.carry_forward(own, F.when(F.col("l_returnflag") == "R", F.concat(F.lit("s"), F.col("row_order"))), order="at").select("source_id", "section")
+
+
+@query("q45b_context_before", with_views("SELECT document_id, block_order, array_to_string(list_filter(list_slice(c, greatest(len(c) - 4, 1), len(c)), lambda x: true), '|') AS context FROM (SELECT document_id, block_order, coalesce(list(content) FILTER (WHERE block_type = 'paragraph' AND length(content) >= 2) OVER (PARTITION BY document_id ORDER BY block_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS c FROM blocks)", "blocks"))
+def q45b(spark, d):
+    items = V.blocks(spark, d).select("document_id", F.col("block_order").alias("item_order"), F.col("block_type").alias("kind"), F.col("content").alias("text"))
+    return ingest.context_before(items).select("document_id", F.col("item_order").alias("block_order"), F.array_join("context", "|").alias("context"))
+
+
+@query("q45c_unique_keys", "SELECT p_partkey, CASE WHEN n > 1 THEN p_brand || '_' || n ELSE p_brand END AS key FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS n FROM part)")
+def q45c(spark, d):
+    return ingest.unique_keys(V.table(spark, d, "part").select(F.col("p_type").alias("table_id"), F.col("p_partkey").alias("idx"), F.col("p_brand").alias("key"))).select(F.col("idx").alias("p_partkey"), "key")
+
+
+# ---------------------------------------------------------------- generation
+
+@query("q46_items_merge", "SELECT p_type, p_size, arg_min(p_name, (length(p_name), lower(p_name), p_name)) AS name, count(*) AS n_sources, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS row_ids FROM part GROUP BY 1, 2")
+def q46(spark, d):
+    items = V.table(spark, d, "part").select("p_type", "p_size", F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("row_id"), F.col("p_partkey").alias("place"))
+    return generate.merge_items(items, ["p_type", "p_size"]).select("p_type", "p_size", "name", "n_sources", F.array_join("row_ids", ",").alias("row_ids"))
+
+
+@query("q47_best_deadlines", with_views("""i AS (SELECT document_id AS question_id, l_returnflag AS value, l_linestatus AS scope, 'k' || (row_order % 2) AS kind, (order_key % 97) / 97.0::DOUBLE AS score, row_order / 10.0::DOUBLE AS confidence, source_id FROM rws)
+SELECT question_id, value, scope, kind, source_id, max_conf AS confidence, n AS n_sources FROM (SELECT *, row_number() OVER (PARTITION BY question_id, value, scope, kind ORDER BY score DESC, confidence DESC, source_id) AS p, max(confidence) OVER (PARTITION BY question_id, value, scope, kind) AS max_conf, count(*) OVER (PARTITION BY question_id, value, scope, kind) AS n FROM i) WHERE p = 1""", "rows"))
+def q47(spark, d):
+    items = V.rows(spark, d).select(F.col("document_id").alias("question_id"), F.col("l_returnflag").alias("value"), F.col("l_linestatus").alias("scope"), F.concat(F.lit("k"), F.col("row_order") % 2).alias("kind"), (F.col("order_key") % 97 / F.lit(97.0)).alias("score"), (F.col("row_order") / F.lit(10.0)).alias("confidence"), F.lit("table_row").alias("source_type"), "source_id")
+    return generate.best_deadlines(items).select("question_id", "value", "scope", "kind", "source_id", "confidence", "n_sources")
+
+
+@query("q48_citations", with_views(_RERANKED + """
+SELECT question_id, source_id, CAST(cited AS INTEGER) AS cited FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS cited FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_type, blob ORDER BY rank) AS n FROM ranked) WHERE n = 1) WHERE cited <= 5""", *_ALL))
+def q48(spark, d):
+    own = reranked(spark, d).withColumn("place", F.col("rank")).withColumn("display_label", F.col("source_type")).withColumn("citation_text", F.col("blob"))
+    return generate.citations(own).select("question_id", "source_id", F.col("cited").cast("int").alias("cited"))
+
+
+_CONF = "CASE WHEN mode = 'safe_no_answer' THEN CASE quality WHEN 'insufficient' THEN 0.2 WHEN 'weak' THEN 0.28 ELSE 0.35 END ELSE round(least(greatest(0.25 * least(n / 8.0, 1) + 0.18 * det + 0.15 * sem + 0.12 * CASE WHEN mode = 'direct_structured' THEN 0.9 ELSE 0.8 END + 0.1 * least(strong / 4.0, 1) + 0.1 * least(greatest(top, 0), 1) + 0.05 * least(greatest(share, 0), 1) + 0.05 * CASE quality WHEN 'strong' THEN 1 WHEN 'weak' THEN 0.35 WHEN 'insufficient' THEN 0 ELSE 0.55 END, 0), 1), 4) END"
+
+
+@query("q49_confidence_trust", f"""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, CASE l_returnflag WHEN 'R' THEN 'safe_no_answer' WHEN 'A' THEN 'direct_structured' ELSE 'grounded_narrative' END AS mode, CASE WHEN l_linenumber <= 2 THEN 'strong' WHEN l_linenumber = 3 THEN 'weak' WHEN l_linenumber = 4 THEN 'insufficient' ELSE 'x' END AS quality,
+  ((l_quantity % 12) / 1.1::DOUBLE)::DOUBLE AS n, (l_linenumber % 2)::DOUBLE AS det, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0.8 END::DOUBLE AS sem, (l_suppkey % 6)::DOUBLE AS strong, (l_discount * 10)::DOUBLE AS top, (l_tax * 11.37::DOUBLE)::DOUBLE AS share, l_suppkey % 3 AS docs FROM lineitem),
+c AS (SELECT *, ({_CONF})::DOUBLE AS confidence FROM a)
+SELECT k, ln, pk, sk, confidence, round(least(1, greatest(0, confidence - CASE WHEN det < 1 THEN 0.2 ELSE 0 END - CASE WHEN sem < 1 THEN 0.15 ELSE 0 END - CASE WHEN mode = 'safe_no_answer' THEN 0.05 ELSE 0 END + CASE WHEN docs = 1 THEN 0.06 ELSE 0 END + CASE WHEN share >= 0.75 THEN 0.05 WHEN share >= 0.5 THEN 0.02 ELSE 0 END
+  + CASE quality WHEN 'strong' THEN 0.05 WHEN 'weak' THEN -0.03 WHEN 'insufficient' THEN -0.08 ELSE 0 END)), 4)::DOUBLE AS trust, mode <> 'safe_no_answer' AND det = 1 AND sem = 1 AND confidence >= 0.78 AS reuse_allowed FROM c""")
+def q49(spark, d):
+    l = V.table(spark, d, "lineitem")
+    mode = F.when(F.col("l_returnflag") == "R", "safe_no_answer").when(F.col("l_returnflag") == "A", "direct_structured").otherwise("grounded_narrative")
+    quality = F.when(F.col("l_linenumber") <= 2, "strong").when(F.col("l_linenumber") == 3, "weak").when(F.col("l_linenumber") == 4, "insufficient").otherwise("x")
+    own = l.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), mode.alias("mode"), quality.alias("quality"), (F.col("l_quantity") % 12 / 1.1).alias("n"), (F.col("l_linenumber") % 2).cast("double").alias("det"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.8).alias("sem"), (F.col("l_suppkey") % 6).cast("double").alias("strong"), (F.col("l_discount") * 10).alias("top"), (F.col("l_tax") * 11.37).alias("share"), (F.col("l_suppkey") % 3).alias("docs"))
+    c = {x: F.col(x) for x in own.columns}
+    own = own.withColumn("confidence", generate.confidence(c["mode"], c["quality"], c["n"], c["det"], c["sem"], c["strong"], c["top"], c["share"]))
+    trust = generate.trust(F.col("confidence"), c["mode"], c["det"] == 1, c["sem"] == 1, c["docs"], c["share"], c["quality"])
+    status = generate.validation_status(c["det"] == 1, c["sem"] == 1)
+    return own.select("k", "ln", "pk", "sk", "confidence", trust.alias("trust"), generate.reuse_allowed(c["mode"], status, F.col("confidence"), F.lit("documents")).alias("reuse_allowed"))
+
+
+@query("q50_short_text", r"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS a, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS b FROM documents)
+SELECT doc_id, CASE WHEN length(a) <= 120 THEN a ELSE rtrim(substring(a, 1, 117)) || '...' END AS short, CASE WHEN length(b) <= 350 THEN b ELSE rtrim(substring(b, 1, 347)) || '...' END AS short_answer, CASE WHEN b = '' THEN NULL WHEN right(b, 1) IN ('.', '!', '?') THEN b ELSE b || '.' END AS sentence FROM t""")
+def q50(spark, d):
+    t = F.col("text")
+    return V.table(spark, d, "documents").select("doc_id", T.shorten(t, 120).alias("short"), generate.short_answer(t, F.lit("grounded_narrative")).alias("short_answer"), T.sentence(t).alias("sentence"))
+
+
+@query("q51_terms", r"""SELECT doc_id, array_to_string(list_slice(list_filter(string_split(lower(trim(regexp_replace(translate(coalesce(text, ''), '"()', '   '), '\s+', ' ', 'g'))), ' '), lambda w: length(w) >= 3 AND NOT list_contains(['the', 'and', 'der', 'die', 'und', 'les', 'des', 'que'], w)), 1, 8), ' ') AS terms FROM documents""")
+def q51(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(T.terms(F.col("text"), DRIVER.stop_words), " ").alias("terms"))
+
+
+@query("q52_html_blocks")
+def q52(spark, d):
+    """Pages as blocks: tags of blocks end a line, other tags, scripts and comments go."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " ")
+    html = F.regexp_replace(html, r"(?i)</?(?:p|div|li|tr|h[1-6]|br|ul|ol|table|article|nav|section|body|head|title)\b[^>]*>", "\n")
+    plain = F.regexp_replace(html, r"<[^>]+>", "")
+    return ingest.blocks(V.table(spark, d, "pages").select("page_id", plain.alias("text")), key="page_id").withColumnRenamed("document_id", "page_id")
+
+
+@query("q53_eval_checks", with_views("""c AS (SELECT answer_id AS case_id, lower(answer_text) AS t, mode FROM answers)
+SELECT case_id, array_to_string(list_filter(['tion', 'en'], lambda x: NOT contains(t, x)), ',') AS missing, array_to_string(list_filter(['licen'], lambda x: contains(t, x)), ',') AS present,
+  NOT (NOT contains(t, 'tion') OR NOT contains(t, 'en') OR contains(t, 'licen') OR mode <> 'grounded_narrative') AS passed FROM c""", "answers"))
+def q53(spark, d):
+    return _checked(spark, d).select("case_id", F.array_join("missing", ",").alias("missing"), F.array_join("present", ",").alias("present"), "passed")
+
+
+def _checked(spark, d):
+    own = V.answers(spark, d).select(F.col("answer_id").alias("case_id"), "answer_text", F.col("mode").alias("answer_mode"), F.lit("strong").alias("evidence_quality"))
+    cases = own.select("case_id", F.array(F.lit("tion"), F.lit("en")).alias("expected"), F.array(F.lit("licen")).alias("forbidden"), F.lit("grounded_narrative").alias("expected_mode"), F.lit(None).cast("string").alias("expected_quality"))
+    return evaluate.eval_checks(own, cases)
+
+
+@query("q54_eval_summary", with_views("""c AS (SELECT contains(lower(answer_text), 'tion') AND contains(lower(answer_text), 'en') AND NOT contains(lower(answer_text), 'licen') AND mode = 'grounded_narrative' AS ok FROM answers)
+SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 2)::DOUBLE AS pass_rate FROM c""", "answers"))
+def q54(spark, d):
+    return evaluate.eval_summary(_checked(spark, d))
+
+
+@query("q55_callbacks", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'vote' WHEN event_type = 'error' THEN 'comment' END AS kind, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'a' || event_id END AS answer_id, CASE WHEN event_type IN ('click', 'view') THEN CAST(event_id % 5 + 1 AS INTEGER) ELSE 0 END AS score FROM events")
+def q55(spark, d):
+    e = V.table(spark, d, "events")
+    key = F.concat(F.lit("a"), F.col("event_id"))
+    raw = F.when(F.col("event_type").isin("click", "view"), F.concat_ws(":", F.lit("fb"), key, F.col("event_id") % 5 + 1)).when(F.col("event_type") == "error", F.concat_ws(":", F.lit("fb_comment"), key)).otherwise(F.concat_ws(":", F.lit("fb"), key, F.lit("9")))
+    c = T.callback(raw)
+    return e.select("event_id", c["kind"].alias("kind"), c["answer_id"].alias("answer_id"), F.coalesce(c["score"], F.lit(0)).alias("score"))
+
+
+@query("q56_sessions", with_views("SELECT session_id AS external_session_id, min(submitted_at) AS started_at, max(submitted_at) AS last_at FROM votes GROUP BY 1", "votes"))
+def q56(spark, d):
+    m = V.votes(spark, d).select(F.lit("web").alias("channel"), F.col("session_id").alias("external_session_id"), F.col("submitted_at").alias("at"), F.lit(None).cast("string").alias("external_user_id"), F.lit(None).cast("string").alias("user_name"))
+    return publish.sessions(m).select("external_session_id", "started_at", "last_at")
+
+
+@query("q57_orphan_rows", with_views("SELECT 'row' AS what, count(*) AS n FROM rws WHERE table_id NOT IN (SELECT source_id FROM tabs) UNION ALL SELECT 'table', count(*) FROM tabs WHERE source_id NOT IN (SELECT table_id FROM rws)", "tables", "rows"))
+def q57(spark, d):
+    rows, tabs = V.rows(spark, d).select("table_id"), V.tables(spark, d).select(F.col("source_id").alias("table_id"))
+    a = rows.join(tabs, "table_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("row").alias("what"), "n")
+    return a.unionByName(tabs.join(rows, "table_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("table").alias("what"), "n"))
+
+
+@query("q58_text_functions", r"""SELECT doc_id, length(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\t', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS n_document, nullif(regexp_extract(coalesce(text, ''), '(\d{2}\.\d{2}\.\d{4})', 1), '') IS NOT NULL AS has_date,
+  array_to_string(list_slice(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zа-я]+', '_', 'g'), '_'), '_'), 1, 5), '_') AS key FROM documents""")
+def q58(spark, d):
+    t = F.col("text")
+    raw = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), "\r\n?", "\n"), "\t", " "), r"\n{3,}", "\n\n")
+    return V.table(spark, d, "documents").select("doc_id", F.char_length(raw).cast("long").alias("n_document"), (F.regexp_extract(F.coalesce(t, F.lit("")), r"(\d{2}\.\d{2}\.\d{4})", 1) != "").alias("has_date"), F.array_join(F.slice(F.split(T.token_key(t), "_"), 1, 5), "_").alias("key"))
+
+
+@query("q59_upsert", with_views("""o AS (SELECT answer_id, count(*) AS n FROM votes WHERE vote_id % 2 = 0 AND answer_id < 150 GROUP BY 1), w AS (SELECT answer_id, count(*) AS n FROM votes WHERE vote_id % 3 = 0 AND answer_id > 50 GROUP BY 1)
+SELECT coalesce(o.answer_id, w.answer_id) AS answer_id, CASE WHEN w.answer_id IS NOT NULL THEN w.n ELSE o.n END AS n FROM o FULL JOIN w ON o.answer_id = w.answer_id""", "votes"))
+def q59(spark, d):
+    v = V.votes(spark, d)
+    old = v.filter("vote_id % 2 = 0 AND answer_id < 150").groupBy("answer_id").agg(F.count("*").alias("n"))
+    new = v.filter("vote_id % 3 = 0 AND answer_id > 50").groupBy("answer_id").agg(F.count("*").alias("n"))
+    return feedback.upsert(old, new, "answer_id", ["n"])
+
+
+@query("q60_cosine_pairs", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def q60(spark, d):
+    e = V.table(spark, d, "embeddings")
+    return e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", F.round(S.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))
