@@ -1,4 +1,4 @@
-"""Connected components by labels that shrink along links and jump along labels, as Spark joins."""
+"""Connected components by contraction, as Spark joins."""
 
 from __future__ import annotations
 
@@ -11,19 +11,26 @@ from .shared import settle
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the least node of its component, for every end of ``links`` (a, b).
 
-    Each round a node takes the least label of itself, its neighbours and its label's label; the tables are
-    written in between.  Neighbours' labels are joined by node, where a hub's rows can be split, and reduced by
-    partial minima.  The rounds go with the logarithm of the longest path for most graphs.
+    In each round a node hooks to the least of itself and its neighbours (partial minima, no join), and the
+    links are rewritten between these labels; doubles and loops go.  A component's labels at least halve in
+    number, so the rounds go with the logarithm of the nodes, and most links are gone after the first.  What a
+    node's label became is followed round by round.  Tables are written in between; a hub's rows in a join
+    can be split.
     """
-    both = settle(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    edges = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    found = None
     for _ in range(rounds):
-        near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        at = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        up = labels.join(at, "label", "left").select("node", "label", "above").join(near, "node")
-        new = settle(up.select("node", F.least("label", "near", F.coalesce("above", "label")).alias("label"), F.col("label").alias("old")), "labels")
-        changed = not new.filter("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        hooks = settle(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "hooks")
+        if found is None:
+            found = hooks
+        else:
+            step = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            found = settle(found.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        a = hooks.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        b = hooks.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        moved = edges.join(a, "a").join(b, "b").filter("la <> lb")
+        edges = settle(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return found
+    raise RuntimeError(f"links are left after {rounds} rounds")

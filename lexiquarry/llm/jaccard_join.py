@@ -244,10 +244,13 @@ def dealt_in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataF
 
 
 def _pairs_of_blocks(table: pa.Table, bounds: np.ndarray):
-    """For each group: its slice with the rows of block p first, and where those of q begin (None: one block)."""
-    p, q, own = (table[c].to_numpy() for c in ("p", "q", "own"))
+    """For each group: its slice with the rows of block p first, and where those of q begin (None: one block).
+
+    Within a block rows stand by class, so forests of the same classes from other bands have the same roots.
+    """
+    p, q, own, cid = (table[c].to_numpy() for c in ("p", "q", "own", "cid"))
     for a, b in zip(bounds, bounds[1:]):
-        order = a + np.argsort(own[a:b], kind="stable")
+        order = a + np.lexsort((cid[a:b], own[a:b]))
         yield order, None if p[a] == q[a] else int((own[order] == p[a]).sum())
 
 
