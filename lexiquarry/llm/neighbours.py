@@ -223,7 +223,8 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def graph(nodes: DataFrame, width: int, *, k: int = 24, rounds: int = 5, sample: int = 8, lines: int = 3, block: int = 512) -> DataFrame:
     partitions = partitions_for(nodes.sparkSession)
-    lists = settle(merged(None, first_lists(nodes, width, k, lines, block, partitions), k, partitions), "lists")
+    along = max(1, min(partitions, nodes.count() // (2 * block)))  # no partition of a line without company
+    lists = settle(merged(None, first_lists(nodes, width, k, lines, block, along), k, partitions), "lists")
     for turn in range(rounds):
         lists = settle(descended(lists, nodes, k, sample, turn, partitions), "lists")
     return lists
