@@ -319,7 +319,7 @@ def q25(spark, d):
 
 def _daily_sql(times: str) -> str:
     return with_views(f"""per AS (SELECT answer_id, count(*) AS nv, sum(score) AS ss, count(*) FILTER (WHERE score <= 2) AS nl FROM votes GROUP BY answer_id)
-SELECT CAST(created_at AS DATE) AS day, channel, intent, measure_code, CAST(sum({times}) AS BIGINT) AS total_answers, CAST(coalesce(sum(nv), 0) AS BIGINT) AS total_feedback, round(sum(ss) / sum(nv), 6) AS avg_score,
+SELECT strftime(created_at, '%Y-%m-%d') AS day, channel, intent, measure_code, CAST(sum({times}) AS BIGINT) AS total_answers, CAST(coalesce(sum(nv), 0) AS BIGINT) AS total_feedback, round(sum(ss) / sum(nv), 6) AS avg_score,
   CAST(sum(CASE WHEN mode = 'reused_answer' THEN {times} ELSE 0 END) AS BIGINT) AS reused_answers, CAST(coalesce(sum(nl), 0) AS BIGINT) AS low_rated, CAST(sum(CASE WHEN validation_status = 'failed' THEN {times} ELSE 0 END) AS BIGINT) AS failed_validation
 FROM answers a LEFT JOIN per ON per.answer_id = a.slot GROUP BY ALL""", "votes", "answers")
 
@@ -327,7 +327,7 @@ FROM answers a LEFT JOIN per ON per.answer_id = a.slot GROUP BY ALL""", "votes",
 def _daily(as_written):
     def f(spark, d):
         out = feedback.quality_daily(V.answers(spark, d).withColumn("answer_id", F.col("slot")), V.votes(spark, d), as_written=as_written)
-        return out.withColumn("avg_score", F.round("avg_score", 6)).withColumns({c: F.col(c).cast("long") for c in ("total_answers", "total_feedback", "reused_answers", "low_rated", "failed_validation")})
+        return out.withColumn("day", F.col("day").cast("string")).withColumn("avg_score", F.round("avg_score", 6)).withColumns({c: F.col(c).cast("long") for c in ("total_answers", "total_feedback", "reused_answers", "low_rated", "failed_validation")})
 
     return f
 
