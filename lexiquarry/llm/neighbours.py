@@ -87,11 +87,15 @@ def first_lists(nodes: DataFrame, width: int, k: int, lines: int, block: int, pa
         n = table.num_rows
         ids = table["node"].to_numpy()
         x = unpacked8(b"".join(table["v8"].to_pylist()), n)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -2)
-        near = np.argpartition(-sims, min(k, n - 1), 1)[:, : min(k, n - 1)]
-        row = np.repeat(np.arange(n), near.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[near.ravel()]), pa.array(sims[row, near.ravel()])], names=["target", "other", "sim"])
+        most, found = min(k, n - 1), []
+        for at in range(0, n, 512):
+            sims = x[at : at + 512] @ x.T
+            rows = np.arange(len(sims))
+            sims[rows, at + rows] = -2
+            near = np.argpartition(sims, n - most - 1, 1)[:, n - most :] if most else np.zeros((len(sims), 0), np.int64)
+            found.append((np.repeat(at + rows, most), near.ravel(), sims[np.repeat(rows, most), near.ravel()]))
+        row, near, sims = (np.concatenate([f[c] for f in found]) for c in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[near]), pa.array(sims)], names=["target", "other", "sim"])
 
     found = None
     for line in range(lines):
@@ -221,7 +225,7 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, int]:
     return settle(own.mapInArrow(do, "k1 long, k2 long, node long, v array<double>, v8 binary"), "lifted"), sizes.n
 
 
-def graph(nodes: DataFrame, width: int, *, k: int = 24, rounds: int = 5, sample: int = 8, lines: int = 3, block: int = 512) -> DataFrame:
+def graph(nodes: DataFrame, width: int, *, k: int = 32, rounds: int = 2, sample: int = 8, lines: int = 4, block: int = 8192) -> DataFrame:
     partitions = partitions_for(nodes.sparkSession)
     along = max(1, min(partitions, nodes.count() // (2 * block)))  # no partition of a line without company
     lists = settle(merged(None, first_lists(nodes, width, k, lines, block, along), k, partitions), "lists")
@@ -243,7 +247,7 @@ def adjacency(lists: DataFrame, nodes: DataFrame, both: int) -> DataFrame:
 STATE = "query long, ids binary, sims binary, done binary, next array<long>"
 
 
-def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 96, step: int = 24, rounds: int = 4) -> DataFrame:
+def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200, step: int = 64, rounds: int = 5) -> DataFrame:
     """query, other: the best ``beam`` nodes found for each query (query, node, v)."""
     spark = queries.sparkSession
     partitions = partitions_for(spark)
