@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
 from .components import components
-from .shared import in_groups, join_keyed, partitions_for, read_table, settle, whole_groups
+from .shared import in_groups, join_keyed, partitions_for, read_table, rows_a_batch, settle, whole_groups
 
 N_GRAM, THRESHOLD, HASHES, BANDS, STEP = 5, 0.8, 128, 32, 16
 TOLERANCE = 1e-6
 #: Values that step 3 compares at most; classes in a block of step 3 and of step 4.
 FIRST, BUCKET_BLOCK, EXACT_BLOCK = 64, 1024, 256
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»…-–—*_#|"
+#: Rows of an Arrow batch: texts and shingle sets are long, and buffers double as they grow.
+BATCH_ROWS = 1024
 LAST_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240501)
@@ -300,6 +302,11 @@ def exact_links(rows: DataFrame, partitions: int) -> DataFrame:
 def join_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, class_id (least id of its group), set_id (least id with an equal set), copies, n_links."""
     ship(docs.sparkSession)
+    with rows_a_batch(docs.sparkSession, BATCH_ROWS):  # all Python work is done inside; what is returned only joins
+        return _joined(docs, key, text)
+
+
+def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     partitions = partitions_for(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
     seen = settle(sketch(plain), "sketches").withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(64)).cast("int"))
