@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..plans.shipping import ship
-from .shared import in_groups, partitions_for, read_table, settle, whole_groups
+from .shared import in_groups, partitions_for, read_table, rows_a_batch, settle, whole_groups
 
 NONE = -(1 << 63)
+#: Rows of an Arrow batch in the search: a node comes with all its neighbours' vectors.
+SEARCH_ROWS = 1024
 
 
 def packed8(x: np.ndarray) -> list[bytes]:
@@ -61,12 +63,12 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64("v", F.lit(1)))
 
 
-LISTS = "node long, ids binary, sims binary, fresh binary"
+LISTS = "node long, ids binary, sims binary, fresh binary, v8 binary"
 
 
 def _lists(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["node", "ids", "sims", "fresh"])
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["node", "ids", "sims", "fresh", "v8"])
 
 
 def first_lists(nodes: DataFrame, width: int, k: int, lines: int, block: int, partitions: int) -> DataFrame:
@@ -107,31 +109,35 @@ def first_lists(nodes: DataFrame, width: int, k: int, lines: int, block: int, pa
     return found
 
 
-def merged(lists: DataFrame | None, found: DataFrame, k: int, partitions: int) -> DataFrame:
-    """The lists with what was found: node, ids, sims, fresh (1: not yet joined)."""
-    rows = found.select(F.col("target").alias("node"), "other", "sim", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("sims"), F.lit(None).cast("binary").alias("fresh"))
-    if lists is not None:
-        rows = rows.unionByName(lists.select("node", F.lit(NONE).alias("other"), F.lit(0.0).cast("float").alias("sim"), "ids", "sims", "fresh"))
+def merged(lists: DataFrame, found: DataFrame, k: int, partitions: int) -> DataFrame:
+    """The lists (node, ids, sims, fresh: not yet joined, v8) with what was found (target, other, sim).
+
+    Without a sim, a row of ``found`` tells that the place of ``other`` in the list is joined, no longer fresh.
+    """
+    nothing = F.lit(None).cast("binary")
+    rows = found.select(F.col("target").alias("node"), "other", "sim", *[nothing.alias(c) for c in ("ids", "sims", "fresh", "v8")])
+    rows = rows.unionByName(lists.withColumn("other", F.lit(NONE)).withColumn("sim", F.lit(0.0).cast("float")))
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["node"]):
             node, other, sim = (table[c].to_numpy() for c in ("node", "other", "sim"))
-            old = {c: table[c] for c in ("ids", "sims", "fresh")}
+            old = {c: table[c] for c in ("ids", "sims", "fresh", "v8")}
             out = []
             for a, b in zip(bounds, bounds[1:]):
-                ids, sims = other[a:b], sim[a:b]
-                held = np.flatnonzero(ids == NONE)
-                ids, sims = np.delete(ids, held), np.delete(sims, held)
-                fresh = np.ones(len(ids), np.int8)
-                for h in held:
-                    ids = np.r_[np.frombuffer(old["ids"][int(a + h)].as_py(), np.int64), ids]
-                    sims = np.r_[np.frombuffer(old["sims"][int(a + h)].as_py(), np.float32), sims]
-                    fresh = np.r_[np.frombuffer(old["fresh"][int(a + h)].as_py(), np.int8), fresh]
+                held = int(a + np.flatnonzero(other[a:b] == NONE)[0])
+                joined = np.isnan(sim[a:b])
+                new = ~joined
+                new[held - a] = False
+                ids = np.frombuffer(old["ids"][held].as_py(), np.int64)
+                fresh = np.frombuffer(old["fresh"][held].as_py(), np.int8) * ~np.isin(ids, other[a:b][joined])
+                ids = np.r_[ids, other[a:b][new]]
+                sims = np.r_[np.frombuffer(old["sims"][held].as_py(), np.float32), sim[a:b][new]]
+                fresh = np.r_[fresh, np.ones(int(new.sum()), np.int8)]
                 # what is held stands first and stays as it is
                 _, first = np.unique(ids, return_index=True)
                 ids, sims, fresh = ids[first], sims[first], fresh[first]
                 best = np.lexsort((ids, -sims))[:k]
-                out.append((int(node[a]), ids[best].tobytes(), sims[best].tobytes(), fresh[best].tobytes()))
+                out.append((int(node[a]), ids[best].tobytes(), sims[best].tobytes(), fresh[best].astype(np.int8).tobytes(), old["v8"][held].as_py()))
             yield _lists(out)
 
     return in_groups(rows, ["node"], partitions, do, LISTS)
@@ -150,17 +156,16 @@ def exploded(lists: DataFrame) -> DataFrame:
                 [pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)), pa.array(fresh.astype(np.int32)), pa.array(np.repeat(last, n))],
                 names=["node", "other", "fresh", "least"])
 
-    return lists.mapInArrow(do, "node long, other long, fresh int, least float")
+    return lists.select("node", "ids", "sims", "fresh").mapInArrow(do, "node long, other long, fresh int, least float")
 
 
-def descended(lists: DataFrame, nodes: DataFrame, k: int, sample: int, turn: int, partitions: int) -> DataFrame:
+def descended(lists: DataFrame, k: int, sample: int, turn: int, partitions: int) -> DataFrame:
     """One round of NN-descent."""
     flat = exploded(lists)
     ways = flat.select("node", "other", "fresh", F.lit(0).alias("way")).union(flat.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh", F.lit(1).alias("way")))
     order = Window.partitionBy("node", "fresh", "way").orderBy(F.xxhash64("node", "other", F.lit(turn)))
     some = settle(ways.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).select("node", "other", "fresh", "way"), "sampled")
-    least = lists.select(F.col("node").alias("other"), F.col("sims"))
-    met = some.groupBy("node", "other").agg(F.max("fresh").alias("fresh")).join(nodes.select(F.col("node").alias("other"), "v8").join(least, "other"), "other")
+    met = some.join(lists.select(F.col("node").alias("other"), "sims", "v8"), "other")
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["node"]):
@@ -169,15 +174,17 @@ def descended(lists: DataFrame, nodes: DataFrame, k: int, sample: int, turn: int
             x = unpacked8(b"".join(table["v8"].to_pylist()), table.num_rows)
             out = []
             for a, b in zip(bounds, bounds[1:]):
-                new = fresh[a:b]
-                if b - a < 2 or not new.any():
+                at = a + np.lexsort((~fresh[a:b], other[a:b]))
+                at = at[np.r_[True, other[at][1:] != other[at][:-1]]]  # one that is met both ways counts once, as new if either is
+                new = fresh[at]
+                if len(at) < 2 or not new.any():
                     continue
-                sims = x[a:b] @ x[a:b].T
+                sims = x[at] @ x[at].T
                 pairs = new[:, None] | new[None, :]
                 np.fill_diagonal(pairs, False)
-                i, j = np.nonzero(pairs & (sims > last[a:b, None]))
+                i, j = np.nonzero(pairs & (sims > last[at, None]))
                 if len(i):
-                    out.append((other[a + i], other[a + j], sims[i, j]))
+                    out.append((other[at[i]], other[at[j]], sims[i, j]))
             if out:
                 target, found, sim = (np.concatenate([o[c] for o in out]) for c in range(3))
                 order = np.lexsort((found, target))
@@ -186,25 +193,8 @@ def descended(lists: DataFrame, nodes: DataFrame, k: int, sample: int, turn: int
                 yield pa.RecordBatch.from_arrays([pa.array(target[order]), pa.array(found[order]), pa.array(sim[order])], names=["target", "other", "sim"])
 
     found = in_groups(met.select("node", "other", "fresh", "v8", "sims"), ["node"], partitions, do, "target long, other long, sim float")
-    joined = some.select("node", "other", "way").filter("way = 0").select("node", F.col("other").alias("seen"))
-    stale = lists_with_joined(lists, joined, partitions)
-    return merged(stale, found, k, partitions)
-
-
-def lists_with_joined(lists: DataFrame, joined: DataFrame, partitions: int) -> DataFrame:
-    """The lists, with the sampled places no longer fresh."""
-    seen = joined.groupBy("node").agg(F.collect_list("seen").alias("seen"))  # at most 2 * sample each
-
-    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for node, ids, sims, fresh, gone in zip(*(c.to_pylist() for c in batch.columns)):
-                f = np.frombuffer(fresh, np.int8).copy()
-                f[np.isin(np.frombuffer(ids, np.int64), gone or [])] = 0
-                rows.append((node, ids, sims, f.tobytes()))
-            yield _lists(rows)
-
-    return lists.join(seen, "node", "left").select("node", "ids", "sims", "fresh", "seen").mapInArrow(do, LISTS)
+    joined = some.filter("way = 0 AND fresh = 1").select(F.col("node").alias("target"), "other", F.lit(None).cast("float").alias("sim"))
+    return merged(lists, found.union(joined), k, partitions)
 
 
 def nodes_of(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -228,9 +218,10 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, int]:
 def graph(nodes: DataFrame, width: int, *, k: int = 32, rounds: int = 2, sample: int = 8, lines: int = 4, block: int = 8192) -> DataFrame:
     partitions = partitions_for(nodes.sparkSession)
     along = max(1, min(partitions, nodes.count() // (2 * block)))  # no partition of a line without company
-    lists = settle(merged(None, first_lists(nodes, width, k, lines, block, along), k, partitions), "lists")
+    empty = nodes.select("node", *[F.lit(b"").alias(c) for c in ("ids", "sims", "fresh")], "v8")
+    lists = settle(merged(empty, first_lists(nodes, width, k, lines, block, along), k, partitions), "lists")
     for turn in range(rounds):
-        lists = settle(descended(lists, nodes, k, sample, turn, partitions), "lists")
+        lists = settle(descended(lists, k, sample, turn, partitions), "lists")
     return lists
 
 
@@ -244,7 +235,7 @@ def adjacency(lists: DataFrame, nodes: DataFrame, both: int) -> DataFrame:
     return ways.groupBy("node").agg(F.collect_list(F.struct("other", "v8")).alias("near"))  # k + both at most
 
 
-STATE = "query long, ids binary, sims binary, done binary, next array<long>"
+STATE = "query long, ids binary, sims binary, done binary, v binary, next array<long>"
 
 
 def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200, step: int = 64, rounds: int = 5) -> DataFrame:
@@ -252,14 +243,21 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
     spark = queries.sparkSession
     partitions = partitions_for(spark)
     links = links.repartition(partitions, "node").persist()
-    frontier = queries.select("query", "v", "node")
-    state = None
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = [np.array(x, np.float32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v, pa.binary())], names=["query", "node", "v"])
+
+    started = settle(queries.select("query", "node", "v").mapInArrow(single, "query long, node long, v binary"), "started")
+    frontier = started.select("query", "v", "node")
+    state = started.select("query", *[F.lit(b"").alias(c) for c in ("ids", "sims", "done")], "v")
     for turn in range(rounds):
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 query = batch.column(0).to_pylist()
-                v = np.array(batch.column(1).to_pylist(), np.float32).reshape(len(query), -1)
+                v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(len(query), -1)
                 node, near = batch.column(2).to_pylist(), batch.column(3)
                 ids, sims = [], []
                 for r in range(len(query)):
@@ -274,14 +272,13 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sims, pa.binary())], names=["query", "node", "ids", "sims"])
 
         found = frontier.repartition(partitions, "node").join(links, "node", "left").select("query", "v", "node", "near").mapInArrow(scored, "query long, node long, ids binary, sims binary")
-        rows = found.withColumn("done", F.lit(None).cast("binary"))
-        if state is not None:
-            rows = rows.unionByName(state.select("query", F.lit(NONE).alias("node"), "ids", "sims", "done"))
+        nothing = F.lit(None).cast("binary")
+        rows = found.withColumn("done", nothing).withColumn("v", nothing).unionByName(state.select("query", F.lit(NONE).alias("node"), "ids", "sims", "done", "v"))
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, bounds in whole_groups(batches, ["query"]):
                 query, node = table["query"].to_numpy(), table["node"].to_numpy()
-                raw_ids, raw_sims, raw_done = (table[c].to_pylist() for c in ("ids", "sims", "done"))
+                raw_ids, raw_sims, raw_done, raw_v = (table[c].to_pylist() for c in ("ids", "sims", "done", "v"))
                 out = []
                 for a, b in zip(bounds, bounds[1:]):
                     ids = np.concatenate([np.frombuffer(raw_ids[r], np.int64) for r in range(a, b)])
@@ -293,12 +290,13 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
                     best = np.lexsort((ids, -sims))[:beam]
                     ids, sims = ids[best], sims[best]
                     todo = ids[~np.isin(ids, seen)][:step]
-                    out.append((int(query[a]), ids.tobytes(), sims.tobytes(), seen.tobytes(), todo.tolist()))
+                    held = int(a + np.flatnonzero(node[a:b] == NONE)[0])
+                    out.append((int(query[a]), ids.tobytes(), sims.tobytes(), seen.tobytes(), raw_v[held], todo.tolist()))
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.binary()) for c in cols[1:4]], pa.array(cols[4], pa.list_(pa.int64()))], names=["query", "ids", "sims", "done", "next"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.binary()) for c in cols[1:5]], pa.array(cols[5], pa.list_(pa.int64()))], names=["query", "ids", "sims", "done", "v", "next"])
 
         state = settle(in_groups(rows, ["query"], partitions, kept, STATE), "search")
-        frontier = state.select("query", F.explode("next").alias("node")).join(queries.select("query", "v"), "query")
+        frontier = state.select("query", "v", F.explode("next").alias("node"))
     links.unpersist()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +322,8 @@ def nearest(vectors: DataFrame, is_query, *, top_k: int = 20, key: str = "vec_id
     members = members.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "id")  # top_k + 1 at most for each node
     asking = settle(rows.filter(is_query).join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("id").alias("query"), "v", "node"), "queries")
 
-    found = search(asking, links, width=width)
+    with rows_a_batch(vectors.sparkSession, SEARCH_ROWS):
+        found = search(asking, links, width=width)
     own = asking.select("query", F.col("node").alias("other"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y)
     pairs = found.union(own).distinct().join(nodes.select(F.col("node").alias("other"), F.col("v").alias("w")), "other").join(asking.select("query", "v"), "query").select("query", F.col("other").alias("node"), dot.alias("score"))
