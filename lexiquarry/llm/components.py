@@ -22,15 +22,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         hooks = settle(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "hooks")
-        if found is None:
+        first = found is None
+        if first:
             found = hooks
         else:
             step = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            found = settle(found.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            found = settle(found.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels", (found,))
         a = hooks.select(F.col("node").alias("a"), F.col("label").alias("la"))
         b = hooks.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         moved = edges.join(a, "a").join(b, "b").filter("la <> lb")
-        edges = settle(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+        edges = settle(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links", (edges,) if first else (edges, hooks))
         if edges.isEmpty():
             return found
     raise RuntimeError(f"links are left after {rounds} rounds")

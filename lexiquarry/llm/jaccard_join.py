@@ -9,17 +9,18 @@ Texts are sets of five-word shingles; two are linked if their Jaccard similarity
 3. Bayesian pruning: values are compared 16 at a time.  With m of n equal and a flat prior, the similarity is
    Beta(m + 1, n - m + 1) distributed; a pair is dropped once the probability of 0.8 or more falls below
    ``tolerance``.  What survives in a block is told by a spanning forest, not pair by pair.
-4. The components of these forests hold all pairs that can be linked.  Within a component, again in blocks,
-   every pair is pruned as before over all 128 values and the rest verified exactly on their shingle sets.
+4. The components of these forests hold all pairs that can be linked.  Within a component, again in blocks
+   (bounded by classes and by shingles), every pair is pruned as before over all 128 values and the rest verified exactly on their shingle sets.
    Each pair is met in one block only; a block gives its members' numbers of links and a spanning forest.
 5. The components of the verified links are the groups.
 
 Words are the pieces between white space, in lower case, without leading and trailing punctuation.
 
 Defined results: texts with one to four words are one shingle; null and empty texts and texts without words
-have the empty set, which is one class and linked to nothing; ties go to the smallest doc_id; a null doc_id
-counts as the largest; rows that repeat a doc_id are documents each (their ids can't tell them apart); other
-columns play no part; an empty table gives no rows.
+have the empty set, which is one class and linked to nothing; ties go to the smallest id, null last, then to
+the smaller number of the row; ids may repeat and be of any type that can be ordered: rows are told apart by
+numbers that are written beside them; long texts are cut into shingles whole; other columns, whatever their
+names, play no part and are carried along by ``one_of_each``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,21 +32,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
 from .components import components
-from .shared import in_groups, join_keyed, partitions_for, read_table, rows_a_batch, settle, whole_groups
+from .shared import BROADCAST_KEYS, bound_batches, freeing, in_groups, join_keyed, partitions_for, read_table, settle, whole_groups, with_uid, without_rows
 
 N_GRAM, THRESHOLD, HASHES, BANDS, STEP = 5, 0.8, 128, 32, 16
 TOLERANCE = 1e-6
-#: Values that step 3 compares at most; classes in a block of step 3 and of step 4.
-FIRST, BUCKET_BLOCK, EXACT_BLOCK = 64, 1024, 256
+#: Values that step 3 compares at most; classes in a block of either step, and shingles in a block of step 4.
+FIRST, BLOCK, BLOCK_GRAMS = 64, 1024, 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»…-–—*_#|"
-#: Rows of an Arrow batch: texts and shingle sets are long, and buffers double as they grow.
-BATCH_ROWS = 1024
-LAST_ID = (1 << 63) - 1
+#: Bytes of pieces of text that a task remembers the digests of.
+WORD_BYTES = 8_000_000
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -61,13 +61,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Piece of lower-case text → 64-bit digest of its word, 0 if it has none."""
+    """Piece of lower-case text → 64-bit digest of its word, 0 if it has none.  Emptied when its strings exceed WORD_BYTES."""
 
-    FULL = 500_000
+    held = 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.FULL:
+        self.held += len(piece)
+        if self.held > WORD_BYTES:
             self.clear()
+            self.held = len(piece)
         word = piece.strip(PUNCTUATION)
         found = self[piece] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if word else 0
         return found
@@ -191,37 +193,33 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """id, text → uid, id, k1, k2 (digest of the set), n, sig."""
+    """uid, id, text → uid, id, k1, k2 (digest of the set), n, sig."""
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, uid = Words(), TaskContext.get().partitionId() << 36
+        words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, words) for t in part.column(2).to_pylist()]
                 keys = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + len(sets))), part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64()), _binary([min_hashes(s) for s in sets])],
+                    [part.column(0), part.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64()), _binary([min_hashes(s) for s in sets])],
                     names=["uid", "id", "k1", "k2", "n", "sig"])
-                uid += len(sets)
 
-    return docs.mapInArrow(do, "uid long, id long, k1 long, k2 long, n long, sig binary")
+    return docs.select("uid", "id", "text").mapInArrow(freeing(do), f"uid long, id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, sig binary")
 
 
 def reshingled(docs: DataFrame) -> DataFrame:
-    """id, text → k1, k2, grams."""
+    """uid, text → cid, grams."""
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                sets = [shingles(t, words) for t in batch.column(1).slice(at, 512).to_pylist()]
-                keys = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), _binary(sets)], names=["k1", "k2", "grams"])
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary([shingles(t, words) for t in part.column(1).to_pylist()])], names=["cid", "grams"])
 
-    return docs.mapInArrow(do, "k1 long, k2 long, grams binary")
+    return docs.select("uid", "text").mapInArrow(freeing(do), "cid long, grams binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -234,12 +232,12 @@ def banded(classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
                 yield pa.RecordBatch.from_arrays([pa.array(bands_of(sig).ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bucket", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(do, "bucket long, cid long")
+    return classes.select("cid", "sig").mapInArrow(freeing(do), "bucket long, cid long")
 
 
-def dealt_in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """Each row to every pair of blocks that its block is in: columns p, q (p <= q) and own."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
+def dealt_in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
+    """Each row to every pair of blocks that its block is in, of ``blocks`` in its group: columns p, q (p <= q) and own."""
+    size, blocks = blocks, F.col(blocks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(7)), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", size)
@@ -300,47 +298,57 @@ def exact_links(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, class_id (least id of its group), set_id (least id with an equal set), copies, n_links."""
-    ship(docs.sparkSession)
-    with rows_a_batch(docs.sparkSession, BATCH_ROWS):  # all Python work is done inside; what is returned only joins
-        return _joined(docs, key, text)
+    """id, class_id (least id of its group), set_id (least id with an equal set), copies, n_links: a row for each row."""
+    table, uid = with_uid(docs.select(key, text), "jaccard-docs")
+    return _joined(table, uid, key, text).select("id", "class_id", "set_id", "copies", "n_links")
 
 
-def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
-    partitions = partitions_for(docs.sparkSession)
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
+def _blocks(*ratios: Column) -> Column:
+    return F.greatest(F.lit(1), *[F.ceil(r) for r in ratios]).cast("int")
+
+
+def _joined(table: DataFrame, uid: str, key: str, text: str) -> DataFrame:
+    """uid, id, class_id, class_uid (number of the row of class_id), set_id, copies, n_links."""
+    bound_batches(table.sparkSession)
+    ship(table.sparkSession)
+    partitions = partitions_for(table.sparkSession)
+    plain = table.select(F.col(uid).alias("uid"), F.col(key).alias("id"), F.col(text).alias("text"))
     seen = settle(sketch(plain), "sketches").withColumn("slot", F.pmod(F.xxhash64("uid"), F.lit(64)).cast("int"))
-    slots = settle(seen.groupBy("k1", "k2", "slot").agg(F.min("uid").alias("cid"), F.min("id").alias("set_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig")), "slots")
-    classes = slots.groupBy("k1", "k2").agg(F.min("cid").alias("cid"), F.min("set_id").alias("set_id"), F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first")
+    slots = settle(seen.groupBy("k1", "k2", "slot").agg(F.min("uid").alias("cid"), first, F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig")), "slots")
+    classes = slots.groupBy("k1", "k2").agg(F.min("cid").alias("cid"), F.min("first").alias("first"), F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = settle(classes, "classes")
 
     buckets = banded(classes.filter("n > 0"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("cid")).alias("mark"), F.min("cid").alias("head")).filter("members > 1")
-    distinct = settle(sizes.groupBy("members", "mark", "head").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "buckets")
-    first = F.substring("sig", 1, 4 * FIRST)
-    met = join_keyed(buckets, distinct, "bucket").join(classes.select("cid", first.alias("sig")), "cid")
-    near = components(settle(forest(dealt_in_blocks(met, "bucket", "members", BUCKET_BLOCK), "bucket", partitions), "near"))
-
-    groups = near.groupBy("label").agg(F.count("*").alias("members"))
-    wanted = settle(near.withColumnRenamed("node", "cid").join(classes, "cid").join(groups, "label").select("cid", "label", "members", "k1", "k2", "set_id", "sig"), "wanted")
-    ids = settle(wanted.select(F.col("set_id").alias("id")).distinct(), "wanted-ids")
-    grams = reshingled(join_keyed(plain, ids, "id", "left_semi")).join(wanted, ["k1", "k2"]).select("cid", "label", "members", "sig", "grams").dropDuplicates(["cid"])
-    links = settle(exact_links(dealt_in_blocks(grams, "label", "members", EXACT_BLOCK), partitions), "exact")
+    distinct = settle(sizes.groupBy("members", "mark", "head").agg(F.min("bucket").alias("bucket")).select("bucket", _blocks(F.col("members") / BLOCK).alias("blocks")), "buckets")
+    met = join_keyed(buckets, distinct, "bucket").join(classes.select("cid", F.substring("sig", 1, 4 * FIRST).alias("sig")), "cid")
+    links = settle(forest(dealt_in_blocks(met, "blocks"), "bucket", partitions), "near", (distinct,))
+    near = components(links)
+
+    wanted = near.withColumnRenamed("node", "cid").join(classes.select("cid", "n", "sig"), "cid")
+    groups = wanted.groupBy("label").agg(_blocks(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS).alias("blocks"))
+    wanted = settle(wanted.join(groups, "label").select("cid", "label", "blocks", "sig"), "wanted", (links, near))
+    asked = wanted.select(F.col("cid").alias("uid"))
+    texts = plain.select("uid", "text").join(F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked, "uid", "left_semi")
+    grams = reshingled(texts).join(wanted, "cid")
+    links = settle(exact_links(dealt_in_blocks(grams, "blocks"), partitions), "exact", (wanted,))
 
     group_of = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("cid").agg(F.sum("links").alias("n_links"))
-    told = classes.select("k1", "k2", "cid", "set_id", "copies").join(counted, "cid", "left").join(group_of.withColumnRenamed("node", "cid"), "cid", "left")
-    told = settle(told.withColumn("label", F.coalesce("label", "cid")), "told")
-    least = told.groupBy("label").agg(F.min("set_id").alias("class_id"))
-    told = told.join(least, "label").select("k1", "k2", "class_id", "set_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = classes.select("k1", "k2", "cid", "first", "copies").join(counted, "cid", "left").join(group_of.withColumnRenamed("node", "cid"), "cid", "left")
+    told = settle(told.withColumn("label", F.coalesce("label", "cid")), "told", (links, group_of))
+    least = told.groupBy("label").agg(F.min("first").alias("least"))
+    told = told.join(least, "label").select("k1", "k2", F.col("least.id").alias("class_id"), F.col("least.uid").alias("class_uid"), F.col("first.id").alias("set_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     by_slot = slots.select("k1", "k2", "slot").join(told, ["k1", "k2"])
-    return seen.select("id", "k1", "k2", "slot").join(by_slot, ["k1", "k2", "slot"]).select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) for c in ("id", "class_id", "set_id")], "copies", "n_links")
+    return seen.select("uid", "id", "k1", "k2", "slot").join(by_slot, ["k1", "k2", "slot"]).select("uid", "id", "class_id", "class_uid", "set_id", "copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` less all but the document of the smallest id of each group, with all columns."""
-    gone = join_documents(docs, key=key, text=text).filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_gone")).distinct()
-    return join_keyed(docs, settle(gone, "gone"), F.col(key).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The row of the smallest id of each group, with all the columns of ``docs``."""
+    table, uid = with_uid(docs, "jaccard-docs")
+    gone = settle(_joined(table, uid, key, text).filter("uid <> class_uid").select(F.col("uid").alias(uid)), "gone")
+    return without_rows(table, uid, gone)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

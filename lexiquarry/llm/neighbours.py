@@ -35,11 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..plans.shipping import ship
-from .shared import in_groups, partitions_for, read_table, rows_a_batch, settle, whole_groups
+from .shared import bound_batches, in_groups, partitions_for, read_table, settle, whole_groups
 
 NONE = -(1 << 63)
-#: Rows of an Arrow batch in the search: a node comes with all its neighbours' vectors.
-SEARCH_ROWS = 1024
 
 
 def packed8(x: np.ndarray) -> list[bytes]:
@@ -310,6 +308,7 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
 def nearest(vectors: DataFrame, is_query, *, top_k: int = 20, key: str = "vec_id", vector: str = "embedding", rescore: int = 40, **kw) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that ``is_query`` (a condition on ``id``) holds for."""
     ship(vectors.sparkSession)
+    bound_batches(vectors.sparkSession)
     rows = settle(usable(vectors, key, vector).dropDuplicates(["id", "k1", "k2"]), "vectors")
     nodes, width = nodes_of(rows)
     if not width:
@@ -322,8 +321,7 @@ def nearest(vectors: DataFrame, is_query, *, top_k: int = 20, key: str = "vec_id
     members = members.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "id")  # top_k + 1 at most for each node
     asking = settle(rows.filter(is_query).join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("id").alias("query"), "v", "node"), "queries")
 
-    with rows_a_batch(vectors.sparkSession, SEARCH_ROWS):
-        found = search(asking, links, width=width)
+    found = search(asking, links, width=width)
     own = asking.select("query", F.col("node").alias("other"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y)
     pairs = found.union(own).distinct().join(nodes.select(F.col("node").alias("other"), F.col("v").alias("w")), "other").join(asking.select("query", "v"), "query").select("query", F.col("other").alias("node"), dot.alias("score"))

@@ -32,38 +32,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .shared import read_table, settle
+from .shared import bound_batches, discard, read_table, release, settle
 from .tokenizing import encoder, vocabulary_path
 
 LIMIT = 2048
 #: The id that ends each document.
 END_ID = b"\x00\x00\x00\x00"
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
+PIECES = "piece int, start long, length long, ids_crc32 long, uid long"
 ELITE = "shard long, island int, bins long, fitness double, plan binary"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, bin long, offset long, bins long, room long"
+PACKED = "uid long, bin long, offset long, bins long, room long"
 
 
 def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of each document; uid tells rows apart and is fixed once the table is written."""
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ids, uid = encoder(path, False), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, all_ids in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).to_pylist())):
-                all_ids += END_ID
-                for k, at in enumerate(range(0, len(all_ids), 4 * limit)):
-                    part = all_ids[at : at + 4 * limit]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), uid))
-                    uid += 1
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, all_ids in enumerate(ids.texts(batch.column(1).to_pylist())):
+                    all_ids += END_ID
+                    for k, at in enumerate(range(0, len(all_ids), 4 * limit)):
+                        part = all_ids[at : at + 4 * limit]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), uid))
+                        uid += 1
+                cols = list(zip(*rows)) if rows else [()] * 6
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                own = batch.column(0).take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *[pa.array(c, t) for c, t in zip(cols[1:], kinds)]], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
+        finally:
+            ids.done()
+            release()
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 class Bins:
@@ -166,7 +173,7 @@ def offsets(plan: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def pack_items(items: DataFrame, limit: int, *, shards: int, islands: int, epochs: int, members: int, births: int, salt: int) -> DataFrame:
-    """The columns of PIECES with shard, bin (of the shard), offset, and its bins and the bin's room."""
+    """``items`` with bin, offset, and the bins of the shard and the bin's room."""
     ship(items.sparkSession)
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(shards)))
     work = dealt.select("uid", "length", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
@@ -196,10 +203,11 @@ def pack_items(items: DataFrame, limit: int, *, shards: int, islands: int, epoch
         lengths = rows["length"].to_numpy(np.int64)
         plan = np.frombuffer(won["plan"].iloc[0], "<i4").astype(np.int64)
         fill = np.bincount(plan, lengths).astype(np.int64)
-        return rows.drop(columns="shard").assign(bin=plan + (int(key[0]) << 32), offset=offsets(plan, lengths), bins=len(fill), room=limit - fill[plan])
+        return pd.DataFrame({"uid": rows["uid"], "bin": plan + (int(key[0]) << 32), "offset": offsets(plan, lengths), "bins": len(fill), "room": limit - fill[plan]})
 
-    own = ["doc_id", "piece", "start", "length", "ids_crc32", "uid"]
-    return dealt.select(*own, "shard").groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(settled, PACKED)
+    # ids and digests don't pass through pandas: they may be null or of any type
+    placed = dealt.select("uid", "length", "shard").groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(settled, PACKED)
+    return items.join(placed, "uid")
 
 
 def pack(pieces: DataFrame, *, limit: int = LIMIT, shard_items: int = 8192, islands: int = 2, epochs: int = 2, members: int = 4, births: int = 6, loose: float = 0.02) -> DataFrame:
@@ -214,8 +222,7 @@ def pack(pieces: DataFrame, *, limit: int = LIMIT, shard_items: int = 8192, isla
     left = slack.select(F.count("*"), F.count_distinct("bin")).first()
     if not left[0]:
         return full.unionByName(tight)
-    columns = [c.strip().split(" ")[0] for c in PIECES.split(",")]
-    again = settle(pack_items(slack.select(*columns), limit, shards=max(1, -(-left[0] // shard_items)), salt=2, **ga), "packed-again")
+    again = settle(pack_items(slack.select(*own, "uid"), limit, shards=max(1, -(-left[0] // shard_items)), salt=2, **ga), "packed-again")
     n_again = again.select(F.count_distinct("bin")).first()[0]
     last, top = (again, 1 << 62) if n_again < left[1] else (slack, 0)
     return full.unionByName(tight).unionByName(last.select(*own, (F.col("bin") + F.lit(top)).alias("sequence_id"), "offset"))

@@ -9,7 +9,8 @@ up, and only pieces not seen before are worked out:
 * Pieces that the plain rules don't cover (other letters than Latin ones, special strings) go to the library
   as they stand.  Texts with control characters that Python takes for white space go there whole.
 
-Tables are bounded; when one is full it is emptied.
+Tables of what was seen are bounded in bytes and belong to a task: a full one is emptied, and ``done`` empties
+them when the task ends.  What is kept for the life of a worker is the vocabulary and the proof.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ WORD_END = "</w>"
 PLAIN = re.compile("[\x21-\x7eÀ-įı-ɏ]+")
 TAIL = ".,;:!?"
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-PIECES, WORDS = 600_000, 800_000
+#: Bytes of strings and values that the tables of pieces and of pre-tokens may hold, by a plain estimate.
+PIECE_BYTES, WORD_BYTES = 24_000_000, 24_000_000
+#: What an entry of a table takes beside its string's and value's own bytes.
+ENTRY_BYTES = 160
 
 
 class Encoder:
@@ -47,8 +51,15 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.whole = self._proven(vocabulary)
-        self.words = dict(self.whole)
-        self.pieces: dict[str, int | bytes] = {}
+        self.done()
+
+    def done(self) -> None:
+        """Forget what was seen."""
+        self.words, self.pieces = dict(self.whole), {}
+        self.word_bytes = self.piece_bytes = 0
+
+    def _size(self, text: str, value) -> int:
+        return ENTRY_BYTES + 2 * len(text) + (0 if self.counts else len(value))
 
     def _value(self, ids):
         return len(ids) if self.counts else np.asarray(ids, "<u4").tobytes()
@@ -77,8 +88,8 @@ class Encoder:
                 self.words[word] = self._value(alone)
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) + len(pieces) > PIECES:
-            self.pieces = {}
+        if self.piece_bytes > PIECE_BYTES:
+            self.pieces, self.piece_bytes = {}, 0
         words, put = self.words, self.pieces
         waiting, other, want = [], [], set()
         for piece in pieces:
@@ -104,12 +115,14 @@ class Encoder:
                 other.append((piece, None))
         if want:
             missing = list(want)
-            if len(words) + len(missing) > WORDS:
+            if self.word_bytes > WORD_BYTES:
                 kept = {w for _, core, tail in waiting for w in (core, tail) if w} | {w for _, ws in other if ws for w in ws}
                 missing = list(kept.difference(self.whole))
                 self.words = words = dict(self.whole)
+                self.word_bytes = 0
             for k in range(0, len(missing), 4096):
                 self._merge(missing[k : k + 4096])
+            self.word_bytes += sum(self._size(w, words[w]) for w in missing)
         for piece, core, tail in waiting:
             put[piece] = words[core] if tail is None else words[core] + words[tail]
         join = sum if self.counts else b"".join
@@ -119,6 +132,7 @@ class Encoder:
         if rest := [piece for piece, pretokens in other if pretokens is None]:
             for piece, ids in zip(rest, self._library(rest)):
                 put[piece] = self._value(ids)
+        self.piece_bytes += sum(self._size(piece, put[piece]) for piece in pieces)
 
     def texts(self, texts: list[str | None]) -> list:
         """The count or the ids of each text, some 2 MB of texts at a time."""
@@ -151,9 +165,9 @@ class Encoder:
         return [self._value(self._library([text])[0]) if pieces is None else join(map(get, pieces)) for text, pieces in zip(texts, split)]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(path: str, counts: bool) -> Encoder:
-    """One for each worker process."""
+    """One for each worker process; ``done`` must be called when a task ends."""
     return Encoder(path, counts)
 
 

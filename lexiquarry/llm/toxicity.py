@@ -1,27 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small machines read the words of a clause:
+Five machines are composed:
 
-* the insult transducer: a prefix tree of stems with weights, the longest stem wins;
-* the threat transducer: verbs of harm;
+* the insult transducer reads a word letter by letter: stems with weights, each with the endings it may have
+  (learned stems take any); the longest stem wins and puts its weight out;
+* the threat transducer does the same with verbs of harm and their endings;
 * the target machine: has the clause a word for the person spoken to or of?
 * the negation machine: is a negation at most three words back?
 * the reported-speech machine: has a verb of saying come before in the clause?
 
-``compose`` multiplies the last three into one machine over word classes.  A word that the insult or threat
-transducer accepts puts its weight out on the tape that the composed state names (plain, negated or
-reported; aimed at a target or not), so the same insult counts differently in different clauses.  A text's
-features are the tapes' sums over its clauses, how many clauses matched, the strongest clause, and its
-length; a logistic function of them is the score.
+The first two are united into one letter transducer, which gives each word a class and a weight.  ``compose``
+multiplies the five clause machines over these classes into one; its state at a matched word names the tape
+(insult or threat; plain, negated or reported; aimed at a target or not) on which the weight is put out, and
+its state at the end of the clause tells whether insult and threat, target and report met in one clause.  So
+the same word counts differently in different clauses, and clauses are scored, not words.  A text's features
+are the tapes' sums over its clauses, how many clauses matched, how many were aimed insults with a threat, the
+strongest clause, and its length; a logistic function of them is the score.
 
 What is learned comes from labelled rows outside the held-out fold only, at most ``sample_rows`` of them, by
 the least digests of their ids: stems and weights (log odds over documents) from two of the other three
 folds, the weights of tapes from the third.  With too few labels the stated default is used.  The words of a
 text are the only input of its score.
 
-Defined results: null and empty texts have the score of a text without matches; a null doc_id is outside
-the fold; a doc_id that several labels have counts as toxic if one says so; repeated rows are scored each; an
-empty table gives no rows; other columns play no part.
+Defined results: null and empty texts have the score of a text without matches; long texts are read whole,
+and sums grow without a limit, above SOFT with their logarithm; a null id is outside the fold; an id that
+several labels have counts as toxic if one says so; repeated rows are scored each; ties among stems go to the
+first in order of letters; an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -37,26 +41,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .shared import read_table, settle
+from .shared import bound_batches, freeing, read_table, release, settle
 
 #: Words to start from, and closed classes in the languages of the corpus.
 INSULTS = "idiot moron stupid trash pathetic disgusting worthless clown loser scum dumb fool ugly vermin filth".split()
 THREATS = "kill hurt destroy smash beat stab shoot burn hang crush töten schlagen tuer frapper matar golpear".split()
 TARGETS = "you your yours u he she they him her them his their du dich dein ihr tu toi ton vous votre ils usted ustedes ellos".split()
+#: Endings that a word of the lists above may have; fixed values.
+ENDINGS = ("", "s", "es", "ed", "d", "ing", "er", "ers", "en", "t", "te", "st", "ez", "ent", "an", "ada", "ado", "ic", "y", "ty")
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca jamás".split()
 SAYING = "said says say told wrote writes called claimed quoted sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 
 PUNCTUATION = ".,;:!?\"'()[]«»…"
 CLAUSE_ENDS = ".,;:!?…"
 STEM_LENGTHS = range(4, 9)
-PLAIN, TARGET, NEGATION, REPORT = "plain", "target", "negation", "report"
+#: Sums above this count with their logarithm, which keeps them in order.
+SOFT = 40.0
+PLAIN, TARGET, NEGATION, REPORT, INSULT, THREAT = CLASSES = ("plain", "target", "negation", "report", "insult", "threat")
 TAPES = tuple(itertools.product(("insult", "threat"), ("plain", "negated", "reported"), (False, True)))
-FEATURES = len(TAPES) + 5
+FEATURES = len(TAPES) + 6
 
 #: Machines as (start, {(state, class): next}); a pair that isn't listed stays in its state.
 TARGET_MACHINE = ("none", {("none", TARGET): "aimed"})
-NEGATION_MACHINE = (0, {(k, c): max(0, k - 1) if c != NEGATION else 3 for k in range(4) for c in (PLAIN, TARGET, NEGATION, REPORT)})
+NEGATION_MACHINE = (0, {(k, c): max(0, k - 1) if c != NEGATION else 3 for k in range(4) for c in CLASSES})
 REPORT_MACHINE = ("own", {("own", REPORT): "reported"})
+INSULT_MACHINE = ("clean", {("clean", INSULT): "insult"})
+THREAT_MACHINE = ("calm", {("calm", THREAT): "threat"})
 
 
 def compose(*machines):
@@ -65,7 +75,7 @@ def compose(*machines):
     table, queue = {}, [start]
     while queue:
         state = queue.pop()
-        for c in (PLAIN, TARGET, NEGATION, REPORT):
+        for c in CLASSES:
             to = tuple(m[1].get((s, c), s) for s, m in zip(state, machines))
             if (state, c) not in table:
                 table[state, c] = to
@@ -73,41 +83,79 @@ def compose(*machines):
     return start, table
 
 
-CLASSES = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in SAYING}
+CLOSED = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in SAYING}
+
+
+class LetterTransducer:
+    """Stems with their endings as states over letters; a word is put out as (class, weight) of its longest stem."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: dict[int, tuple[str, float]] = {}  # the word may end here
+        self.open: dict[int, tuple[str, float]] = {}  # from here any letters may follow
+
+    def _path(self, letters: str, state: int = 0) -> int:
+        for c in letters:
+            to = self.arcs[state].get(c)
+            if to is None:
+                to = self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+            state = to
+        return state
+
+    def add(self, stem: str, out: tuple[str, float], endings: tuple[str, ...] | None) -> None:
+        end = self._path(stem)
+        if endings is None:
+            self.open[end] = out
+            return
+        for ending in endings:
+            self.final.setdefault(self._path(ending, end), out)
+
+    def read(self, word: str) -> tuple[str, float] | None:
+        state, best = 0, None
+        for c in word:
+            best = self.open.get(state, best)
+            state = self.arcs[state].get(c)
+            if state is None:
+                return best
+        return self.final.get(state) or self.open.get(state, best)
+
+
+def lexicon_of(stems: dict[str, float]) -> LetterTransducer:
+    """The union of both lexicons: threats, the listed insults and the learned stems."""
+    out = LetterTransducer()
+    for word in THREATS:
+        out.add(word, (THREAT, 1.0), ENDINGS)
+    for stem, w in stems.items():
+        out.add(stem, (INSULT, w), None)
+    return out
 
 
 class Lexicon(dict):
-    """Piece of text, lower case → None, or the transducer that accepts it and the weight."""
+    """Piece of text, lower case → None, or its class and weight.  Emptied when its strings exceed FULL bytes."""
 
-    FULL = 500_000
+    FULL = 8_000_000
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
-        self.stems, self.lengths = stems, sorted({len(s) for s in stems}, reverse=True)
-        self.threats = set(THREATS)
+        self.letters, self.held = lexicon_of(stems), 0
 
     def __missing__(self, piece: str):
-        if len(self) >= self.FULL:
+        self.held += len(piece)
+        if self.held > self.FULL:
             self.clear()
-        word, found = piece.strip(PUNCTUATION), None
-        if word in self.threats:
-            found = ("threat", 1.0)
-        else:
-            for n in self.lengths:
-                if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
-                    found = ("insult", w)
-                    break
-        self[piece] = found
+            self.held = len(piece)
+        found = self[piece] = self.letters.read(piece.strip(PUNCTUATION))
         return found
 
 
 class Grammar:
     def __init__(self, stems: dict[str, float]):
         self.lexicon = Lexicon(stems)
-        self.start, self.table = compose(TARGET_MACHINE, NEGATION_MACHINE, REPORT_MACHINE)
+        self.start, self.table = compose(TARGET_MACHINE, NEGATION_MACHINE, REPORT_MACHINE, INSULT_MACHINE, THREAT_MACHINE)
 
     def clauses(self, text: str):
-        """(tape, weight) lists of the clauses with a match, and the number of words."""
+        """(tapes, final state) of the clauses with a match, and the number of words."""
         pieces = text.lower().split()
         hits = [k for k, found in enumerate(map(self.lexicon.__getitem__, pieces)) if found]
         matched, at = [], 0
@@ -122,30 +170,35 @@ class Grammar:
                 at += 1
         return matched, len(pieces)
 
-    def _run(self, pieces: list[str]) -> list[tuple[tuple, float]]:
-        state, out, aimed = self.start, [], False
+    def _run(self, pieces: list[str]) -> tuple[list[tuple[tuple, float]], tuple]:
+        """The composed machine on one clause: what it puts out on which tape, and the state it ends in."""
+        state, out = self.start, []
         for piece in pieces:
-            word = piece.strip(PUNCTUATION)
-            state = self.table[state, CLASSES.get(word, PLAIN)]
-            aimed = aimed or state[0] == "aimed"
-            if found := self.lexicon[piece]:
-                how = "reported" if state[2] == "reported" else "negated" if state[1] else "plain"
-                out.append((found[0], how, found[1]))
-        return [((kind, how, aimed), w) for kind, how, w in out]
+            found = self.lexicon[piece]
+            state = self.table[state, found[0] if found else CLOSED.get(piece.strip(PUNCTUATION), PLAIN)]
+            if found:
+                out.append((found[0], "reported" if state[2] == "reported" else "negated" if state[1] else "plain", found[1]))
+        aimed = state[0] == "aimed"  # a target may also come behind
+        return [((kind, how, aimed), w) for kind, how, w in out], state
 
     def features(self, text: str | None) -> list[float]:
         matched, n = self.clauses(text or "")
-        tapes, strongest = dict.fromkeys(TAPES, 0.0), 0.0
-        for clause in matched:
+        tapes, strongest, worst = dict.fromkeys(TAPES, 0.0), 0.0, 0
+        for clause, state in matched:
             for tape, w in clause:
                 tapes[tape] += w
             strongest = max(strongest, sum(w for _, w in clause))
+            worst += state[0] == "aimed" and state[3] == "insult" and state[4] == "threat"
         total = sum(tapes.values())
-        return [*(min(v, 40.0) for v in tapes.values()), float(min(len(matched), 40)), min(strongest, 20.0), math.log1p(total), math.log1p(n), min(1.0, total / (n + 10)) * 10]
+        return [*map(soft, tapes.values()), soft(len(matched)), soft(worst), soft(strongest), math.log1p(total), math.log1p(n), min(1.0, total / (n + 10)) * 10]
+
+
+def soft(value: float) -> float:
+    return float(value) if value <= SOFT else SOFT + math.log1p(value - SOFT)
 
 
 #: Before anything is learned: an insult in a clause makes a text more likely toxic than not.
-DEFAULT = np.array([-3.0, *([1.2] * len(TAPES)), 0.5, 0.0, 0.0, 0.0, 0.0])
+DEFAULT = np.array([-3.0, *([1.2] * len(TAPES)), 0.5, 0.5, 0.0, 0.0, 0.0, 0.0])
 
 
 def stems_in(text: str) -> set[str]:
@@ -182,10 +235,14 @@ class Model:
         @F.arrow_udf("double")
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             grammar = Grammar(stems)
-            for batch in batches:
-                x = np.array([grammar.features(t) for t in batch.to_pylist()]).reshape(-1, FEATURES)
-                z = np.clip(weights[0] + x @ weights[1:], -30, 30)
-                yield pa.array(1 / (1 + np.exp(-z)), pa.float64())
+            try:
+                for batch in batches:
+                    x = np.array([grammar.features(t) for t in batch.to_pylist()]).reshape(-1, FEATURES)
+                    z = np.clip(weights[0] + x @ weights[1:], -30, 30)
+                    yield pa.array(1 / (1 + np.exp(-z)), pa.float64())
+            finally:
+                del grammar
+                release()
 
         return scored(text)
 
@@ -193,6 +250,7 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 20_000, stems_kept: int = 3_000) -> Model:
     """The model, from the labelled rows that are not held out."""
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     own = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     own = own.withColumn("fold", fold(F.col("id"))).filter("fold != 2").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(own), "id")  # of sample_rows at most
@@ -211,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             part = names[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[1][s] for s in part], pa.int64()), pa.array([seen[0][s] for s in part], pa.int64())], names=["stem", "bad", "good"])
 
-    counts = rows.filter("fold != 3").select("text", "y").mapInArrow(count, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.filter("fold != 3").select("text", "y").mapInArrow(freeing(count), "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = settle(counts, "toxic-stems")
     total = counts.filter("stem = ''").select("bad", "good").first()
     n_bad, n_good = (total.bad or 0, total.good or 0) if total else (0, 0)
@@ -228,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             x = [grammar.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.float64())], names=["x", "y"])
 
-    seen = rows.filter("fold = 3").orderBy("id").select("text", "y").mapInArrow(features, "x array<double>, y double").toArrow()
+    seen = rows.filter("fold = 3").orderBy("id").select("text", "y").mapInArrow(freeing(features), "x array<double>, y double").toArrow()
     y = seen["y"].to_numpy()
     weights = DEFAULT
     if len(y) and min(y.sum(), (1 - y).sum()) >= 10:
