@@ -243,7 +243,8 @@ def column_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -
     field = lambda role, path: F.when(F.col(path).isNotNull(), _pair(F.lit(role), text(F.col(path))))
     before, fields = ([field(*p) for p in some if p[1] in paths] for some in (m.before, m.fields))
     items = F.transform(F.col(m.turns), lambda x: _pair(_renamed(text(x[m.role]), m), text(x[m.text]))) if m.turns else None
-    return records.select(conv.alias("conv_id"), F.monotonically_increasing_id().alias("record"), F.explode(_listed(before, items, fields)).alias("t")).select("conv_id", "record", "t.*")
+    one = records.select(conv.alias("conv_id"), F.monotonically_increasing_id().alias("record"), _listed(before, items, fields).alias("turns"))
+    return one.select("conv_id", "record", F.explode("turns").alias("t")).select("conv_id", "record", "t.*")
 
 
 # ---------------------------------------------------------------- the template

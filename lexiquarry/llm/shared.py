@@ -114,7 +114,7 @@ def whole_groups(batches, keys: list[str]):
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        same = held and all(held[-1][k][-1].as_py() == table[k][0].as_py() == table[k][-1].as_py() for k in keys)
+        same = bool(held) and all(held[-1][k][-1].as_py() == table[k][0].as_py() == table[k][-1].as_py() for k in keys)
         held.append(table)
         if same:  # the batch goes on with one group: nothing to give out yet
             continue

@@ -3,16 +3,18 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import chat_format, components, exact_dedup, jaccard_join, licences, mixing, neighbours, packing, secret_scan, token_counts, toxicity, tokenizing
+from lexiquarry.llm import chat_format, components, exact_dedup, jaccard_join, licences, mixing, neighbours, packing, registry, secret_scan, token_counts, toxicity, tokenizing
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "ba be bi bo bu da de di do du ka ke ki ko ku".split()
@@ -30,31 +32,60 @@ def frame(spark, rows):
 
 def test_chat_layouts_round_trip(spark):
     hard = "</s>[INST] ok [/INST] <|im_end|> \\ \\\\<|im_start|>x<\\|im_sep|><<SYS>>"
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": [[1], [2]]}}}}}, "x, y: z": {"`q`": 1.25}}
     rows = [
         {"conv_id": 1, "messages": [{"role": "user", "content": hard}, {"role": "assistant", "content": "yes"}]},
-        {"conv_id": 2, "prompt": "p", "completion": hard, "extra": {"role": 1}},
+        {"conv_id": 2, "prompt": "p", "completion": hard, "extra": {"role": 1}, "meta": deep},
         {"conv_id": 3, "instruction": "i", "input": "", "output": "o"},
-        {"conv_id": 4, "conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": None}]},
-        {"conv_id": 5, "nonsense": True},
+        {"conv_id": "four", "conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": None}]},
+        {"conv_id": 6, "prompt": "p", "completion": "c", "system": "s"},
+        {"conv_id": 7, "messages": [{"role": "user", "content": "m"}], "prompt": "not this"},
+        {"conv_id": 8, "messages": [{"role": "user", "content": [{"type": "text", "text": "one"}, {"type": "text", "text": " two"}]}]},
+        {"messages": [{"role": "user", "content": "bare 1"}]}, {"messages": [{"role": "user", "content": "bare 2"}]},
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
+    got = chat_format.read_back(chat_format.format_chats(df, F.parse_json("j"))).collect()
+    by = {r.conv_id: r for r in got if r.conv_id}
+    turns = lambda k: [tuple(t) for t in by[k].turns]
+    assert turns("1") == [("user", hard), ("assistant", "yes")] and by["1"].loss_text == "yes"
+    assert turns("2") == [("user", "p"), ("assistant", hard)] and by["2"].loss_text == hard
+    assert [t.text for t in by["3"].turns] == ["i", "", "o"]
+    assert turns("four") == [("user", "h"), ("assistant", "")]
+    assert turns("6") == [("system", "s"), ("user", "p"), ("assistant", "c")]
+    assert turns("7") == [("user", "m")] and turns("8") == [("user", "one two")]
+    assert sorted(r.turns[0].text for r in got if r.conv_id is None) == ["bare 1", "bare 2"]
+
+
+def test_chat_unmapped_records(spark):
+    df = spark.createDataFrame([('{"conv_id": 5, "nonsense": true}',), ('{"prompt": "p", "response": "r"}',)], "j string")
     done = chat_format.mapped(df, F.parse_json("j"))
     assert chat_format.unmapped(done).first().records == 1
-    got = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(chat_format.conversations(done))).collect()}
-    assert [tuple(t) for t in got[1].turns] == [("user", hard), ("assistant", "yes")] and got[1].loss_text == "yes"
-    assert [tuple(t) for t in got[2].turns] == [("user", "p"), ("assistant", hard)] and got[2].loss_text == hard
-    assert [t.text for t in got[3].turns] == ["i", "", "o"]
-    assert [tuple(t) for t in got[4].turns] == [("user", "h"), ("assistant", "")]
-    assert 5 not in got
+    assert chat_format.format_chats(df, F.parse_json("j"), strict=False).count() == 1
+    with pytest.raises(Exception, match="no mapping"):
+        chat_format.format_chats(df, F.parse_json("j")).collect()
+    with pytest.raises(ValueError, match="no mapping"):
+        chat_format.format_chats(spark.range(1))
+
+
+def test_paths_of_columns_and_of_variants_agree(spark):
+    df = spark.sql("SELECT 1L AS conv_id, array(struct('u' AS role, struct(array(1) AS b) AS content)) AS messages, struct(struct('x' AS z) AS y) AS meta")
+    v = df.select(F.schema_of_variant(F.expr("to_variant_object(struct(*))")).alias("schema"))
+    assert sorted(v.select(chat_format.schema_paths(F.col("schema"))).first()[0]) == sorted(chat_format.column_paths(df.schema))
+    told = chat_format.fingerprinted(v).first()
+    assert told.mapping == "messages" and told.fingerprint == chat_format.fingerprint(told.layout)
 
 
 def test_chat_rows(spark):
-    rows = [(1, 1, "assistant", None), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, None, "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = chat_format.format_chats(df, F.expr("to_variant_object(struct(conv_id, turn, role, text))"))
-    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_back(made).collect()}
-    assert got == {1: [("user", "a"), ("assistant", ""), ("assistant", "b")], None: [("", "x")]}
-    assert chat_format.format_chats(df.limit(0), F.expr("to_variant_object(struct(*))")).count() == 0
+    rows = [(1, 1, "assistant", None, "q"), (1, 0, "user", "a", "q"), (1, 1, "assistant", "b", "q"), (None, 0, None, "x", "q"), (1, None, "gpt", "last", "q"), (1, 0, "user", "a", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, head string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    assert got == {1: [("user", "a"), ("user", "a"), ("assistant", ""), ("assistant", "b"), ("gpt", "last")], None: [("", "x")]}
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+    names = spark.createDataFrame([("c", 0, "assistant", "x" * 300_000)], "conv_id string, turn int, role string, content string")
+    r = chat_format.read_back(chat_format.format_chats(names)).first()
+    assert r.conv_id == "c" and len(r.loss_text) == 300_000
+    pair = spark.createDataFrame([("p", "r")], "prompt string, response string")
+    assert [t.text for t in chat_format.read_back(chat_format.format_chats(pair)).first().turns] == ["p", "r"]
 
 
 # ---------------------------------------------------------------- 2
@@ -71,8 +102,8 @@ def test_tokens_equal_the_library(spark):
 
 
 def test_full_tables_are_emptied(monkeypatch):
-    monkeypatch.setattr(tokenizing, "PIECES", 50)
-    monkeypatch.setattr(tokenizing, "WORDS", 60)
+    monkeypatch.setattr(tokenizing, "PIECE_BYTES", 5000)
+    monkeypatch.setattr(tokenizing, "WORD_BYTES", 6000)
     path, rng = tokenizing.vocabulary_path(), random.Random(2)
     texts = [prose(rng, 40) for _ in range(20)]
     want = [len(e.ids) for e in tokenizing.Encoder(path, True).library.encode_batch(texts, add_special_tokens=False)]
@@ -87,27 +118,57 @@ def texts_to_dedup():
 
 
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(spark, weak):
-    digest = (lambda norm: F.lit("one")) if weak else exact_dedup.sha256_hex
-    got = sorted((r.id is None, r.id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.resolve(frame(spark, texts_to_dedup()), digest=digest).collect())
-    want = []
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_exact_dedup(spark, weak, kind):
+    if kind == "int" and not weak:
+        return
+    digest = (lambda norm: F.encode(F.lit("one"), "utf-8")) if weak else exact_dedup.sha256
+    rows = texts_to_dedup()
+    docs = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("norm_digest", F.lit(1)).withColumn("row_uid", F.lit("own"))
+    as_id = (lambda i: None if i is None else str(i)) if kind == "string" else (lambda i: i)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
-    for i, t, _ in texts_to_dedup():
-        same = [(-len(u or ""), j is None, j or 0) for j, u, _ in texts_to_dedup() if norm(u) == norm(t)]
-        keep = min(same)
-        want.append((i is None, i or 0, keep[2], len(same), (i or 0) == keep[2] and i is not None))
-    assert got == sorted(want)
-    assert exact_dedup.resolve(frame(spark, []), digest=digest).count() == 0
-
-
-def test_lsm_index(spark, tmp_path):
-    index = exact_dedup.LsmIndex(spark, str(tmp_path / "index"), fanout=2)
+    rank = lambda i: (i is None, as_id(i) if i is not None else 0)
+    want, kept = [], []
+    for i, t, _ in rows:
+        same = sorted(((-len(u or ""), *rank(j)), j, u) for j, u, _ in rows if norm(u) == norm(t))
+        want.append((as_id(i), as_id(same[0][1]), len(same)))
+        kept.append((as_id(same[0][1]), norm(t)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    found = exact_dedup.resolve(docs, digest=digest).collect()
+    assert sorted(((r.id, r.keep_id, r.group_size) for r in found), key=key) == sorted(want, key=key)
+    assert sum(r.kept for r in found) == len({norm(t) for _, t, _ in rows}) and all(r.id == r.keep_id for r in found if r.kept)
+    left = exact_dedup.deduplicated(docs, digest=digest)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, norm(r.text)) for r in left.collect()), key=key) == sorted(set(kept), key=key)
+    assert exact_dedup.resolve(docs.limit(0), digest=digest).count() == 0 and exact_dedup.deduplicated(docs.limit(0), digest=digest).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "a b c", "s"), (1, "unique text only here", "s"), (2, "a  b  c d", "s"), (3, "a b c  ", "s"), (5, "twice", "s"), (5, "twice", "s"), (6, "y" * 400_000, "s"), (7, "y" * 400_000 + " ", "s")]
+    left = sorted((r.doc_id, r.text[:25]) for r in exact_dedup.deduplicated(frame(spark, rows)).collect())
+    assert left == [(1, "unique text only here"), (2, "a  b  c d"), (3, "a b c  "), (5, "twice"), (7, "y" * 25)]
+
+
+def test_filters_miss_nothing(spark):
+    some = spark.range(3000).select(F.xxhash64("id").alias("hash"))
+    asked = exact_dedup.Filter(some, 3000).asked(spark.range(9000), F.xxhash64("id"), "may")
+    may = {r.id for r in asked.filter("may").collect()}
+    assert set(range(3000)) <= may and len(may) < 3000 + 6000 / 8
+    twice = exact_dedup.Filter(some.limit(100).union(some.limit(100)).union(some.filter("hash % 2 = 0")), 3000, shared=True)
+    assert twice.asked(some.limit(100), F.col("hash"), "may").filter("may").count() == 100
+
+
+def test_lsm_index(spark):
+    index = exact_dedup.LsmIndex(spark, fanout=2)
+    known = []
     for k in range(5):
-        index.add(frame(spark, [(10 - k, "same", "s"), (100 + k, f"own {k}", "s")]))
+        known += [(10 - k, "same", "s"), (100 + k, f"own {k}", "s")]
+        index.add(frame(spark, known[-2:]))
     assert len(index.runs) <= 3
     best = {r.n: r.best.id for r in index.entries().collect()}
     assert best[5] == 6 and index.entries().count() == 6
-    assert index.seen(frame(spark, [(1, "s ame", "s"), (2, "new", "s")])).first().keep_id == 6
+    seen = index.seen(frame(spark, [(1, "s ame", "s"), (2, "new", "s"), (3, "own 4", "s")]), frame(spark, known))
+    assert {r.doc_id: r.keep_id for r in seen.collect()} == {1: 6, 3: 104}
 
 
 # ---------------------------------------------------------------- 4
@@ -174,11 +235,22 @@ def test_jaccard_join(spark, monkeypatch):
         rep = next(r for r, x in reps.items() if x == s)
         for i in members:
             assert (got[i].class_id, got[i].set_id, got[i].copies, got[i].n_links) == (group[rep], rep, len(members), sum(rep in p for p in links))
-    kept = {r.doc_id for r in jaccard_join.one_of_each(frame(spark, rows)).collect()}
-    assert kept == {group[r] for r in reps}
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard_join.one_of_each(frame(spark, rows)).collect())
+    assert kept == sorted((x is None, x or 0) for x in {group[r] for r in reps})
     assert jaccard_join.join_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_that_share_an_id(spark, kind):
+    rng = random.Random(12)
+    t, other, long = prose(rng, 80), prose(rng, 80), prose(rng, 30_000)
+    rows = [(1, t, "s"), (2, t + " z", "s"), (2, other, "s"), (3, other, "s"), (3, other, "s"), (None, None, "s"), (None, "", "s"), (4, long, "s"), (5, long + " z", "s")]
+    docs = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("row_uid", F.lit(0)).withColumn("uid", F.lit(0))
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id is not None and int(r.doc_id), r.text or "") for r in left.collect()) == sorted([(1, t), (2, other), (False, ""), (4, long)])
+
+
 def test_blocks_lose_nothing():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
@@ -203,16 +275,20 @@ def test_neighbours(spark):
     x = rng.normal(size=(900, 16)) * rng.uniform(0.5, 1.5, (900, 1))
     x[50:80] = x[40]
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] * 16, 1), (2060, [1.0], 1), (None, x[0].tolist(), 1), (3, x[3].tolist(), 1)]
+    rows.append((60, (x[60] + x[0]).tolist(), 1))  # an id with two vectors: two queries
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {}
-    for r in neighbours.nearest(df, F.pmod("id", F.lit(20)) == 0, block=128, k=16).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.pmod("id", F.lit(20)) == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == set(range(0, 900, 20))
     hit = 0
+    assert len(got.pop(60)) == 40
     for q, found in got.items():
+        found = [(i, score) for i, score in found if i != 60]
         s = x @ x[q]
+        s[60] = -9
         best = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:20]
-        assert len(found) == 20 and q not in [i for i, _ in found]
+        assert 18 <= len(found) <= 20 and q not in [i for i, _ in found]
         assert all(abs(score - s[i]) < 1e-9 for i, score in found)
         hit += len({i for i, _ in found} & set(best))
     assert hit / (20 * len(got)) >= 0.9
@@ -225,7 +301,7 @@ def test_neighbours(spark):
 
 def test_grammar():
     g = toxicity.Grammar({"idiot": 2.0})
-    tapes = lambda t: [c[0][0] for c in g.clauses(t)[0]]
+    tapes = lambda t: [c[0][0][0] for c in g.clauses(t)[0]]
     assert tapes("You are an idiot.") == [("insult", "plain", True)]
     assert tapes("This is not an idiot.") == [("insult", "negated", False)]
     assert tapes("No one here, an idiot.") == [("insult", "plain", False)]
@@ -234,6 +310,23 @@ def test_grammar():
     assert tapes("") == []
 
 
+def test_tapes_by_brute_force():
+    """Random clauses against the rules said plainly, word by word."""
+    g, rng = toxicity.Grammar({"idiot": 2.0, "scum": 1.5}), random.Random(13)
+    words = ["you", "not", "said", "idiot", "idiots", "scummy", "kill", "killed", "kills", "killjoys", "the", "tree", "is"]
+    for _ in range(500):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        want, said, since = [], False, 99
+        for w in clause:
+            since = 0 if w == "not" else since + 1
+            said = said or w == "said"
+            kind = ("insult", 2.0) if w.startswith("idiot") else ("insult", 1.5) if w.startswith("scum") else ("threat", 1.0) if w in ("kill", "killed", "kills") else None
+            if kind:
+                want.append(((kind[0], "reported" if said else "negated" if since < 3 else "plain", "you" in clause), kind[1]))
+        got = g.clauses(" ".join(clause) + ".")[0]
+        assert (got[0][0] if got else []) == want
+
+
 def test_toxicity_held_out(spark):
     rng, rows, labels = random.Random(9), [], []
     for k in range(600):
@@ -251,6 +344,7 @@ def test_toxicity_held_out(spark):
     right = sum((got[k] >= 0.3) == (k % 6 == 0) for k in held)
     assert right / len(held) > 0.95 and 0 <= got[None] < 0.3
     empty = toxicity.learn(docs, marks.limit(0))
+    assert 0 <= docs.limit(1).select(model.score(F.lit(prose(rng, 30_000) + " idiot.")).alias("s")).first().s <= 1
     assert empty.stems["idiot"] == 2.0 and docs.select(empty.score(F.col("text"))).count() == 601
 
 
@@ -286,7 +380,8 @@ def test_mixing(spark):
     rng = random.Random(6)
     rows = [(k, prose(rng, rng.randint(1, 30)), rng.choice(["a", "a", "a", "a", "b", "c", "tiny" if k < 3 else "a", None])) for k in range(400)] + [(400, None, "a"), (401, "", "void"), (7, rows_text := "x y", "a")]
     docs = frame(spark, rows)
-    got = mixing.mix(docs, size=mixing.words(F.col("text"))).collect()
+    mixed = lambda df: mixing.mix(df)[0].select("doc_id", "source", "mix.*")
+    got = mixed(docs).collect()
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
@@ -307,13 +402,26 @@ def test_mixing(spark):
         assert abs(r.target - target[r.source]) < 1e-6 and r.taken <= 3 * r.size and r.source_size == sizes[r.source]
         taken[r.source] += r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 30 for s in order)
-    again = mixing.mix(docs.repartition(7), size=mixing.words(F.col("text"))).collect()
-    assert sorted((r.doc_id, r.size, r.taken) for r in again) == sorted((r.doc_id, r.size, r.taken) for r in got)
+    again = mixed(docs.repartition(7)).collect()
+    assert sorted((r.doc_id, r["size"], r.taken) for r in again) == sorted((r.doc_id, r["size"], r.taken) for r in got)
     out = mixing.repeated(docs)
     assert out.columns == docs.columns and out.count() == sum(r.epochs for r in got)
     assert mixing.repeated(docs.limit(0)).count() == 0 and rows_text
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    rows = [(None, "one two three four five", "a")] * 200 + [(k, "six words are in this one", "b") for k in range(50)] + [(1, "w " * 100_000, "c")]
+    docs = frame(spark, rows).withColumn("size", F.lit(99)).withColumn("mix", F.lit("own")).withColumn("_meta", F.lit("m")).withColumn("copy", F.lit("c"))
+    out, own = mixing.mix(docs)
+    assert own == "_mix"
+    got = out.select("source", "_mix.*").collect()
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+    left = mixing.repeated(docs)
+    assert left.columns == docs.columns and {r["size"] for r in left.collect()} == {99} and left.first()._meta == "m"
+
+
 # ---------------------------------------------------------------- 10
 
 def test_packing(spark):
@@ -340,6 +448,26 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_migration_brings_better_plans(spark):
+    """Hard bins (best fit needs more): an island that gets an elite does no worse than it, and the search beats best fit."""
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([[a, b, 2048 - a - b] for a, b in rng.integers(500, 860, (60, 2))]).astype(np.int64)  # 60 full bins exist
+    plain = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 2048).max() + 1
+    alone = [packing.evolve(lengths, 2048, [1, k], [], 8, 60) for k in range(4)]
+    bins = [p.max() + 1 for p in alone]
+    elite = alone[int(np.argmin(bins))]
+    moved = [packing.evolve(lengths, 2048, [2, k], [p, elite], 8, 60) for k, p in enumerate(alone)]
+    assert max(p.max() + 1 for p in moved) <= min(bins) <= plain
+    assert all((np.bincount(p, lengths) <= 2048).all() for p in moved)
+
+
+def test_ids_of_any_type_are_packed(spark):
+    rows = [(2**60 + 1, "big id", "s"), (None, "none", "s")]
+    assert {r.doc_id for r in packing.pack_documents(frame(spark, rows)).collect()} == {2**60 + 1, None}
+    named = frame(spark, rows).withColumn("doc_id", F.lit("name"))
+    assert {r.doc_id for r in packing.pack_documents(named).collect()} == {"name"}
+
+
 def test_crossover_keeps_all_pieces():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 2048, 300)
@@ -372,10 +500,69 @@ def test_pipeline(spark, tmp_path):
     assert len({r.sequence_id for r in rows}) <= len(rows) and {r.doc_id for r in rows} <= seen[2]
 
 
-def test_hashes_of_the_query_columns(spark):
-    """The digests that the queries return, on the first conversation rule."""
-    said = "user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n"
-    made = chat_format.format_chats(spark.sql(chat_format.PROBE), F.expr("to_variant_object(struct(conv_id, turn, role, text))"))
-    r = chat_format.read_back(made).first()
-    assert hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in r.turns).encode()).hexdigest() == hashlib.sha256(said.encode()).hexdigest()
-    assert r.loss_text == "</s>[INST] ok [/INST]" and token_counts.op2_token_counts is not None
+DATA = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_token_counts": "doc_id n_bytes n_tokens over_limit", "op3_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op4_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op5_jaccard_join": "doc_id class_id set_id copies n_links", "op6_neighbours": "query_id rank vec_id score",
+    "op7_toxicity": "doc_id held_out score predicted", "op8_licences": "doc_id n_hits best_licence best_dice licences", "op9_mixing": "doc_id size source_size target taken",
+    "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+}
+
+
+def equal_rows(got, want):
+    cols = sorted(got.columns)
+    key = lambda df: df[cols].astype(object).where(df[cols].notna(), None).astype(str).sort_values(cols).reset_index(drop=True)
+    return cols == sorted(want.columns) and key(got).equals(key(want))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries(spark, name):
+    got = registry.QUERIES[name](spark, DATA).toPandas()
+    assert list(got.columns) == COLUMNS[name].split()
+    tables = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        tables.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    docs = tables.sql("SELECT doc_id, coalesce(text, '') AS text FROM documents").fetchall()
+    if name in registry.SQL:
+        assert equal_rows(got, tables.sql(registry.SQL[name]).df())
+    elif name == "op2_token_counts":
+        from tokenizers import Tokenizer
+
+        want = {i: len(e.ids) for (i, _), e in zip(docs, Tokenizer.from_file(tokenizing.vocabulary_path()).encode_batch([t for _, t in docs], add_special_tokens=False))}
+        assert {r.doc_id: (r.n_tokens, r.n_bytes, r.over_limit) for r in got.itertuples()} == {i: (want[i], len(t.encode()), want[i] > 2048) for i, t in docs}
+    elif name == "op4_secrets":
+        kinds = ("assign", "access", "hex")
+        for r in got.itertuples():
+            base = ",".join(x for x in r.spans.split(",") if x.split(":")[0] in kinds)
+            assert base == base_spans(dict(docs)[r.doc_id]) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+            assert [r.n_assign, r.n_access, r.n_hex] == [base.count(f"{k}:") for k in kinds]
+    elif name == "op7_toxicity":
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.itertuples())
+    elif name == "op10_packing":
+        assert (got.groupby("sequence_id")["length"].sum() <= 2048).all() and set(got.doc_id) == {i for i, _ in docs}
+    else:
+        assert len(got)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_on_empty_tables(spark, tmp_path, name):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == (1 if name == "op1_chat_format" else 0)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    """Extra columns named like the operators' own, null ids, a very long text and rows that repeat."""
+    text = "you idiot. token=abcdefghijklmnop " + "word " * 60_000
+    rows = [(1, text, "s"), (1, text, "s"), (None, None, "s")]
+    docs = frame(spark, rows)
+    for c in ("tested", "assign", "hits", "grams", "t", "unit", "score", "id", "digest", "uid", "length", "shard", "bin", "room"):
+        docs = docs.withColumn(c, F.lit(c))
+    assert sorted(r.n for r in secret_scan.scan(docs).select(F.size("assign").alias("n")).collect()) == [0, 1, 1]
+    assert licences.scan(docs).count() == 3
+    assert packing.pack_documents(docs).select("doc_id", "piece").distinct().count() > 30
+    assert toxicity.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is not None
