@@ -17,23 +17,30 @@ TOXIC_FROM = 0.3
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC_FROM.  Learned from the labels; a clean label set keeps all."""
+    """Documents whose toxicity score is below TOXIC_FROM.
+
+    The score is learned from the labels and reads whole texts; null and empty texts stay, repeated rows are
+    scored each, and without labels the listed words decide.  An empty table stays empty.
+    """
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
     return docs.filter(model.score(F.col("text")) < TOXIC_FROM)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space, the longest (then the smallest id)."""
+    """Of rows whose texts are equal but for white space one: the longest, then that of the smallest id.
+
+    Rows that share an id but not a text all stay; null and empty texts are one group.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id."""
+    """Of each group of near copies one row, that of the smallest id (null last).  Rows are told apart, not ids."""
     return jaccard_join.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them; a null source is a source, null texts have no words."""
     return mixing.repeated(docs)
 
 
@@ -55,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's input is deleted once its output is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        docs = settle(stage(spark, docs, sf_dir), name, (docs,))
     return docs
