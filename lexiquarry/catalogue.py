@@ -57,10 +57,6 @@ _FACT_BOOST = "CASE WHEN measure_code = measure THEN 1.0 ELSE 0 END::DOUBLE"
 _TABLE_BOOST = "CASE WHEN table_type IN ('eligibility_table', 'documents_table', 'deadline_table', 'form_table') THEN 0.25 ELSE 0 END::DOUBLE"
 
 
-def _block_score():
-    return F.round(retrieval.term_score(F.col("terms"), 0.35, [F.col("content")]) + retrieval.block_boost(F.col("intent"), F.col("block_type")), 6)
-
-
 def _branch_sql(name: str, view: str, branch: str, score: str, k: int, where: str = "true") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT question_id, intent, source_id, document_id, '{branch}' AS source_type, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_id) AS place
   FROM (SELECT question_id, intent, v.source_id, v.document_id, {score} * {_weight_sql(branch)} AS score FROM questions, {view} v
@@ -78,25 +74,28 @@ _OUT = "SELECT question_id, source_id, document_id, score, CAST(place AS INTEGER
 @query("q03_block_scores", with_views(f"SELECT question_id, v.source_id, {_score_sql(['content'], 0.35, _BLOCK_BOOST)} * {_weight_sql('block')} AS score FROM questions, blocks v WHERE v.document_id IN (SELECT document_id FROM registry WHERE status = 'active')", "registry", "blocks", "questions"))
 def q03(spark, d):
     own = V.blocks(spark, d).join(V.statuses(spark, d).filter("status = 'active'").select("document_id"), "document_id", "left_semi")
-    return own.crossJoin(F.broadcast(V.questions(spark))).select("question_id", "source_id", (_block_score() * retrieval.strategy_weight(F.col("intent"), "block")).alias("score"))
+    terms = sorted({t for q in V.QUESTIONS for t in q[2]})
+    own = own.select("source_id", "block_type", retrieval.term_hits(terms, [F.col("content")]).alias("hits"))
+    score = F.round(retrieval.hit_score(F.col("terms"), F.col("hits"), 0.35) + retrieval.block_boost(F.col("intent"), F.col("block_type")), 6)
+    every = own.join(F.broadcast(V.questions(spark)), F.lit(True))  # three questions; the query asks for all scores
+    return every.select("question_id", "source_id", (score * retrieval.strategy_weight(F.col("intent"), "block")).alias("score"))
 
 
 def _blocks(spark, d):
-    return retrieval.branch(V.questions(spark), V.blocks(spark, d), V.statuses(spark, d), "block", _block_score())
+    return retrieval.branch(V.questions(spark), V.blocks(spark, d), V.statuses(spark, d), "block", ["content"], boost=retrieval.block_boost(F.col("intent"), F.col("block_type")))
 
 
 def _facts(spark, d):
-    score = F.round(retrieval.term_score(F.col("terms"), 0.35, [F.col("note")]) + retrieval.fact_boost(F.col("intent"), F.col("fact_type"), F.col("measure_code"), F.col("measure")), 6)
-    return retrieval.branch(V.questions(spark), V.facts(spark, d), V.statuses(spark, d), "legal_fact", score, keep=retrieval.exact_or_null(F.col("measure_code"), F.col("measure")))
+    boost = retrieval.fact_boost(F.col("intent"), F.col("fact_type"), F.col("measure_code"), F.col("measure"))
+    return retrieval.branch(V.questions(spark), V.facts(spark, d), V.statuses(spark, d), "legal_fact", ["note"], boost=boost, keep=retrieval.exact_or_null(F.col("measure_code"), F.col("measure")))
 
 
 def _tables(spark, d):
-    score = F.round(retrieval.term_score(F.col("terms"), 0.40, [F.col("title"), F.col("table_type")]) + retrieval.table_boost(F.col("table_type")), 6)
-    return retrieval.branch(V.questions(spark), V.tables(spark, d), V.statuses(spark, d), "table", score)
+    return retrieval.branch(V.questions(spark), V.tables(spark, d), V.statuses(spark, d), "table", ["title", "table_type"], boost=retrieval.table_boost(F.col("table_type")))
 
 
 def _rows(spark, d):
-    return retrieval.branch(V.questions(spark), V.rows(spark, d), V.statuses(spark, d), "table_row", F.round(retrieval.term_score(F.col("terms"), 0.45, [F.col("summary")]), 6))
+    return retrieval.branch(V.questions(spark), V.rows(spark, d), V.statuses(spark, d), "table_row", ["summary"])
 
 
 for _name, _f, _sql in (("q04_block_top_k", _blocks, _B4 + "\n" + _OUT + "b4"), ("q05_fact_top_k", _facts, _B1 + "\n" + _OUT + "b1"), ("q06_table_top_k", _tables, _B2 + "\n" + _OUT + "b2"), ("q07_row_top_k", _rows, _B3 + "\n" + _OUT + "b3")):
@@ -129,8 +128,8 @@ merged AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score
 
 
 def merged(spark, d) -> DataFrame:
-    own = candidates(spark, d)
-    return retrieval.merge(own.unionByName(own.withColumn("score", F.col("score") * 0.5)))
+    twice = candidates(spark, d).withColumn("score", F.explode(F.array(F.col("score"), F.col("score") * 0.5)))
+    return retrieval.merge(twice)
 
 
 @query("q09_merge_dedupe", with_views(_MERGED + "\nSELECT question_id, source_type, source_id, score, CAST(merge_rank AS INTEGER) AS merge_rank FROM merged", *_ALL))
@@ -227,36 +226,79 @@ def q16(spark, d):
     return retrieval.priority_documents(document_stats(spark, d)).select("question_id", "document_id", "doc_score", F.col("place").cast("int").alias("place"))
 
 
-@query("q17_threshold", with_views(_PRIORITY + "\nSELECT question_id, intent, least(CASE intent WHEN 'documents' THEN 0.35 WHEN 'deadline' THEN 0.45 ELSE 0.4 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE place = 1", *_ALL))
+@query("q17_threshold", with_views(_PRIORITY + "\nSELECT question_id, intent, least(CASE WHEN intent IN ('documents', 'deadline', 'form') THEN 0.45 WHEN intent IN ('eligibility', 'rejection') THEN 0.4 ELSE 0.35 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE place = 1", *_ALL))
 def q17(spark, d):
     first = retrieval.priority_documents(document_stats(spark, d), max_documents=1).join(V.questions(spark).select("question_id", "intent"), "question_id")
     return first.select("question_id", "intent", retrieval.adaptive_threshold(F.col("intent"), F.col("best")).alias("threshold"))
 
 
-def selected(spark, d) -> DataFrame:
+def evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Selected candidates, priority documents and document statistics.
+
+    The ranked candidates (44 at most for a question) are read three times, so they are kept until the session
+    clears its cache; the branches are scanned once.
+    """
     own = reranked(spark, d).persist()
-    stats = retrieval.document_stats(own)
+    stats = retrieval.document_stats(own).withColumn("doc_score", F.round("doc_score", 6))
     prio = retrieval.priority_documents(stats)
-    top = prio.filter("place = 1").join(V.questions(spark).select("question_id", "intent"), "question_id").select("question_id", retrieval.adaptive_threshold(F.col("intent"), F.col("best")).alias("threshold"))
-    rows = own.join(prio.select("question_id", "document_id", F.lit(True).alias("priority")), ["question_id", "document_id"], "left").withColumn("priority", F.coalesce("priority", F.lit(False))).join(top, "question_id")
-    b = F.col("blob")
-    bucket = retrieval.selection_bucket(F.col("intent"), F.col("source_type"), F.lit(""), F.col("priority"), retrieval.temporal(b, DRIVER), retrieval.candidate_kind(b, DRIVER), F.col("asked"), retrieval.deadline_noise(b, F.lit(""), F.lit(False), DRIVER))
-    return retrieval.select_capped(rows.withColumn("bucket", bucket))
+    return retrieval.select_capped(retrieval.settled_for_selection(own, stats, prio, DRIVER, semantic=F.lit(""), has_value=F.lit(False))), prio, stats
+
+
+_TYPE_CAP = """CASE intent WHEN 'documents' THEN CASE source_type WHEN 'table' THEN 2 WHEN 'table_row' THEN 12 ELSE 1 END WHEN 'deadline' THEN CASE source_type WHEN 'table_row' THEN 4 WHEN 'block' THEN 6 ELSE 1 END
+  ELSE CASE source_type WHEN 'table' THEN 4 ELSE 5 END END"""
+_DOC_CAP = "CASE intent WHEN 'documents' THEN CASE WHEN priority THEN 12 ELSE 4 END WHEN 'deadline' THEN CASE WHEN priority THEN 8 ELSE 3 END ELSE CASE WHEN priority THEN 6 ELSE 3 END END"
+#: The selection step by step: a list of what is chosen so far is carried from candidate to candidate.
+_SELECTED = _PRIORITY + f""",
+listed AS (SELECT question_id, document_id FROM prio WHERE place = 1 OR doc_score >= greatest(0.75, 0.62 * top)),
+least_ AS (SELECT question_id, intent, least(CASE WHEN intent IN ('documents', 'deadline', 'form') THEN 0.45 WHEN intent IN ('eligibility', 'rejection') THEN 0.4 ELSE 0.35 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE prio.place = 1),
+flagged AS (SELECT r.*, threshold, l.document_id IS NOT NULL AS priority, {_TEMPORAL} AS dated, {_KIND} AS kind, contains(b, '@') OR contains(b, 'not specified') AS noise FROM ranked r JOIN least_ USING (question_id) LEFT JOIN listed l ON l.question_id = r.question_id AND l.document_id = r.document_id),
+bucketed AS (SELECT *, CASE intent WHEN 'documents' THEN CASE WHEN priority THEN 2 ELSE 3 END WHEN 'deadline' THEN CASE WHEN noise THEN 9 WHEN priority AND is_block AND dated AND kind = asked AND asked <> 'other' THEN 0 WHEN priority AND is_block AND dated THEN 2
+    WHEN priority AND dated THEN 4 WHEN is_block AND dated THEN 5 WHEN dated THEN 7 ELSE 8 END ELSE 0 END AS bucket, CASE WHEN intent IN ('documents', 'deadline') THEN -rerank_score ELSE 0 END AS less,
+  intent <> 'deadline' OR (NOT noise AND CASE WHEN is_block OR is_row THEN dated WHEN is_table THEN false ELSE true END) AS fits FROM flagged),
+ordered AS (SELECT *, {_TYPE_CAP} AS type_cap, {_DOC_CAP} AS doc_cap, row_number() OVER (PARTITION BY question_id ORDER BY bucket, less, rank) AS i FROM bucketed WHERE fits),
+walk AS (SELECT question_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, t VARCHAR, d BIGINT)[]) AS chosen FROM questions UNION ALL
+  SELECT w.question_id, o.i, CASE WHEN len(w.chosen) < 12 AND o.rerank_score >= o.threshold AND len(list_filter(w.chosen, lambda x: x.t = o.source_type)) < o.type_cap AND len(list_filter(w.chosen, lambda x: x.d = o.document_id)) < o.doc_cap
+    THEN list_append(w.chosen, {{'i': o.i, 't': o.source_type, 'd': o.document_id}}) ELSE w.chosen END FROM walk w JOIN ordered o ON o.question_id = w.question_id AND o.i = w.i + 1),
+ends AS (SELECT question_id, list_transform(arg_max(chosen, i), lambda x: x.i) AS taken FROM walk GROUP BY question_id),
+placed AS (SELECT o.*, len(taken) AS n_taken, nullif(coalesce(list_position(taken, o.i), 0), 0) AS spot, row_number() OVER (PARTITION BY o.question_id, list_contains(taken, o.i) ORDER BY o.i) AS nth FROM ordered o JOIN ends USING (question_id)),
+chosen AS (SELECT * EXCLUDE (place), CASE WHEN spot IS NOT NULL THEN spot ELSE n_taken + nth END - 1 AS place FROM placed WHERE spot IS NOT NULL OR (n_taken < 3 AND nth <= 12 - n_taken)))"""[:-1]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("q18_capped_selection", _recursive(with_views(_SELECTED + "\nSELECT question_id, intent, CAST(place AS INTEGER) AS place, source_type, source_id, document_id, rerank_score AS final_score, priority, CAST(rank AS INTEGER) AS rank FROM chosen", *_ALL)))
+def q18(spark, d):
+    return evidence(spark, d)[0]
 
 
-@query("q18_capped_selection")
-def q18(spark, d):
-    return selected(spark, d)
+_QUALITY = _SELECTED + """,
+per AS (SELECT question_id, count(*) AS n_items, count(DISTINCT document_id) AS n_documents, count(*) FILTER (WHERE rerank_score >= 0.75) AS n_strong, arg_min(rerank_score, place) AS top_score, arg_min(document_id, place) AS top_document FROM chosen GROUP BY 1),
+shares AS (SELECT question_id, count(*) FILTER (WHERE document_id = top_document) / count(*) AS top_share FROM chosen JOIN per USING (question_id) GROUP BY 1),
+leaders AS (SELECT question_id, list(doc_score ORDER BY doc_score DESC) AS l FROM stats GROUP BY 1), counted AS (SELECT question_id, count(*) AS n_priority FROM listed GROUP BY 1),
+summed AS (SELECT question_id, coalesce(n_items, 0) AS n_items, coalesce(n_documents, 0) AS n_documents, top_share, coalesce(n_strong, 0) AS n_strong, top_score, coalesce(n_priority, 0) AS n_priority, coalesce(l[2] > l[1] * 0.95::DOUBLE, false) AS close
+  FROM questions LEFT JOIN per USING (question_id) LEFT JOIN shares USING (question_id) LEFT JOIN leaders USING (question_id) LEFT JOIN counted USING (question_id)),
+judged AS (SELECT *, CASE WHEN n_items = 0 THEN 'insufficient:no_candidates' WHEN top_score < 0.25 THEN 'insufficient:top_score_too_low' WHEN n_items = 1 THEN 'weak:single_candidate_only' WHEN n_documents > 2 AND n_priority <= 1 THEN 'weak:document_spread_too_wide'
+  WHEN top_share < 0.4 AND n_documents > 2 THEN 'weak:low_document_concentration' WHEN n_strong = 0 AND top_score < 0.55 THEN 'weak:no_strong_candidates' WHEN close AND n_documents > 2 THEN 'weak:no_clear_document_leader' ELSE 'strong:ok' END AS x FROM summed)
+SELECT question_id, n_items, n_documents, round(top_share, 6) AS top_share, n_strong, top_score, split_part(x, ':', 1) AS quality, split_part(x, ':', 2) AS reason FROM judged"""
 
 
-@query("q19_evidence_quality")
+@query("q19_evidence_quality", _recursive(with_views(_QUALITY, *_ALL)))
 def q19(spark, d):
-    return retrieval.evidence_quality(selected(spark, d))
+    chosen, prio, stats = evidence(spark, d)
+    return retrieval.evidence_quality(V.questions(spark), chosen, prio, stats).withColumn("top_share", F.round("top_share", 6))
+
+
+_IDS = ", ".join(f"coalesce(string_agg(source_id, ',' ORDER BY place) FILTER (WHERE source_type = '{t}'), '') AS {t}_ids" for t in ("legal_fact", "table_row", "table", "block"))
 
 
-@query("q19b_evidence_package")
+@query("q19b_evidence_package", _recursive(with_views(_SELECTED + f""",
+seen AS (SELECT question_id, document_id, min(place) AS p FROM chosen GROUP BY 1, 2), docs AS (SELECT question_id, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY p) AS document_ids FROM seen GROUP BY 1)
+SELECT question_id, n_items, legal_fact_ids, table_row_ids, table_ids, block_ids, document_ids FROM (SELECT question_id, count(*) AS n_items, {_IDS} FROM chosen GROUP BY 1) JOIN docs USING (question_id)""", *_ALL)))
 def q19b(spark, d):
-    return retrieval.evidence_package(selected(spark, d))
+    out = retrieval.evidence_package(evidence(spark, d)[0])
+    return out.select("question_id", F.col("n_items").cast("long").alias("n_items"), *[F.array_join(c, ",").alias(c) for c in out.columns[2:]])
 
 
 # ---------------------------------------------------------------- vectors

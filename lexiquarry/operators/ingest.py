@@ -34,11 +34,20 @@ def block_type(c: Column) -> Column:
 
 
 def context_before(items: DataFrame, n: int = 5) -> DataFrame:
-    """Items (document_id, item_order, kind, text) with the ``n`` meaningful paragraphs before each, oldest first."""
+    """Items (document_id, item_order, kind, text) with the ``n`` meaningful paragraphs before each, oldest first.
+
+    Paragraphs are numbered; an item meets only the ``n`` last ones before it (a join on document and number),
+    so no row carries all that came before.
+    """
+    good = F.coalesce((F.col("kind") == "paragraph") & (F.char_length(F.trim("text")) >= 2), F.lit(False))
     w = Window.partitionBy("document_id").orderBy("item_order").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.when((F.col("kind") == "paragraph") & (F.char_length(F.trim("text")) >= 2), F.col("text"))
-    before = F.collect_list(own).over(w)
-    return items.withColumn("context", F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), F.lit(n)))
+    rows = items.withColumn("_seen", F.coalesce(F.count_if(good).over(w), F.lit(0)))
+    paragraphs = rows.filter(good).select("document_id", F.col("_seen").alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_d"), F.col("text").alias("_t"))
+    # the paragraph number k is among the last n of every item that has seen k + 1 to k + n of them
+    near = paragraphs.groupBy("document_id", (F.col("_k") + F.col("_d")).alias("_seen")).agg(F.array_sort(F.collect_list(F.struct("_k", "_t"))).alias("_near"))
+    out = rows.join(near, ["document_id", "_seen"], "left")
+    context = F.coalesce(F.transform("_near", lambda x: x["_t"]), F.array().cast("array<string>"))
+    return out.withColumn("context", context).select(*items.columns, "context")
 
 
 def carry_forward(rows: DataFrame, label: Column, *, table: str = "table_id", order: str = "row_order", default: str = "unknown") -> DataFrame:
@@ -155,8 +164,9 @@ def qc_metrics(documents: DataFrame, block_rows: DataFrame, table_rows: DataFram
     out = out.withColumn("avg_block", F.when(F.col("n_meaningful") > 0, F.round(F.col("chars") / F.col("n_meaningful"), 2)).otherwise(0.0))
     if tables is not None and table_rows is not None:
         per_table = tables.join(table_rows.groupBy("table_id").agg(F.count("*").alias("n")), "table_id", "left").groupBy("document_id").agg(F.count("*").alias("n_tables"), F.count_if(F.col("n").isNull()).alias("n_without_rows"))
-        per_row = table_rows.join(tables.select("table_id").withColumn("_known", F.lit(True)), "table_id", "left").groupBy("document_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("_known").isNull()).alias("n_unbound"))
-        out = out.join(per_table, "document_id", "left").join(per_row, "document_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tables", "n_without_rows", "n_rows", "n_unbound")})
+        empty = F.coalesce(F.trim("row_text"), F.lit("")) == "" if "row_text" in table_rows.columns else F.lit(False)
+        per_row = table_rows.join(tables.select("table_id").withColumn("_known", F.lit(True)), "table_id", "left").groupBy("document_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("_known").isNull()).alias("n_unbound"), F.count_if(empty).alias("n_empty_rows"))
+        out = out.join(per_table, "document_id", "left").join(per_row, "document_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tables", "n_without_rows", "n_rows", "n_unbound", "n_empty_rows")})
     return out
 
 
@@ -172,7 +182,11 @@ def qc_verdict(metrics: DataFrame, *, has_identity: Column | None = None, limits
         found |= {
             "table_rows_present_without_tables": (c["n_tables"] == 0) & (c["n_rows"] > 0), "tables_without_rows_ratio_too_high": F.when(c["n_tables"] > 0, c["n_without_rows"] / c["n_tables"]).otherwise(0.0) > limits["tables_without_rows"],
             "rows_without_table_binding_ratio_too_high": F.when(c["n_rows"] > 0, c["n_unbound"] / c["n_rows"]).otherwise(0.0) > limits["unbound_rows"],
+            "all_table_rows_empty": (c["n_rows"] > 0) & (c["n_empty_rows"] == c["n_rows"]),
+            "no_retrievable_units": c["n_meaningful"] + c["n_tables"] + c["n_rows"] + (c["n_facts"] if "n_facts" in c else F.lit(0)) == 0,
         }
+        if "declared_tables" in c:
+            found["declared_tables_not_extracted"] = (c["declared_tables"] > 0) & (c["n_tables"] == 0)
     errors = F.array_compact(F.array(*[F.when(found[code], code) for code in QC_ORDER if code in found]))
     warnings = F.array_compact(F.array(F.when(c["other_ratio"] > limits["other_ratio"], "other_block_ratio_too_high"), F.when((c["n_meaningful"] > 0) & (c["avg_block"] < limits["avg_block"]), "avg_block_text_length_too_low")))
     out = metrics.withColumn("errors", errors).withColumn("warnings", warnings)

@@ -110,6 +110,24 @@ def term_score(terms: Column, weight: float, columns: list[Column], sql_terms: i
     return F.aggregate(F.slice(terms, 1, sql_terms), F.lit(0.0), lambda s, t: s + F.when(hit(t), weight).otherwise(0.0))
 
 
+def term_hits(terms: list[str], columns: list[Column]) -> Column:
+    """Which of these distinct terms a row has, each looked up once (see ``term_score``)."""
+    lowered = F.lower(F.concat_ws("\x00", *[c.cast("string") for c in columns]))  # no term holds U+0000
+    cells = [F.lower(c.cast("string")) for c in columns]
+
+    def has(t: str) -> Column:
+        if "%" in t or "_" in t:
+            return reduce(lambda x, y: x | y, [F.coalesce(F.like(c, F.lit(f"%{t.lower()}%")), F.lit(False)) for c in cells])
+        return F.contains(lowered, F.lit(t.lower()))
+
+    return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in terms]).cast("array<string>"))
+
+
+def hit_score(terms: Column, hits: Column, weight: float, sql_terms: int = C.SQL_TERMS) -> Column:
+    """``weight`` for each of a question's first terms that is among the row's hits."""
+    return weight * F.size(F.filter(F.slice(terms, 1, sql_terms), lambda t: F.array_contains(hits, t)))
+
+
 def exact_or_null(c: Column, wanted: Column) -> Column:
     """True where nothing is wanted, the column is null, or they are equal."""
     return wanted.isNull() | c.isNull() | (c == wanted)
@@ -150,21 +168,30 @@ def top_k(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def branch(questions: DataFrame, children: DataFrame, registry: DataFrame, kind: str, score: Column, *, k: int | None = None, keep: Column | None = None) -> DataFrame:
+#: Questions that are looked up together: their distinct terms are part of the plan.
+BATCH_QUESTIONS = 100
+
+
+def branch(questions: DataFrame, children: DataFrame, registry: DataFrame, kind: str, columns: list[str], *, weight: float | None = None, boost: Column | None = None, k: int | None = None, keep: Column | None = None) -> DataFrame:
     """One branch: active documents' children scored for every question, the best ``k`` above zero.
 
-    ``questions`` is the stated query set and is broadcast behind a check of its size; the limit comes before
-    the test for positive scores, as in the reference semantics.
+    ``questions`` is the stated query set.  It is taken in batches: a row's terms are looked up once for a
+    batch, whatever number of questions asks for them, and the batch's rows are broadcast (BATCH_QUESTIONS at
+    most).  The limit comes before the test for positive scores, as in the reference semantics.
     """
     active = registry.filter(F.col("status") == "active").select("document_id")
     own = children.join(active, "document_id", "left_semi")
-    few = questions.limit(10_001).count() <= 10_000
-    pairs = own.crossJoin(F.broadcast(questions)) if few else own.crossJoin(questions)
-    if keep is not None:
-        pairs = pairs.filter(keep)
-    pairs = pairs.withColumn("score", score * strategy_weight(F.col("intent"), kind))
-    best = top_k(pairs, k or C.TOP_K[kind])
-    return best.filter("score > 0").withColumn("source_type", F.lit(kind))
+    asked = questions.collect()  # the stated set; everything else stays distributed
+    spark, schema = questions.sparkSession, questions.schema
+    found = []
+    for at in range(0, len(asked) or 1, BATCH_QUESTIONS):
+        batch = asked[at : at + BATCH_QUESTIONS]
+        terms = list(dict.fromkeys(t for q in batch for t in (q.terms or [])[: C.SQL_TERMS]))
+        rows = own.withColumn("term_hits", term_hits(terms, [F.col(c) for c in columns]))
+        pairs = rows.join(F.broadcast(spark.createDataFrame(batch, schema)), F.lit(True) if keep is None else keep)
+        score = F.round(hit_score(F.col("terms"), F.col("term_hits"), C.TERM_WEIGHT[kind] if weight is None else weight) + (F.lit(0.0) if boost is None else boost), 6)
+        found.append(top_k(pairs.withColumn("score", score * strategy_weight(F.col("intent"), kind)).drop("term_hits"), k or C.TOP_K[kind]))
+    return reduce(DataFrame.unionByName, found).filter("score > 0").withColumn("source_type", F.lit(kind))
 
 
 # ---------------------------------------------------------------- merging and filters
@@ -208,8 +235,9 @@ def lexical_hits(blob: Column, terms: Column) -> Column:
 
 
 def intent_filter(source_type: Column, intent: Column, blob: Column, terms: Column, cfg: Config) -> Column:
-    """Only blocks are filtered: documents by anchors, deadlines and refusals by two hits, others by one."""
-    passes = F.when(intent == "documents", documents_anchor(blob, terms, cfg)).when(intent.isin("deadline", "rejection"), lexical_hits(blob, terms) >= 2).otherwise(lexical_hits(blob, terms) >= 1)
+    """Only blocks are filtered: documents by anchors, deadlines and forms by one hit, refusals and eligibility by two."""
+    hits = lexical_hits(blob, terms)
+    passes = F.when(intent == "documents", documents_anchor(blob, terms, cfg)).when(intent.isin("deadline", "form"), hits >= 1).when(intent.isin("rejection", "eligibility"), hits >= 2).otherwise(True)
     return (source_type != "block") | passes
 
 
@@ -315,8 +343,9 @@ def priority_documents(stats: DataFrame, *, max_documents: Column | int = 2) ->
 
 
 def adaptive_threshold(intent: Column, best: Column) -> Column:
-    base = F.when(intent == "documents", 0.35).when(intent == "deadline", 0.45).otherwise(0.40)
-    return F.least(base, F.greatest(F.lit(0.25), 0.35 * F.coalesce(best, F.lit(0.0))))
+    """The intent's base, or less: 0.35 of the best score of the first document, 0.25 at least."""
+    base = F.when(intent.isin("documents", "deadline", "form"), 0.45).when(intent.isin("eligibility", "rejection"), 0.40).otherwise(0.35)
+    return F.when(best.isNull(), base).otherwise(F.least(base, F.greatest(F.lit(0.25), 0.35 * best)))
 
 
 def type_cap(intent: str, source_type: str, k: int) -> int:
@@ -333,25 +362,34 @@ def document_caps(intent: str) -> tuple[int, int]:
 
 
 def selection_bucket(intent: Column, source_type: Column, semantic: Column, priority: Column, dated: Column, kind: Column, asked: Column, noise: Column) -> Column:
-    """The order of selection within a question, lower first."""
-    is_row, is_block, due = source_type == "table_row", source_type == "block", semantic.isin("deadline", "deadlines")
-    documents = F.when(priority & is_row & (semantic == "documents"), 0).when(priority & is_row, 1).when(priority, 2).otherwise(3)
+    """The order of selection within a question, lower first; one bucket for intents that keep the ranks' order."""
+    is_row, is_block, due = source_type == "table_row", source_type == "block", semantic == "deadlines"
+    documents = F.when(priority & is_row & (semantic == "documents"), 0).when(priority & (source_type == "table") & (semantic == "documents"), 1).when(priority, 2).otherwise(3)
     match = (kind == asked) & (asked != "other")
     deadline = (F.when(noise, 9).when(priority & is_block & dated & match, 0).when(priority & is_row & due & match, 1).when(priority & is_block & dated, 2)
                 .when(priority & is_row & due, 3).when(priority & dated, 4).when(is_block & dated, 5).when(is_row & due, 6).when(dated, 7).otherwise(8))
-    return F.when(intent == "documents", documents).when(intent == "deadline", deadline).otherwise(F.when(priority, 0).otherwise(1))
+    return F.when(intent == "documents", documents).when(intent == "deadline", deadline).otherwise(0)
+
+
+def selectable(intent: Column, source_type: Column, semantic: Column, dated: Column, noise: Column) -> Column:
+    """What a deadline question may take at all: no noise, only dated blocks and rows, only deadline tables."""
+    due = semantic.isin("deadline", "deadlines")
+    fits = ~noise & F.when(source_type.isin("block", "table_row"), dated).when(source_type == "table", due).otherwise(True)
+    return (intent != "deadline") | F.coalesce(fits, F.lit(False))
 
 
 def select_capped(candidates: DataFrame, *, k: int = C.FINAL_TOP_K, backfill_below: int = 3) -> DataFrame:
     """Greedy selection under caps for type, document and total.
 
-    Needs question_id, intent, threshold, bucket, priority (bool), source_type, source_id, document_id, score,
-    rerank_score and rank.  A question has few candidates (the branches' limits), so they are folded in order
-    in one array; counters count accepted ones only.  With fewer than ``backfill_below`` accepted, the rest
-    fills up to ``k`` by rank, whatever caps and threshold say.
+    Needs question_id, intent, threshold, bucket, selectable (bool), priority (bool), source_type, source_id,
+    document_id, score, rerank_score and rank.  Documents and deadline questions are taken by bucket and score,
+    others by rank.  A question has few candidates (the branches' limits), so they are folded in order in one
+    array; counters count accepted ones only.  With fewer than ``backfill_below`` accepted, the rest that is
+    selectable fills up to ``k`` in the same order, whatever caps and threshold say.
     """
-    item = F.struct(F.col("bucket"), (-effective_score()).alias("less"), F.col("rank"), F.col("source_type"), F.col("source_id").cast("string").alias("source_id"), F.col("document_id"), F.col("priority"))
-    one = candidates.groupBy("question_id", "intent", "threshold").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    sorted_by_score = F.col("intent").isin("documents", "deadline")
+    item = F.struct(F.col("bucket"), F.when(sorted_by_score, -effective_score()).otherwise(0.0).alias("less"), F.col("rank"), F.col("source_type"), F.col("source_id").cast("string").alias("source_id"), F.col("document_id"), F.col("priority"), effective_score().alias("final_score"))
+    one = candidates.filter("selectable").groupBy("question_id", "intent", "threshold").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.slice(F.col("items"), 1, 0)
 
     def cap_of(x: Column) -> Column:
@@ -371,35 +409,72 @@ def select_capped(candidates: DataFrame, *, k: int = C.FINAL_TOP_K, backfill_bel
         return out
 
     def step(acc: Column, x: Column) -> Column:
-        fits = ((F.size(acc) < k) & (-x["less"] >= F.col("threshold")) & (F.size(F.filter(acc, lambda y: y["source_type"] == x["source_type"])) < cap_of(x))
+        fits = ((F.size(acc) < k) & (x["final_score"] >= F.col("threshold")) & (F.size(F.filter(acc, lambda y: y["source_type"] == x["source_type"])) < cap_of(x))
                 & (F.size(F.filter(acc, lambda y: y["document_id"] == x["document_id"])) < document_cap(x)))
         return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
 
     one = one.withColumn("chosen", F.aggregate("items", none, step))
-    by_rank = F.array_sort("items", lambda a, b: a["rank"] - b["rank"])
-    rest = F.filter(by_rank, lambda x: ~F.exists("chosen", lambda y: y["rank"] == x["rank"]))
-    full = F.when(F.size("chosen") < backfill_below, F.concat("chosen", F.slice(rest, F.lit(1), F.lit(k) - F.size("chosen")))).otherwise(F.col("chosen"))
+    rest = F.filter("items", lambda x: ~F.exists("chosen", lambda y: y["rank"] == x["rank"]))
+    full = F.when(F.size("chosen") < min(backfill_below, k), F.concat("chosen", F.slice(rest, F.lit(1), F.lit(k) - F.size("chosen")))).otherwise(F.col("chosen"))
     out = one.select("question_id", "intent", F.posexplode(full).alias("place", "x"))
-    return out.select("question_id", "intent", F.col("place").cast("int").alias("place"), "x.source_type", "x.source_id", "x.document_id", (-F.col("x.less")).alias("final_score"), "x.priority", "x.rank")
+    return out.select("question_id", "intent", F.col("place").cast("int").alias("place"), "x.source_type", "x.source_id", "x.document_id", "x.final_score", "x.priority", "x.rank")
+
 
+def evidence_quality(questions: DataFrame, selected: DataFrame, priority: DataFrame, stats: DataFrame) -> DataFrame:
+    """question_id, n_items, n_documents, top_share, n_strong, top_score, quality, reason; rules in order.
 
-def evidence_quality(selected: DataFrame, ratio: DataFrame | None = None) -> DataFrame:
-    """question_id, n_items, n_documents, top_share, n_strong, top_score, quality, reason; rules in order."""
-    per_doc = selected.groupBy("question_id", "document_id").agg(F.count("*").alias("n"), F.max("final_score").alias("top"), F.count_if(F.col("final_score") >= 0.75).alias("strong"), F.max("priority").alias("priority"), F.sum("final_score").alias("total"))
-    q = per_doc.groupBy("question_id").agg(
-        F.sum("n").alias("n_items"), F.count("*").alias("n_documents"), (F.max("n") / F.sum("n")).alias("top_share"), F.sum("strong").alias("n_strong"), F.max("top").alias("top_score"),
-        F.count_if("priority").alias("n_priority"), F.sort_array(F.collect_list("total"), False).alias("totals"))
-    second = F.coalesce(F.try_element_at("totals", F.lit(2)), F.lit(0.0)) / F.element_at("totals", 1)
+    ``selected`` has place, document_id and final_score; ``priority`` and ``stats`` (doc_score) are over all
+    candidates.  A question without candidates has a row too.
+    """
+    first = F.min_by(F.struct("document_id", "final_score"), "place")
+    per = selected.groupBy("question_id").agg(F.count("*").alias("n_items"), F.count_distinct("document_id").alias("n_documents"), F.count_if(F.col("final_score") >= 0.75).alias("n_strong"), first.alias("first"), F.collect_list("document_id").alias("documents"))
+    per = per.withColumn("top_score", F.col("first.final_score")).withColumn("top_share", F.size(F.filter("documents", lambda d: d == F.col("first.document_id"))) / F.col("n_items"))
+    leaders = stats.groupBy("question_id").agg(F.slice(F.sort_array(F.collect_list("doc_score"), False), 1, 2).alias("leaders"))
+    listed = priority.groupBy("question_id").agg(F.count("*").alias("n_priority"))
+    q = questions.select("question_id").join(per, "question_id", "left").join(leaders, "question_id", "left").join(listed, "question_id", "left")
+    q = q.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_items", "n_documents", "n_strong", "n_priority")})
     many = F.col("n_documents") > 2
+    close = F.coalesce(F.try_element_at("leaders", F.lit(2)) > F.try_element_at("leaders", F.lit(1)) * 0.95, F.lit(False))
     rules = [
-        (F.col("n_items") == 0, "insufficient", "no_evidence"), (F.col("top_score") < 0.25, "insufficient", "low_top_score"), (F.col("n_items") == 1, "weak", "single_item"),
-        (many & (F.col("n_priority") <= 1), "weak", "scattered"), ((F.col("top_share") < 0.40) & many, "weak", "low_share"),
-        ((F.col("n_strong") == 0) & (F.col("top_score") < 0.55), "weak", "no_strong"), ((second > 0.95) & many, "weak", "close_second"),
+        (F.col("n_items") == 0, "insufficient", "no_candidates"), (F.col("top_score") < 0.25, "insufficient", "top_score_too_low"), (F.col("n_items") == 1, "weak", "single_candidate_only"),
+        (many & (F.col("n_priority") <= 1), "weak", "document_spread_too_wide"), ((F.col("top_share") < 0.40) & many, "weak", "low_document_concentration"),
+        ((F.col("n_strong") == 0) & (F.col("top_score") < 0.55), "weak", "no_strong_candidates"), (close & many, "weak", "no_clear_document_leader"),
     ]
     quality, reason = F.lit("strong"), F.lit("ok")
     for cond, what, why in reversed(rules):
         quality, reason = F.when(cond, what).otherwise(quality), F.when(cond, why).otherwise(reason)
-    return q.withColumn("quality", quality).withColumn("reason", reason).drop("totals")
+    return q.select("question_id", "n_items", "n_documents", "top_share", "n_strong", "top_score", quality.alias("quality"), reason.alias("reason"))
+
+
+def settled_for_selection(ranked: DataFrame, stats: DataFrame, priority: DataFrame, cfg: Config, *, semantic: Column, has_value: Column) -> DataFrame:
+    """Ranked candidates with priority, threshold, bucket and selectable, as ``select_capped`` takes them."""
+    top = priority.filter("place = 1").select("question_id", F.col("best").alias("best_of_first"))
+    rows = ranked.join(priority.select("question_id", "document_id", F.lit(True).alias("priority")), ["question_id", "document_id"], "left").withColumn("priority", F.coalesce("priority", F.lit(False))).join(top, "question_id")
+    b, kind = F.col("blob"), F.col("source_type")
+    dated, noise = temporal(b, cfg), deadline_noise(b, semantic, has_value, cfg)
+    rows = rows.withColumn("threshold", adaptive_threshold(F.col("intent"), F.col("best_of_first")))
+    rows = rows.withColumn("bucket", selection_bucket(F.col("intent"), kind, semantic, F.col("priority"), dated, candidate_kind(b, cfg), F.col("asked"), noise))
+    return rows.withColumn("selectable", selectable(F.col("intent"), kind, semantic, dated, noise))
+
+
+def retrieve(questions: DataFrame, candidates: DataFrame, cfg: Config, *, semantic: Column | None = None, has_value: Column | None = None, k: int = C.FINAL_TOP_K) -> dict[str, DataFrame]:
+    """The whole way from the branches' candidates to evidence: one DataFrame for each step.
+
+    ``candidates``: question_id, intent, source_type, source_id, document_id, score, snippet, blob, terms, asked,
+    channel, hints.  Steps: merge, type factor, header noise, intent filters, rerank, document statistics,
+    priority documents, selection under caps, quality, package.
+    """
+    semantic = F.lit("") if semantic is None else F.coalesce(semantic, F.lit(""))
+    has_value = F.lit(False) if has_value is None else F.coalesce(has_value, F.lit(False))
+    b, kind = F.col("blob"), F.col("source_type")
+    merged = merge(candidates).withColumn("score", F.col("score") * type_factor(kind))
+    kept = merged.filter(~((kind == "block") & header_noise(F.col("snippet"), b, cfg)) & intent_filter(kind, F.col("intent"), b, F.col("terms"), cfg))
+    score = rerank_score(cfg, kind=kind, intent=F.col("intent"), text=b, terms=F.col("terms"), base=F.col("score"), semantic=semantic, has_value=has_value, chan=F.col("channel"), hints=F.col("hints"), asked=F.col("asked"))
+    ranked = rerank(kept, score)
+    stats = document_stats(ranked)
+    priority = priority_documents(stats)
+    selected = select_capped(settled_for_selection(ranked, stats, priority, cfg, semantic=semantic, has_value=has_value), k=k)
+    return {"merged": merged, "ranked": ranked, "stats": stats, "priority": priority, "selected": selected, "quality": evidence_quality(questions, selected, priority, stats), "package": evidence_package(selected)}
 
 
 def evidence_package(selected: DataFrame) -> DataFrame:

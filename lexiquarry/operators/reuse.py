@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import text_similarity
+from ..functions.similarity import least_jaccard, text_similarity
 
 POINTERS = ("document_id", "block_id", "table_id", "table_row_id", "legal_fact_id")
 
@@ -17,22 +17,57 @@ def eligible(history: DataFrame) -> DataFrame:
         & F.col("deterministic_passed") & F.col("semantic_passed") & (F.col("reuse_status") == "eligible") & F.col("reuse_effective"))
 
 
-def similar(questions: DataFrame, history: DataFrame, *, threshold: float = 0.90, most: int = 20, by_words: bool = False) -> DataFrame:
+#: Words that a text needs so that one of them must stand whole in any text that contains it.
+ANCHORED = 3
+
+
+def _candidates(q: DataFrame, h: DataFrame, need: float) -> DataFrame:
+    """Pairs (question_id, past_id) that may be equal, contained or of a Jaccard similarity of ``need`` or more.
+
+    Nothing is lost: (1) similar sets share a word among the rarest |s| - ceil(need |s|) + 1 of each (one order
+    for both sides); (2) of a text that another one contains, all words but the first and the last stand whole
+    in that one, so its rarest inner word does; (3) texts with fewer than ANCHORED words are compared with all.
+    """
+    def by_word(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, F.size("words").alias("size"), F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "w"))
+        return rows.groupBy(key, "w").agg(F.max((F.col("at") > 0) & (F.col("at") < F.col("length") - 1)).alias("is_inner"), F.max("size").alias("size"))
+
+    asked_words, past = by_word(q, "question_id"), by_word(h, "past_id")
+    rare = past.groupBy("w").agg(F.count("*").alias("n"))
+
+    def by_rarity(rows: DataFrame, key: str) -> DataFrame:
+        item = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "is_inner")
+        one = rows.join(rare, "w", "left").groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(item)).alias("items"))
+        prefix = F.slice("items", F.lit(1), F.col("size") - F.ceil(need * F.col("size") - 1e-9).cast("int") + 1)
+        return one.select(key, "size", F.transform(prefix, lambda x: x["w"]).alias("prefix"), F.try_element_at(F.filter("items", lambda x: x["is_inner"]), F.lit(1))["w"].alias("anchor")).persist()
+
+    asked, held = by_rarity(asked_words, "question_id"), by_rarity(past, "past_id")
+    pair = ["question_id", "past_id"]
+    near_size = (F.col("size") >= need * F.col("past_size")) & (F.col("past_size") >= need * F.col("size"))
+    sizes = asked.agg((F.min("size") * need).alias("low"), (F.max("size") / need).alias("high")).first()
+    fitting = held.filter(F.col("size").between(sizes.low or 0.0, sizes.high or 0.0)).select("past_id", F.col("size").alias("past_size"), F.explode("prefix").alias("pw"))
+    alike = asked.select("question_id", "size", F.explode("prefix").alias("w")).join(fitting, (F.col("w") == F.col("pw")) & near_size).select(*pair)
+    in_past = asked.select("question_id", F.col("anchor").alias("w")).join(past, "w").select(*pair)
+    in_question = held.select("past_id", F.col("anchor").alias("w")).join(asked_words, "w").select(*pair)
+    short = F.size("tokens") < ANCHORED
+    few = q.filter(short).select("question_id").join(h.select("past_id"), F.lit(True)).select(*pair)
+    brief = h.filter(short).select("past_id", "past").join(q.select("question_id", "norm"), F.contains("norm", F.col("past"))).select(*pair)
+    return alike.union(in_past).union(in_question).union(few).union(brief).distinct()
+
+
+def similar(questions: DataFrame, history: DataFrame, *, threshold: float = 0.90, most: int = 20) -> DataFrame:
     """Pairs (question_id, past_id) whose similarity reaches the threshold, the best ``most`` of each question.
 
-    The questions asked now are a stated set, met with all history.  With ``by_words`` only pairs that share a
-    word of four letters are compared (an equi-join); that may lose pairs of very short texts.
+    Candidates come from exact joins on rare words; only they are compared as texts.  The normalised texts are
+    read by every join, so they are kept until the session clears its cache.
     """
-    own_words = lambda c: F.array_distinct(F.split(c, " "))
-    q = questions.select("question_id", T.normalize(F.col("text")).alias("norm")).withColumn("_q", own_words(F.col("norm")))
-    h = history.select("past_id", T.normalize(F.col("text")).alias("past")).withColumn("_h", own_words(F.col("past")))
-    if by_words:
-        words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.char_length(w) >= 4)))
-        ids = q.select("question_id", words(F.col("norm")).alias("w")).join(h.select("past_id", words(F.col("past")).alias("w")), "w").select("question_id", "past_id").distinct()
-        pairs = ids.join(q, "question_id").join(h, "past_id")
-    else:
-        few = q.limit(10_001).count() <= 10_000
-        pairs = h.crossJoin(F.broadcast(q) if few else q)
+    def told(df: DataFrame, key: str, name: str) -> DataFrame:
+        tokens = F.split(F.col(name), " ")
+        return df.select(key, T.normalize(F.col("text")).alias(name)).withColumn("tokens", tokens).withColumn("words", F.array_distinct("tokens")).filter(F.col(name) != "")
+
+    q, h = told(questions, "question_id", "norm").persist(), told(history, "past_id", "past").persist()
+    pairs = _candidates(q, h, least_jaccard(threshold))
+    pairs = pairs.join(q.select("question_id", "norm", F.col("words").alias("_q")), "question_id").join(h.select("past_id", "past", F.col("words").alias("_h")), "past_id")
     pairs = pairs.withColumn("similarity", text_similarity(F.col("norm"), F.col("past"), F.col("_q"), F.col("_h"), threshold)).filter(F.col("similarity") >= threshold)
     w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "past_id")
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("question_id", "past_id", "similarity", "place")

@@ -105,7 +105,7 @@ SERVICE = Config(
     channels=(
         ("epgu", ("епгу", "госуслуг", "единый портал")),
         ("regional_portal", ("рпгу", "краевой портал", "региональный портал")),
-        ("in_person", ("лично", "личный прием", "личном обращении", "личной подаче")),
+        ("in_person", ("лично", "личный прием", "личном обращении", "личной подаче", "по доверенности", "через представителя")),
         ("post", ("почтой", "почтов", "почтовым отправлением", "по почте")),
         ("mfc", ("мфц",)),
     ),

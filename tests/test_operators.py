@@ -123,3 +123,34 @@ def test_streams(spark, tmp_path):
     q = streaming.votes_once(spark.readStream.schema(votes.schema).parquet(twice)).writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 12
+
+
+def test_similar_misses_nothing(spark):
+    """Against all pairs said plainly: equal, contained (also within words) and alike texts, short ones too."""
+    import random
+
+    rng, words = random.Random(3), [a + b for a in "bdgklmn" for b in ("a", "ei", "o")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    asked = texts[:20] + [" ".join(texts[30].split()[1:-1]), texts[31] + " " + texts[32], texts[33][1:-1], "a", "", None]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id int, text string")
+    h = spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts + ["", None, "ba"])], "past_id int, text string")
+    got = {(r.question_id, r.past_id): r.similarity for r in reuse.similar(q, h, most=1000).collect()}
+
+    def similarity(a, b):
+        if not a or not b:
+            return 0.0
+        x, y = set(a.split(" ")), set(b.split(" "))
+        j = len(x & y) / len(x | y)
+        return 1.0 if a == b else 0.97 if a in b or b in a else 0.95 if j >= 0.8 else 0.92 if j >= 0.7 else 0.9 if j >= 0.6 else 0.0
+
+    want = {(i, 100 + k): similarity(a, b) for i, a in enumerate(asked) for k, b in enumerate(texts + ["", None, "ba"]) if similarity(a, b) >= 0.9}
+    assert got == want
+
+
+def test_all_qc_codes(spark):
+    m = spark.createDataFrame([(0, 0, 0, 0, 0, 0.0, 0.0, 0.0, False, 0, 0, 0, 0, 0, 2), (500, 9, 0, 9, 400, 0.0, 0.0, 40.0, False, 1, 0, 4, 0, 4, 1)],
+                              "text_chars int, n_blocks int, n_empty int, n_meaningful int, chars int, empty_ratio double, other_ratio double, avg_block double, duplicate_order boolean, n_tables int, n_without_rows int, n_rows int, n_unbound int, n_empty_rows int, declared_tables int")
+    from lexiquarry.operators import ingest as I
+
+    a, b = (r.errors for r in I.qc_verdict(m).orderBy("text_chars").collect())
+    assert {"declared_tables_not_extracted", "no_retrievable_units", "normalized_text_empty"} <= set(a) and b == ["all_table_rows_empty"]

@@ -6,20 +6,22 @@ from lexiquarry.operators import retrieval as R
 from lexiquarry.plans import config as C
 from lexiquarry.plans.config import SERVICE
 
-ROW = "question_id int, intent string, threshold double, bucket int, priority boolean, source_type string, source_id string, document_id long, score double, rerank_score double, rank int"
+ROW = "question_id int, intent string, threshold double, bucket int, selectable boolean, priority boolean, source_type string, source_id string, document_id long, score double, rerank_score double, rank int"
 
 
 def greedy(rows, k=12):
-    """The selection, said plainly."""
-    rows = sorted(rows, key=lambda r: (r[3], -r[9], r[10]))
-    intent, chosen = rows[0][1], []
+    """The selection, said plainly: (question, intent, least, bucket, selectable, priority, type, id, document, score, rerank, rank)."""
+    intent = rows[0][1]
+    by_score = intent in ("documents", "deadline")
+    rows = sorted((r for r in rows if r[4]), key=lambda r: (r[3], -r[10] if by_score else 0, r[11]))
+    chosen = []
     for r in rows:
-        cap, (first, other) = R.type_cap(intent if intent in ("documents", "deadline") else "other", r[5], k), R.document_caps(intent)
-        if len(chosen) < k and r[9] >= r[2] and sum(c[5] == r[5] for c in chosen) < cap and sum(c[7] == r[7] for c in chosen) < (first if r[4] else other):
+        cap, (first, other) = R.type_cap(intent if by_score else "other", r[6], k), R.document_caps(intent)
+        if len(chosen) < k and r[10] >= r[2] and sum(c[6] == r[6] for c in chosen) < cap and sum(c[8] == r[8] for c in chosen) < (first if r[5] else other):
             chosen.append(r)
     if len(chosen) < 3:
-        chosen += [r for r in sorted(rows, key=lambda r: r[10]) if r not in chosen][: k - len(chosen)]
-    return [r[6] for r in chosen]
+        chosen += [r for r in rows if r not in chosen][: k - len(chosen)]
+    return [r[7] for r in chosen]
 
 
 def test_selection_is_greedy(spark):
@@ -29,12 +31,22 @@ def test_selection_is_greedy(spark):
         least = rng.choice([0.2, 0.45, 2.0])
         for k in range(rng.randint(1, 44)):
             s = round(rng.random() * 1.5, 3)
-            rows.append((q, intent, least, rng.randint(0, 3), rng.random() < 0.5, rng.choice(C.BRANCHES), f"s{k}", rng.randint(1, 4), s, s, k))
+            rows.append((q, intent, least, rng.randint(0, 3) if intent != "procedure" else 0, intent != "deadline" or rng.random() < 0.6, rng.random() < 0.5, rng.choice(C.BRANCHES), f"s{k}", rng.randint(1, 4), s, s, k))
     got = R.select_capped(spark.createDataFrame(rows, ROW)).orderBy("question_id", "place").collect()
     for q in range(30):
         assert [r.source_id for r in got if r.question_id == q] == greedy([r for r in rows if r[0] == q])
 
 
+def test_buckets_of_the_selection(spark):
+    rows = [("documents", "table_row", "documents", True, False), ("documents", "table", "documents", True, False), ("documents", "table_row", "deadlines", True, False), ("documents", "block", "", False, False),
+            ("deadline", "block", "", True, True), ("deadline", "block", "", True, False), ("deadline", "table", "deadlines", True, False), ("deadline", "table", "", True, True), ("procedure", "block", "", True, False)]
+    df = spark.createDataFrame(rows, "intent string, kind string, semantic string, priority boolean, dated boolean")
+    c = [F.col(x) for x in ("intent", "kind", "semantic")]
+    bucket = R.selection_bucket(*c, F.col("priority"), F.col("dated"), F.lit("decision"), F.lit("decision"), F.lit(False))
+    got = [(r.b, r.s) for r in df.select(bucket.alias("b"), R.selectable(*c, F.col("dated"), F.lit(False)).alias("s")).collect()]
+    assert got == [(0, True), (1, True), (2, True), (3, True), (0, True), (8, False), (8, True), (4, False), (0, True)]
+
+
 def test_bundle(spark):
     q = spark.createDataFrame([(1, "Какие документы нужны для ЕДВ через ЕПГУ?", "documents", None), (2, "Срок выплаты", "deadline", "М1")], "question_id int, text string, intent string, measure_code string")
     a, b = R.bundle(q, SERVICE).orderBy("question_id").collect()
@@ -55,11 +67,32 @@ def test_kind_ties(spark):
 
 
 def test_quality_rules(spark):
-    rows = [(1, 10, 0.9, True), (1, 10, 0.8, True), (2, 10, 0.1, False), (3, 10, 0.9, True)]
-    got = {r.question_id: (r.quality, r.reason) for r in R.evidence_quality(spark.createDataFrame(rows, "question_id int, document_id long, final_score double, priority boolean")).collect()}
-    assert got == {1: ("strong", "ok"), 2: ("insufficient", "low_top_score"), 3: ("weak", "single_item")}
+    selected = [(1, 0, 10, 0.9), (1, 1, 10, 0.8), (2, 0, 10, 0.1), (3, 0, 10, 0.9)] + [(q, k, 10 + k, 0.8) for q in (4, 5) for k in range(3)] + [(6, k, max(10, 8 + k), 0.8) for k in range(5)] + [(7, 0, 10, 0.5), (7, 1, 10, 0.9)]
+    stats = [(q, 10 + k, 1.0 if q == 6 else 1.0 - k / 2) for q in range(1, 8) for k in range(2)]
+    prio = [(q, d) for q in range(1, 8) for d in ((10,) if q == 4 else (10, 11))]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = R.evidence_quality(frame([(q,) for q in range(1, 9)], "question_id int"), frame(selected, "question_id int, place int, document_id long, final_score double"), frame(prio, "question_id int, document_id long"), frame(stats, "question_id int, document_id long, doc_score double"))
+    assert {r.question_id: (r.quality, r.reason) for r in got.collect()} == {
+        1: ("strong", "ok"), 2: ("insufficient", "top_score_too_low"), 3: ("weak", "single_candidate_only"), 4: ("weak", "document_spread_too_wide"), 5: ("weak", "low_document_concentration"),
+        6: ("weak", "no_clear_document_leader"), 7: ("strong", "ok"), 8: ("insufficient", "no_candidates")}
+
+
+def test_retrieve_runs_the_filters(spark):
+    rows = [("block", "b1", 1, 1.0, "Short", "short"), ("block", "b2", 1, 1.0, "x" * 60 + " срок принятия решения 10 рабочих дней", "срок принятия решения 10 рабочих дней"), ("block", "b3", 2, 1.0, "y" * 300, "nothing of it"), ("table_row", "r1", 2, 0.9, "", "срок 5 рабочих дней"), ("table_row", "r1", 2, 0.4, "", "срок 5 рабочих дней")]
+    df = spark.createDataFrame([(1, "deadline", *r, ["срок"], "decision", None, []) for r in rows], "question_id int, intent string, source_type string, source_id string, document_id long, score double, snippet string, blob string, terms array<string>, asked string, channel string, hints array<string>")
+    got = R.retrieve(spark.createDataFrame([(1,), (2,)], "question_id int"), df, SERVICE)
+    assert {r.source_id for r in got["merged"].collect()} == {"b1", "b2", "b3", "r1"} and {r.source_id for r in got["ranked"].collect()} == {"b2", "r1"}
+    assert {r.source_id for r in got["selected"].collect()} == {"b2", "r1"}
+    assert {r.question_id: r.quality for r in got["quality"].collect()}[2] == "insufficient"
+
+
+def test_hits_of_terms(spark):
+    df = spark.createDataFrame([("Order the a_c",), ("abc",), (None,)], "c string")
+    own = df.withColumn("h", R.term_hits(["order", "a_c", "zz"], [F.col("c"), F.lit("zz")]))
+    score = R.hit_score(F.array(F.lit("order"), F.lit("order"), F.lit("a_c")), F.col("h"), 0.5)
+    assert [r.s for r in own.select(score.alias("s")).collect()] == [1.5, 0.5, 0.0]
 
 
 def test_threshold(spark):
     f = lambda i, b: spark.range(1).select(R.adaptive_threshold(F.lit(i), F.lit(b))).first()[0]
-    assert f("documents", 3.0) == 0.35 and f("deadline", 0.1) == 0.25
+    assert f("documents", 3.0) == 0.45 and f("deadline", 0.1) == 0.25 and f("procedure", 3.0) == 0.35 and f("rejection", 1.1) == 0.385
