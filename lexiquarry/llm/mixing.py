@@ -34,7 +34,7 @@ from .shared import BROADCAST_ROWS, free_name, join_keyed, read_table, settle, w
 #: Words are the runs of other characters than white space (space, U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the digest that are looked at in one step.
-DIGITS = 4
+DIGITS = 3
 
 
 def words(text: Column) -> Column:
@@ -107,7 +107,7 @@ def planned(rows: DataFrame, weigh=cycled, cap: float = 3.0, share: float = 1.0,
     near = rows.select(F.col("source").alias("of"), "uid", "size", "digest", first.alias("part"))
     near = settle(_same_source(near, hint(ends), F.col("part") == F.col("cut")).drop("part", "cut").withColumnRenamed("still", "left"), "mix-near")
     split, number = (F.lpad(c.cast("string"), 20, "0") for c in (F.shiftright("uid", 33), F.col("uid")))
-    for part in (F.substring("digest", 1 + DIGITS, DIGITS), F.concat_ws(":", "digest", split), number):
+    for part in (F.substring("digest", 1 + DIGITS, DIGITS), F.substring("digest", 1 + 2 * DIGITS, DIGITS), F.concat_ws(":", "digest", split), number):
         near = near.withColumn("part", part)
         ends = _ends(near.groupBy("of", "part", "left").agg(F.sum("size").alias("own")))
         near = _same_source(near.drop("left"), hint(ends), F.col("part") == F.col("cut")).drop("part", "cut").withColumnRenamed("still", "left")
