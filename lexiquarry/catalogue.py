@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import evaluate, feedback, generate, ingest, publish, retrieval, reuse, vector
+from .operators import answers, evaluate, feedback, generate, ingest, publish, retrieval, reuse, vector
 from .plans import views as V
 from .plans.config import DRIVER
 from .plans.views import with_views
@@ -721,3 +721,109 @@ def q59(spark, d):
 def q60(spark, d):
     e = V.table(spark, d, "embeddings")
     return e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", F.round(S.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- answer events, history, documents
+
+@query("q61_json_filters", """SELECT event_id, wanted IS NULL OR json_extract_string(props, '$.k') IS NULL OR json_extract_string(props, '$.k') = wanted AS same, contains(lower(coalesce(props, '')), '"k": 1') AS held
+  FROM (SELECT event_id, props, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 10 AS VARCHAR) END AS wanted FROM events)""")
+def q61(spark, d):
+    wanted = F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 10).cast("string"))
+    return V.table(spark, d, "events").select("event_id", retrieval.json_exact_or_null(F.col("props"), "$.k", wanted).alias("same"), retrieval.json_holds(F.col("props"), F.lit('"K": 1')).alias("held"))
+
+
+@query("q62_answer_points", with_views(r"""cand AS (SELECT document_id AS question_id, 'block' AS kind, block_order AS place, content AS raw, content AS note, true AS found FROM blocks
+  UNION ALL SELECT document_id, 'legal_fact', 1000000 + CAST(substring(source_id, 2) AS INTEGER), note, note, CAST(substring(source_id, 2) AS INTEGER) % 2 = 0 FROM facts),
+flat AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t FROM cand),
+short AS (SELECT *, CASE WHEN length(t) <= 260 THEN t ELSE rtrim(substring(t, 1, 257)) || '...' END AS s FROM flat),
+made AS (SELECT question_id, place, CASE WHEN kind = 'block' THEN CASE WHEN s = '' THEN NULL WHEN right(s, 1) IN ('.', '!', '?') THEN s ELSE s || '.' END WHEN found THEN regexp_replace(trim(note), '\.+$', '') || '.' ELSE note END AS point FROM short),
+once AS (SELECT question_id, point, min(place) AS first FROM made WHERE point <> '' GROUP BY ALL),
+numbered AS (SELECT question_id, point, row_number() OVER (PARTITION BY question_id ORDER BY first, point) AS place FROM once)
+SELECT question_id, CAST(place AS INTEGER) AS place, point FROM numbered WHERE place <= 6""", "blocks", "facts"))
+def q62(spark, d):
+    """Blocks and facts of a document as candidates; every other fact can't be found any more."""
+    blocks, facts = V.blocks(spark, d), V.facts(spark, d)
+    number = F.substring("source_id", 2, 20).cast("int")
+    cand = blocks.select(F.col("document_id").alias("question_id"), F.lit("block").alias("source_type"), "source_id", F.col("block_order").alias("place"), F.col("content").alias("snippet"))
+    cand = cand.unionByName(facts.select(F.col("document_id").alias("question_id"), F.lit("legal_fact").alias("source_type"), "source_id", (1_000_000 + number).alias("place"), F.col("note").alias("snippet")))
+    objects = {"block": blocks.select("source_id", "content"), "legal_fact": facts.filter(number % 2 == 0).select("source_id", "fact_type", F.col("note").alias("validity_note"))}
+    return answers.answer_points(answers.hydrate(cand, objects))
+
+
+_PAST = """, hist AS (SELECT n AS answer_id, n AS question_id, b.text AS question_text, intent, measure_code, mode, validation_status, created_at, (n % 4) / 4.0::DOUBLE AS reuse_score, CASE WHEN n % 6 <> 0 THEN 1 + n % 5 END AS avg_score, n % 9 AS n_votes
+  FROM answers a LEFT JOIN benchmark b ON b.item_id = n % 40 WHERE n % 8 <> 0)"""
+
+
+def _past(spark, d):
+    """The three relations of the history: answers, their questions, what is known of their reuse."""
+    a = V.answers(spark, d)
+    own = a.select("answer_id", F.col("answer_id").alias("question_id"), "mode", "validation_status", "created_at", F.lit(True).alias("reuse_allowed"), F.lit(True).alias("deterministic_passed"), F.lit(True).alias("semantic_passed"))
+    text = V.table(spark, d, "benchmark").select((F.col("item_id")).alias("_item"), F.col("text").alias("question_text"))
+    asked = a.select(F.col("answer_id").alias("question_id"), "intent", "measure_code", F.lit(None).cast("string").alias("subject"), (F.col("n") % 40).alias("_item")).join(text, "_item", "left").drop("_item")
+    n = F.col("n")
+    known = a.filter(n % 8 != 0).select("answer_id", F.lit("eligible").alias("reuse_status"), F.lit(True).alias("reuse_effective"), (n % 4 / 4.0).alias("reuse_score"), F.when(n % 6 != 0, 1 + n % 5).alias("avg_score"), (n % 9).alias("n_votes"))
+    return answers.history(own, asked, known)
+
+
+_LEAD = _PAST + """, lead_ AS (SELECT *, row_number() OVER (ORDER BY reuse_score DESC NULLS FIRST, avg_score DESC NULLS FIRST, n_votes DESC NULLS FIRST, created_at DESC NULLS FIRST, answer_id) AS standing FROM hist WHERE mode NOT IN ('reused_answer', 'safe_no_answer') AND validation_status = 'passed')"""
+
+
+@query("q63_leading_history", with_views("x AS (SELECT 1)" + _LEAD + " SELECT answer_id, CAST(standing AS INTEGER) AS standing FROM lead_ WHERE standing <= 60", "answers"))
+def q63(spark, d):
+    return answers.leading_history(_past(spark, d), 60).select("answer_id", "standing")
+
+
+@query("q64_history_matches", with_views("x AS (SELECT 1)" + _LEAD + r""", q AS (SELECT item_id AS question_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS norm, CASE WHEN item_id % 2 = 0 THEN 'documents' ELSE 'deadline' END AS intent, 'm' || (item_id % 5) AS measure_code FROM benchmark),
+h AS (SELECT *, lower(trim(regexp_replace(coalesce(question_text, ''), '\s+', ' ', 'g'))) AS past FROM lead_ WHERE standing <= 61),
+pairs AS (SELECT q.question_id, q.norm, q.intent AS qi, q.measure_code AS qm, h.answer_id, h.past, h.intent, h.measure_code, h.reuse_score, h.avg_score, h.n_votes, h.created_at, h.standing, row_number() OVER (PARTITION BY q.question_id ORDER BY standing) AS counted FROM q JOIN h ON h.question_id <> q.question_id),
+sets AS (SELECT *, list_distinct(string_split(norm, ' ')) AS a, list_distinct(string_split(past, ' ')) AS b FROM pairs WHERE counted <= 60),
+sims AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS j FROM sets),
+scored AS (SELECT *, CASE WHEN norm = '' OR past = '' THEN 0 WHEN norm = past THEN 1 WHEN contains(norm, past) OR contains(past, norm) THEN 0.97 WHEN j >= 0.8 THEN 0.95 WHEN j >= 0.7 THEN 0.92 WHEN j >= 0.6 THEN 0.9 ELSE round(j, 4) END::DOUBLE AS similarity,
+  round(CASE WHEN qi = intent THEN 0.5 ELSE 0 END + CASE WHEN qm = measure_code THEN 0.3 ELSE 0 END + 0.05, 4)::DOUBLE AS signature FROM sims),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, signature DESC, reuse_score DESC, coalesce(avg_score, 0) DESC, n_votes DESC, created_at DESC, standing) AS place FROM scored WHERE similarity >= 0.9)
+SELECT question_id, answer_id AS past_id, similarity, signature, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 20""", "answers"))
+def q64(spark, d):
+    i = F.col("item_id")
+    asked = V.table(spark, d, "benchmark").select(i.alias("question_id"), "text", F.when(i % 2 == 0, "documents").otherwise("deadline").alias("intent"), F.concat(F.lit("m"), (i % 5).cast("string")).alias("measure_code"), F.lit(None).cast("string").alias("subject"))
+    return answers.history_matches(asked, _past(spark, d))
+
+
+@query("q65_evidence_hashes", with_views(_EVID + """,
+items AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY k, block_id NULLS FIRST, ch NULLS FIRST, fh NULLS FIRST, CAST(document_id AS VARCHAR) NULLS FIRST) AS place FROM evid),
+per AS (SELECT answer_id, count(*) AS n, list_sort(list_distinct(list(coalesce(ch, fh)) FILTER (WHERE coalesce(ch, fh) IS NOT NULL))) AS documents,
+  string_agg('{"block_id":' || coalesce('"' || block_id || '"', 'null') || ',"citation_json":{},"document_content_hash":' || coalesce('"' || ch || '"', 'null') || ',"document_file_hash":' || coalesce('"' || fh || '"', 'null') || ',"document_id":' || coalesce('"' || document_id || '"', 'null')
+    || ',"evidence_item_type":"document","legal_fact_id":null,"order":' || place || ',"role_code":"primary","table_id":null,"table_row_id":null}', ',' ORDER BY place) AS told FROM items GROUP BY 1)
+SELECT answer_id, sha256('{"documents":[' || coalesce(array_to_string(list_transform(documents, lambda x: '"' || x || '"'), ','), '') || ']}') AS document_set_hash, sha256('[' || told || ']') AS evidence_hash, CAST(n AS INTEGER) AS n_items FROM per""", "registry", "rows"))
+def q65(spark, d):
+    return answers.evidence_hashes(_evidence(spark, d).withColumns({"evidence_item_type": F.lit("document"), "role_code": F.lit("primary")}))
+
+
+@query("q66_document_titles", with_views(r"""n AS (SELECT document_id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS t, block_order, row_number() OVER (PARTITION BY document_id ORDER BY block_order) AS place FROM blocks),
+first_ AS (SELECT document_id, arg_min(t, block_order) AS t FROM n WHERE place <= 20 AND length(t) >= 4 GROUP BY 1)
+SELECT doc_id AS document_id, coalesce(t, 'file' || doc_id || '.v1') AS title FROM documents LEFT JOIN first_ ON document_id = doc_id""", "blocks"))
+def q66(spark, d):
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("in/file"), F.col("doc_id"), F.lit(".v1.docx")).alias("file_name"))
+    return ingest.document_titles(docs, V.blocks(spark, d))
+
+
+@query("q67_extraction_counters", with_views("""n AS (SELECT table_id, count(*) AS n FROM rws WHERE l_returnflag = 'R' GROUP BY 1),
+per AS (SELECT document_id, count(*) AS declared, count(*) FILTER (WHERE n IS NULL) AS skipped, count(n) AS meaningful, sum(coalesce(n, 0))::BIGINT AS table_rows FROM tabs LEFT JOIN n ON table_id = source_id GROUP BY 1)
+SELECT doc_id AS document_id, coalesce(declared, 0) AS declared, coalesce(skipped, 0) AS skipped, coalesce(meaningful, 0) AS meaningful, coalesce(table_rows, 0) AS table_rows FROM documents LEFT JOIN per ON document_id = doc_id""", "tables", "rows"))
+def q67(spark, d):
+    """Rows that were returned count as meaningful; a table without any is skipped."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
+    return ingest.extraction_counters(docs, V.tables(spark, d).withColumnRenamed("source_id", "table_id"), V.rows(spark, d).filter("l_returnflag = 'R'").select("table_id"))
+
+
+@query("q68_safe_answers", with_views(f"SELECT answer_id AS question_id, 'safe_no_answer' AS answer_mode, '{answers.SAFE_TEXT}' AS answer_text, '{answers.SAFE_TEXT}' AS answer_text_short, 0.35::DOUBLE AS confidence_score, 0.3::DOUBLE AS trust_score, 'passed' AS validation_status, true AS deterministic_passed, true AS semantic_passed, false AS reuse_allowed, 'insufficient_evidence' AS reason_code, CASE WHEN n % 2 = 0 THEN 'weak' ELSE 'insufficient' END AS evidence_quality FROM answers WHERE mode = 'safe_no_answer'", "answers"))
+def q68(spark, d):
+    a = V.answers(spark, d).filter("mode = 'safe_no_answer'").withColumnRenamed("answer_id", "question_id")
+    return answers.safe_answers(a, F.lit("insufficient_evidence"), F.when(F.col("n") % 2 == 0, "weak").otherwise("insufficient"))
+
+
+@query("q69_lookup", "SELECT item_id AS document_id, CASE WHEN item_id * 50 IN (SELECT doc_id FROM documents) THEN 'found' ELSE 'missing' END AS state FROM benchmark")
+def q69(spark, d):
+    keys = V.table(spark, d, "benchmark").select((F.col("item_id") * 50).alias("doc_id"))
+    found, missing = answers.lookup(V.table(spark, d, "documents").select("doc_id"), keys, "doc_id")
+    told = found.withColumn("state", F.lit("found")).unionByName(missing.withColumn("state", F.lit("missing")))
+    return told.select((F.col("doc_id") / 50).cast("long").alias("document_id"), "state")

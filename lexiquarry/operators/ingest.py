@@ -207,3 +207,27 @@ def new_files(files: DataFrame, registry: DataFrame, *, force: bool = False) ->
 
 def duplicate_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(registry.filter(F.col("status") == "active").select("file_hash"), "file_hash", "left_semi")
+
+
+#: Headings that stand above many documents and aren't their titles.
+NO_TITLES = ("министерство социальной политики", "министерство социальной политики красноярского края")
+
+
+def document_titles(documents: DataFrame, blocks: DataFrame, *, skipped=NO_TITLES, looked_at: int = 20) -> DataFrame:
+    """document_id, title: the first of a document's first blocks that can be one, else the file's name.
+
+    ``documents``: document_id, file_name; ``blocks``: document_id, block_order, content.
+    """
+    w = Window.partitionBy("document_id").orderBy("block_order")
+    first = blocks.select("document_id", "block_order", T.collapse(F.col("content")).alias("_t")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= looked_at)
+    first = first.filter((F.char_length("_t") >= 4) & ~F.lower("_t").isin(*skipped)).groupBy("document_id").agg(F.min_by("_t", "block_order").alias("_t"))
+    stem = F.regexp_replace(F.regexp_extract("file_name", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return documents.select("document_id", "file_name").join(first, "document_id", "left").select("document_id", F.coalesce("_t", stem).alias("title"))
+
+
+def extraction_counters(documents: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
+    """document_id, declared, skipped (tables without rows), meaningful tables, table_rows of every document."""
+    n = rows.groupBy("table_id").agg(F.count("*").alias("_n"))
+    per = tables.select("document_id", "table_id").join(n, "table_id", "left").groupBy("document_id")
+    per = per.agg(F.count("*").alias("declared"), F.count_if(F.col("_n").isNull()).alias("skipped"), F.count("_n").alias("meaningful"), F.sum(F.coalesce("_n", F.lit(0))).alias("table_rows"))
+    return documents.select("document_id").join(per, "document_id", "left").na.fill(0, ["declared", "skipped", "meaningful", "table_rows"])

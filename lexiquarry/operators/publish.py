@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 CHILDREN = ("document_blocks", "document_tables", "document_table_rows", "legal_facts", "measure_aliases")
 REGISTRY = "document_registry"
 CHANNELS = ("telegram", "web", "mobile", "api", "internal")
@@ -57,12 +59,21 @@ def seed_channels(spark) -> DataFrame:
     return spark.createDataFrame([(k + 1, c, c.title(), True) for k, c in enumerate(CHANNELS)], "channel_id long, channel_code string, channel_name string, is_active boolean")
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> None:
-    """Children first, the registry last: a document is there once its registry row is.  Readers join on that."""
-    for name in CHILDREN:
-        if name in tables:
-            tables[name].write.mode("append").parquet(f"{folder}/{name}")
-    tables[REGISTRY].write.mode("append").parquet(f"{folder}/{REGISTRY}")
+def publish(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
+    """Children first, the registry last: a document is there once its registry row is.  Readers join on that.
+
+    Rows lie under their ``batch``; publishing a batch again replaces what an earlier attempt left of it.
+    """
+    for name in (*[c for c in CHILDREN if c in tables], REGISTRY):
+        out = tables[name].withColumn("batch", F.lit(batch)).write.partitionBy("batch")
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{name}")
+
+
+def unpublishable(documents: DataFrame) -> DataFrame:
+    """document_id and reason of documents that may not be published: checks not passed or hashes missing."""
+    missing = lambda c: T.first_filled(F.col(c)).isNull()
+    reason = F.when(~F.coalesce(F.col("qc_status") == "passed", F.lit(False)), "qc_not_passed").when(missing("file_hash"), "file_hash_missing").when(missing("content_hash"), "content_hash_missing")
+    return documents.select("document_id", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def job_state(log: DataFrame) -> DataFrame:

@@ -133,6 +133,17 @@ def exact_or_null(c: Column, wanted: Column) -> Column:
     return wanted.isNull() | c.isNull() | (c == wanted)
 
 
+def json_exact_or_null(record: Column, path: str, wanted: Column) -> Column:
+    """The value at a path of a JSON text is the one wanted, or is missing; all rows if none is wanted."""
+    value = F.get_json_object(record, path)
+    return wanted.isNull() | value.isNull() | (value == wanted)
+
+
+def json_holds(record: Column, term: Column) -> Column:
+    """The term stands anywhere in a JSON text, names included, in either case."""
+    return F.contains(F.lower(F.coalesce(record, F.lit(""))), F.lower(term))
+
+
 def fact_boost(intent: Column, fact_type: Column, measure: Column | None = None, wanted: Column | None = None, subject: Column | None = None, wanted_subject: Column | None = None) -> Column:
     out = F.lit(0.0)
     if measure is not None:

@@ -154,3 +154,65 @@ def test_all_qc_codes(spark):
 
     a, b = (r.errors for r in I.qc_verdict(m).orderBy("text_chars").collect())
     assert {"declared_tables_not_extracted", "no_retrievable_units", "normalized_text_empty"} <= set(a) and b == ["all_table_rows_empty"]
+
+
+def test_answer_points(spark):
+    from lexiquarry.operators import answers as A
+
+    facts = spark.createDataFrame(
+        [("1", "documents", "", ["a", "b"], None, None), ("2", "deadline", "", None, {"days": "5"}, None), ("3", "rejection_reason", "no papers.", None, None, None),
+         ("4", "eligibility", "lives here", None, None, {"age": "60"}), ("5", "other", "A note..", None, None, None), ("6", "other", "", None, None, None)],
+        "source_id string, fact_type string, validity_note string, documents array<string>, value map<string,string>, condition map<string,string>")
+    rows = spark.createDataFrame([("1", "a  row", None), ("2", "", {"k": "v", "none": ""})], "source_id string, row_summary string, cells map<string,string>")
+    tables = spark.createDataFrame([("1", "", "Fees")], "source_id string, summary string, table_title string")
+    blocks = spark.createDataFrame([("1", "x" * 300), ("2", "a row.")], "source_id string, content string")
+    asked = [("legal_fact", str(k)) for k in range(1, 8)] + [("table_row", "1"), ("table_row", "2"), ("table_row", "3"), ("table", "1"), ("block", "1"), ("block", "2")]
+    cand = spark.createDataFrame([(k, t, i, k, "cut  off") for k, (t, i) in enumerate(asked)], "question_id int, source_type string, source_id string, place int, snippet string")
+    got = {r.place: r.point for r in A.hydrate(cand, {"legal_fact": facts, "table_row": rows, "table": tables, "block": blocks}).select("place", A.answer_point().alias("point")).collect()}
+    assert [got[k] for k in range(len(asked))] == [
+        "Необходимые документы: a, b.", "Срок: days: 5.", "Основания отказа: no papers.", "Условия предоставления: age: 60; lives here.", "A note.", None, "cut  off",
+        "a row.", "k: v.", "cut off.", "Найдена релевантная таблица: Fees.", "x" * 257 + "...", "a row."]
+    few = A.answer_points(A.hydrate(cand.withColumn("question_id", F.lit(1)), {"block": blocks, "table_row": rows}))
+    assert [r.point for r in few.orderBy("place").collect()] == ["cut  off", "a row.", "k: v.", "cut off.", "x" * 257 + "..."]
+
+
+def test_evidence_hashes(spark):
+    import hashlib
+    import json
+
+    from lexiquarry.operators import answers as A
+
+    ev = spark.createDataFrame(
+        [(1, 5, "block", "supporting", None, "b", None, None, {"z": "1", "a": "я"}), (1, 2, "document", "primary", "d", None, "h", None, {}), (1, 9, "document", "primary", "d", None, "h", "f", {})],
+        "answer_id int, evidence_order int, evidence_item_type string, role_code string, document_id string, block_id string, document_content_hash string, document_file_hash string, citation map<string,string>")
+    items = [{k: None for k in ("block_id", "document_content_hash", "document_file_hash", "document_id", "legal_fact_id", "table_id", "table_row_id")} for _ in range(3)]
+    items[0] |= {"order": 1, "evidence_item_type": "document", "role_code": "primary", "document_id": "d", "document_content_hash": "h", "citation_json": {}}
+    items[1] |= {"order": 2, "evidence_item_type": "block", "role_code": "supporting", "block_id": "b", "citation_json": {"a": "я", "z": "1"}}
+    items[2] |= {"order": 3, "evidence_item_type": "document", "role_code": "primary", "document_id": "d", "document_content_hash": "h", "document_file_hash": "f", "citation_json": {}}
+    said = lambda x: hashlib.sha256(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    got = A.evidence_hashes(ev).first()
+    assert (got.document_set_hash, got.evidence_hash, got.n_items) == (said({"documents": ["h"]}), said(items), 3)
+    given = spark.createDataFrame([(1, " t ", True), (2, "u", False)], "answer_id int, answer_text string, reuse_allowed boolean")
+    events, rows, candidates = A.answer_events(given, ev)
+    by = {r.answer_id: r for r in events.collect()}
+    assert by[2].evidence_hash == said([]) and by[2].document_set_hash == said({"documents": []}) and by[1].answer_text == "t"
+    assert sorted(r.evidence_order for r in rows.collect()) == [1, 2, 3]
+    assert [r.answer_id for r in candidates.collect()] == [1]
+
+
+def test_publish_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "document_id int, content string")
+    tables = {"document_blocks": rows, "document_registry": rows.select("document_id")}
+    for batch in ("one", "one", "two"):
+        publish.publish(tables, str(tmp_path), batch)
+    read = spark.read.parquet(f"{tmp_path}/document_blocks")
+    assert {r["batch"]: r["count"] for r in read.groupBy("batch").count().collect()} == {"one": 2, "two": 2}
+    docs = spark.createDataFrame([(1, "passed", "f", "c"), (2, None, "f", "c"), (3, "passed", " ", "c"), (4, "passed", "f", None)], "document_id int, qc_status string, file_hash string, content_hash string")
+    assert {r.document_id: r.reason for r in publish.unpublishable(docs).collect()} == {2: "qc_not_passed", 3: "file_hash_missing", 4: "content_hash_missing"}
+
+
+def test_deadline_cells(spark):
+    rows = spark.createDataFrame([(1, {"deadline_value": "", "срок_ответа": "не более 26 рабочих дней", "service_name": "Выплата", "row_number": "3"}), (2, {"note": "в 5 дней", "who": " "})], "k int, cells map<string,string>")
+    got = rows.select("k", generate.cells_deadline(F.col("cells")).alias("v"), generate.cells_scope(F.col("cells")).alias("s"), generate.specificity(generate.cells_deadline(F.col("cells"))).alias("n")).orderBy("k").collect()
+    assert (got[0].v, got[0].s, got[0].n) == ("не более 26 рабочих дней", "service name: Выплата", 7)
+    assert (got[1].v, got[1].s) == (None, None)
