@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, jaccard_join, licences, mixing, neighbours, packing, secret_scan, token_counts, toxicity
+from . import chat_format, exact_dedup, fill_middle, jaccard_join, licences, mixing, neighbours, packing, quality, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op13_quality": quality.op13_quality,
 }
 
 #: The others can't be said in SQL, or only too slowly: they are tested against brute force.
@@ -23,4 +25,5 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_licences": licences.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
