@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fill_middle, jaccard_join, licences, mixing, neighbours, packing, quality, secret_scan, token_counts, toxicity
+from . import chat_format, exact_dedup, fill_middle, jaccard_join, licences, mixing, neighbours, packing, prefix_trie, quality, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_quality": quality.op13_quality,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op8_licences": licences.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
