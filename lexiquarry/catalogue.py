@@ -74,24 +74,27 @@ _OUT = "SELECT question_id, source_id, document_id, score, CAST(place AS INTEGER
 @query("q03_block_scores", with_views(f"SELECT question_id, v.source_id, {_score_sql(['content'], 0.35, _BLOCK_BOOST)} * {_weight_sql('block')} AS score FROM questions, blocks v WHERE v.document_id IN (SELECT document_id FROM registry WHERE status = 'active')", "registry", "blocks", "questions"))
 def q03(spark, d):
     own = V.blocks(spark, d).join(V.statuses(spark, d).filter("status = 'active'").select("document_id"), "document_id", "left_semi")
-    terms = sorted({t for q in V.QUESTIONS for t in q[2]})
+    terms = F.array(*[F.lit(t) for t in sorted({t for q in V.QUESTIONS for t in q[2]})])
     own = own.select("source_id", "block_type", retrieval.term_hits(terms, [F.col("content")]).alias("hits"))
     score = F.round(retrieval.hit_score(F.col("terms"), F.col("hits"), 0.35) + retrieval.block_boost(F.col("intent"), F.col("block_type")), 6)
-    every = own.join(F.broadcast(V.questions(spark)), F.lit(True))  # three questions; the query asks for all scores
+    every = own.join(F.broadcast(V.questions(spark)), F.lit(True))  # a stated handful of questions; the query asks for all scores
     return every.select("question_id", "source_id", (score * retrieval.strategy_weight(F.col("intent"), "block")).alias("score"))
 
 
 def _blocks(spark, d):
-    return retrieval.branch(V.questions(spark), V.blocks(spark, d), V.statuses(spark, d), "block", ["content"], boost=retrieval.block_boost(F.col("intent"), F.col("block_type")))
+    intent, kind = F.col("intent"), F.col("block_type")
+    return retrieval.branch(V.questions(spark), V.blocks(spark, d), V.statuses(spark, d), "block", ["content"], boost=retrieval.block_boost(intent, kind), boost_keys=retrieval.block_keys(intent, kind))
 
 
 def _facts(spark, d):
     boost = retrieval.fact_boost(F.col("intent"), F.col("fact_type"), F.col("measure_code"), F.col("measure"))
-    return retrieval.branch(V.questions(spark), V.facts(spark, d), V.statuses(spark, d), "legal_fact", ["note"], boost=boost, keep=retrieval.exact_or_null(F.col("measure_code"), F.col("measure")))
+    keys = retrieval.fact_keys(F.col("fact_type"), F.col("measure_code"), F.col("intent"), F.col("measure"))
+    return retrieval.branch(V.questions(spark), V.facts(spark, d), V.statuses(spark, d), "legal_fact", ["note"], boost=boost, boost_keys=keys, keep=retrieval.exact_or_null(F.col("measure_code"), F.col("measure")))
 
 
 def _tables(spark, d):
-    return retrieval.branch(V.questions(spark), V.tables(spark, d), V.statuses(spark, d), "table", ["title", "table_type"], boost=retrieval.table_boost(F.col("table_type")))
+    kind = F.col("table_type")
+    return retrieval.branch(V.questions(spark), V.tables(spark, d), V.statuses(spark, d), "table", ["title", "table_type"], boost=retrieval.table_boost(kind), boost_keys=retrieval.table_keys(kind))
 
 
 def _rows(spark, d):
@@ -101,20 +104,21 @@ def _rows(spark, d):
 for _name, _f, _sql in (("q04_block_top_k", _blocks, _B4 + "\n" + _OUT + "b4"), ("q05_fact_top_k", _facts, _B1 + "\n" + _OUT + "b1"), ("q06_table_top_k", _tables, _B2 + "\n" + _OUT + "b2"), ("q07_row_top_k", _rows, _B3 + "\n" + _OUT + "b3")):
     query(_name, with_views(_sql, *_ALL))(lambda spark, d, f=_f: f(spark, d).select("question_id", "source_id", "document_id", "score", F.col("place").cast("int").alias("place")))
 
-CANDIDATE = ["question_id", "intent", "source_type", "source_id", "document_id", "score", "blob", "terms", "asked"]
+CANDIDATE = ["question_id", "intent", "source_type", "source_id", "document_id", "score", "snippet", "blob", "semantic", "has_value", "terms", "asked", "channel", "hints"]
 
 
 def candidates(spark, d) -> DataFrame:
-    """The four branches as one relation; blob is the normalised text."""
-    parts = [(_facts, ["note", "fact_type"]), (_rows, ["summary"]), (_tables, ["title", "table_type"]), (_blocks, ["content"])]
-    made = [f(spark, d).withColumn("blob", retrieval.blob(*[F.col(c) for c in cols])).select(*CANDIDATE) for f, cols in parts]
+    """The four branches as one relation; blob is the normalised text, snippet the text as it is."""
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    parts = [(_facts, ["note", "fact_type"], none, no), (_rows, ["summary"], F.col("semantic"), F.col("has_value")), (_tables, ["title", "table_type"], F.col("semantic"), no), (_blocks, ["content"], none, no)]
+    made = [f(spark, d).withColumns({"blob": retrieval.blob(*[F.col(c) for c in cols]), "snippet": F.col(cols[0]), "semantic": semantic, "has_value": value}).select(*CANDIDATE) for f, cols, semantic, value in parts]
     return reduce(DataFrame.unionByName, made)
 
 
 _UNION = ",\n".join((_B1, _B2, _B3, _B4)) + """,
-texts AS (SELECT source_id, lower(note || ' ' || fact_type) AS blob FROM facts UNION ALL SELECT source_id, lower(summary) FROM rws UNION ALL SELECT source_id, lower(title || ' ' || table_type) FROM tabs
-  UNION ALL SELECT source_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) FROM blocks),
-cands AS (SELECT u.*, blob, terms, asked FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4) u JOIN texts USING (source_id) JOIN questions USING (question_id))"""
+texts AS (SELECT source_id, note AS snippet, lower(note || ' ' || fact_type) AS blob, '' AS semantic, false AS has_value FROM facts UNION ALL SELECT source_id, summary, lower(summary), coalesce(semantic, ''), has_value FROM rws
+  UNION ALL SELECT source_id, title, lower(title || ' ' || table_type), coalesce(semantic, ''), false FROM tabs UNION ALL SELECT source_id, content, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), '', false FROM blocks),
+cands AS (SELECT u.*, blob, snippet, semantic, has_value, terms, asked FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4) u JOIN texts USING (source_id) JOIN questions USING (question_id))"""
 
 
 @query("q08_union_branches", with_views(_UNION + "\nSELECT question_id, source_type, source_id, document_id, score FROM cands", *_ALL))
@@ -127,9 +131,18 @@ merged AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score
   FROM (SELECT * FROM (SELECT * FROM cands UNION ALL SELECT * REPLACE (score * 0.5 AS score) FROM cands) QUALIFY row_number() OVER (PARTITION BY question_id, source_type, source_id ORDER BY score DESC) = 1))"""
 
 
+def _twice(spark, d) -> DataFrame:
+    """Each candidate a second time with half its score, so that there is something to merge."""
+    return candidates(spark, d).withColumn("score", F.explode(F.array(F.col("score"), F.col("score") * 0.5)))
+
+
 def merged(spark, d) -> DataFrame:
-    twice = candidates(spark, d).withColumn("score", F.explode(F.array(F.col("score"), F.col("score") * 0.5)))
-    return retrieval.merge(twice)
+    return retrieval.merge(_twice(spark, d))
+
+
+def retrieved(spark, d) -> retrieval.Retrieval:
+    """The whole retrieval for the stated questions, step by step."""
+    return retrieval.Retrieval(V.questions(spark), _twice(spark, d), DRIVER, semantic=F.col("semantic"), has_value=F.col("has_value"))
 
 
 @query("q09_merge_dedupe", with_views(_MERGED + "\nSELECT question_id, source_type, source_id, score, CAST(merge_rank AS INTEGER) AS merge_rank FROM merged", *_ALL))
@@ -179,82 +192,68 @@ def q13(spark, d):
 
 _ANCHOR = "(CASE WHEN contains(b, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'tion') THEN 2 ELSE 0 END + CASE WHEN contains(b, 'en') THEN 1 ELSE 0 END + len(list_filter(terms, lambda t: length(t) >= 4 AND contains(b, t)))) >= 2"
 _REQUIRED = "(CASE WHEN contains(b, 'order') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'urgent') THEN 1 ELSE 0 END + CASE WHEN contains(b, 'high') THEN 1 ELSE 0 END) >= 2"
+_HITS = "len(list_filter(terms, lambda t: length(t) >= 3 AND contains(b, t)))"
+_DUE = "semantic IN ('deadline', 'deadlines')"
+_TYPED = lambda row, table, other=0: f"CASE WHEN is_row THEN {row} WHEN is_table THEN {table} ELSE {other} END::DOUBLE"
+_BAD = "(semantic IN ('refusal_reasons', 'documents') AND NOT has_value OR contains(b, '@') OR contains(b, 'not specified'))"
 _RERANKED = _MERGED + f""",
-told AS (SELECT *, blob AS b, score * {_FACTOR} AS base, source_type = 'block' AS is_block, source_type = 'table_row' AS is_row, source_type = 'table' AS is_table FROM merged),
-reranked AS (SELECT *, round(base + CASE WHEN is_row THEN 0.05 WHEN is_table THEN 0.03 ELSE 0 END::DOUBLE + CASE intent
-  WHEN 'documents' THEN CASE WHEN contains(b, '@') THEN CASE WHEN is_row THEN -1.1 WHEN is_table THEN -0.9 ELSE -0.4 END ELSE 0 END::DOUBLE
-    + CASE WHEN {_REQUIRED} THEN CASE WHEN is_row THEN 0.45 WHEN is_table THEN 0.25 ELSE 0 END ELSE 0 END::DOUBLE + CASE WHEN {_ANCHOR} THEN 0.18 ELSE 0 END::DOUBLE
-  WHEN 'deadline' THEN CASE WHEN contains(b, '@') OR contains(b, 'not specified') THEN -1.2 ELSE 0 END::DOUBLE
-    + CASE WHEN {_TEMPORAL} THEN CASE WHEN is_block THEN 0.42 WHEN is_row THEN 0.22 ELSE 0.12 END WHEN is_block THEN -0.9 WHEN is_row THEN -0.6 WHEN is_table THEN -0.6 ELSE 0 END::DOUBLE
-    + CASE WHEN is_row THEN -0.7 ELSE 0 END::DOUBLE + CASE WHEN asked <> 'other' AND {_KIND} = asked THEN 0.55 WHEN asked <> 'other' AND {_KIND} <> 'other' THEN -0.3 ELSE 0 END::DOUBLE
-  ELSE 0 END, 6) AS rerank_score FROM told),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, score DESC, is_block DESC, is_row DESC, merge_rank) - 1 AS rank FROM reranked)"""
-
-
-def reranked(spark, d) -> DataFrame:
-    own = merged(spark, d)
-    none, no, empty = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
-    score = retrieval.rerank_score(DRIVER, kind=F.col("source_type"), intent=F.col("intent"), text=F.col("blob"), terms=F.col("terms"), base=F.col("score") * retrieval.type_factor(F.col("source_type")), semantic=none, has_value=no, chan=none, hints=empty, asked=F.col("asked"))
-    return retrieval.rerank(own, score)
+flat AS (SELECT *, blob AS b, score * {_FACTOR} AS base, source_type = 'block' AS is_block, source_type = 'table_row' AS is_row, source_type = 'table' AS is_table, {_NOISE.replace("content", "snippet")} OR blob = '' AS is_noise FROM merged),
+told AS (SELECT * FROM flat WHERE NOT is_block OR NOT is_noise AND CASE WHEN intent = 'documents' THEN {_ANCHOR} WHEN intent IN ('deadline', 'form') THEN {_HITS} >= 1 WHEN intent IN ('rejection', 'eligibility') THEN {_HITS} >= 2 ELSE true END),
+reranked AS (SELECT *, round(base + {_TYPED(0.05, 0.03)} + CASE intent
+  WHEN 'documents' THEN CASE WHEN semantic = 'documents' THEN {_TYPED(0.65, 0.35)} ELSE 0 END + CASE WHEN contains(b, '@') THEN {_TYPED(-1.1, -0.9, -0.4)} ELSE 0 END
+    + CASE WHEN {_REQUIRED} THEN {_TYPED(0.45, 0.25)} ELSE 0 END + CASE WHEN {_ANCHOR} THEN 0.18 ELSE 0 END::DOUBLE
+  WHEN 'deadline' THEN CASE WHEN {_BAD} THEN -1.2 ELSE 0 END::DOUBLE + CASE WHEN {_DUE} THEN {_TYPED(0.45, 0.22)} ELSE 0 END + CASE WHEN has_value THEN 0.3 ELSE 0 END::DOUBLE
+    + CASE WHEN {_TEMPORAL} THEN CASE WHEN is_block THEN 0.42 WHEN is_row THEN 0.22 ELSE 0.12 END WHEN is_block THEN -0.9 WHEN is_row AND NOT has_value THEN -0.6 WHEN is_table AND NOT {_DUE} THEN -0.6 ELSE 0 END::DOUBLE
+    + CASE WHEN is_row AND NOT has_value AND NOT {_DUE} THEN -0.7 ELSE 0 END::DOUBLE + CASE WHEN asked <> 'other' AND {_KIND} = asked THEN 0.55 WHEN asked <> 'other' AND {_KIND} <> 'other' THEN -0.3 ELSE 0 END::DOUBLE
+    + CASE WHEN asked = 'payment' AND {_KIND} = 'decision' AND NOT {_TEMPORAL} THEN -0.3 ELSE 0 END::DOUBLE
+  WHEN 'rejection' THEN CASE WHEN contains(b, 'non') THEN 0.18 ELSE 0 END::DOUBLE WHEN 'eligibility' THEN CASE WHEN contains(b, 'able') THEN 0.18 ELSE 0 END::DOUBLE ELSE 0 END, 6) AS rerank_score FROM told),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, base DESC, is_block DESC, is_row DESC, merge_rank) - 1 AS rank FROM reranked)"""
 
 
 @query("q14_rerank", with_views(_RERANKED + "\nSELECT question_id, source_type, source_id, rerank_score, CAST(rank AS INTEGER) AS rank FROM ranked", *_ALL))
 def q14(spark, d):
-    return reranked(spark, d).select("question_id", "source_type", "source_id", "rerank_score", F.col("rank").cast("int").alias("rank"))
+    return retrieved(spark, d).ranked.select("question_id", "source_type", "source_id", "rerank_score", F.col("rank").cast("int").alias("rank"))
 
 
 _STATS = _RERANKED + """,
 stats AS (SELECT *, round(discounted + 0.6 * best + 0.12 * least(n_candidates, 4) + 0.08 * n_types, 6) AS doc_score FROM (SELECT question_id, document_id, count(*) AS n_candidates, greatest(max(rerank_score), 0) AS best, sum(rerank_score / (1 + 0.15 * rank)) AS discounted,
   count(DISTINCT source_type) AS n_types, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS types, min(rank) AS first_rank FROM ranked GROUP BY question_id, document_id))"""
-
-
-def document_stats(spark, d) -> DataFrame:
-    return retrieval.document_stats(reranked(spark, d)).withColumn("doc_score", F.round("doc_score", 6))
+#: A second priority document is for the strategies procedure, balanced, rejection and eligibility only.
+_SECOND = "place = 1 OR intent NOT IN ('documents', 'deadline', 'form') AND doc_score >= greatest(0.75, 0.62 * top)"
 
 
 @query("q15_document_stats", with_views(_STATS + "\nSELECT question_id, document_id, n_candidates, best, types, CAST(first_rank AS INTEGER) AS first_rank, doc_score FROM stats", *_ALL))
 def q15(spark, d):
-    return document_stats(spark, d).select("question_id", "document_id", "n_candidates", "best", F.array_join("types", ",").alias("types"), F.col("first_rank").cast("int").alias("first_rank"), "doc_score")
+    return retrieved(spark, d).stats.select("question_id", "document_id", "n_candidates", "best", F.array_join("types", ",").alias("types"), F.col("first_rank").cast("int").alias("first_rank"), "doc_score")
 
 
 _PRIORITY = _STATS + """,
 prio AS (SELECT *, max(CASE WHEN place = 1 THEN doc_score END) OVER (PARTITION BY question_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY doc_score DESC, best DESC, n_candidates DESC, first_rank, document_id) AS place FROM stats) WHERE place <= 2)"""
 
 
-@query("q16_priority_documents", with_views(_PRIORITY + "\nSELECT question_id, document_id, doc_score, CAST(place AS INTEGER) AS place FROM prio WHERE place = 1 OR doc_score >= greatest(0.75, 0.62 * top)", *_ALL))
+@query("q16_priority_documents", with_views(_PRIORITY + "\nSELECT question_id, document_id, doc_score, CAST(place AS INTEGER) AS place FROM prio JOIN questions USING (question_id) WHERE " + _SECOND, *_ALL))
 def q16(spark, d):
-    return retrieval.priority_documents(document_stats(spark, d)).select("question_id", "document_id", "doc_score", F.col("place").cast("int").alias("place"))
+    return retrieved(spark, d).priority.select("question_id", "document_id", "doc_score", F.col("place").cast("int").alias("place"))
 
 
 @query("q17_threshold", with_views(_PRIORITY + "\nSELECT question_id, intent, least(CASE WHEN intent IN ('documents', 'deadline', 'form') THEN 0.45 WHEN intent IN ('eligibility', 'rejection') THEN 0.4 ELSE 0.35 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE place = 1", *_ALL))
 def q17(spark, d):
-    first = retrieval.priority_documents(document_stats(spark, d), max_documents=1).join(V.questions(spark).select("question_id", "intent"), "question_id")
+    first = retrieved(spark, d).priority.filter("place = 1")
     return first.select("question_id", "intent", retrieval.adaptive_threshold(F.col("intent"), F.col("best")).alias("threshold"))
 
 
-def evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Selected candidates, priority documents and document statistics.
-
-    The ranked candidates (44 at most for a question) are read three times, so they are kept until the session
-    clears its cache; the branches are scanned once.
-    """
-    own = reranked(spark, d).persist()
-    stats = retrieval.document_stats(own).withColumn("doc_score", F.round("doc_score", 6))
-    prio = retrieval.priority_documents(stats)
-    return retrieval.select_capped(retrieval.settled_for_selection(own, stats, prio, DRIVER, semantic=F.lit(""), has_value=F.lit(False))), prio, stats
-
-
 _TYPE_CAP = """CASE intent WHEN 'documents' THEN CASE source_type WHEN 'table' THEN 2 WHEN 'table_row' THEN 12 ELSE 1 END WHEN 'deadline' THEN CASE source_type WHEN 'table_row' THEN 4 WHEN 'block' THEN 6 ELSE 1 END
   ELSE CASE source_type WHEN 'table' THEN 4 ELSE 5 END END"""
 _DOC_CAP = "CASE intent WHEN 'documents' THEN CASE WHEN priority THEN 12 ELSE 4 END WHEN 'deadline' THEN CASE WHEN priority THEN 8 ELSE 3 END ELSE CASE WHEN priority THEN 6 ELSE 3 END END"
 #: The selection step by step: a list of what is chosen so far is carried from candidate to candidate.
 _SELECTED = _PRIORITY + f""",
-listed AS (SELECT question_id, document_id FROM prio WHERE place = 1 OR doc_score >= greatest(0.75, 0.62 * top)),
+listed AS (SELECT question_id, document_id FROM prio JOIN questions USING (question_id) WHERE {_SECOND}),
 least_ AS (SELECT question_id, intent, least(CASE WHEN intent IN ('documents', 'deadline', 'form') THEN 0.45 WHEN intent IN ('eligibility', 'rejection') THEN 0.4 ELSE 0.35 END::DOUBLE, greatest(0.25::DOUBLE, 0.35::DOUBLE * best)) AS threshold FROM prio JOIN questions USING (question_id) WHERE prio.place = 1),
-flagged AS (SELECT r.*, threshold, l.document_id IS NOT NULL AS priority, {_TEMPORAL} AS dated, {_KIND} AS kind, contains(b, '@') OR contains(b, 'not specified') AS noise FROM ranked r JOIN least_ USING (question_id) LEFT JOIN listed l ON l.question_id = r.question_id AND l.document_id = r.document_id),
-bucketed AS (SELECT *, CASE intent WHEN 'documents' THEN CASE WHEN priority THEN 2 ELSE 3 END WHEN 'deadline' THEN CASE WHEN noise THEN 9 WHEN priority AND is_block AND dated AND kind = asked AND asked <> 'other' THEN 0 WHEN priority AND is_block AND dated THEN 2
-    WHEN priority AND dated THEN 4 WHEN is_block AND dated THEN 5 WHEN dated THEN 7 ELSE 8 END ELSE 0 END AS bucket, CASE WHEN intent IN ('documents', 'deadline') THEN -rerank_score ELSE 0 END AS less,
-  intent <> 'deadline' OR (NOT noise AND CASE WHEN is_block OR is_row THEN dated WHEN is_table THEN false ELSE true END) AS fits FROM flagged),
+flagged AS (SELECT r.*, threshold, l.document_id IS NOT NULL AS priority, {_TEMPORAL} AS dated, {_KIND} AS kind, {_BAD} AS noise FROM ranked r JOIN least_ USING (question_id) LEFT JOIN listed l ON l.question_id = r.question_id AND l.document_id = r.document_id),
+bucketed AS (SELECT *, CASE intent WHEN 'documents' THEN CASE WHEN priority AND is_row AND semantic = 'documents' THEN 0 WHEN priority AND is_table AND semantic = 'documents' THEN 1 WHEN priority THEN 2 ELSE 3 END
+    WHEN 'deadline' THEN CASE WHEN noise THEN 9 WHEN priority AND is_block AND dated AND kind = asked AND asked <> 'other' THEN 0 WHEN priority AND is_row AND semantic = 'deadlines' AND kind = asked AND asked <> 'other' THEN 1 WHEN priority AND is_block AND dated THEN 2
+    WHEN priority AND is_row AND semantic = 'deadlines' THEN 3 WHEN priority AND dated THEN 4 WHEN is_block AND dated THEN 5 WHEN is_row AND semantic = 'deadlines' THEN 6 WHEN dated THEN 7 ELSE 8 END ELSE 0 END AS bucket, CASE WHEN intent IN ('documents', 'deadline') THEN -rerank_score ELSE 0 END AS less,
+  intent <> 'deadline' OR (NOT noise AND CASE WHEN is_block OR is_row THEN dated WHEN is_table THEN {_DUE} ELSE true END) AS fits FROM flagged),
 ordered AS (SELECT *, {_TYPE_CAP} AS type_cap, {_DOC_CAP} AS doc_cap, row_number() OVER (PARTITION BY question_id ORDER BY bucket, less, rank) AS i FROM bucketed WHERE fits),
 walk AS (SELECT question_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, t VARCHAR, d BIGINT)[]) AS chosen FROM questions UNION ALL
   SELECT w.question_id, o.i, CASE WHEN len(w.chosen) < 12 AND o.rerank_score >= o.threshold AND len(list_filter(w.chosen, lambda x: x.t = o.source_type)) < o.type_cap AND len(list_filter(w.chosen, lambda x: x.d = o.document_id)) < o.doc_cap
@@ -270,7 +269,7 @@ def _recursive(sql: str) -> str:
 
 @query("q18_capped_selection", _recursive(with_views(_SELECTED + "\nSELECT question_id, intent, CAST(place AS INTEGER) AS place, source_type, source_id, document_id, rerank_score AS final_score, priority, CAST(rank AS INTEGER) AS rank FROM chosen", *_ALL)))
 def q18(spark, d):
-    return evidence(spark, d)[0]
+    return retrieved(spark, d).selected
 
 
 _QUALITY = _SELECTED + """,
@@ -286,8 +285,7 @@ SELECT question_id, n_items, n_documents, round(top_share, 6) AS top_share, n_st
 
 @query("q19_evidence_quality", _recursive(with_views(_QUALITY, *_ALL)))
 def q19(spark, d):
-    chosen, prio, stats = evidence(spark, d)
-    return retrieval.evidence_quality(V.questions(spark), chosen, prio, stats).withColumn("top_share", F.round("top_share", 6))
+    return retrieved(spark, d).quality.withColumn("top_share", F.round("top_share", 6))
 
 
 _IDS = ", ".join(f"coalesce(string_agg(source_id, ',' ORDER BY place) FILTER (WHERE source_type = '{t}'), '') AS {t}_ids" for t in ("legal_fact", "table_row", "table", "block"))
@@ -297,10 +295,27 @@ _IDS = ", ".join(f"coalesce(string_agg(source_id, ',' ORDER BY place) FILTER (WH
 seen AS (SELECT question_id, document_id, min(place) AS p FROM chosen GROUP BY 1, 2), docs AS (SELECT question_id, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY p) AS document_ids FROM seen GROUP BY 1)
 SELECT question_id, n_items, legal_fact_ids, table_row_ids, table_ids, block_ids, document_ids FROM (SELECT question_id, count(*) AS n_items, {_IDS} FROM chosen GROUP BY 1) JOIN docs USING (question_id)""", *_ALL)))
 def q19b(spark, d):
-    out = retrieval.evidence_package(evidence(spark, d)[0])
+    out = retrieved(spark, d).package
     return out.select("question_id", F.col("n_items").cast("long").alias("n_items"), *[F.array_join(c, ",").alias(c) for c in out.columns[2:]])
 
 
+_JUDGED, _, _ = _QUALITY.rpartition("\nSELECT question_id, n_items")
+_COUNTED = lambda name, of: f"(SELECT count(*) FROM {of} c WHERE c.question_id = q.question_id) AS {name}"
+_CODES = "CASE intent WHEN 'documents' THEN 'documents_priority' WHEN 'deadline' THEN 'deadlines_priority' WHEN 'rejection' THEN 'rejection_priority' WHEN 'form' THEN 'forms_priority' WHEN 'eligibility' THEN 'eligibility_priority' WHEN 'procedure' THEN 'procedure_balanced' ELSE 'balanced_default' END"
+
+
+@query("q19c_package_metrics", _recursive(with_views(_JUDGED + f""",
+tops AS (SELECT question_id, document_id AS top FROM prio WHERE place = 1),
+scored AS (SELECT question_id, list(rerank_score ORDER BY place) AS scores, count(*) FILTER (WHERE source_type = 'legal_fact') AS n_legal_fact, count(*) FILTER (WHERE source_type = 'table_row') AS n_table_row, count(*) FILTER (WHERE source_type = 'table') AS n_table,
+  count(*) FILTER (WHERE source_type = 'block') AS n_block, round(count(*) FILTER (WHERE document_id = tops.top) / count(*), 4) AS share FROM chosen JOIN tops USING (question_id) GROUP BY 1)
+SELECT q.question_id, {_CODES} AS strategy_code, 2 * {_COUNTED('n_raw', 'cands')[: -len(" AS n_raw")]} AS n_raw, {_COUNTED('n_merged', 'merged')}, {_COUNTED('n_reranked', 'ranked')}, j.n_items AS n_final, coalesce(n_legal_fact, 0) AS n_legal_fact, coalesce(n_table_row, 0) AS n_table_row, coalesce(n_table, 0) AS n_table, coalesce(n_block, 0) AS n_block,
+  j.n_documents, {_COUNTED('n_documents_before', 'stats')}, j.n_strong, j.n_priority, coalesce(round(scores[1], 4), 0) AS top_candidate_score, coalesce(round(scores[2], 4), 0) AS second_candidate_score, coalesce(round(l[1], 4), 0) AS top_document_score, coalesce(round(l[2], 4), 0) AS second_document_score,
+  coalesce(share, 0) AS top_document_share, (SELECT string_agg(CAST(p.document_id AS VARCHAR), ',' ORDER BY p.place) FROM prio p JOIN listed USING (question_id, document_id) WHERE p.question_id = q.question_id) AS priority_document_ids, split_part(x, ':', 1) AS evidence_quality, split_part(x, ':', 2) AS guard_reason
+FROM questions q JOIN judged j USING (question_id) LEFT JOIN scored USING (question_id) LEFT JOIN leaders USING (question_id)""", *_ALL)))
+def q19c(spark, d):
+    return retrieved(spark, d).metrics.withColumn("priority_document_ids", F.array_join("priority_document_ids", ","))
+
+
 # ---------------------------------------------------------------- vectors
 
 _VEC = """SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
@@ -614,7 +629,7 @@ def q47(spark, d):
 @query("q48_citations", with_views(_RERANKED + """
 SELECT question_id, source_id, CAST(cited AS INTEGER) AS cited FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS cited FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_type, blob ORDER BY rank) AS n FROM ranked) WHERE n = 1) WHERE cited <= 5""", *_ALL))
 def q48(spark, d):
-    own = reranked(spark, d).withColumn("place", F.col("rank")).withColumn("display_label", F.col("source_type")).withColumn("citation_text", F.col("blob"))
+    own = retrieved(spark, d).ranked.withColumn("place", F.col("rank")).withColumn("display_label", F.col("source_type")).withColumn("citation_text", F.col("blob"))
     return generate.citations(own).select("question_id", "source_id", F.col("cited").cast("int").alias("cited"))
 
 

@@ -7,7 +7,7 @@ style_name, is_heading_style, has_deadline_value.  Ranks are columns; row order
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,17 +110,19 @@ def term_score(terms: Column, weight: float, columns: list[Column], sql_terms: i
     return F.aggregate(F.slice(terms, 1, sql_terms), F.lit(0.0), lambda s, t: s + F.when(hit(t), weight).otherwise(0.0))
 
 
-def term_hits(terms: list[str], columns: list[Column]) -> Column:
-    """Which of these distinct terms a row has, each looked up once (see ``term_score``)."""
-    lowered = F.lower(F.concat_ws("\x00", *[c.cast("string") for c in columns]))  # no term holds U+0000
-    cells = [F.lower(c.cast("string")) for c in columns]
+def term_hits(terms: Column, columns: list[Column], wild: Column | None = None) -> Column:
+    """Which of these lower-case terms a row has, as ILIKE '%term%' finds them (see ``term_score``).
 
-    def has(t: str) -> Column:
-        if "%" in t or "_" in t:
-            return reduce(lambda x, y: x | y, [F.coalesce(F.like(c, F.lit(f"%{t.lower()}%")), F.lit(False)) for c in cells])
-        return F.contains(lowered, F.lit(t.lower()))
-
-    return F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in terms]).cast("array<string>"))
+    ``terms`` are looked up as substrings of the lower-cased columns, ``wild`` ones as patterns.  The text is lower-cased once
+    a row: it is bound to a variable outside of the loop over terms.
+    """
+    one = F.lower(F.concat_ws("\x00", *[c.cast("string") for c in columns]))  # no term holds U+0000
+    hits = F.get(F.transform(F.array(one), lambda c: F.filter(terms, lambda t: F.contains(c, t))), F.lit(0))
+    if wild is None:
+        return hits
+    cells = F.array(*[F.lower(c.cast("string")) for c in columns])
+    like = lambda t: F.coalesce(F.exists(cells, lambda c: F.like(c, F.concat(F.lit("%"), t, F.lit("%")))), F.lit(False))
+    return F.concat(hits, F.filter(wild, like))
 
 
 def hit_score(terms: Column, hits: Column, weight: float, sql_terms: int = C.SQL_TERMS) -> Column:
@@ -179,30 +181,65 @@ def top_k(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-#: Questions that are looked up together: their distinct terms are part of the plan.
-BATCH_QUESTIONS = 100
-
-
-def branch(questions: DataFrame, children: DataFrame, registry: DataFrame, kind: str, columns: list[str], *, weight: float | None = None, boost: Column | None = None, k: int | None = None, keep: Column | None = None) -> DataFrame:
+def branch(questions: DataFrame, children: DataFrame, registry: DataFrame, kind: str, columns: list[str], *, weight: float | None = None, boost: Column | None = None, boost_keys: tuple[Column, Column] | None = None, k: int | None = None, keep: Column | None = None) -> DataFrame:
     """One branch: active documents' children scored for every question, the best ``k`` above zero.
 
-    ``questions`` is the stated query set.  It is taken in batches: a row's terms are looked up once for a
-    batch, whatever number of questions asks for them, and the batch's rows are broadcast (BATCH_QUESTIONS at
-    most).  The limit comes before the test for positive scores, as in the reference semantics.
+    Rows and questions meet by equal keys, never all with all: the keys are the terms that a row has among all questions'
+    distinct terms, and ``boost_keys``, arrays of strings of the row and of the question: a boost above zero needs a shared
+    one, and what ``boost`` and ``keep`` see of a row is told by its keys.  So rows of the same keys and terms have the same
+    score for a question, and the first ``k`` of them in order are enough, whatever the question: these limits are kept in
+    every task before the one shuffle of rows.  Of the keys that a pair shares only the first leads to it, so it comes once.
+
+    The questions' distinct terms travel as one row.  The limit comes before the test for positive scores.
     """
+    k = k or C.TOP_K[kind]
     active = registry.filter(F.col("status") == "active").select("document_id")
-    own = children.join(active, "document_id", "left_semi")
-    asked = questions.collect()  # the stated set; everything else stays distributed
-    spark, schema = questions.sparkSession, questions.schema
-    found = []
-    for at in range(0, len(asked) or 1, BATCH_QUESTIONS):
-        batch = asked[at : at + BATCH_QUESTIONS]
-        terms = list(dict.fromkeys(t for q in batch for t in (q.terms or [])[: C.SQL_TERMS]))
-        rows = own.withColumn("term_hits", term_hits(terms, [F.col(c) for c in columns]))
-        pairs = rows.join(F.broadcast(spark.createDataFrame(batch, schema)), F.lit(True) if keep is None else keep)
-        score = F.round(hit_score(F.col("terms"), F.col("term_hits"), C.TERM_WEIGHT[kind] if weight is None else weight) + (F.lit(0.0) if boost is None else boost), 6)
-        found.append(top_k(pairs.withColumn("score", score * strategy_weight(F.col("intent"), kind)).drop("term_hits"), k or C.TOP_K[kind]))
-    return reduce(DataFrame.unionByName, found).filter("score > 0").withColumn("source_type", F.lit(kind))
+    none = F.array().cast("array<string>")
+    row_keys, question_keys = boost_keys or (none, none)
+    named = lambda terms: F.transform(terms, lambda t: F.concat(F.lit("term:"), t))
+    questions = questions.withColumn("first_terms", F.transform(F.slice("terms", 1, C.SQL_TERMS), F.lower))
+    questions = questions.withColumn("question_keys", F.array_distinct(F.concat(named("first_terms"), question_keys)))
+    term, wild = F.col("term"), F.contains("term", F.lit("%")) | F.contains("term", F.lit("_"))
+    wanted = questions.select(F.explode("first_terms").alias("term")).agg(F.array_sort(F.collect_set(F.when(~wild, term))).alias("plain_terms"), F.array_sort(F.collect_set(F.when(wild, term))).alias("wild_terms"))
+    rows = children.join(F.broadcast(wanted), F.lit(True)).withColumn("term_hits", term_hits(F.col("plain_terms"), [F.col(c) for c in columns], F.col("wild_terms"))).drop("plain_terms", "wild_terms")  # one row
+    rows = rows.withColumn("row_keys", F.concat(named("term_hits"), row_keys)).filter(F.size("row_keys") > 0).join(active, "document_id", "left_semi")
+    alike = Window.partitionBy(F.array_join("row_keys", "\x00")).orderBy("source_id")
+    few = rows.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= k).drop("nth")
+    pairs = few.withColumn("key", F.explode("row_keys")).join(questions.withColumn("key", F.explode("question_keys")), "key")
+    pairs = pairs.filter((F.try_element_at(F.array_intersect("row_keys", "question_keys"), F.lit(1)) == F.col("key")) & (F.lit(True) if keep is None else keep))
+    score = F.round(hit_score(F.col("first_terms"), F.col("term_hits"), C.TERM_WEIGHT[kind] if weight is None else weight) + (F.lit(0.0) if boost is None else boost), 6)
+    found = top_k(pairs.withColumn("score", score * strategy_weight(F.col("intent"), kind)).drop("key", "row_keys", "question_keys", "term_hits", "first_terms"), k)
+    return found.filter("score > 0").withColumn("source_type", F.lit(kind))
+
+
+def keys_of(**parts: Column) -> Column:
+    """Keys for ``boost_keys``: name:value of each part, a column or an array of values; nulls give none."""
+    def named(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.concat(F.lit(f"{name}:"), v.cast("string")))
+
+    one = [named(name, c) for name, c in parts.items()]
+    return F.array_compact(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in one]))
+
+
+def fact_keys(fact_type: Column, measure: Column, intent: Column, wanted: Column, subject: Column | None = None, wanted_subject: Column | None = None) -> tuple[Column, Column]:
+    """The keys of ``fact_boost``, rows' and questions'."""
+    kinds = _words(())
+    for name, own in C.FACT_TYPES.items():
+        kinds = F.when(intent == name, _words(own)).otherwise(kinds)
+    none = F.lit(None).cast("string")
+    row = keys_of(measure=F.array(measure), type=F.array(fact_type), subject=F.array(none if subject is None else subject))
+    return row, keys_of(measure=F.array(wanted), type=kinds, subject=F.array(none if wanted_subject is None else wanted_subject))
+
+
+def table_keys(table_type: Column, kinds=C.BOOSTED_TABLE_TYPES) -> tuple[Column, Column]:
+    return keys_of(type=F.array(F.when(table_type.isin(*kinds), table_type))), keys_of(type=_words(kinds))
+
+
+def block_keys(intent: Column, block_type: Column) -> tuple[Column, Column]:
+    kinds = _words(C.OTHER_BLOCK_TYPES[0])
+    for name, (own, _) in C.BLOCK_TYPES.items():
+        kinds = F.when(intent == name, _words(own)).otherwise(kinds)
+    return keys_of(type=F.array(block_type)), keys_of(type=kinds)
 
 
 # ---------------------------------------------------------------- merging and filters
@@ -338,14 +375,33 @@ def effective_score() -> Column:
 
 def document_stats(candidates: DataFrame) -> DataFrame:
     s = effective_score()
-    stats = candidates.groupBy("question_id", "document_id").agg(
+    stats = candidates.groupBy("question_id", *[c for c in ("intent",) if c in candidates.columns], "document_id").agg(
         F.count("*").alias("n_candidates"), F.greatest(F.max(s), F.lit(0.0)).alias("best"), F.sum(s).alias("total"), F.sum(s / (1 + 0.15 * F.col("rank"))).alias("discounted"),
         F.array_sort(F.collect_set("source_type")).alias("types"), F.min("rank").alias("first_rank"))
     return stats.withColumn("doc_score", F.col("discounted") + 0.60 * F.col("best") + 0.12 * F.least(F.col("n_candidates"), F.lit(4)) + 0.08 * F.size("types"))
 
 
-def priority_documents(stats: DataFrame, *, max_documents: Column | int = 2) -> DataFrame:
-    """The first document, and the second if it scores enough beside it: place 1 and maybe 2."""
+def document_limit(intent: Column) -> Column:
+    """How many priority documents the intent's strategy allows."""
+    out = F.lit(C.STRATEGIES["other"].documents)
+    for name, s in C.STRATEGIES.items():
+        out = F.when(intent == name, s.documents).otherwise(out)
+    return out
+
+
+def strategy_code(intent: Column) -> Column:
+    out = F.lit(C.STRATEGIES["other"].code)
+    for name, s in C.STRATEGIES.items():
+        out = F.when(intent == name, s.code).otherwise(out)
+    return out
+
+
+def priority_documents(stats: DataFrame, *, max_documents: Column | int | None = None) -> DataFrame:
+    """The first document, and the second if it scores enough beside it and the strategy allows: place 1 and maybe 2.
+
+    ``stats`` has intent, by which the strategy's limit is known, unless ``max_documents`` says another.
+    """
+    max_documents = document_limit(F.col("intent")) if max_documents is None else max_documents
     order = Window.partitionBy("question_id").orderBy(F.desc("doc_score"), F.desc("best"), F.desc("n_candidates"), "first_rank", "document_id")
     ranked = stats.withColumn("place", F.row_number().over(order)).filter("place <= 2")
     first = F.max(F.when(F.col("place") == 1, F.col("doc_score"))).over(Window.partitionBy("question_id"))
@@ -468,24 +524,80 @@ def settled_for_selection(ranked: DataFrame, stats: DataFrame, priority: DataFra
     return rows.withColumn("selectable", selectable(F.col("intent"), kind, semantic, dated, noise))
 
 
-def retrieve(questions: DataFrame, candidates: DataFrame, cfg: Config, *, semantic: Column | None = None, has_value: Column | None = None, k: int = C.FINAL_TOP_K) -> dict[str, DataFrame]:
-    """The whole way from the branches' candidates to evidence: one DataFrame for each step.
+class Retrieval:
+    """The whole way from the branches' candidates to evidence, a DataFrame for each step, built when it is asked for.
 
     ``candidates``: question_id, intent, source_type, source_id, document_id, score, snippet, blob, terms, asked,
-    channel, hints.  Steps: merge, type factor, header noise, intent filters, rerank, document statistics,
-    priority documents, selection under caps, quality, package.
+    channel, hints; ``questions``: question_id, intent.  Steps: merge, type factor, header noise, intent filters, rerank,
+    document statistics, priority documents, selection under caps, quality, package with metrics.
     """
-    semantic = F.lit("") if semantic is None else F.coalesce(semantic, F.lit(""))
-    has_value = F.lit(False) if has_value is None else F.coalesce(has_value, F.lit(False))
-    b, kind = F.col("blob"), F.col("source_type")
-    merged = merge(candidates).withColumn("score", F.col("score") * type_factor(kind))
-    kept = merged.filter(~((kind == "block") & header_noise(F.col("snippet"), b, cfg)) & intent_filter(kind, F.col("intent"), b, F.col("terms"), cfg))
-    score = rerank_score(cfg, kind=kind, intent=F.col("intent"), text=b, terms=F.col("terms"), base=F.col("score"), semantic=semantic, has_value=has_value, chan=F.col("channel"), hints=F.col("hints"), asked=F.col("asked"))
-    ranked = rerank(kept, score)
-    stats = document_stats(ranked)
-    priority = priority_documents(stats)
-    selected = select_capped(settled_for_selection(ranked, stats, priority, cfg, semantic=semantic, has_value=has_value), k=k)
-    return {"merged": merged, "ranked": ranked, "stats": stats, "priority": priority, "selected": selected, "quality": evidence_quality(questions, selected, priority, stats), "package": evidence_package(selected)}
+
+    def __init__(self, questions: DataFrame, candidates: DataFrame, cfg: Config, *, semantic: Column | None = None, has_value: Column | None = None, k: int = C.FINAL_TOP_K):
+        self.questions, self.candidates, self.cfg, self.k = questions, candidates, cfg, k
+        self.semantic = F.lit("") if semantic is None else F.coalesce(semantic, F.lit(""))
+        self.has_value = F.lit(False) if has_value is None else F.coalesce(has_value, F.lit(False))
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return merge(self.candidates).withColumn("score", F.col("score") * type_factor(F.col("source_type")))
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """Kept until the session clears its cache, as several steps read it; a question has 44 candidates at most."""
+        b, kind, intent, terms, cfg = F.col("blob"), F.col("source_type"), F.col("intent"), F.col("terms"), self.cfg
+        kept = self.merged.filter(~((kind == "block") & header_noise(F.col("snippet"), b, cfg)) & intent_filter(kind, intent, b, terms, cfg))
+        score = rerank_score(cfg, kind=kind, intent=intent, text=b, terms=terms, base=F.col("score"), semantic=self.semantic, has_value=self.has_value, chan=F.col("channel"), hints=F.col("hints"), asked=F.col("asked"))
+        return rerank(kept, score).persist()
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return document_stats(self.ranked).withColumn("doc_score", F.round("doc_score", 6))
+
+    @cached_property
+    def priority(self) -> DataFrame:
+        return priority_documents(self.stats)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return select_capped(settled_for_selection(self.ranked, self.stats, self.priority, self.cfg, semantic=self.semantic, has_value=self.has_value), k=self.k)
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return evidence_quality(self.questions, self.selected, self.priority, self.stats)
+
+    @cached_property
+    def package(self) -> DataFrame:
+        return evidence_package(self.selected)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return package_metrics(self.questions, self.candidates, self.merged, self.ranked, self.stats, self.priority, self.selected, self.quality)
+
+
+def package_metrics(questions: DataFrame, raw: DataFrame, merged: DataFrame, ranked: DataFrame, stats: DataFrame, priority: DataFrame, selected: DataFrame, quality: DataFrame) -> DataFrame:
+    """The package's metrics and debug figures, a row a question (question_id, intent): counts by step, leading scores and
+    documents, strategy, quality and guard reason.  ``top_document_share`` is the share of the leading document by its
+    statistics among the selected."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("question_id").agg(F.count("*").alias(name))
+
+    by_type = [F.count_if(F.col("source_type") == t).alias(f"n_{t}") for t in C.BRANCHES]
+    leads = lambda c, n: F.coalesce(F.round(F.try_element_at(F.col(c), F.lit(n)), 4), F.lit(0.0))
+    chosen = selected.groupBy("question_id").agg(F.count("*").alias("n_final"), *by_type, F.count_distinct("document_id").alias("n_documents"), F.transform(F.array_sort(F.collect_list(F.struct("place", "final_score"))), lambda x: x["final_score"]).alias("scores"))
+    leaders = stats.groupBy("question_id").agg(F.count("*").alias("n_documents_before"), F.slice(F.sort_array(F.collect_list("doc_score"), False), 1, 2).alias("leaders"))
+    first = priority.filter("place = 1").select("question_id", F.col("document_id").alias("top_document"))
+    share = selected.join(first, "question_id").groupBy("question_id").agg(F.count_if(F.col("document_id") == F.col("top_document")).alias("n_of_top"))
+    listed = priority.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "document_id"))), lambda x: x["document_id"]).alias("priority_document_ids"))
+    out = questions.select("question_id", "intent").join(quality.select("question_id", "quality", "reason", "n_strong"), "question_id")
+    for part in (counted(raw, "n_raw"), counted(merged, "n_merged"), counted(ranked, "n_reranked"), chosen, leaders, share, listed):
+        out = out.join(part, "question_id", "left")
+    counts = ["n_raw", "n_merged", "n_reranked", "n_final", *[f"n_{t}" for t in C.BRANCHES], "n_documents", "n_documents_before", "n_strong"]
+    return out.select(
+        "question_id", strategy_code(F.col("intent")).alias("strategy_code"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce(F.size("priority_document_ids"), F.lit(0)).cast("long").alias("n_priority"), leads("scores", 1).alias("top_candidate_score"), leads("scores", 2).alias("second_candidate_score"),
+        leads("leaders", 1).alias("top_document_score"), leads("leaders", 2).alias("second_document_score"), F.coalesce(F.round(F.col("n_of_top") / F.col("n_final"), 4), F.lit(0.0)).alias("top_document_share"),
+        "priority_document_ids", F.col("quality").alias("evidence_quality"), F.col("reason").alias("guard_reason"),
+    )
 
 
 def evidence_package(selected: DataFrame) -> DataFrame:

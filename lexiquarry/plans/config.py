@@ -23,10 +23,10 @@ class Strategy:
 
 
 STRATEGIES = {
-    "documents": Strategy("documents_priority", 1.10, 1.30, 1.45, 0.65),
-    "deadline": Strategy("deadlines_priority", 1.25, 1.10, 1.10, 0.90),
+    "documents": Strategy("documents_priority", 1.10, 1.30, 1.45, 0.65, documents=1),
+    "deadline": Strategy("deadlines_priority", 1.25, 1.10, 1.10, 0.90, documents=1),
     "rejection": Strategy("rejection_priority", 1.25, 1.00, 1.00, 1.10),
-    "form": Strategy("forms_priority", 0.00, 1.30, 1.20, 0.90),
+    "form": Strategy("forms_priority", 0.00, 1.30, 1.20, 0.90, documents=1),
     "eligibility": Strategy("eligibility_priority", 1.30, 0.95, 1.00, 1.10),
     "procedure": Strategy("procedure_balanced", 1.0, 1.0, 1.0, 1.0),
     "other": Strategy("balanced_default", 1.0, 1.0, 1.0, 1.0),
@@ -116,7 +116,7 @@ SERVICE = Config(
         "post": ("почтой", "почтовым отправлением", "по почте"),
         "mfc": ("мфц", "через мфц"),
     },
-    profile_markers=("какие документы", "какие нужны документы", "перечень документов", "необходимые документы", "что приложить", "что предоставить", "документы для получения", "документы для предоставления услуги"),
+    profile_markers=("какие документы", "какие нужны документы", "перечень документов", "необходимые документы", "что приложить", "что предоставить", "какие документы нужны", "какие документы нужны для", "документы для получения", "документы для предоставления услуги"),
     question_kinds=(
         ("notification", ("уведомления", "уведомить", "уведомление", "направления уведомления", "информирования", "сообщения о решении")),
         ("payment", ("выплаты", "выплата", "выплачивается", "перечисления", "перечисление", "зачисления", "зачисление")),
@@ -169,6 +169,6 @@ DRIVER = Config(
     question_kinds=(("notification", ("sich",)), ("payment", ("pour",)), ("decision", ("that",))),
     candidate_kinds=(("decision", ("that", "this")), ("notification", ("sich", "nicht")), ("payment", ("pour", "avec", "para"))),
     header_words=("licen", "http"), header_exact=("untitled",),
-    rejection=("non",), eligibility=("able",), abbreviations=("@",),
+    rejection=("non",), eligibility=("able",), abbreviations=("@",), deadline_noise_types=("refusal_reasons", "documents"),
     required_documents=("order", "urgent", "high"), refusal_texts=("not specified",),
 )

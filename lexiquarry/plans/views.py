@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest
 
-#: question_id, intent, terms, kind of deadline asked for, measure wanted: the stated query set.
+#: question_id, intent, terms, kind of deadline asked for, measure wanted: the stated query set, one for each strategy at least.
 QUESTIONS = (
     (1, "documents", ("order", "the", "tion"), "other", "Brand#2"),
     (2, "deadline", ("within", "ent", "en"), "decision", None),
     (3, "procedure", ("that", "high", "ring"), "other", None),
+    (4, "rejection", ("non", "returned", "urgent"), "other", None),
+    (5, "eligibility", ("able", "accepted", "ung"), "other", "Brand#3"),
+    (6, "form", ("the", "low", "deadline_table"), "other", None),
+    (7, "other", ("avec", "heit", "end"), "other", None),
+    (8, "deadline", ("not", "pour", "at the end"), "payment", None),
 )
 HISTORY_VOTES = 200
 
@@ -49,13 +54,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("document_id"), F.concat(F.lit("t"), F.col("o_orderkey")).alias("source_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "O", "deadline_table").otherwise("generic").alias("table_type"))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("document_id"), F.concat(F.lit("t"), F.col("o_orderkey")).alias("source_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "O", "deadline_table").otherwise("generic").alias("table_type"), F.when(F.col("o_orderkey") % 3 == 0, "deadlines").when(F.col("o_orderkey") % 3 == 1, "documents").alias("semantic"))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     summary = F.concat_ws(" ", F.when(F.col("l_returnflag") == "R", "returned within order").when(F.col("l_returnflag") == "A", "accepted at the end").otherwise("none"), F.when(F.col("l_linestatus") == "O", "ring").otherwise("that"), F.col("l_linenumber").cast("string"))
-    return l.select((F.col("l_orderkey") % 1000).alias("document_id"), F.concat(F.lit("r"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("source_id"), F.concat(F.lit("t"), F.col("l_orderkey")).alias("table_id"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("row_order"), "l_returnflag", "l_linestatus", summary.alias("summary"))
+    return l.select((F.col("l_orderkey") % 1000).alias("document_id"), F.concat(F.lit("r"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("source_id"), F.concat(F.lit("t"), F.col("l_orderkey")).alias("table_id"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("row_order"), "l_returnflag", "l_linestatus", summary.alias("summary"),
+                    F.when(F.col("l_linenumber") % 3 == 0, "documents").when(F.col("l_linenumber") % 3 == 1, "deadlines").otherwise("refusal_reasons").alias("semantic"), (F.col("l_linenumber") % 2 == 0).alias("has_value"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +90,10 @@ blocks AS (SELECT document_id, CAST(pos AS INTEGER) AS block_order, trim(raw) AS
   CASE WHEN regexp_matches(trim(raw), '(?i)^(таблица|table)\s*(№|n)?\s*\d') THEN 'table_caption' WHEN regexp_matches(trim(raw), '^([-•*–]|\d+[.)]|[a-zа-я]\))\s') THEN 'list_item'
     WHEN length(trim(raw)) <= 80 AND NOT regexp_matches(trim(raw), '[.,;:]$') THEN 'heading' ELSE 'paragraph' END AS block_type FROM cut WHERE trim(raw) <> '')""",
     "facts": "facts AS (SELECT p_partkey % 1000 AS document_id, 'f' || p_partkey AS source_id, lower(p_type) AS fact_type, p_brand AS measure_code, CAST(p_size AS VARCHAR) AS subject, p_name AS note FROM part)",
-    "tables": "tabs AS (SELECT o_orderkey % 1000 AS document_id, 't' || o_orderkey AS source_id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'O' THEN 'deadline_table' ELSE 'generic' END AS table_type FROM orders)",
+    "tables": "tabs AS (SELECT o_orderkey % 1000 AS document_id, 't' || o_orderkey AS source_id, o_orderpriority AS title, CASE WHEN o_orderstatus = 'O' THEN 'deadline_table' ELSE 'generic' END AS table_type, CASE o_orderkey % 3 WHEN 0 THEN 'deadlines' WHEN 1 THEN 'documents' END AS semantic FROM orders)",
     "rows": """rws AS (SELECT l_orderkey % 1000 AS document_id, 'r' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS source_id, 't' || l_orderkey AS table_id, l_orderkey AS order_key, l_linenumber AS row_order, l_returnflag, l_linestatus,
-  (CASE WHEN l_returnflag = 'R' THEN 'returned within order' WHEN l_returnflag = 'A' THEN 'accepted at the end' ELSE 'none' END) || ' ' || (CASE WHEN l_linestatus = 'O' THEN 'ring' ELSE 'that' END) || ' ' || l_linenumber AS summary FROM lineitem)""",
+  (CASE WHEN l_returnflag = 'R' THEN 'returned within order' WHEN l_returnflag = 'A' THEN 'accepted at the end' ELSE 'none' END) || ' ' || (CASE WHEN l_linestatus = 'O' THEN 'ring' ELSE 'that' END) || ' ' || l_linenumber AS summary,
+  CASE l_linenumber % 3 WHEN 0 THEN 'documents' WHEN 1 THEN 'deadlines' ELSE 'refusal_reasons' END AS semantic, l_linenumber % 2 = 0 AS has_value FROM lineitem)""",
     "questions": "questions(question_id, intent, terms, asked, measure) AS (VALUES " + ", ".join(f"({i}, '{intent}', [{', '.join(repr(t) for t in terms)}], '{kind}', {repr(m) if m else 'NULL'})" for i, intent, terms, kind, m in QUESTIONS) + ")",
     "votes": "votes AS (SELECT event_id AS vote_id, user_id AS session_id, event_id % 200 AS answer_id, CAST(event_id % 5 + 1 AS INTEGER) AS score, ts AS submitted_at FROM events)",
     "answers": """answers AS (SELECT n % 200 AS slot, n AS answer_id, conv_id AS session_id, text AS answer_text, CASE WHEN n % 7 = 0 THEN 'reused_answer' WHEN n % 11 = 0 THEN 'safe_no_answer' ELSE 'grounded_narrative' END AS mode,
