@@ -519,7 +519,16 @@ def q36(spark, d):
 
 # ---------------------------------------------------------------- ingestion
 
-@query("q37_chunks")
+_CHUNKS = r"""WITH RECURSIVE par AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents),
+walk AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS open_, 0 AS n FROM par UNION ALL
+  SELECT w.doc_id, w.i + 1, CASE WHEN w.open_ <> '' AND w.n + length(p[w.i + 1]) > 1200 THEN list_append(w.done, w.open_) ELSE w.done END,
+    CASE WHEN w.open_ = '' THEN p[w.i + 1] WHEN w.n + length(p[w.i + 1]) > 1200 THEN right(w.open_, 200) || chr(10) || p[w.i + 1] ELSE w.open_ || chr(10) || p[w.i + 1] END,
+    CASE WHEN w.open_ <> '' AND w.n + length(p[w.i + 1]) > 1200 THEN least(200, length(w.open_)) ELSE w.n END + length(p[w.i + 1]) FROM walk w JOIN par USING (doc_id) WHERE w.i < len(p)),
+ends AS (SELECT doc_id, arg_max(CASE WHEN open_ = '' THEN done ELSE list_append(done, open_) END, i) AS cs FROM walk GROUP BY doc_id)
+SELECT doc_id AS document_id, CAST(k - 1 AS INTEGER) AS chunk_index, cs[k] AS content FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS k FROM ends)"""
+
+
+@query("q37_chunks", _CHUNKS)
 def q37(spark, d):
     return ingest.chunks(V.table(spark, d, "documents"), key="doc_id")
 
@@ -584,7 +593,7 @@ def _plan(spark, d):
 
 @query("q43_publication_plan", with_views(_PLAN + "\nSELECT doc_key, mode, CASE WHEN mode LIKE 'replace%' THEN len(ids) ELSE 0 END AS n_replaced FROM pl", "registry"))
 def q43(spark, d):
-    return _plan(spark, d).select("doc_key", "mode", F.size("replaces").cast("long").alias("n_replaced"))
+    return _plan(spark, d).select("doc_key", "mode", "n_replaced")
 
 
 @query("q44_replace_revisions", with_views(_PLAN + """,
@@ -665,7 +674,14 @@ def q51(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.array_join(T.terms(F.col("text"), DRIVER.stop_words), " ").alias("terms"))
 
 
-@query("q52_html_blocks")
+_HTML = r"""WITH bare AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis') AS h FROM pages),
+broken AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(?:p|div|li|tr|h[1-6]|br|ul|ol|table|article|nav|section|body|head|title)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS t FROM bare),
+cut AS (SELECT page_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM broken)
+SELECT page_id, CAST(pos AS INTEGER) AS block_order, trim(raw) AS content, CASE WHEN regexp_matches(trim(raw), '(?i)^(таблица|table)\s*(№|n)?\s*\d') THEN 'table_caption' WHEN regexp_matches(trim(raw), '^([-•*–]|\d+[.)]|[a-zа-я]\))\s') THEN 'list_item'
+  WHEN length(trim(raw)) <= 80 AND NOT regexp_matches(trim(raw), '[.,;:]$') THEN 'heading' ELSE 'paragraph' END AS block_type, nullif(regexp_extract(trim(raw), '^(\d+(?:\.\d+)*)[.)]?\s', 1), '') AS clause_number FROM cut WHERE trim(raw) <> ''"""
+
+
+@query("q52_html_blocks", _HTML)
 def q52(spark, d):
     """Pages as blocks: tags of blocks end a line, other tags, scripts and comments go."""
     html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " ")

@@ -129,26 +129,61 @@ def enrich(c: Column) -> Column:
     return F.struct(authority.alias("authority"), kind.alias("document_type"), T.language(c).alias("language"))
 
 
-def chunks(documents: DataFrame, *, key: str = "document_id", text: str = "text", most: int = 1200, as_written: bool = False) -> DataFrame:
-    """Paragraphs joined to chunks of at most ``most`` characters; longer paragraphs stay whole.
+def chunks(documents: DataFrame, *, key: str = "document_id", text: str = "text", most: int = 1200, overlap: int = 200, as_written: bool = False) -> DataFrame:
+    """Paragraphs folded to chunks: (document_id, chunk_index, content).
 
-    ``as_written``: white space is collapsed first, which leaves one chunk for each document.
+    A paragraph that would take an open chunk above ``most`` characters closes it, and the last ``overlap`` characters of the
+    closed chunk open the next one, with a line of their own.  Characters are those of paragraphs and overlap, without the
+    line ends between them; a paragraph is never split, so one that is longer than ``most`` stays whole.  Null and
+    empty texts have no chunks.  ``as_written``: white space is collapsed first, which leaves one chunk for each document.
     """
+    if overlap >= most:
+        raise ValueError("the overlap must be smaller than a chunk")
     body = F.coalesce(F.col(text), F.lit(""))
     if as_written:
-        out = documents.select(F.col(key).alias("document_id"), F.filter(F.array(T.collapse(body)), lambda c: c != "").alias("cs"))
+        cs = F.filter(F.array(T.collapse(body)), lambda c: c != "")
     else:
         paragraphs = F.filter(F.transform(F.split(body, r"\n+"), T.collapse), lambda p: p != "")
-        none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+        state = lambda done, open_, n: F.struct(done.alias("done"), open_.alias("open"), n.alias("n"))
 
         def step(acc: Column, p: Column) -> Column:
-            fits = F.char_length(acc["open"]) + F.char_length(p) + 1 <= most
-            return (F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), p.alias("open")))
-                    .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n"), p).alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open"))))
+            line, size = F.concat(F.lit("\n"), p), F.char_length(p)
+            tail = F.right(acc["open"], F.lit(overlap))
+            return (F.when(acc["open"] == "", state(acc["done"], p, size))
+                    .when(acc["n"] + size > most, state(F.concat(acc["done"], F.array(acc["open"])), F.concat(tail, line), F.char_length(tail) + size))
+                    .otherwise(state(acc["done"], F.concat(acc["open"], line), acc["n"] + size)))
 
-        cs = F.aggregate(paragraphs, none, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-        out = documents.select(F.col(key).alias("document_id"), cs.alias("cs"))
-    return out.select("document_id", F.posexplode("cs").alias("chunk_index", "content"))
+        cs = F.aggregate(paragraphs, state(F.array().cast("array<string>"), F.lit(""), F.lit(0)), step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return documents.select(F.col(key).alias("document_id"), F.posexplode(cs).alias("chunk_index", "content"))
+
+
+def chunk_rows(documents: DataFrame, **kw) -> DataFrame:
+    """``chunks`` with the hash of their text and an id from document and place: the same for every run."""
+    own = chunks(documents, **kw)
+    return own.withColumn("chunk_hash", F.sha2("content", 256)).withColumn("block_id", F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "chunk_index", "chunk_hash"), 256))
+
+
+def ingest_chunks(documents: DataFrame, folder: str, provider=None, *, model: str = "hashed", dimension: int | None = None, **kw) -> DataFrame:
+    """Documents to stored chunks and their embeddings; what is there already, by (document, place, hash), is left out.
+
+    Only absent chunks are embedded, in batches, and both tables are one commit (``store``), so a run that is cut off leaves
+    nothing half done, and a rerun adds nothing.  Documents whose text has changed get their new chunks beside the old
+    ones.  Returns (document_id, chunks_created) of what was added.
+    """
+    from ..sources import embedding
+    from . import store
+
+    spark = documents.sparkSession
+    new = chunk_rows(documents, **kw)
+    known = store.read(spark, folder, "document_block")
+    if known is not None:
+        new = new.join(known.select("block_id"), "block_id", "left_anti")
+    batch = store.new_batch()
+    with store.commit(spark, folder, batch) as add:
+        blocks_ = add("document_block", new)
+        vector = embedding.embed(spark, F.col("content"), provider or embedding.hashed, dimension=dimension or embedding.DIMENSION)
+        add("document_block_embedding", blocks_.select("block_id", "document_id", vector.alias("embedding"), F.lit(model).alias("embedding_model")))
+    return blocks_.groupBy("document_id").agg(F.count("*").alias("chunks_created"))
 
 
 def qc_metrics(documents: DataFrame, block_rows: DataFrame, table_rows: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Publication: plans, revisions, deterministic ids, append-only job logs, writers with a commit marker."""
+"""Publication: plans, revisions, deterministic ids, append-only job logs, all tables of a batch as one commit."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import store
 
 CHILDREN = ("document_blocks", "document_tables", "document_table_rows", "legal_facts", "measure_aliases")
 REGISTRY = "document_registry"
@@ -18,26 +19,30 @@ def row_id(*parts: Column) -> Column:
 
 
 def publication_plan(incoming: DataFrame, registry: DataFrame) -> DataFrame:
-    """incoming (doc_key, doc_uid_base, content_hash, revision_date) → mode and the documents it replaces.
+    """incoming (doc_key, doc_uid_base, content_hash, revision_date) → mode and n_replaced, the active documents it replaces.
 
-    A conflict (the same content is active under the same uid) is a status of its row, not a failure.
+    A conflict (the same content is active under the same uid) is a status of its row, not a failure.  A uid's documents are
+    counted and its hashes met by joins; nothing is gathered for a uid.
     """
-    active = registry.filter(F.col("status") == "active").groupBy(F.col("doc_uid_base").alias("_uid")).agg(F.array_sort(F.collect_list("document_id")).alias("_ids"), F.collect_set("content_hash").alias("_hashes"))
+    active = registry.filter(F.col("status") == "active").select(F.col("doc_uid_base").alias("_uid"), F.col("content_hash").alias("_hash"))
     uid = F.nullif(F.trim("doc_uid_base"), F.lit(""))
-    out = incoming.join(active, uid == F.col("_uid"), "left")
-    mode = (F.when(uid.isNull(), "insert_new_active_unbound").when(F.col("_ids").isNull(), "insert_new_active").when(F.array_contains("_hashes", F.col("content_hash")), "conflict")
+    out = incoming.withColumn("_own", uid).join(active.groupBy("_uid").agg(F.count("*").alias("_n")), F.col("_own") == F.col("_uid"), "left").drop("_uid")
+    out = out.join(active.distinct(), (F.col("_own") == F.col("_uid")) & (F.col("content_hash") == F.col("_hash")), "left")
+    mode = (F.when(F.col("_own").isNull(), "insert_new_active_unbound").when(F.col("_n").isNull(), "insert_new_active").when(F.col("_hash").isNotNull(), "conflict")
             .when(F.col("revision_date").isNull(), "replace_active_revision_without_revision_date").otherwise("replace_active_revision"))
     out = out.withColumn("mode", mode)
-    replaced = F.when(F.startswith("mode", F.lit("replace")), F.col("_ids")).otherwise(F.slice(F.col("_ids"), 1, 0))
-    return out.withColumn("replaces", F.coalesce(replaced, F.array().cast(registry.schema["document_id"].dataType.simpleString().join(("array<", ">"))))).drop("_uid", "_ids", "_hashes")
+    return out.withColumn("n_replaced", F.when(F.startswith("mode", F.lit("replace")), F.col("_n")).otherwise(0).cast("long")).drop("_own", "_n", "_uid", "_hash")
 
 
 def replace_revisions(registry: DataFrame, plan: DataFrame, at: Column) -> DataFrame:
-    """The registry with replaced documents marked: status, replaced_by, replaced_at."""
-    gone = plan.select(F.explode("replaces").alias("document_id"), F.col("doc_key").alias("_by")).groupBy("document_id").agg(F.min("_by").alias("_by"))
-    out = registry.join(gone, "document_id", "left")
-    hit = F.col("_by").isNotNull()
-    return out.withColumn("status", F.when(hit, "replaced").otherwise(F.col("status"))).withColumn("replaced_by", F.when(hit, F.col("_by"))).withColumn("replaced_at", F.when(hit, at)).drop("_by")
+    """The registry with the active documents that a plan replaces marked: status, replaced_by (the least doc_key), replaced_at."""
+    uid = F.nullif(F.trim("doc_uid_base"), F.lit(""))
+    by = plan.filter(F.startswith("mode", F.lit("replace"))).groupBy(uid.alias("_uid")).agg(F.min("doc_key").alias("_by"))
+    out = registry.join(by, F.col("doc_uid_base") == F.col("_uid"), "left")
+    hit = F.col("_by").isNotNull() & (F.col("status") == "active")
+    old = lambda c, kind: F.col(c) if c in registry.columns else F.lit(None).cast(kind)
+    by_type = plan.schema["doc_key"].dataType.simpleString()
+    return out.withColumns({"status": F.when(hit, "replaced").otherwise(F.col("status")), "replaced_by": F.when(hit, F.col("_by")).otherwise(old("replaced_by", by_type)), "replaced_at": F.when(hit, at).otherwise(old("replaced_at", "timestamp"))}).drop("_by", "_uid")
 
 
 def block_rows(items: DataFrame) -> DataFrame:
@@ -59,14 +64,40 @@ def seed_channels(spark) -> DataFrame:
     return spark.createDataFrame([(k + 1, c, c.title(), True) for k, c in enumerate(CHANNELS)], "channel_id long, channel_code string, channel_name string, is_active boolean")
 
 
-def publish(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
-    """Children first, the registry last: a document is there once its registry row is.  Readers join on that.
+def publish(tables: dict[str, DataFrame], folder: str, batch: str) -> bool:
+    """All tables of a batch as one commit (``store``): readers see the whole batch or nothing of it.
+
+    Publishing a batch again adds nothing; False then.
+    """
+    return store.write(tables[REGISTRY].sparkSession, folder, batch, {name: tables[name] for name in (*[c for c in CHILDREN if c in tables], REGISTRY)})
+
+
+def publish_revisions(spark, folder: str, batch: str, incoming: DataFrame, children: dict[str, DataFrame], at: Column) -> bool:
+    """Publish new documents and mark the revisions that they replace, in one commit.
 
-    Rows lie under their ``batch``; publishing a batch again replaces what an earlier attempt left of it.
+    ``incoming``: document_id, doc_uid_base, content_hash, revision_date and the registry's other columns; ``children``: tables by
+    document_id.  Conflicts and their children are left out.  The registry is read by ``registry``: a replaced document's
+    row is written anew with its status, and the last row of a document counts.
     """
-    for name in (*[c for c in CHILDREN if c in tables], REGISTRY):
-        out = tables[name].withColumn("batch", F.lit(batch)).write.partitionBy("batch")
-        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{name}")
+    if store.committed(spark, folder, batch):
+        return False
+    now = registry(spark, folder)
+    known = now if now is not None else spark.createDataFrame([], incoming.drop("status").schema.add("status", "string").add("replaced_by", incoming.schema["document_id"].dataType).add("replaced_at", "timestamp"))
+    plan = publication_plan(incoming.withColumn("doc_key", F.col("document_id")), known)
+    accepted = plan.filter("mode <> 'conflict'")
+    own = accepted.select(*incoming.drop("status").columns, F.lit("active").alias("status"), F.lit(None).cast(incoming.schema["document_id"].dataType).alias("replaced_by"), F.lit(None).cast("timestamp").alias("replaced_at"))
+    with store.commit(spark, folder, batch) as add:
+        for name, rows in children.items():
+            add(name, rows.join(accepted.select("document_id"), "document_id", "left_semi"))
+        gone = replace_revisions(known, accepted, at).filter("status = 'replaced'").join(known.filter("status = 'active'").select("document_id"), "document_id", "left_semi")
+        add(REGISTRY, own.unionByName(gone.select(*own.columns)))
+    return True
+
+
+def registry(spark, folder: str) -> DataFrame | None:
+    """The registry as published: the last committed row of each document."""
+    rows = store.latest(spark, folder, REGISTRY, ["document_id"])
+    return None if rows is None else rows.drop("batch", "committed_at")
 
 
 def unpublishable(documents: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lexiquarry.operators import feedback, generate, ingest, publish, render, reuse
+from lexiquarry.operators import feedback, generate, ingest, publish, render, reuse, store
 from lexiquarry.sources import embedding, files, ooxml
 from lexiquarry.streaming import feedback as streaming
 
@@ -26,7 +26,7 @@ def test_daily_modes(spark):
 def test_chunks(spark):
     text = "\n".join("x" * n for n in (500, 600, 300, 2000, 10))
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "document_id int, text string")
-    assert [len(r.content) for r in ingest.chunks(df).orderBy("chunk_index").collect()] == [1101, 300, 2000, 10]
+    assert [len(r.content) for r in ingest.chunks(df).orderBy("chunk_index").collect()] == [1101, 501, 2201, 211]
     assert ingest.chunks(df, as_written=True).count() == 1
 
 
@@ -205,7 +205,7 @@ def test_publish_again(spark, tmp_path):
     tables = {"document_blocks": rows, "document_registry": rows.select("document_id")}
     for batch in ("one", "one", "two"):
         publish.publish(tables, str(tmp_path), batch)
-    read = spark.read.parquet(f"{tmp_path}/document_blocks")
+    read = store.read(spark, str(tmp_path), "document_blocks")
     assert {r["batch"]: r["count"] for r in read.groupBy("batch").count().collect()} == {"one": 2, "two": 2}
     docs = spark.createDataFrame([(1, "passed", "f", "c"), (2, None, "f", "c"), (3, "passed", " ", "c"), (4, "passed", "f", None)], "document_id int, qc_status string, file_hash string, content_hash string")
     assert {r.document_id: r.reason for r in publish.unpublishable(docs).collect()} == {2: "qc_not_passed", 3: "file_hash_missing", 4: "content_hash_missing"}
