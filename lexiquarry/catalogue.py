@@ -829,6 +829,19 @@ def q65(spark, d):
     return answers.evidence_hashes(_evidence(spark, d).withColumns({"evidence_item_type": F.lit("document"), "role_code": F.lit("primary")}))
 
 
+@query("q70_payload_hashes", """WITH items AS (SELECT l_orderkey AS k, string_agg('{"flags":{"line":"' || l_linestatus || '","return":"' || l_returnflag || '"},"part":' || l_partkey || ',"price":' || CAST(l_extendedprice AS VARCHAR) || ',"ship":"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '+00:00"}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS told FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS answer_id, sha256('{"items":[' || coalesce(told, '') || '],"none":null,"status":"' || o_orderstatus || '","sum":{"a":' || CAST(o_totalprice AS VARCHAR) || ',"z":' || (o_orderkey % 3) || '}}') AS answer_payload_hash FROM orders LEFT JOIN items ON k = o_orderkey""")
+def q70(spark, d):
+    """Orders with their lines as payloads of answers, nested and out of order."""
+    l = V.table(spark, d, "lineitem")
+    items = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct("l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus").alias("x")))), lambda i: F.struct(
+        i["x"]["l_shipdate"].alias("ship"), i["x"]["l_extendedprice"].alias("price"), F.create_map(F.lit("return"), i["x"]["l_returnflag"], F.lit("line"), i["x"]["l_linestatus"]).alias("flags"), i["l_partkey"].alias("part"))).alias("items"))
+    own = V.table(spark, d, "orders").join(items, "o_orderkey", "left")
+    payload = F.struct(F.col("o_orderstatus").alias("status"), F.struct((F.col("o_orderkey") % 3).alias("z"), F.col("o_totalprice").alias("a")).alias("sum"), F.lit(None).cast("string").alias("none"), F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
+    events = answers.answer_events(own.select(F.col("o_orderkey").alias("answer_id"), F.lit("t").alias("answer_text"), F.lit(False).alias("reuse_allowed"), payload.alias("payload")), _evidence(spark, d))[0]
+    return events.select("answer_id", "answer_payload_hash")
+
+
 @query("q66_document_titles", with_views(r"""n AS (SELECT document_id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS t, block_order, row_number() OVER (PARTITION BY document_id ORDER BY block_order) AS place FROM blocks),
 first_ AS (SELECT document_id, arg_min(t, block_order) AS t FROM n WHERE place <= 20 AND length(t) >= 4 GROUP BY 1)
 SELECT doc_id AS document_id, coalesce(t, 'file' || doc_id || '.v1') AS title FROM documents LEFT JOIN first_ ON document_id = doc_id""", "blocks"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.canonical import canonical, quoted
 from ..functions.similarity import text_similarity
+from . import store
 from .publish import row_id
 from .reuse import eligible, signature_score
 
@@ -101,30 +103,37 @@ def evidence_hashes(evidence: DataFrame) -> DataFrame:
     """answer_id, document_set_hash, evidence_hash, n_items.
 
     The first is over the different document hashes (of the content, else of the file), the second over all
-    items in order (ties by their other fields), numbered anew.  An answer's evidence is a handful of rows.  A
-    missing citation is empty.
+    items in order (ties by their other fields), numbered anew, in canonical JSON.  ``citation`` may be a map or a struct
+    of any depth; a missing one is empty.  An answer's evidence is a handful of rows.
     """
     cols = [c for c in HASHED if c not in ("order", "citation")]
-    citation = F.col("citation") if "citation" in evidence.columns else F.lit(None)
-    own = {c: F.col(c) if c in evidence.columns else F.lit(None).cast("string") for c in cols}
-    fields = {**{c: v.cast("string") for c, v in own.items()}, "citation": F.coalesce(citation.cast("map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))}
-    item = F.struct("evidence_order", *[(F.array_sort(F.map_entries(fields[c])) if c == "citation" else fields[c]).alias(c) for c in HASHED if c != "order"])
+    fields = {c: (F.col(c) if c in evidence.columns else F.lit(None)).cast("string") for c in cols}
+    told = canonical(F.col("citation"), evidence.schema["citation"].dataType) if "citation" in evidence.columns else F.lit("null")
+    fields["citation"] = F.when(told == "null", "{}").otherwise(told)
+    item = F.struct("evidence_order", *[fields[c].alias(c) for c in HASHED if c != "order"])
     document = F.coalesce(F.nullif(fields["document_content_hash"], F.lit("")), F.nullif(fields["document_file_hash"], F.lit("")))
     per = evidence.groupBy("answer_id").agg(F.collect_list(item).alias("items"), F.array_sort(F.collect_set(document)).alias("documents"))
-    of = lambda x, k, c: k + 1 if c == "order" else F.map_from_entries(x[c]) if c == "citation" else x[c]
-    told = F.transform(F.array_sort("items"), lambda x, k: F.struct(*[of(x, k, c).alias(HASHED_AS.get(c, c)) for c in HASHED]))
-    as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    return per.select("answer_id", F.sha2(as_json(F.struct("documents")), 256).alias("document_set_hash"), F.sha2(as_json(told), 256).alias("evidence_hash"), F.size("items").alias("n_items"))
+
+    def as_json(x: Column, k: Column) -> Column:
+        value = lambda c: (k + 1).cast("string") if c == "order" else x[c] if c == "citation" else F.coalesce(quoted(x[c]), F.lit("null"))
+        names = sorted((HASHED_AS.get(c, c), c) for c in HASHED)
+        return F.concat(F.lit("{"), *[p for n, (name, c) in enumerate(names) for p in (F.lit(f'{"," if n else ""}"{name}":'), value(c))], F.lit("}"))
+
+    items = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort("items"), as_json), ","), F.lit("]"))
+    documents = F.concat(F.lit('{"documents":['), F.array_join(F.transform("documents", quoted), ","), F.lit("]}"))
+    return per.select("answer_id", F.sha2(documents, 256).alias("document_set_hash"), F.sha2(items, 256).alias("evidence_hash"), F.size("items").alias("n_items"))
 
 
 def answer_events(answers: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events with their hashes, numbered evidence rows, and empty candidates of answers that may be reused.
+    """Events with their four hashes, numbered evidence rows, and empty candidates of answers that may be reused.
 
-    ``answers``: answer_id, answer_text, reuse_allowed, more; ids follow from keys, so a rerun gives the same.
+    ``answers``: answer_id, answer_text, reuse_allowed, payload (of any type; optional), more; ids follow from keys, so a rerun
+    gives the same.
     """
     events = answers.withColumn("answer_text", F.trim("answer_text")).join(evidence_hashes(evidence), "answer_id", "left")
     none = {"document_set_hash": F.sha2(F.lit('{"documents":[]}'), 256), "evidence_hash": F.sha2(F.lit("[]"), 256), "n_items": F.lit(0)}
-    events = events.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()} | {"answer_text_hash": T.text_hash(F.col("answer_text"))})
+    payload = canonical(F.col("payload"), answers.schema["payload"].dataType) if "payload" in answers.columns else F.lit("{}")
+    events = events.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()} | {"answer_text_hash": T.text_hash(F.col("answer_text")), "answer_payload_hash": F.sha2(payload, 256)})
     w = Window.partitionBy("answer_id").orderBy("evidence_order")
     rows = evidence.join(answers.select("answer_id"), "answer_id", "left_semi").withColumn("evidence_order", F.row_number().over(w))
     rows = rows.withColumn("evidence_id", row_id(F.col("answer_id"), F.col("evidence_order")))
@@ -134,26 +143,37 @@ def answer_events(answers: DataFrame, evidence: DataFrame) -> tuple[DataFrame, D
     return events, rows, candidates
 
 
+def store_answers(spark, folder: str, batch: str, answers: DataFrame, evidence: DataFrame) -> bool:
+    """Events, evidence and candidates of a batch as one commit (``store``); a batch that is there already adds nothing."""
+    return store.write(spark, folder, batch, dict(zip(("answer_event", "answer_evidence_item", "answer_reuse_candidate"), answer_events(answers, evidence))))
+
+
 def history(answers: DataFrame, questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Answers with their questions and what is known of their reuse, on (question_id) and (answer_id)."""
     return answers.join(questions, "question_id").join(candidates, "answer_id")
 
 
-def leading_history(past: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` eligible answers by reuse score, average, votes and age (nulls first), with ``standing``."""
+def leading_history(past: DataFrame, most: int, *, of_one: int | None = None) -> DataFrame:
+    """The first ``most`` eligible answers by reuse score, average, votes and age (nulls first), with ``standing``.
+
+    Of one question at most ``of_one`` answers count, if that is given."""
     order = [F.col(c).desc_nulls_first() for c in ("reuse_score", "avg_score", "n_votes", "created_at")] + [F.col("answer_id")]
-    best = eligible(past).orderBy(*order).limit(most)
+    best = eligible(past)
+    if of_one is not None:
+        best = best.withColumn("_nth", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(F.col("_nth") <= of_one).drop("_nth")
+    best = best.orderBy(*order).limit(most)
     return best.withColumn("standing", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
 
 
 def history_matches(questions: DataFrame, past: DataFrame, *, threshold: float = 0.90, most: int = 20) -> DataFrame:
     """question_id, past_id, similarity, signature, place: the best ``most`` answers of the leading 3 * ``most``.
 
-    The order of the leading ones doesn't depend on the question, so they are found once: 3 * ``most`` and one
-    more, as a question's own answer doesn't count.  That bounds what is broadcast, whatever the history's size.
+    A question's own answers don't count.  The order doesn't depend on the question, so the leading ones are found once: of each
+    past question's answers 3 * ``most`` are enough for anybody else, and then no question has more than that to leave
+    out, so twice as many hold the first 3 * ``most`` of everybody.  That bounds what is broadcast, whatever the history's size.
     ``questions``: question_id, text, intent, measure_code, subject; ``past`` adds question_text.
     """
-    lead = leading_history(past, 3 * most + 1).select(
+    lead = leading_history(past, 6 * most, of_one=3 * most).select(
         F.col("question_id").alias("past_question"), F.col("answer_id").alias("past_id"), T.normalize(F.col("question_text")).alias("past"), F.col("intent").alias("_i"), F.col("measure_code").alias("_m"), F.col("subject").alias("_s"),
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("reuse_score", "avg_score", "n_votes")], "created_at", "standing")
     asked = questions.select("question_id", T.normalize(F.col("text")).alias("norm"), "intent", "measure_code", "subject")
