@@ -11,15 +11,22 @@ base64 or its form for addresses).  Three tests ask whether it could be uniform
 * the runs test about the middle of the alphabet,
 * the correlation of each symbol's place with the next one's.
 
-A candidate that any of them rejects (level ``alpha``, divided by three) is not noise.  Short strings pass
-such tests easily, so a second number counts: the likelihood ratio of noise to running text, symbol by
-symbol.  Under text its inverse exceeds no level more often than that level (Markov's inequality), which
-makes it a p-value that gets smaller with length.  Benjamini and Hochberg's rule at rate ``fdr`` is applied
-within bands of length, over all candidates of the corpus, so that the many short candidates don't decide
-for the long ones.  The p-values are summed up in a histogram of fixed size; no candidates are gathered.
-
-Defined results: null and empty texts have no spans; repeated rows and null ids are scanned each; other
-columns play no part; an empty table gives no rows.
+The least of the three p-values, corrected for being the least, is the battery's: noise over the alphabet has
+all values alike often, anything else has low ones, and the lower the longer it is, while short strings of
+any kind pass easily.  So two numbers decide, both of which know the length:
+
+* noise must be likelier than running text, symbol by symbol (the likelihood ratio);
+* within bands of length, over all such candidates of the corpus, the least p-value counts from which on what is
+  found is noise but for a share ``fdr``: how many candidates are noise is told by the upper half of the
+  p-values, where hardly anything else is, and what lies above a level beyond their due is a false discovery.
+  A surplus that noise alone has by chance (two standard deviations) isn't held against a level.  Nothing below
+  ``alpha`` counts.  p-values are summed up in a histogram of fixed size; no candidates are gathered.
+
+An added span that overlaps a base one is left out: found by a join on pieces of the text, not span by span.
+
+Defined results: null and empty texts have no spans; repeated rows and null ids are scanned each; long texts
+are scanned whole, in time in proportion to length and matches; other columns play no part; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -57,20 +64,45 @@ ENCODINGS = (
 LETTERS = (80, 15, 30, 42, 140, 16, 18, 32, 72, 3, 7, 45, 25, 80, 60, 24, 6, 66, 68, 72, 36, 12, 13, 4, 10, 6)
 CAPITAL, DIGIT, SIGN = 0.03, 0.004, 0.01
 BANDS = (20, 32, 64, 128)
-STEP, STEPS = 0.25, 480
+#: Bins of p-values.
+BINS = 100
+#: Matches whose places are added up one by one; above, sums of so many are.
+RUN = 64
+#: Code points of a piece of text, in which overlapping spans meet.
+PIECE = 1024
 
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def matches_at(text: Column, pattern: str) -> Column:
-    """[(start, match)] of a pattern, by code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.char_length(gap).cast("long").alias("gap"), m.alias("m")))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,m:string>>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + F.char_length(p["m"])).cast("long").alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["m"].alias("m")))).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:bigint,m:string>>"))
+    """[(start, match)] of a pattern, by code points.
+
+    Places are sums of lengths.  They are added up in runs of RUN matches, and the runs' sums before, so that no list grows
+    match by match over a whole text.
+    """
+    length = lambda p: p["gap"] + F.char_length(p["m"])
+    longs, out = "array<bigint>", "array<struct<start:bigint,m:string>>"
+
+    def paired(found: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.char_length(gap).cast("long").alias("gap"), m.alias("m")))
+
+    def in_runs(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda k: F.slice(pairs, k * RUN + 1, RUN))
+
+    def placed(run: Column, begin: Column) -> Column:
+        none = F.struct(begin.alias("at"), F.array().cast(out).alias("out"))
+        step = lambda acc, p: F.struct((acc["at"] + length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["m"].alias("m")))).alias("out"))
+        return F.aggregate(run, none, step, lambda acc: acc["out"])
+
+    def all_placed(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, p: a + length(p)))
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(longs).alias("out"))
+        begins = F.aggregate(sums, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(runs, begins, placed))
+
+    # each step's array is bound to a variable, so it is made once and not for every element of the next
+    found = F.filter(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda f: F.size(f) > 0)
+    return F.flatten(F.transform(F.transform(F.transform(found, paired), in_runs), all_placed))
 
 
 def as_spans(found: Column, kind: str, rank: int) -> Column:
@@ -93,7 +125,7 @@ def _sum(values: Column) -> Column:
 
 
 def tested(found: Column) -> Column:
-    """Candidates [(start, match)] as [(start, end, kind, rank, band, bin, noise)]; one step of numbers at a time."""
+    """Candidates [(start, match)] as [(start, end, kind, rank, band, p, likely)]; one step of numbers at a time."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
 
     def told(x: Column) -> Column:
@@ -138,8 +170,8 @@ def tested(found: Column) -> Column:
         band = F.lit(0)
         for b, low in enumerate(BANDS):
             band = F.when(n >= low, b).otherwise(band)
-        bin_ = F.least(F.greatest(F.floor(x["ratio"] / STEP), F.lit(0)), F.lit(STEPS)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["rank"].cast("int").alias("rank"), band.alias("band"), bin_.alias("bin"), least.alias("least"))
+        p = 1 - F.pow(1 - F.greatest(F.least(least, F.lit(1.0)), F.lit(0.0)), F.lit(3.0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["rank"].cast("int").alias("rank"), band.alias("band"), p.alias("p"), (x["ratio"] > 0).alias("likely"))
 
     out = found
     for f in (told, counted, summed, judged):
@@ -147,18 +179,22 @@ def tested(found: Column) -> Column:
     return out
 
 
-def thresholds(scanned: DataFrame, fdr: float) -> dict[int, int]:
-    """The least bin that counts as found, for each band; from a table of at most bands x bins rows."""
-    bins = scanned.select(F.explode("tested").alias("t")).groupBy("t.band", "t.bin").agg(F.count("*").alias("n"), F.count_if("t.noise").alias("noise"))
-    out: dict[int, int] = {}
-    rows = sorted(bins.collect(), key=lambda r: (r.band, -r.bin))  # at most len(BANDS) * (STEPS + 1) rows
+def thresholds(scanned: DataFrame, alpha: float, fdr: float) -> dict[int, float]:
+    """The least p-value that counts, for each band; from a table of at most bands x bins rows."""
+    p = F.floor(F.col("t.p") * BINS).cast("int")
+    rows = scanned.select(F.explode("tested").alias("t")).filter("t.likely").groupBy("t.band", F.least(p, F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n")).collect()
+    out: dict[int, float] = {}
     for band in range(len(BANDS)):
-        own = [r for r in rows if r.band == band]
-        m, found = sum(r.n for r in own), 0
-        for r in own:
-            found += r.noise
-            if found and math.exp(-r.bin * STEP) * m <= fdr * found:
-                out[band] = r.bin
+        counts = [0] * BINS
+        for r in rows:
+            if r.band == band:
+                counts[r.bin] = r.n
+        noise = 2 * sum(counts[BINS // 2 :])
+        for low in range(BINS // 2 + 1):
+            found = sum(counts[low:])
+            if found - noise * (1 - low / BINS) <= fdr * found + 2 * math.sqrt(found):
+                out[band] = max(alpha, low / BINS)
+                break
     return out
 
 
@@ -168,15 +204,17 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", alpha: flo
     assign, access, hex_ = base_spans(F.col("t"))
     rows = docs.select(F.col(key).alias("doc_id"), whole.alias("t"))
     rows = rows.select("doc_id", assign.alias("assign"), access.alias("access"), hex_.alias("hex"), tested(matches_at(F.col("t"), CANDIDATE)).alias("tested"))
-    noise = F.transform("tested", lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "kind", "rank", "band", "bin")], (x["least"] >= alpha / 3).alias("noise")))
-    rows = settle(rows.withColumn("tested", noise), "secrets-scanned")
-    least = thresholds(rows, fdr)
-    base = F.concat("assign", "access", "hex")
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    passes = lambda x: F.coalesce(*[F.when(x["band"] == b, x["bin"] >= v) for b, v in least.items()], F.lit(False))
-    kept = F.filter("tested", lambda x: x["noise"] & passes(x) & free(x))
-    added = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))).cast(SPAN)
-    return rows.select("doc_id", "assign", "access", "hex", added.alias("random"))
+    rows = settle(rows.withColumn("uid", F.monotonically_increasing_id()), "secrets-scanned")
+    least = thresholds(rows, alpha, fdr)
+    passes = lambda x: x["likely"] & F.coalesce(*[F.when(x["band"] == b, x["p"] >= v) for b, v in least.items()], F.lit(False))
+    kept = rows.withColumn("kept", F.filter("tested", passes)).filter(F.size("kept") > 0)
+    added = kept.select("uid", F.explode("kept").alias("x")).select("uid", "x.start", "x.rank", "x.kind", "x.end")
+    in_pieces = lambda df, start, end: df.withColumn("piece", F.explode(F.sequence(F.floor(F.col(start) / PIECE), F.floor((F.col(end) - 1) / PIECE))))
+    base = in_pieces(kept.select("uid", F.explode(F.concat("assign", "access", "hex")).alias("b")).select("uid", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end")), "b_start", "b_end")
+    taken = in_pieces(added, "start", "end").join(base, ["uid", "piece"]).filter((F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end"))).select("uid", "start").distinct()
+    free = added.join(taken, ["uid", "start"], "left_anti")
+    random = free.groupBy("uid").agg(F.collect_list(F.struct("start", "rank", "kind", "end")).cast(SPAN).alias("random"))
+    return rows.join(random, "uid", "left").select("doc_id", "assign", "access", "hex", F.coalesce("random", F.array().cast(SPAN)).alias("random"))
 
 
 def joined(spans: Column) -> Column:

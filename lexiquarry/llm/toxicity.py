@@ -11,19 +11,23 @@ Five machines are composed:
 
 The first two are united into one letter transducer, which gives each word a class and a weight.  ``compose``
 multiplies the five clause machines over these classes into one; its state at a matched word names the tape
-(insult or threat; plain, negated or reported; aimed at a target or not) on which the weight is put out, and
-its state at the end of the clause tells whether insult and threat, target and report met in one clause.  So
-the same word counts differently in different clauses, and clauses are scored, not words.  A text's features
-are the tapes' sums over its clauses, how many clauses matched, how many were aimed insults with a threat, the
-strongest clause, and its length; a logistic function of them is the score.
+(insult or threat; plain, negated or reported; aimed at a target or not) on which the weight is put out, times
+the tape's factor.  The factors are the grammar's: an aimed insult counts more than one that is not, a
+negated or reported one less, and a clause in whose final state insult, threat and target have met counts more.
+So the same word counts differently in different clauses.
+
+A clause's score is what the machine puts out for it; scores of clauses, not of words, make the text's
+features: their sum (as a logarithm), the strongest clause, the share of clauses that matched.  A logistic
+function of them is the score; its weights are fitted, but none of these three may be negative, so a text's
+score never falls when a clause's rises.
 
 What is learned comes from labelled rows outside the held-out fold only, at most ``sample_rows`` of them, by
 the least digests of their ids: stems and weights (log odds over documents) from two of the other three
-folds, the weights of tapes from the third.  With too few labels the stated default is used.  The words of a
+folds, the weights of the features from the third.  With too few labels the stated default is used.  The words of a
 text are the only input of its score.
 
 Defined results: null and empty texts have the score of a text without matches; long texts are read whole,
-and sums grow without a limit, above SOFT with their logarithm; a null id is outside the fold; an id that
+and sums grow without a limit, as logarithms; a null id is outside the fold; an id that
 several labels have counts as toxic if one says so; repeated rows are scored each; ties among stems go to the
 first in order of letters; an empty table gives no rows; other columns, whatever their names, play no part.
 """
@@ -55,11 +59,15 @@ SAYING = "said says say told wrote writes called claimed quoted sagte sagt schri
 PUNCTUATION = ".,;:!?\"'()[]«»…"
 CLAUSE_ENDS = ".,;:!?…"
 STEM_LENGTHS = range(4, 9)
-#: Sums above this count with their logarithm, which keeps them in order.
-SOFT = 40.0
 PLAIN, TARGET, NEGATION, REPORT, INSULT, THREAT = CLASSES = ("plain", "target", "negation", "report", "insult", "threat")
 TAPES = tuple(itertools.product(("insult", "threat"), ("plain", "negated", "reported"), (False, True)))
-FEATURES = len(TAPES) + 6
+#: What a weight is worth on a tape: by how it is said, and by whether the clause has a target.
+HOW = {"plain": 1.0, "negated": 0.3, "reported": 0.4}
+AIMED = 1.5
+#: Times what a clause is worth in which insult, threat and target have met.
+WORST = 1.5
+FACTOR = {(kind, how, aimed): HOW[how] * (AIMED if aimed else 1.0) for kind, how, aimed in TAPES}
+FEATURES = 3
 
 #: Machines as (start, {(state, class): next}); a pair that isn't listed stays in its state.
 TARGET_MACHINE = ("none", {("none", TARGET): "aimed"})
@@ -155,7 +163,7 @@ class Grammar:
         self.start, self.table = compose(TARGET_MACHINE, NEGATION_MACHINE, REPORT_MACHINE, INSULT_MACHINE, THREAT_MACHINE)
 
     def clauses(self, text: str):
-        """(tapes, final state) of the clauses with a match, and the number of words."""
+        """The scores of the clauses with a match, and the number of all clauses."""
         pieces = text.lower().split()
         hits = [k for k, found in enumerate(map(self.lexicon.__getitem__, pieces)) if found]
         matched, at = [], 0
@@ -165,10 +173,11 @@ class Grammar:
                 first -= 1
             while last < len(pieces) - 1 and pieces[last][-1] not in CLAUSE_ENDS:
                 last += 1
-            matched.append(self._run(pieces[first : last + 1]))
+            matched.append(clause_score(*self._run(pieces[first : last + 1])))
             while at < len(hits) and hits[at] <= last:
                 at += 1
-        return matched, len(pieces)
+        ends = sum(p[-1] in CLAUSE_ENDS for p in pieces)
+        return matched, ends + bool(pieces and pieces[-1][-1] not in CLAUSE_ENDS)
 
     def _run(self, pieces: list[str]) -> tuple[list[tuple[tuple, float]], tuple]:
         """The composed machine on one clause: what it puts out on which tape, and the state it ends in."""
@@ -182,23 +191,17 @@ class Grammar:
         return [((kind, how, aimed), w) for kind, how, w in out], state
 
     def features(self, text: str | None) -> list[float]:
-        matched, n = self.clauses(text or "")
-        tapes, strongest, worst = dict.fromkeys(TAPES, 0.0), 0.0, 0
-        for clause, state in matched:
-            for tape, w in clause:
-                tapes[tape] += w
-            strongest = max(strongest, sum(w for _, w in clause))
-            worst += state[0] == "aimed" and state[3] == "insult" and state[4] == "threat"
-        total = sum(tapes.values())
-        return [*map(soft, tapes.values()), soft(len(matched)), soft(worst), soft(strongest), math.log1p(total), math.log1p(n), min(1.0, total / (n + 10)) * 10]
+        scores, n = self.clauses(text or "")
+        return [math.log1p(sum(scores)), max(scores, default=0.0), 10.0 * len(scores) / (n + 4)]
 
 
-def soft(value: float) -> float:
-    return float(value) if value <= SOFT else SOFT + math.log1p(value - SOFT)
+def clause_score(out: list[tuple[tuple, float]], state: tuple) -> float:
+    worst = state[0] == "aimed" and state[3] == "insult" and state[4] == "threat"
+    return sum(FACTOR[tape] * w for tape, w in out) * (WORST if worst else 1.0)
 
 
 #: Before anything is learned: an insult in a clause makes a text more likely toxic than not.
-DEFAULT = np.array([-3.0, *([1.2] * len(TAPES)), 0.5, 0.5, 0.0, 0.0, 0.0, 0.0])
+DEFAULT = np.array([-3.0, 1.5, 0.5, 0.2])
 
 
 def stems_in(text: str) -> set[str]:
@@ -207,16 +210,27 @@ def stems_in(text: str) -> set[str]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton's method, on scaled columns; the coefficients of raw ones."""
+    """Ridge logistic regression with weights of zero or more: Newton steps over the weights that are free.
+
+    A weight is held at zero as long as its slope points below.  Columns are scaled; the coefficients are those of raw ones.
+    """
     scale = x.std(0) + 1e-9
     a = np.c_[np.ones(len(x)), x / scale]
     b = np.zeros(a.shape[1])
     pull = np.r_[1e-6, np.full(x.shape[1], ridge)]
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * b)
-        b += step
-        if np.abs(step).max() < 1e-6:
+        slope = a.T @ (y - p) - pull * b
+        free = (b > 0) | (slope > 0)
+        free[0] = True
+        curve = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(pull)
+        step = np.zeros_like(b)
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+        new = b + step
+        new[1:] = np.maximum(new[1:], 0.0)
+        done = np.abs(new - b).max() < 1e-6
+        b = new
+        if done:
             break
     return np.r_[b[0], b[1:] / scale]
 

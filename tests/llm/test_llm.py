@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -198,6 +200,76 @@ def test_random_strings_are_found(spark):
     assert len([k for k in found if k < 100]) >= 27 and not [k for k in found if k >= 100]
 
 
+def battery(token):
+    """(encoding, length, p, likelier noise than text) of a candidate, said plainly."""
+    body = token.rstrip("=")
+    name, _, symbols = next(e for e in secret_scan.ENCODINGS if re.search(e[1], body))
+    n, k, v = len(body), len(symbols), [symbols.index(c) for c in body]
+    cdf = lambda z: 1 / (1 + math.exp(-1.5976 * max(-8, min(8, z)) - 0.07056 * max(-8, min(8, z)) ** 3))
+    chi, df = sum((body.count(c) - n / k) ** 2 for c in symbols) * k / n, k - 1
+    chi_z = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [x >= k / 2 for x in v]
+    runs, mu = 1 + sum(a != b for a, b in zip(high, high[1:])), 2 * sum(high) * (n - sum(high)) / n + 1
+    var, mean = (mu - 1) * (mu - 2) / (n - 1), sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread if spread else 1.0
+    runs_z = abs(runs - mu) / math.sqrt(var) if var > 0 else 8.0
+    least = min(1 - cdf(chi_z), 2 * (1 - cdf(runs_z)), 2 * (1 - cdf(abs(serial + 1 / n) * math.sqrt(n))))
+    share = {c: p / sum(secret_scan.LETTERS) for c, p in zip(secret_scan.LOWER, secret_scan.LETTERS)}
+    said = [share[c] if c in share else share[c.lower()] * secret_scan.CAPITAL if c.isalpha() else secret_scan.DIGIT if c.isdigit() else secret_scan.SIGN for c in body]
+    return name, n, 1 - (1 - min(1, max(0, least))) ** 3, -n * math.log(k) > sum(map(math.log, said))
+
+
+def added_spans(texts, alpha=0.01, fdr=0.01):
+    """The battery's spans of all texts: the histogram's levels by band, overlaps compared span by span."""
+    found = []
+    for i, text in enumerate(texts):
+        own = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text).split(",") if s]
+        for m in re.finditer(secret_scan.CANDIDATE, text, re.A):
+            name, n, p, likely = battery(m[0])
+            if likely:
+                found.append((i, m.start(), m.end(), name, sum(n >= b for b in secret_scan.BANDS) - 1, p, any(a < m.end() and m.start() < b for a, b in own)))
+    out = set()
+    for band in range(len(secret_scan.BANDS)):
+        own = [f for f in found if f[4] == band]
+        bins = [min(int(f[5] * 100), 99) for f in own]
+        noise = 2 * sum(b >= 50 for b in bins)
+        for low in range(51):
+            n = sum(b >= low for b in bins)
+            if n - noise * (1 - low / 100) <= fdr * n + 2 * math.sqrt(n):
+                out |= {f[:4] for f in own if f[5] >= max(alpha, low / 100) and not f[6]}
+                break
+    return out
+
+
+def test_added_spans_by_brute_force(spark):
+    rng, alphabets = random.Random(6), ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", secret_scan.ENCODINGS[5][2], secret_scan.ENCODINGS[8][2]]
+    texts = []
+    for k in range(300):
+        words = prose(rng, rng.randint(0, 12)).split()
+        for _ in range(rng.randint(0, 4)):
+            letters = rng.choice(alphabets)
+            token = "".join(rng.choice(letters) for _ in range(rng.choice([19, 20, 24, 40, 70, 140])))
+            words.insert(rng.randint(0, len(words)), rng.choice(["", "", "é ", "token=", "secret: "]) + rng.choice([token, token, token[:10] * 3, "internationalization-of-everything"]) + rng.choice(["", "=="]))
+        texts.append(" ".join(words))
+    got = set()
+    for r in secret_scan.scan(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).select("doc_id", F.explode("random").alias("x")).collect():
+        got.add((r.doc_id, r.x.start, r.x.end, r.x.kind))
+    want = added_spans(texts)
+    assert len(want) > 80 and got == want
+
+
+def test_many_matches_in_one_text(spark):
+    """Places stay right over many runs of matches, and time stays in proportion."""
+    rng = random.Random(8)
+    bits = ["é", "\U0001f600 ", "x " * 3]
+    text = " ".join(rng.choice(bits) + "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([16, 24, 40]))) for _ in range(32_000))
+    began = time.time()
+    got = secret_scan.scan(frame(spark, [(1, text, "s")])).select(secret_scan.joined(F.concat("assign", "access", "hex")).alias("s"), F.size("random").alias("n")).first()
+    took = time.time() - began
+    assert got.s == base_spans(text) and got.n == 0 and took < 30
+
+
 # ---------------------------------------------------------------- 5
 
 def shingle_set(t):
@@ -301,10 +373,10 @@ def test_neighbours(spark):
 
 def test_grammar():
     g = toxicity.Grammar({"idiot": 2.0})
-    tapes = lambda t: [c[0][0][0] for c in g.clauses(t)[0]]
+    tapes = lambda t: [o[0] for o in g._run(t.lower().split())[0]]
     assert tapes("You are an idiot.") == [("insult", "plain", True)]
     assert tapes("This is not an idiot.") == [("insult", "negated", False)]
-    assert tapes("No one here, an idiot.") == [("insult", "plain", False)]
+    assert g.clauses("No one here, an idiot.") == ([2.0], 2)
     assert tapes("They said idiots run.") == [("insult", "reported", True)]
     assert tapes("I will kill you.") == [("threat", "plain", True)]
     assert tapes("") == []
@@ -323,8 +395,49 @@ def test_tapes_by_brute_force():
             kind = ("insult", 2.0) if w.startswith("idiot") else ("insult", 1.5) if w.startswith("scum") else ("threat", 1.0) if w in ("kill", "killed", "kills") else None
             if kind:
                 want.append(((kind[0], "reported" if said else "negated" if since < 3 else "plain", "you" in clause), kind[1]))
-        got = g.clauses(" ".join(clause) + ".")[0]
-        assert (got[0][0] if got else []) == want
+        out, state = g._run(clause)
+        assert out == want
+        worth = sum(w * {"plain": 1.0, "negated": 0.3, "reported": 0.4}[how] * (1.5 if aimed else 1.0) for (_, how, aimed), w in want)
+        kinds = {kind for (kind, _, _), _ in want}
+        assert abs(toxicity.clause_score(out, state) - worth * (1.5 if len(kinds) == 2 and "you" in clause else 1.0)) < 1e-9
+
+
+def test_scores_by_brute_force():
+    """Whole texts: split into clauses by a regular expression, each scored by the rules, then the stated function."""
+    g, rng = toxicity.Grammar({"idiot": 2.0, "scum": 1.5}), random.Random(17)
+    words = ["you", "not", "said", "idiot", "scummy", "kill", "tree", "is", "tree,", "idiot.", "you!", "kill?", "...", "on"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        clauses = [c.split() for c in re.findall(r"(?:\S*[^\s.,;:!?…](?:\s+|$))*\S*[.,;:!?…](?=\s|$)|\S.*$", text) if c.split()]
+        clauses = [[w.strip(".,!?") for w in c] for c in clauses]
+        scores = []
+        for clause in clauses:
+            plain, since, said = 0.0, 99, False
+            kinds = set()
+            for w in clause:
+                since, said = 0 if w == "not" else since + 1, said or w == "said"
+                kind, weight = ("insult", 2.0) if w == "idiot" else ("insult", 1.5) if w == "scummy" else ("threat", 1.0) if w == "kill" else (None, 0)
+                if kind:
+                    kinds.add(kind)
+                    plain += weight * (0.4 if said else 0.3 if since < 3 else 1.0) * (1.5 if "you" in clause else 1.0)
+            if kinds:
+                scores.append(plain * (1.5 if len(kinds) == 2 and "you" in clause else 1.0))
+        want = [math.log1p(sum(scores)), max(scores, default=0.0), 10 * len(scores) / (len(clauses) + 4)]
+        assert np.allclose(g.features(text), want), text
+
+
+def test_how_it_is_said_counts(spark):
+    """Negated and reported count less than plain, aimed more, and no learned weight can turn that round."""
+    rng = random.Random(18)
+    x, y = np.array([[rng.random() for _ in range(3)] for _ in range(300)]), np.array([rng.random() < 0.5 for _ in range(300)], float)
+    for sign in (1, -1):
+        weights = toxicity.fit_logistic(sign * x * (1 + y[:, None]), y)
+        assert (weights[1:] >= 0).all()
+    model = toxicity.Model({"idiot": 3.0}, toxicity.DEFAULT)
+    said = ["the tree is an idiot.", "you are an idiot.", "the tree is not an idiot.", "it said the tree is an idiot.", "you idiot and i kill you.", "the tree."]
+    s = {r.t: r.s for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", model.score(F.col("t")).alias("s")).collect()}
+    plain, aimed, negated, reported, worst, none = (s[t] for t in said)
+    assert worst > aimed > plain > max(negated, reported) and min(negated, reported) > none
 
 
 def test_toxicity_held_out(spark):
