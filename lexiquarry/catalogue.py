@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import answers, evaluate, feedback, generate, ingest, publish, retrieval, reuse, vector
+from .operators import answers, evaluate, feedback, generate, ingest, publish, retrieval, reuse, table_rows, vector
 from .plans import views as V
 from .plans.config import DRIVER
 from .plans.views import with_views
@@ -871,3 +871,38 @@ def q69(spark, d):
     found, missing = answers.lookup(V.table(spark, d, "documents").select("doc_id"), keys, "doc_id")
     told = found.withColumn("state", F.lit("found")).unionByName(missing.withColumn("state", F.lit("missing")))
     return told.select((F.col("doc_id") / 50).cast("long").alias("document_id"), "state")
+
+
+# ---------------------------------------------------------------- tables of documents
+
+_HAS = lambda c, *ws: "(" + " + ".join(f"CASE WHEN contains({c}, '{w}') THEN 1 ELSE 0 END" for w in ws) + ")"
+_TOKEN = lambda c: f"trim(regexp_replace(replace(lower({c}), '№', 'n'), '[^0-9a-zа-я]+', '_', 'g'), '_')"
+_TABLE_ROWS = f"""numbered AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) AS row_order, cells FROM paper_rows),
+judged AS (SELECT *, lower(array_to_string(cells, ' ')) AS said, len(cells) >= 3 AND len(list_filter(cells, lambda c: regexp_full_match(c, '[0-9]+|[ivxlcm]+'))) >= greatest(3, len(cells) - 1) AS is_numbers FROM numbered),
+opened AS (SELECT *, len(cells) = 1 AND length(said) > 30 AND contains(said, 'документ') AS is_service, CASE WHEN contains(said, 'представить самостоятельно') THEN 'required' WHEN contains(said, 'по собственной инициативе') THEN 'optional' END AS opens FROM judged WHERE NOT is_numbers),
+carried AS (SELECT *, last_value(CASE WHEN is_service THEN opens END IGNORE NULLS) OVER (PARTITION BY k ORDER BY row_order) AS grp FROM opened),
+heads AS (SELECT k, title, headers, unnest(headers) AS header, generate_subscripts(headers, 1) AS idx FROM papers),
+keyed AS (SELECT *, {_TOKEN('header')} AS base, row_number() OVER (PARTITION BY k, {_TOKEN('header')} ORDER BY idx) AS nth FROM heads),
+named AS (SELECT k, title, headers, header, idx, CASE WHEN nth > 1 THEN base || '_' || nth ELSE base END AS key, base FROM keyed),
+cell AS (SELECT r.k, row_order, coalesce(grp, 'unknown') AS grp, idx, title, headers, header, key, base, r.cells[idx] AS v FROM carried r JOIN named USING (k) WHERE NOT is_service),
+told AS (SELECT k, row_order, any_value(grp) AS grp, any_value(title) AS title, any_value(headers) AS headers, CASE WHEN any_value(title) <> '' THEN 'Таблица: ' || any_value(title) || '. ' ELSE '' END || 'Колонки таблицы: ' || array_to_string(any_value(headers), ', ') || '.'
+  || coalesce(' ' || string_agg(upper(substring(replace(key, '_', ' '), 1, 1)) || substring(replace(key, '_', ' '), 2) || ': ' || v || '.', ' ' ORDER BY idx) FILTER (WHERE v <> ''), '') AS row_summary FROM cell GROUP BY 1, 2),
+heard AS (SELECT k, lower(any_value(title) || ' ' || array_to_string(any_value(headers), ' ') || ' ' || string_agg(row_summary, ' ' ORDER BY row_order)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_order) AS nth FROM told) WHERE nth <= 8 GROUP BY k),
+typed AS (SELECT k, CASE WHEN {_HAS('t', 'документов, необходимых', 'документы, необходимые', 'исчерпывающий перечень документов', 'наименование документа', 'способ подачи', 'электронной подаче', 'лично', 'почтовым отправлением', 'мфц', 'иные требования')} >= 2 THEN 'documents'
+  WHEN contains(t, 'основания для отказа') THEN 'refusal_reasons' WHEN contains(t, 'срок') OR contains(t, 'рабочих дней') THEN 'deadlines' WHEN contains(t, 'категории заявителей') THEN 'identifiers' ELSE 'generic' END AS table_type FROM heard),
+meant AS (SELECT c.*, table_type, CASE WHEN table_type = 'documents' THEN CASE WHEN contains(lower(header), 'наименование документа') THEN 'document_name' WHEN lower(header) = '№ п/п' THEN 'row_number' WHEN ends_with(key, '_2') THEN 'epgu_submission' WHEN ends_with(key, '_3') THEN 'post_submission' WHEN contains(key, 'способ_подачи') THEN 'in_person_submission' ELSE base END
+  WHEN table_type = 'identifiers' THEN CASE WHEN contains(lower(header), 'идентификатор') THEN 'applicant_category_id' WHEN contains(lower(header), 'категор') THEN 'applicant_category_name' ELSE base END
+  WHEN table_type = 'refusal_reasons' THEN CASE WHEN contains(lower(header), 'основан') THEN 'refusal_reason' WHEN contains(lower(header), 'идентификатор') THEN 'applicant_category_id' ELSE base END
+  WHEN table_type = 'deadlines' AND contains(lower(header), 'срок') THEN 'deadline_value' ELSE base END AS meaning, row_number() OVER (PARTITION BY c.k, row_order, header ORDER BY idx) AS again FROM cell c JOIN typed USING (k) WHERE v <> ''),
+won AS (SELECT k, row_order, meaning, arg_max(v, idx) AS v FROM meant GROUP BY 1, 2, 3),
+maps AS (SELECT k, row_order, string_agg(meaning || '=' || v, ';' ORDER BY meaning) AS by_meaning, string_agg(meaning || '=' || {_TOKEN('v')}, ';' ORDER BY meaning) AS by_meaning_normal FROM won GROUP BY 1, 2),
+headed AS (SELECT k, row_order, string_agg(CASE WHEN again > 1 THEN header || ' [' || key || ']' ELSE header END || '=' || v, ';' ORDER BY CASE WHEN again > 1 THEN header || ' [' || key || ']' ELSE header END) AS by_header, string_agg(key || '=' || v, ';' ORDER BY key) AS by_key FROM meant GROUP BY 1, 2)
+SELECT told.k AS table_id, CAST(told.row_order AS INTEGER) AS row_order, table_type, grp AS requirement_group, row_summary, by_header, by_key, by_meaning, by_meaning_normal FROM told JOIN typed USING (k) JOIN maps ON maps.k = told.k AND maps.row_order = told.row_order JOIN headed ON headed.k = told.k AND headed.row_order = told.row_order"""
+
+
+@query("q71_table_rows", with_views(_TABLE_ROWS, "papers"))
+def q71(spark, d):
+    """Orders as tables of five kinds, to the rows that can be found; maps as text, by key."""
+    out = table_rows.retrievable_rows(V.papers(spark, d))
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.select("table_id", "row_order", "table_type", "requirement_group", "row_summary", *[told(c).alias(c) for c in ("by_header", "by_key", "by_meaning", "by_meaning_normal")])

@@ -80,6 +80,44 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("TIMESTAMP '2024-01-01 00:00:00'" ) .alias("epoch"), n.alias("n")).withColumn("created_at", F.timestamp_seconds(F.unix_timestamp("epoch") + F.col("n") * 600)).drop("epoch")
 
 
+#: Title and headers of an order as a table, by its number modulo 5; the rows that open groups of a documents table.
+PAPERS = (
+    ("Перечень документов, необходимых для услуги", ("№ п/п", "Наименование документа", "Способ подачи", "Способ подачи", "Способ подачи")),
+    ("Категории заявителей", ("Идентификатор", "Категории заявителей")),
+    ("Основания для отказа", ("Основание", "Идентификатор")),
+    ("", ("Действие", "Срок исполнения")),
+    ("Сведения", ("Имя", "Имя", "Примечание")),
+)
+PAPER_GROUPS = ("Документы, которые заявитель должен представить самостоятельно", "Документы, которые заявитель вправе представить по собственной инициативе")
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables with headers, their lines as rows; documents tables have a row of column numbers and rows of groups."""
+    l = table(spark, sf_dir, "lineitem")
+    n, part, supplier = (F.col(f"x.{c}").cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey"))
+    returned, open_ = F.col("x.l_returnflag") == "R", F.col("x.l_linestatus") == "O"
+    kind = F.col("l_orderkey") % len(PAPERS)
+    cat = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cs])
+    made = (
+        (n, cat("Документ ", part), F.when(returned, "лично").otherwise(""), F.when(open_, "ЕПГУ").otherwise(""), F.lit("почта")), (cat("A", supplier), cat("группа ", n)),
+        (cat("причина ", part), F.when(returned, cat("A", supplier)).otherwise("")), (cat("решение ", n), cat(F.col("x.l_quantity").cast("int").cast("string"), " рабочих дней")),
+        (cat("x", part), F.when(open_, "y").otherwise(""), cat("достаточно длинное примечание номер сорок один ", n)),
+    )
+    cells = F.lit(None).cast("array<string>")
+    for k, own in enumerate(made):
+        cells = F.when(kind == k, F.array(*own)).otherwise(cells)
+    x = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").alias("x")
+    rows = l.select("l_orderkey", x).select("l_orderkey", F.struct("x.l_linenumber", "x.l_partkey", "x.l_suppkey", cells.alias("cells")).alias("r"))
+    body = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["cells"]).alias("body"))
+    texts = lambda values: F.array(*[F.lit(v) for v in values])
+    own, free = (F.array(texts((g,))) for g in PAPER_GROUPS)
+    body = body.withColumn("body", F.when(kind == 0, F.concat(F.array(texts("12345")), own, F.slice("body", 1, 2), free, F.slice("body", F.lit(3), F.size("body")))).otherwise(F.col("body")))
+    title, headers = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    for k, (name, names) in enumerate(PAPERS):
+        title, headers = F.when(kind == k, name).otherwise(title), F.when(kind == k, texts(names)).otherwise(headers)
+    return body.select(F.col("l_orderkey").alias("table_id"), title.alias("title"), F.concat(F.array(headers), "body").alias("cells"))
+
+
 #: The same relations for the oracle.
 SQL = {
     "labels1": "labels1 AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id)",
@@ -95,6 +133,11 @@ blocks AS (SELECT document_id, CAST(pos AS INTEGER) AS block_order, trim(raw) AS
   (CASE WHEN l_returnflag = 'R' THEN 'returned within order' WHEN l_returnflag = 'A' THEN 'accepted at the end' ELSE 'none' END) || ' ' || (CASE WHEN l_linestatus = 'O' THEN 'ring' ELSE 'that' END) || ' ' || l_linenumber AS summary,
   CASE l_linenumber % 3 WHEN 0 THEN 'documents' WHEN 1 THEN 'deadlines' ELSE 'refusal_reasons' END AS semantic, l_linenumber % 2 = 0 AS has_value FROM lineitem)""",
     "questions": "questions(question_id, intent, terms, asked, measure) AS (VALUES " + ", ".join(f"({i}, '{intent}', [{', '.join(repr(t) for t in terms)}], '{kind}', {repr(m) if m else 'NULL'})" for i, intent, terms, kind, m in QUESTIONS) + ")",
+    "papers": f"""lines AS (SELECT l_orderkey AS k, l_orderkey % 5 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, l_returnflag = 'R' AS ret, l_linestatus = 'O' AS op, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+papers AS (SELECT DISTINCT k, CASE kind {' '.join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(PAPERS))} END AS title, CASE kind {' '.join(f"WHEN {k} THEN {list(h)}" for k, (_, h) in enumerate(PAPERS))} END AS headers FROM lines),
+paper_rows AS (SELECT k, CASE WHEN kind = 0 THEN n + CASE WHEN n <= 2 THEN 2 ELSE 3 END ELSE n END AS pos, CASE kind WHEN 0 THEN [ln::VARCHAR, 'Документ ' || pk, CASE WHEN ret THEN 'лично' ELSE '' END, CASE WHEN op THEN 'ЕПГУ' ELSE '' END, 'почта'] WHEN 1 THEN ['A' || sk, 'группа ' || ln]
+    WHEN 2 THEN ['причина ' || pk, CASE WHEN ret THEN 'A' || sk ELSE '' END] WHEN 3 THEN ['решение ' || ln, q || ' рабочих дней'] ELSE ['x' || pk, CASE WHEN op THEN 'y' ELSE '' END, 'достаточно длинное примечание номер сорок один ' || ln] END AS cells FROM lines
+  UNION ALL SELECT DISTINCT k, 1, ['1', '2', '3', '4', '5'] FROM lines WHERE kind = 0 UNION ALL SELECT DISTINCT k, 2, ['{PAPER_GROUPS[0]}'] FROM lines WHERE kind = 0 UNION ALL SELECT k, least(max(n), 2) + 3, ['{PAPER_GROUPS[1]}'] FROM lines WHERE kind = 0 GROUP BY k)""",
     "votes": "votes AS (SELECT event_id AS vote_id, user_id AS session_id, event_id % 200 AS answer_id, CAST(event_id % 5 + 1 AS INTEGER) AS score, ts AS submitted_at FROM events)",
     "answers": """answers AS (SELECT n % 200 AS slot, n AS answer_id, conv_id AS session_id, text AS answer_text, CASE WHEN n % 7 = 0 THEN 'reused_answer' WHEN n % 11 = 0 THEN 'safe_no_answer' ELSE 'grounded_narrative' END AS mode,
   CASE WHEN n % 13 = 0 THEN 'failed' ELSE 'passed' END AS validation_status, CASE WHEN n % 3 = 0 THEN 'documents' ELSE 'deadline' END AS intent, CASE WHEN n % 2 = 0 THEN 'telegram' ELSE 'web' END AS channel,
