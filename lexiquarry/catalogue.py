@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import answers, evaluate, feedback, generate, ingest, publish, retrieval, reuse, table_rows, vector
+from .operators import answers, deadlines, evaluate, feedback, generate, ingest, publish, retrieval, reuse, table_rows, vector
 from .plans import views as V
 from .plans.config import DRIVER
 from .plans.views import with_views
@@ -906,3 +906,66 @@ def q71(spark, d):
     out = table_rows.retrievable_rows(V.papers(spark, d))
     told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return out.select("table_id", "row_order", "table_type", "requirement_group", "row_summary", *[told(c).alias(c) for c in ("by_header", "by_key", "by_meaning", "by_meaning_normal")])
+
+
+# ---------------------------------------------------------------- deadline answers
+
+_ASKED = ("какой срок выплаты едв", "срок уведомления о решении", "срок принятия решения", "когда")
+_DEEDS = ("выплата", "уведомление", "принятие решения")
+_BLOCKS = ("Решение о назначении ЕДВ принимается в течение {} рабочих дней со дня регистрации заявления.", "Уведомление направляется заявителю не позднее {} дней после принятия решения", "Выплата ЕДВ осуществляется ежемесячно не позднее 26 числа месяца", "об исправлении опечаток в течение {} дней", "без даты, {}")
+_MARKS = lambda words, w: " + ".join(f"CASE WHEN contains(t, '{m}') THEN {w}::DOUBLE ELSE 0 END" for m in words)
+_KINDS = {k: _MARKS(strong, ws) + " + " + _MARKS(weak, ww) for k, (ws, strong, ww, weak) in generate.KIND_MARKERS.items()}
+
+
+def _kind_sql(name: str, of: str) -> str:
+    """kind and confidence of the texts ``t`` of a relation."""
+    return f"""{name}_w AS (SELECT *, {_KINDS['decision']} AS d0, {_KINDS['notification']} AS n0, {_KINDS['payment']} AS p0, contains(t, 'принятия решения') AS said FROM {of}),
+{name}_x AS (SELECT *, d0 * CASE WHEN p0 > 0 AND said THEN 0.45 ELSE 1 END * CASE WHEN n0 > 0 AND said THEN 0.55 ELSE 1 END + CASE WHEN contains(t, 'срок принятия решения') THEN 1.5 ELSE 0 END AS sd, n0 + CASE WHEN contains(t, 'срок уведомления') THEN 1.5 ELSE 0 END AS sn, p0 + CASE WHEN contains(t, 'срок выплаты') THEN 1.5 ELSE 0 END AS sp FROM {name}_w),
+{name} AS (SELECT * EXCLUDE (d0, n0, p0, said, sd, sn, sp), CASE WHEN greatest(sd, sn, sp) <= 0 THEN 'other' WHEN sd = greatest(sd, sn, sp) THEN 'decision' WHEN sn = greatest(sd, sn, sp) THEN 'notification' ELSE 'payment' END AS kind,
+  CASE WHEN greatest(sd, sn, sp) <= 0 THEN 0 WHEN greatest(sd, sn, sp) - list_sort([sd, sn, sp])[2] < 0.35 THEN least(round(greatest(sd, sn, sp) / (sd + sn + sp), 3), 0.58) ELSE round(greatest(sd, sn, sp) / (sd + sn + sp), 3) END::DOUBLE AS conf FROM {name}_x)"""
+
+
+_SPEC = "(CASE WHEN contains(lower(value), 'рабоч') THEN 3 ELSE 0 END + CASE WHEN contains(lower(value), 'календар') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(value, '[0-9]') THEN 2 ELSE 0 END + CASE WHEN contains(lower(value), 'не более') OR contains(lower(value), 'не позднее') THEN 1 ELSE 0 END + CASE WHEN contains(value, '26') THEN 1 ELSE 0 END)"
+_LABEL = lambda k: f"CASE {k} WHEN 'decision' THEN 'принятия решения' WHEN 'notification' THEN 'уведомления' WHEN 'payment' THEN 'выплаты' ELSE 'срока' END"
+_DEADLINES = f"""WITH asked0 AS (SELECT o_orderkey AS q, CASE o_orderkey % 4 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_ASKED))} END AS t FROM orders),
+{_kind_sql('asked', 'asked0')},
+cand AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey % 2 = 0 AS is_row, (l_partkey % 50) / 50.0::DOUBLE AS base, CASE WHEN l_suppkey % 5 = 0 THEN 'documents' ELSE 'deadlines' END AS semantic,
+  CASE CAST(l_quantity AS INTEGER) % 4 WHEN 0 THEN CAST(l_quantity AS INTEGER) || ' рабочих дней' WHEN 1 THEN 'Срок' WHEN 2 THEN NULL ELSE 'быстро' END AS cell, CASE l_linenumber % 3 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_DEEDS))} END AS deed,
+  replace(CASE l_linenumber % 5 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_BLOCKS))} END, '{{}}', CAST(l_suppkey % 30 + 1 AS VARCHAR)) AS snippet FROM lineitem),
+found AS (SELECT *, CASE WHEN is_row THEN cell ELSE coalesce(nullif(regexp_extract(snippet, '(?i)не позднее\\s+26(?:-го)?\\s+числа\\s+месяца[^.;]{{0,160}}'), ''), nullif(regexp_extract(snippet, '(?i)в течение\\s+\\d+\\s+(?:рабоч(?:их|его)|календарн(?:ых|ого))\\s+дн(?:я|ей)'), ''), nullif(regexp_extract(snippet, '(?i)в течение\\s+\\d+\\s+дн(?:я|ей)'), ''), nullif(regexp_extract(snippet, '(?i)не позднее\\s+[^.;]{{3,160}}'), '')) END AS value,
+  CASE WHEN is_row THEN 'действие: ' || deed END AS row_scope FROM cand),
+why AS (SELECT *, CASE WHEN is_row THEN CASE WHEN value IS NULL THEN 'empty_deadline_value' WHEN lower(value) = 'срок' THEN 'service_header_row' WHEN NOT regexp_matches(value, '[0-9]') THEN 'not_deadline_like_value' WHEN semantic = 'documents' THEN 'not_deadlines_table' END
+  WHEN contains(snippet, 'исправлении опечаток') THEN 'offtopic_deadline_block' WHEN value IS NULL THEN 'block_without_deadline_marker' END AS why, lower(CASE WHEN is_row THEN concat_ws(' ', value, row_scope) ELSE snippet END) AS t FROM found),
+{_kind_sql('item', 'why')},
+scoped AS (SELECT i.*, a.kind AS asked, a.t AS asked_text, CASE WHEN is_row THEN row_scope WHEN i.kind = 'payment' THEN CASE WHEN contains(i.t, 'едв') THEN 'выплата ЕДВ' ELSE 'выплата' END WHEN i.kind = 'notification' THEN CASE WHEN contains(i.t, 'уведомление') THEN 'уведомление о решении' ELSE 'уведомление' END
+  WHEN i.kind = 'decision' THEN CASE WHEN contains(i.t, 'решение о назначении едв') THEN 'принятие решения о назначении ЕДВ' ELSE 'принятие решения' END END AS scope FROM item i JOIN asked a USING (q)),
+scored AS (SELECT *, round(base + CASE WHEN asked = 'other' THEN 0 WHEN kind = asked THEN 0.45 WHEN kind <> 'other' THEN -0.22 ELSE 0 END + least(0.12, 0.04 * coalesce(len(list_filter(string_split(asked_text, ' '), lambda w: length(w) >= 4 AND contains(lower(scope), w))), 0))::DOUBLE, 9) AS score FROM scoped),
+one AS (SELECT q, asked, lower(value) AS vk, coalesce(lower(scope), '') AS sk, kind, arg_min(value, (-score, -conf, -{_SPEC}, coalesce(length(scope), 0), place)) AS value, arg_min(scope, (-score, -conf, -{_SPEC}, coalesce(length(scope), 0), place)) AS scope, max(conf) AS conf, max(score) AS score, count(*) AS n, bool_or(is_row) AS has_row, min(place) AS first FROM scored WHERE why IS NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN asked = 'other' OR kind = asked THEN 0 ELSE 1 END, score + CASE WHEN has_row THEN 0.05 ELSE 0 END DESC, conf DESC, {_SPEC} DESC, n DESC, coalesce(length(scope), 0), first) AS r FROM one),
+tops AS (SELECT * FROM ranked WHERE r = 1),
+alike AS (SELECT q, arg_min(score, r) AS next_score FROM ranked WHERE r > 1 AND kind = asked GROUP BY q),
+near AS (SELECT x.*, row_number() OVER (PARTITION BY x.q ORDER BY x.r) AS nth FROM ranked x JOIN tops p USING (q) LEFT JOIN alike USING (q) WHERE x.r > 1 AND (x.asked = 'other' OR x.kind = x.asked) AND p.score - x.score <= 0.18 AND NOT (x.vk = p.vk AND x.kind = p.kind)
+  AND NOT CASE WHEN x.asked = 'other' THEN false WHEN p.kind <> x.asked THEN false WHEN next_score IS NULL THEN true ELSE p.score - next_score >= 0.18 OR (p.conf >= 0.62 AND p.score - next_score >= 0.1) END),
+more AS (SELECT q, string_agg('— ' || value || ' (' || {_LABEL('kind')} || coalesce('; ' || scope, '') || ')', chr(10) ORDER BY r) AS lines FROM near WHERE nth <= 2 GROUP BY q),
+gone AS (SELECT q, string_agg(place || ':' || why, ',' ORDER BY place) AS dropped FROM scored WHERE why IS NOT NULL GROUP BY q),
+counts AS (SELECT q, count(*) AS n_items, count(DISTINCT vk) > 1 AS ambiguous FROM ranked GROUP BY q)
+SELECT a.q AS question_id, a.kind AS asked, p.value IS NOT NULL AS can_answer, coalesce(n_items, 0) AS n_items, p.kind, p.conf AS confidence, p.score, coalesce(dropped, '') AS dropped, CASE WHEN ambiguous THEN 'multiple_distinct_deadlines' END AS ambiguity_reason, CASE WHEN p.value IS NULL THEN 'no_deadline_items' END AS reason,
+  CASE WHEN lines IS NULL THEN 'Срок ' || {_LABEL('p.kind')} || ' по найденным источникам: ' || p.value || coalesce(' (' || p.scope || ')', '') || '.' ELSE 'По найденным источникам установлены следующие сроки:' || chr(10) || '— ' || p.value || ' (' || {_LABEL('p.kind')} || coalesce('; ' || p.scope, '') || ')' || chr(10) || lines || chr(10) || chr(10) || 'Конкретный срок зависит от того, о каком действии или этапе процедуры идёт речь.' END AS text
+FROM asked a LEFT JOIN tops p ON p.q = a.q LEFT JOIN more ON more.q = a.q LEFT JOIN gone ON gone.q = a.q LEFT JOIN counts ON counts.q = a.q"""
+
+
+@query("q72_deadline_answers", _DEADLINES)
+def q72(spark, d):
+    """Orders as questions for a deadline, their lines as rows of tables and blocks that may tell it."""
+    l = V.table(spark, d, "lineitem")
+    by = lambda c, values: F.get(F.array(*[F.lit(v) for v in values]), (c % len(values)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    quantity, row = F.col("l_quantity").cast("int"), F.col("l_partkey") % 2 == 0
+    cell = F.when(quantity % 4 == 0, F.concat(quantity.cast("string"), F.lit(" рабочих дней"))).when(quantity % 4 == 1, "Срок").when(quantity % 4 == 2, "").otherwise("быстро")
+    snippet = F.replace(by(F.col("l_linenumber"), _BLOCKS), F.lit("{}"), (F.col("l_suppkey") % 30 + 1).cast("string"))
+    cand = l.select(F.col("l_orderkey").alias("question_id"), place.alias("place"), F.when(row, "table_row").otherwise("block").alias("source_type"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("source_id"), (F.col("l_partkey") % 50 / 50.0).alias("score"),
+                    F.when(F.col("l_suppkey") % 5 == 0, "documents").otherwise("deadlines").alias("semantic"), F.when(row, F.create_map(F.lit("deadline_value"), cell, F.lit("действие"), by(F.col("l_linenumber"), _DEEDS))).alias("cells"), F.when(~row, snippet).alias("snippet"), F.lit(None).cast("string").alias("title"))
+    asked = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), by(F.col("o_orderkey"), _ASKED).alias("text"))
+    out = deadlines.answers(asked, cand)
+    told = F.coalesce(F.array_join(F.transform("dropped", lambda x: F.concat_ws(":", x["place"].cast("string"), x["reason"])), ","), F.lit(""))
+    return out.select("question_id", "asked", "can_answer", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), "primary.kind", "primary.confidence", "primary.score", told.alias("dropped"), "ambiguity_reason", "reason", "text")
