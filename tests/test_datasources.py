@@ -1,23 +1,10 @@
-import io
 import json
 import zipfile
 
 import pytest
 
 from lexiquarry.sources import datasources, files, ooxml
-
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-
-
-def docx(*paragraphs, table=None):
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
-    if table:
-        body += "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in table) + "</w:tbl>"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}<w:p/></w:body></w:document>")
-    return out.getvalue()
-
+from tests_docx import docx
 
 @pytest.fixture(scope="module")
 def sources(spark):
