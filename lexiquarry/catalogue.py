@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import similarity as S
 from .functions import text as T
-from .operators import answers, deadlines, evaluate, feedback, generate, ingest, publish, retrieval, reuse, table_rows, vector
+from .operators import answers, deadlines, evaluate, feedback, generate, ingest, publish, required_documents, retrieval, reuse, table_rows, vector
 from .plans import views as V
 from .plans.config import DRIVER
 from .plans.views import with_views
@@ -969,3 +969,43 @@ def q72(spark, d):
     out = deadlines.answers(asked, cand)
     told = F.coalesce(F.array_join(F.transform("dropped", lambda x: F.concat_ws(":", x["place"].cast("string"), x["reason"])), ","), F.lit(""))
     return out.select("question_id", "asked", "can_answer", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), "primary.kind", "primary.confidence", "primary.score", told.alias("dropped"), "ambiguity_reason", "reason", "text")
+
+
+# ---------------------------------------------------------------- answers about documents
+
+_PAPER_NAMES = ("Заявление", "Запрос о предоставлении услуги", "Паспорт гражданина", "Доверенность (для представителя)", "Справка о доходах", "Справка о регистрации по месту жительства", "Трудовая книжка", "Наименование документа", "")
+_HANDED = ("in_person", "epgu", None)
+_KIN = (("application_request", ("заявление", "запрос", "ходатайств")), ("identity_document", ("паспорт", "удостоверяющ личность")), ("authority_document", ("полномоч", "доверенн", "представител")), ("residency_proof", ("регистрац", "проживани", "место жительства", "место пребывания")),
+        ("court_decision", ("решение суда",)), ("status_certificate", ("справк", "удостоверени", "свидетельств", "категори")), ("employment_proof", ("трудов", "работ", "служб", "занятост", "доход")))
+_ANY = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+_PAPERS_ASKED = f"""WITH cand AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, CASE l_partkey % 9 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_PAPER_NAMES))} END AS name, CASE WHEN l_suppkey % 3 = 0 THEN 'K' || (l_suppkey % 4) END AS category,
+  CASE WHEN l_suppkey % 7 = 0 THEN 'deadlines' ELSE 'documents' END AS semantic, CASE l_orderkey % 3 WHEN 0 THEN CASE WHEN l_returnflag = 'R' THEN 'оригинал' ELSE 'копия' END WHEN 1 THEN CASE WHEN l_linestatus = 'O' THEN 'образ' END END AS note FROM lineitem),
+why AS (SELECT *, lower(name) AS t, CASE WHEN semantic <> 'documents' THEN 'not_documents_table' WHEN name = '' THEN 'empty_document_name' WHEN lower(name) = 'наименование документа' THEN 'service_header_row' END AS why FROM cand),
+kin AS (SELECT *, CASE {' '.join(f"WHEN {_ANY('t', ws)} THEN '{f}'" for f, ws in _KIN)} ELSE 'other' END AS family FROM why WHERE why IS NULL),
+used AS (SELECT *, CASE WHEN contains(t, 'регистрац') OR contains(t, 'проживани') OR contains(t, 'подтверждающ') THEN 'conditional' WHEN family IN ('identity_document', 'application_request') THEN 'always' WHEN category IS NOT NULL THEN 'category_specific' ELSE 'always' END AS use FROM kin),
+noted AS (SELECT q, family, use, note, min(place) AS p FROM used WHERE note IS NOT NULL GROUP BY ALL), notes AS (SELECT q, family, use, string_agg(note, '; ' ORDER BY p) AS note FROM noted GROUP BY ALL),
+one AS (SELECT q, family, use, count(*) AS n, arg_min(name, place) AS first, arg_min(name, (length(name), lower(name), place)) AS shortest FROM used GROUP BY ALL),
+named AS (SELECT q, family, use, CASE family WHEN 'identity_document' THEN 'Паспорт или иной документ, удостоверяющий личность' WHEN 'application_request' THEN CASE WHEN n > 1 THEN 'Заявление' ELSE first END ELSE trim(split_part(shortest, '(', 1)) END AS name, CASE WHEN family = 'authority_document' THEN 2 WHEN use = 'category_specific' THEN 3 WHEN use = 'always' THEN 0 ELSE 1 END AS part, note FROM one LEFT JOIN notes USING (q, family, use)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q, part ORDER BY CASE WHEN part = 2 THEN 1 ELSE 0 END, CASE use WHEN 'always' THEN 0 WHEN 'conditional' THEN 1 ELSE 2 END, lower(name), family) AS nth, name || CASE WHEN q % 3 < 2 AND note IS NOT NULL THEN ' — ' || note ELSE '' END AS told FROM named),
+parts AS (SELECT q, part, string_agg(CASE WHEN part = 0 THEN nth || '. ' ELSE '— ' END || told, chr(10) ORDER BY nth) AS lines FROM placed GROUP BY 1, 2),
+texts AS (SELECT q, max(lines) FILTER (part = 0) AS p0, max(lines) FILTER (part = 1) AS p1, max(lines) FILTER (part = 2) AS p2, max(lines) FILTER (part = 3) AS p3 FROM parts GROUP BY q),
+gone AS (SELECT q, string_agg(place || ':' || why, ',' ORDER BY place) AS dropped FROM why WHERE why IS NOT NULL GROUP BY q), counts AS (SELECT q, count(*) AS n_items FROM named GROUP BY q)
+SELECT o_orderkey AS question_id, n_items IS NOT NULL AS can_answer, coalesce(n_items, 0) AS n_items, coalesce(dropped, '') AS dropped, CASE WHEN n_items IS NULL THEN 'no_documents_rows' END AS reason,
+  CASE WHEN n_items IS NOT NULL THEN 'Для предоставления услуги ' || CASE o_orderkey % 3 WHEN 0 THEN 'при подаче лично ' WHEN 1 THEN 'при подаче через ЕПГУ ' ELSE '' END || 'обычно требуются следующие документы:' || coalesce(chr(10) || p0, '') || coalesce(chr(10) || chr(10) || '{required_documents.HEADINGS[0]}' || chr(10) || p1, '')
+    || coalesce(chr(10) || chr(10) || '{required_documents.HEADINGS[1]}' || chr(10) || p2, '') || coalesce(chr(10) || chr(10) || '{required_documents.HEADINGS[2]}' || chr(10) || p3, '') || chr(10) || chr(10) || '{required_documents.ENDING}' END AS text
+FROM orders LEFT JOIN texts ON texts.q = o_orderkey LEFT JOIN gone ON gone.q = o_orderkey LEFT JOIN counts ON counts.q = o_orderkey"""
+
+
+@query("q73_documents_answers", _PAPERS_ASKED)
+def q73(spark, d):
+    """Orders as questions for documents, their lines as rows of documents tables."""
+    l = V.table(spark, d, "lineitem")
+    by = lambda c, values: F.get(F.array(*[F.lit(v) for v in values]), (c % len(values)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    cells = F.create_map(F.lit("document_name"), by(F.col("l_partkey"), _PAPER_NAMES), F.lit("applicant_category_id"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("K"), (F.col("l_suppkey") % 4).cast("string"))),
+                         F.lit("in_person_submission"), F.when(F.col("l_returnflag") == "R", "оригинал").otherwise("копия"), F.lit("epgu_submission"), F.when(F.col("l_linestatus") == "O", "образ").otherwise(""))
+    cand = l.select(F.col("l_orderkey").alias("question_id"), place.alias("place"), F.lit("table_row").alias("source_type"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("source_id"), F.when(F.col("l_suppkey") % 7 == 0, "deadlines").otherwise("documents").alias("semantic"), cells.alias("cells"))
+    asked = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), by(F.col("o_orderkey"), _HANDED).alias("channel"))
+    out = required_documents.answers(asked, cand)
+    told = F.coalesce(F.array_join(F.transform("dropped", lambda x: F.concat_ws(":", x["place"].cast("string"), x["reason"])), ","), F.lit(""))
+    return out.select("question_id", "can_answer", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), told.alias("dropped"), "reason", "text")
