@@ -19,26 +19,33 @@ def eligible(history: DataFrame) -> DataFrame:
 
 #: Words that a text needs so that one of them must stand whole in any text that contains it.
 ANCHORED = 3
+#: Words up to which the questions' vocabulary is broadcast; a larger one is joined by shuffle.
+VOCABULARY = 500_000
 
 
 def _candidates(q: DataFrame, h: DataFrame, need: float) -> DataFrame:
     """Pairs (question_id, past_id) that may be equal, contained or of a Jaccard similarity of ``need`` or more.
 
-    Nothing is lost: (1) similar sets share a word among the rarest |s| - ceil(need |s|) + 1 of each (one order
-    for both sides); (2) of a text that another one contains, all words but the first and the last stand whole
+    Of the past only words of the questions' vocabulary are read on: other words match nothing, and in the order of words they
+    stand first.  Nothing is lost: (1) similar sets share a word among the first |s| - ceil(need |s|) + 1 of each (one order
+    for both sides), so among the rarest |s in the vocabulary| - ceil(need |s|) + 1 of those that are left; (2) of a text that another one contains, all words but the first and the last stand whole
     in that one, so its rarest inner word does; (3) texts with fewer than ANCHORED words are compared with all.
     """
-    def by_word(df: DataFrame, key: str) -> DataFrame:
+    def by_word(df: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
         rows = df.select(key, F.size("words").alias("size"), F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "w"))
+        if vocabulary is not None:
+            rows = rows.join(vocabulary, "w", "left_semi")
         return rows.groupBy(key, "w").agg(F.max((F.col("at") > 0) & (F.col("at") < F.col("length") - 1)).alias("is_inner"), F.max("size").alias("size"))
 
-    asked_words, past = by_word(q, "question_id"), by_word(h, "past_id")
+    asked_words = by_word(q, "question_id").persist()
+    vocabulary = asked_words.select("w").distinct()
+    past = by_word(h, "past_id", F.broadcast(vocabulary) if vocabulary.count() <= VOCABULARY else vocabulary).persist()
     rare = past.groupBy("w").agg(F.count("*").alias("n"))
 
     def by_rarity(rows: DataFrame, key: str) -> DataFrame:
         item = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "is_inner")
         one = rows.join(rare, "w", "left").groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(item)).alias("items"))
-        prefix = F.slice("items", F.lit(1), F.col("size") - F.ceil(need * F.col("size") - 1e-9).cast("int") + 1)
+        prefix = F.slice("items", F.lit(1), F.greatest(F.size("items") - F.ceil(need * F.col("size") - 1e-9).cast("int") + 1, F.lit(0)))
         return one.select(key, "size", F.transform(prefix, lambda x: x["w"]).alias("prefix"), F.try_element_at(F.filter("items", lambda x: x["is_inner"]), F.lit(1))["w"].alias("anchor")).persist()
 
     asked, held = by_rarity(asked_words, "question_id"), by_rarity(past, "past_id")
