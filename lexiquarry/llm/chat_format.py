@@ -3,12 +3,15 @@
 Chat data comes in many layouts: a row per turn, a list of messages, an instruction with its answer, a
 prompt with a completion.  A record's layout is told by its schema alone: the nested paths of its fields
 (``messages[].role``) at any depth, without types and without paths that no layout knows, sorted and hashed.
-Each fingerprint selects a declarative mapping, which is data: which paths it needs, which it may have, and
-where turns, roles and texts are.  The first mapping whose needs are all there is selected.
+A mapping is declarative data: which paths it needs, which it may have, and where turns, roles and texts are.
+The registry holds a fingerprint for each layout that a mapping takes: its needs with every choice of what it may
+have.  A record's layout is hashed for each mapping over the paths that this mapping knows, and these hashes are looked up
+in the registry; of the mappings found the first is selected.
 
 Records may be columns or JSON.  The schema of columns is known when the query is planned, so their
 fingerprint is taken once.  JSON records are made into variants, whose schema Spark gives row by row; each
-different schema is fingerprinted once, and records find their mapping by a join on the schema.
+different schema is fingerprinted once and joined with the registry on its hashes, and records find their mapping by a
+join on the schema.
 
 Mappings give canonical turns, a row each (conv_id, record, turn, role, text); ``record`` numbers the records
 that hold a conversation each and is null where turns are rows of their own.  The template makes one string
@@ -33,6 +36,7 @@ don't count; texts of any length are kept whole; an empty table gives no convers
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
@@ -110,8 +114,21 @@ def fingerprint(layout: str) -> str:
     return hashlib.sha256(layout.encode()).hexdigest()
 
 
+def own_layout(m: Mapping, paths) -> str:
+    """The layout as this mapping sees it."""
+    return f"{m.name}:{layout_text(paths, (m,))}"
+
+
+def registry(mappings: tuple[Mapping, ...]) -> dict[str, tuple[int, str]]:
+    """fingerprint → (rank, name) of every layout that a mapping takes: as many as it has choices of what it may have."""
+    choices = lambda m: (c for n in range(len(m.may) + 1) for c in itertools.combinations(m.may, n))
+    return {fingerprint(own_layout(m, (*m.needs, *c))): (rank, m.name) for rank, m in enumerate(mappings) for c in choices(m)}
+
+
 def select_mapping(paths, mappings: tuple[Mapping, ...]) -> Mapping | None:
-    return next((m for m in mappings if set(m.needs) <= set(paths)), None)
+    """The first mapping that the registry has under the hash of what it sees of these paths."""
+    known = registry(mappings)
+    return next((m for m in mappings if fingerprint(own_layout(m, paths)) in known), None)
 
 
 def column_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -153,10 +170,16 @@ def schema_paths(schema: Column) -> Column:
 def fingerprinted(schemas: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """schema → schema, layout, fingerprint and the mapping's name (null if none fits); one row for each schema."""
     paths = schemas.select("schema", schema_paths(F.col("schema")).alias("paths"))
-    known = F.array(*[F.lit(p) for p in sorted(known_paths(mappings))])
-    layout = F.array_join(F.array_sort(F.array_intersect("paths", known)), ",")
-    fits = [F.when(F.size(F.array_except(F.array(*[F.lit(p) for p in m.needs]), F.col("paths"))) == 0, m.name) for m in mappings]
-    return paths.select("schema", layout.alias("layout"), F.sha2(layout, 256).alias("fingerprint"), F.coalesce(*fits).alias("mapping"))
+
+    def seen(some: tuple[Mapping, ...]) -> Column:
+        return F.array_join(F.array_sort(F.array_intersect("paths", F.array(*[F.lit(p) for p in sorted(known_paths(some))]))), ",")
+
+    told = paths.select("schema", seen(mappings).alias("layout"), F.sha2(seen(mappings), 256).alias("fingerprint"))
+    hashes = F.array(*[F.sha2(F.concat(F.lit(f"{m.name}:"), seen((m,))), 256) for m in mappings])
+    rows = [(h, rank, name) for h, (rank, name) in registry(mappings).items()]
+    known = schemas.sparkSession.createDataFrame(rows, "hash string, rank int, mapping string")
+    found = paths.select("schema", F.explode(hashes).alias("hash")).join(F.broadcast(known), "hash")  # as many rows as the mappings have layouts
+    return told.join(found.groupBy("schema").agg(F.min_by("mapping", "rank").alias("mapping")), "schema", "left")
 
 
 # ---------------------------------------------------------------- turns

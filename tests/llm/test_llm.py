@@ -58,6 +58,23 @@ def test_chat_layouts_round_trip(spark):
     assert sorted(r.turns[0].text for r in got if r.conv_id is None) == ["bare 1", "bare 2"]
 
 
+def test_hashes_select_mappings(spark):
+    """The registry against the rule: the first mapping whose needs are all there, whatever else is."""
+    rng, known = random.Random(21), sorted(chat_format.known_paths(chat_format.MAPPINGS)) + ["extra", "messages", "messages[].name"]
+    for _ in range(2000):
+        paths = set(rng.sample(known, rng.randint(0, 9)))
+        want = next((m for m in chat_format.MAPPINGS if set(m.needs) <= paths), None)
+        assert chat_format.select_mapping(paths, chat_format.MAPPINGS) == want
+    records = [{k: "x" for k in rng.sample(["prompt", "completion", "response", "system", "question", "answer", "instruction", "output", "input", "conv_id", "zz"], rng.randint(1, 6))} for _ in range(200)]
+    records += [{"messages": [{"role": "r", "content": "c", "more": 1}], **r} for r in records[:20]]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "j string")
+    own = chat_format.mapped(df, F.parse_json("j")).select("mapping", "layout").collect()
+    paths = lambda r: {*r, "messages[].role", "messages[].content"} if "messages" in r else set(r)
+    want = sorted(str(next((m.name for m in chat_format.MAPPINGS if set(m.needs) <= paths(r)), None)) for r in records)
+    assert sorted(str(r.mapping) for r in own) == want
+    assert len(chat_format.registry(chat_format.MAPPINGS)) == sum(2 ** len(m.may) for m in chat_format.MAPPINGS)
+
+
 def test_chat_unmapped_records(spark):
     df = spark.createDataFrame([('{"conv_id": 5, "nonsense": true}',), ('{"prompt": "p", "response": "r"}',)], "j string")
     done = chat_format.mapped(df, F.parse_json("j"))
