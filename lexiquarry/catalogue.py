@@ -309,7 +309,7 @@ tops AS (SELECT question_id, document_id AS top FROM prio WHERE place = 1),
 scored AS (SELECT question_id, list(rerank_score ORDER BY place) AS scores, count(*) FILTER (WHERE source_type = 'legal_fact') AS n_legal_fact, count(*) FILTER (WHERE source_type = 'table_row') AS n_table_row, count(*) FILTER (WHERE source_type = 'table') AS n_table,
   count(*) FILTER (WHERE source_type = 'block') AS n_block, round(count(*) FILTER (WHERE document_id = tops.top) / count(*), 4) AS share FROM chosen JOIN tops USING (question_id) GROUP BY 1)
 SELECT q.question_id, {_CODES} AS strategy_code, 2 * {_COUNTED('n_raw', 'cands')[: -len(" AS n_raw")]} AS n_raw, {_COUNTED('n_merged', 'merged')}, {_COUNTED('n_reranked', 'ranked')}, j.n_items AS n_final, coalesce(n_legal_fact, 0) AS n_legal_fact, coalesce(n_table_row, 0) AS n_table_row, coalesce(n_table, 0) AS n_table, coalesce(n_block, 0) AS n_block,
-  j.n_documents, {_COUNTED('n_documents_before', 'stats')}, j.n_strong, j.n_priority, coalesce(round(scores[1], 4), 0) AS top_candidate_score, coalesce(round(scores[2], 4), 0) AS second_candidate_score, coalesce(round(l[1], 4), 0) AS top_document_score, coalesce(round(l[2], 4), 0) AS second_document_score,
+  j.n_documents, {_COUNTED('n_documents_before', 'stats')}, j.n_strong, j.n_priority, coalesce(round(CAST(scores[1] AS DECIMAL(18, 6)), 4), 0)::DOUBLE AS top_candidate_score, coalesce(round(CAST(scores[2] AS DECIMAL(18, 6)), 4), 0)::DOUBLE AS second_candidate_score, coalesce(round(CAST(l[1] AS DECIMAL(18, 6)), 4), 0)::DOUBLE AS top_document_score, coalesce(round(CAST(l[2] AS DECIMAL(18, 6)), 4), 0)::DOUBLE AS second_document_score,
   coalesce(share, 0) AS top_document_share, (SELECT string_agg(CAST(p.document_id AS VARCHAR), ',' ORDER BY p.place) FROM prio p JOIN listed USING (question_id, document_id) WHERE p.question_id = q.question_id) AS priority_document_ids, split_part(x, ':', 1) AS evidence_quality, split_part(x, ':', 2) AS guard_reason
 FROM questions q JOIN judged j USING (question_id) LEFT JOIN scored USING (question_id) LEFT JOIN leaders USING (question_id)""", *_ALL)))
 def q19c(spark, d):
