@@ -13,8 +13,9 @@ get them in 8-bit form; answers are scored on the originals in double precision.
   ones, and what is nearer than the last in someone's list goes to that node's list.  Rounds go on until fewer
   than ``settled`` of the lists' places change, ``rounds`` at most.
 * Search: a query starts at its own node.  In each round the best nodes of its list not yet looked at are
-  joined with the graph; their neighbours, both ways, are scored and merged into the list, until ``hops``
-  rounds are done.
+  joined with the graph; their neighbours, both ways, are scored where they are, and only those that beat the last of
+  a full list travel to it.  A query rests once its best ``steady`` nodes stay as they are for a round; rounds go on until
+  all rest, ``hops`` at most.
 
 Every row is indexed; nothing is sampled but the pairs that are compared.  ``tests/llm/recall.py`` measures
 recall against brute force and the share of the table that a query is compared with (see README).
@@ -244,7 +245,7 @@ def adjacency(lists: DataFrame, nodes: DataFrame, both: int) -> DataFrame:
 STATE = "query long, ids binary, sims binary, done binary, v binary, next array<long>, scored long"
 
 
-def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200, step: int = 48, hops: int = 7) -> DataFrame:
+def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200, step: int = 48, hops: int = 7, steady: int = 40) -> DataFrame:
     """query, other, scored: the best ``beam`` nodes found for each query (query, node, v), and how many were scored for it."""
     spark = queries.sparkSession
     partitions = partitions_for(spark)
@@ -255,8 +256,13 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
             v = [np.array(x, np.float32).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v, pa.binary())], names=["query", "node", "v"])
 
+    def with_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([np.frombuffer(x, np.float32)[0] if x else -np.inf for x in batch.column(3).to_pylist()], np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(least)], names=["query", "v", "node", "least"])
+
     started = settle(queries.select("query", "node", "v").mapInArrow(single, "query long, node long, v binary"), "started")
-    frontier = started.select("query", "v", "node")
+    frontier = started.select("query", "v", "node", F.lit(float("-inf")).cast("float").alias("least"))
     state = started.select("query", *[F.lit(b"").alias(c) for c in ("ids", "sims", "done")], "v", F.lit(0).cast("long").alias("scored"))
     for turn in range(hops):
 
@@ -264,22 +270,25 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
             for batch in batches:
                 query = batch.column(0).to_pylist()
                 v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(len(query), -1)
-                node, near = batch.column(2).to_pylist(), batch.column(3)
-                ids, sims = [], []
+                near, least = batch.column(3), batch.column(4).to_numpy()
+                ids, sims, count = [], [], []
                 for r in range(len(query)):
                     own = near[r].values if near[r].is_valid else None
-                    if own is None or not len(own):
+                    count.append(0 if own is None else len(own))
+                    if not count[-1]:
                         ids.append(b"")
                         sims.append(b"")
                         continue
                     x = unpacked8(b"".join(own.field("v8").to_pylist()), len(own))
-                    ids.append(own.field("other").to_numpy().tobytes())
-                    sims.append((x[:, :width] @ v[r]).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sims, pa.binary())], names=["query", "node", "ids", "sims"])
+                    found = (x[:, :width] @ v[r]).astype(np.float32)
+                    better = found > least[r]
+                    ids.append(own.field("other").to_numpy()[better].tobytes())
+                    sims.append(found[better].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sims, pa.binary()), pa.array(count, pa.float64())], names=["query", "node", "ids", "sims", "scored"])
 
-        found = frontier.repartition(partitions, "node").join(links, "node", "left").select("query", "v", "node", "near").mapInArrow(scored, "query long, node long, ids binary, sims binary")
+        found = frontier.repartition(partitions, "node").join(links, "node", "left").select("query", "v", "node", "near", "least").mapInArrow(scored, "query long, node long, ids binary, sims binary, scored double")
         nothing = F.lit(None).cast("binary")
-        rows = found.withColumn("done", nothing).withColumn("v", nothing).withColumn("scored", F.octet_length("ids") / 8).unionByName(state.select("query", F.lit(NONE).alias("node"), "ids", "sims", "done", "v", F.col("scored").cast("double").alias("scored")))
+        rows = found.withColumn("done", nothing).withColumn("v", nothing).unionByName(state.select("query", F.lit(NONE).alias("node"), "ids", "sims", "done", "v", F.col("scored").cast("double").alias("scored")))
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, bounds in whole_groups(batches, ["query"]):
@@ -296,14 +305,19 @@ def search(queries: DataFrame, links: DataFrame, *, width: int, beam: int = 200,
                     sims = sims[first]
                     best = np.lexsort((ids, -sims))[:beam]
                     ids, sims = ids[best], sims[best]
-                    todo = ids[~np.isin(ids, seen)][:step]
                     held = int(a + np.flatnonzero(node[a:b] == NONE)[0])
+                    before = np.frombuffer(raw_ids[held], np.int64)[:steady]
+                    rests = len(before) and np.array_equal(before, ids[:steady])
+                    todo = ids[:0] if rests else ids[~np.isin(ids, seen)][:step]
                     out.append((int(query[a]), ids.tobytes(), sims.tobytes(), seen.tobytes(), raw_v[held], todo.tolist(), int(count[a:b].sum())))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c, pa.binary()) for c in cols[1:5]], pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.int64())], names=["query", "ids", "sims", "done", "v", "next", "scored"])
 
         state = settle(in_groups(rows, ["query"], partitions, kept, STATE), "search")
-        frontier = state.select("query", "v", F.explode("next").alias("node"))
+        worst = F.when(F.octet_length("ids") >= 8 * beam, F.substring("sims", -4, 4))
+        frontier = state.filter(F.size("next") > 0).select("query", "v", F.explode("next").alias("node"), worst.alias("worst")).mapInArrow(with_least, "query long, v binary, node long, least float")
+        if turn + 1 < hops and state.filter(F.size("next") > 0).isEmpty():
+            break
     links.unpersist()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
