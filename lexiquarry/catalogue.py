@@ -1009,3 +1009,26 @@ def q73(spark, d):
     out = required_documents.answers(asked, cand)
     told = F.coalesce(F.array_join(F.transform("dropped", lambda x: F.concat_ws(":", x["place"].cast("string"), x["reason"])), ","), F.lit(""))
     return out.select("question_id", "can_answer", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), told.alias("dropped"), "reason", "text")
+
+
+_WARNED = r"""b AS (SELECT document_id, count(*) AS n_blocks, sum(length(content)) AS chars, arg_min(content, block_order) AS title FROM blocks GROUP BY 1),
+tb AS (SELECT document_id, count(*) AS n_tables, count(*) FILTER (title LIKE '5%') AS n_untitled, count(*) FILTER (table_type = 'generic') AS n_untyped FROM tabs GROUP BY 1), fc AS (SELECT document_id, count(*) AS n_facts, count(DISTINCT measure_code) FILTER (measure_code <> 'Brand#1') AS n_measures FROM facts GROUP BY 1),
+m AS (SELECT doc_id, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS chars_, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS latin, CASE WHEN doc_id % 3 <> 0 THEN source END AS uid, doc_id % 4 <> 0 AS dated, coalesce(n_blocks, 0) AS nb, chars / n_blocks AS avg_, b.title, coalesce(n_tables, 0) AS nt, coalesce(n_untitled, 0) AS nu, coalesce(n_untyped, 0) AS ny, coalesce(n_facts, 0) AS nf, coalesce(n_measures, 0) AS nm
+  FROM documents LEFT JOIN b ON b.document_id = doc_id LEFT JOIN tb ON tb.document_id = doc_id LEFT JOIN fc ON fc.document_id = doc_id)
+SELECT doc_id AS document_id, array_to_string(list_filter([CASE WHEN chars_ > 0 AND latin = 0 THEN 'detected_language_code_missing' END, CASE WHEN title IS NULL THEN 'document_title_missing' END, CASE WHEN uid IS NULL THEN 'doc_uid_base_missing' END, CASE WHEN NOT dated THEN 'revision_date_missing' END, CASE WHEN nb = 0 THEN 'other_block_ratio_too_high' END,
+  CASE WHEN round(avg_, 2) < 20 THEN 'avg_block_text_length_too_low' END, CASE WHEN nu > 0 THEN 'some_tables_without_title' END, CASE WHEN ny > 0 THEN 'some_tables_with_unknown_type' END, 'document_type_missing', 'source_authority_missing', CASE WHEN nf = 0 THEN 'legal_facts_missing' END, CASE WHEN nm = 0 THEN 'measure_codes_missing' END, CASE WHEN nb + nt + nf < 3 THEN 'retrievable_units_count_low' END], lambda x: x IS NOT NULL), ',') AS warnings FROM m"""
+
+
+@query("q74_qc_warnings", with_views(_WARNED, "blocks", "tables", "facts"))
+def q74(spark, d):
+    """Documents with their tables and facts: every third has no uid, every fourth no date; low priorities are no titles."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
+    i = F.col("document_id")
+    blocks = V.blocks(spark, d)
+    tabs = V.tables(spark, d).select("document_id", F.when(~F.col("title").startswith("5"), F.col("title")).alias("title"), F.when(F.col("table_type") != "generic", F.col("table_type")).alias("table_type"))
+    facts = V.facts(spark, d).groupBy("document_id").agg(F.count("*").alias("n_facts"), F.count_distinct(F.when(F.col("measure_code") != "Brand#1", F.col("measure_code"))).alias("n_measures"))
+    titles = blocks.groupBy("document_id").agg(F.min_by("content", "block_order").alias("title"))
+    own = ingest.qc_metrics(docs.select("document_id", "text"), blocks).join(ingest.table_figures(docs, tabs), "document_id").join(facts, "document_id", "left").na.fill(0, ["n_facts", "n_measures"]).join(titles, "document_id", "left")
+    told = docs.select("document_id", T.language(F.col("text")).alias("language"), F.when(i % 3 != 0, F.col("source")).alias("doc_uid_base"), F.when(i % 4 != 0, "d").alias("revision_date"), F.lit(None).cast("string").alias("document_type"), F.lit(None).cast("string").alias("authority"))
+    own = own.join(told, "document_id").withColumn("n_units", F.col("n_meaningful") + F.col("n_tables") + F.col("n_facts"))
+    return own.select("document_id", F.array_join(ingest.qc_warnings(own), ",").alias("warnings"))

@@ -228,6 +228,37 @@ def qc_verdict(metrics: DataFrame, *, has_identity: Column | None = None, limits
     return out.withColumn("passed", F.size("errors") == 0).withColumn("error_code", F.try_element_at("errors", F.lit(1)))
 
 
+#: Fewer units than this that can be found, and a document is poor; fixed value.
+FEW_UNITS = 3
+
+
+def table_figures(documents: DataFrame, tables: DataFrame) -> DataFrame:
+    """document_id, n_tables, n_untitled, n_untyped of every document; ``tables``: document_id, title, table_type."""
+    untyped = F.lower(F.trim(F.coalesce("table_type", F.lit("")))).isin("", "other", "unknown")
+    per = tables.groupBy("document_id").agg(F.count("*").alias("n_tables"), F.count_if(F.trim(F.coalesce("title", F.lit(""))) == "").alias("n_untitled"), F.count_if(untyped).alias("n_untyped"))
+    return documents.select("document_id").join(per, "document_id", "left").na.fill(0, ["n_tables", "n_untitled", "n_untyped"])
+
+
+def qc_warnings(facts: DataFrame, limits: dict = QC) -> Column:
+    """All warnings of a document, in order; ``facts`` has what they are told by, and a warning whose columns are missing isn't given.
+
+    Columns: text_chars, language, title, doc_uid_base, revision_date, other_ratio, n_meaningful, avg_block, n_blocks, n_ordered (blocks with a number),
+    is_monotonic, n_untitled, n_untyped, document_type, authority, n_facts, n_measures, n_units (blocks, tables, rows and facts).
+    """
+    c = {x: F.col(x) for x in facts.columns}
+    empty = lambda x: T.first_filled(c[x]).isNull()
+    told = (
+        ("detected_language_code_missing", ("text_chars", "language"), lambda: (c["text_chars"] > 0) & empty("language")), ("document_title_missing", ("title",), lambda: empty("title")),
+        ("doc_uid_base_missing", ("doc_uid_base",), lambda: empty("doc_uid_base")), ("revision_date_missing", ("revision_date",), lambda: c["revision_date"].isNull()),
+        ("other_block_ratio_too_high", ("other_ratio",), lambda: c["other_ratio"] > limits["other_ratio"]), ("avg_block_text_length_too_low", ("n_meaningful", "avg_block"), lambda: (c["n_meaningful"] > 0) & (c["avg_block"] < limits["avg_block"])),
+        ("all_block_order_values_missing", ("n_blocks", "n_ordered"), lambda: (c["n_blocks"] > 0) & (c["n_ordered"] == 0)), ("block_order_not_monotonic", ("is_monotonic",), lambda: ~c["is_monotonic"]),
+        ("some_tables_without_title", ("n_untitled",), lambda: c["n_untitled"] > 0), ("some_tables_with_unknown_type", ("n_untyped",), lambda: c["n_untyped"] > 0),
+        ("document_type_missing", ("document_type",), lambda: empty("document_type")), ("source_authority_missing", ("authority",), lambda: empty("authority")),
+        ("legal_facts_missing", ("n_facts",), lambda: c["n_facts"] == 0), ("measure_codes_missing", ("n_measures",), lambda: c["n_measures"] == 0), ("retrievable_units_count_low", ("n_units",), lambda: c["n_units"] < FEW_UNITS),
+    )
+    return F.array_compact(F.array(*[F.when(F.coalesce(holds(), F.lit(False)), name) for name, needs, holds in told if set(needs) <= set(c)]).cast("array<string>"))
+
+
 def order_checks(block_rows: DataFrame) -> DataFrame:
     """Whether block numbers repeat, and whether they rise in the order of arrival (``ordinal``)."""
     w = Window.partitionBy("document_id").orderBy("ordinal")

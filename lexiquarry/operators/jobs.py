@@ -124,8 +124,9 @@ def document_stages(spark: SparkSession, folder: str, *, job: str, force: bool =
         return out.withColumn("doc_uid_base", ingest.document_uid(F.col("title"), number)).withColumn("revision_date", T.found_date(F.concat_ws("\n", "file_name", "text")))
 
     def checked(docs: DataFrame) -> DataFrame:
-        verdict = ingest.qc_verdict(ingest.qc_metrics(docs.select("document_id", "text"), blocks_of(docs))).select("document_id", "warnings", F.col("error_code").alias("error"))
-        return docs.join(verdict, "document_id")
+        figures = ingest.qc_verdict(ingest.qc_metrics(docs.select("document_id", "text"), blocks_of(docs))).drop("warnings")
+        out = docs.join(figures, "document_id").withColumn("n_units", F.col("n_meaningful"))
+        return out.select(*docs.columns, ingest.qc_warnings(out).alias("warnings"), F.col("error_code").alias("error"))
 
     def published(docs: DataFrame) -> DataFrame:
         rows = blocks_of(docs).withColumn("block_id", publish.row_id(F.col("document_id"), F.lit("block"), F.col("block_order")))

@@ -62,3 +62,16 @@ def test_files_to_registry(spark, tmp_path):
     (inbox / "order1.docx").write_bytes(docx("Приказ № 1-п", long, long + " Новое.", "1. Пункт первый приказа."))
     jobs.ingest_files(spark, folder, "three", files.files(spark, str(inbox)).filter("file_name = 'order1.docx'"))
     assert {r["status"]: r["count"] for r in publish.registry(spark, folder).groupBy("status").count().collect()} == {"active": 3, "replaced": 1}
+
+
+def test_every_warning(spark):
+    from lexiquarry.operators import ingest
+
+    names = ("detected_language_code_missing document_title_missing doc_uid_base_missing revision_date_missing other_block_ratio_too_high avg_block_text_length_too_low all_block_order_values_missing block_order_not_monotonic "
+             "some_tables_without_title some_tables_with_unknown_type document_type_missing source_authority_missing legal_facts_missing measure_codes_missing retrievable_units_count_low").split()
+    rows = [(5, None, " ", None, None, 0.9, 2, 3.0, 2, 0, False, 1, 1, "", None, 0, 0, 2), (5, "ru", "t", "u", "d", 0.1, 2, 30.0, 2, 2, True, 0, 0, "k", "a", 1, 1, 9), (0, None, "t", "u", "d", 0.1, 0, 0.0, 0, 0, None, 0, 0, "k", "a", 1, 1, 3)]
+    facts = spark.createDataFrame(rows, "text_chars int, language string, title string, doc_uid_base string, revision_date string, other_ratio double, n_meaningful int, avg_block double, n_blocks int, n_ordered int, is_monotonic boolean, n_untitled int, n_untyped int, document_type string, authority string, n_facts int, n_measures int, n_units int")
+    got = [r.w for r in facts.select(ingest.qc_warnings(facts).alias("w")).collect()]
+    assert got == [names, [], []]
+    few = facts.select("title", "n_units")
+    assert few.select(ingest.qc_warnings(few).alias("w")).first().w == ["document_title_missing", "retrievable_units_count_low"]
