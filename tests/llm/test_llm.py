@@ -635,7 +635,8 @@ COLUMNS = {
     "op1_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2_token_counts": "doc_id n_bytes n_tokens over_limit", "op3_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op4_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op5_jaccard_join": "doc_id class_id set_id copies n_links", "op6_neighbours": "query_id rank vec_id score",
     "op7_toxicity": "doc_id held_out score predicted", "op8_licences": "doc_id n_hits best_licence best_dice licences", "op9_mixing": "doc_id size source_size target taken",
-    "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op11_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op13_quality": "doc_id held_out score predicted",
 }
 
 
