@@ -642,7 +642,8 @@ COLUMNS = {
 
 def equal_rows(got, want):
     cols = sorted(got.columns)
-    key = lambda df: df[cols].astype(object).where(df[cols].notna(), None).astype(str).sort_values(cols).reset_index(drop=True)
+    whole = lambda x: int(x) if isinstance(x, float) and x.is_integer() else x  # noqa: E731 (whole numbers beside nulls are floats in pandas)
+    key = lambda df: df[cols].astype(object).where(df[cols].notna(), None).map(whole).astype(str).sort_values(cols).reset_index(drop=True)
     return cols == sorted(want.columns) and key(got).equals(key(want))
 
 
