@@ -19,63 +19,78 @@ def eligible(history: DataFrame) -> DataFrame:
 
 #: Words that a text needs so that one of them must stand whole in any text that contains it.
 ANCHORED = 3
-#: Words up to which the questions' vocabulary is broadcast; a larger one is joined by shuffle.
-VOCABULARY = 500_000
+#: Keys of questions up to which they are broadcast, and characters up to which the questions' texts are; more are joined by shuffle.
+KEYS, CHARACTERS = 500_000, 50_000_000
+#: Keys that are no words: a blank before an inner word of the past, the key of all past texts, the key of brief ones.
+INNER, EVERY, BRIEF = " ", "", "  "
 
 
-def _candidates(q: DataFrame, h: DataFrame, need: float) -> DataFrame:
-    """Pairs (question_id, past_id) that may be equal, contained or of a Jaccard similarity of ``need`` or more.
+def _asked_keys(q: DataFrame, rare: DataFrame, need: float) -> DataFrame:
+    """(key, asked, least_size, most_size, least_length, most_length): which past texts a question meets, and the bounds of their words and characters.
 
-    Of the past only words of the questions' vocabulary are read on: other words match nothing, and in the order of words they
-    stand first.  Nothing is lost: (1) similar sets share a word among the first |s| - ceil(need |s|) + 1 of each (one order
-    for both sides), so among the rarest |s in the vocabulary| - ceil(need |s|) + 1 of those that are left; (2) of a text that another one contains, all words but the first and the last stand whole
-    in that one, so its rarest inner word does; (3) texts with fewer than ANCHORED words are compared with all.
+    Nothing is lost: (1) a similar set lacks at most |q| - ceil(need |q|) of a question's words, so it has one of any one more of
+    them, here the rarest; (2) of a question that a past text contains, all words but the first and the last stand whole in that one,
+    so its rarest inner word does; (3) so does any inner word of a past text that a question contains; (4) texts with fewer than
+    ANCHORED words are compared with all.  Words that no past text has meet nothing.
     """
-    def by_word(df: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
-        rows = df.select(key, F.size("words").alias("size"), F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "w"))
-        if vocabulary is not None:
-            rows = rows.join(vocabulary, "w", "left_semi")
-        return rows.groupBy(key, "w").agg(F.max((F.col("at") > 0) & (F.col("at") < F.col("length") - 1)).alias("is_inner"), F.max("size").alias("size"))
-
-    asked_words = by_word(q, "question_id").persist()
-    vocabulary = asked_words.select("w").distinct()
-    past = by_word(h, "past_id", F.broadcast(vocabulary) if vocabulary.count() <= VOCABULARY else vocabulary).persist()
-    rare = past.groupBy("w").agg(F.count("*").alias("n"))
-
-    def by_rarity(rows: DataFrame, key: str) -> DataFrame:
-        item = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "is_inner")
-        one = rows.join(rare, "w", "left").groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(item)).alias("items"))
-        prefix = F.slice("items", F.lit(1), F.greatest(F.size("items") - F.ceil(need * F.col("size") - 1e-9).cast("int") + 1, F.lit(0)))
-        return one.select(key, "size", F.transform(prefix, lambda x: x["w"]).alias("prefix"), F.try_element_at(F.filter("items", lambda x: x["is_inner"]), F.lit(1))["w"].alias("anchor")).persist()
-
-    asked, held = by_rarity(asked_words, "question_id"), by_rarity(past, "past_id")
-    pair = ["question_id", "past_id"]
-    near_size = (F.col("size") >= need * F.col("past_size")) & (F.col("past_size") >= need * F.col("size"))
-    sizes = asked.agg((F.min("size") * need).alias("low"), (F.max("size") / need).alias("high")).first()
-    fitting = held.filter(F.col("size").between(sizes.low or 0.0, sizes.high or 0.0)).select("past_id", F.col("size").alias("past_size"), F.explode("prefix").alias("pw"))
-    alike = asked.select("question_id", "size", F.explode("prefix").alias("w")).join(fitting, (F.col("w") == F.col("pw")) & near_size).select(*pair)
-    in_past = asked.select("question_id", F.col("anchor").alias("w")).join(past, "w").select(*pair)
-    in_question = held.select("past_id", F.col("anchor").alias("w")).join(asked_words, "w").select(*pair)
-    short = F.size("tokens") < ANCHORED
-    few = q.filter(short).select("question_id").join(h.select("past_id"), F.lit(True)).select(*pair)
-    brief = h.filter(short).select("past_id", "past").join(q.select("question_id", "norm"), F.contains("norm", F.col("past"))).select(*pair)
-    return alike.union(in_past).union(in_question).union(few).union(brief).distinct()
+    inner = lambda x: (x["at"] > 0) & (x["at"] < F.size("tokens") - 1)
+    words = q.select("asked", "norm", "tokens", F.size("words").alias("size"), F.posexplode("tokens").alias("at", "w"))
+    words = words.groupBy("asked", "w").agg(F.max("size").alias("size"), F.max(inner({"at": F.col("at")})).alias("is_inner"), F.max(F.char_length("norm")).alias("length")).join(rare, "w", "left")
+    per = words.groupBy("asked", "size", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "is_inner"))).alias("items"))
+    none = F.lit(None).cast("int")
+    prefix = F.slice("items", F.lit(1), F.size("items") - F.ceil(need * F.col("size") - 1e-9).cast("int") + 1)
+    alike = per.select(F.explode(prefix).alias("x"), "asked", F.ceil(need * F.col("size") - 1e-9).cast("int"), F.floor(F.col("size") / need + 1e-9).cast("int") if need > 0 else none, none, none).filter("x.n > 0").withColumn("x", F.col("x.w"))
+    held = per.select(F.get(F.filter("items", lambda x: x["is_inner"]), F.lit(0)).alias("x"), "asked", none, none, "length", none).filter("x.n > 0").withColumn("x", F.col("x.w"))
+    holding = words.select(F.concat(F.lit(INNER), "w"), "asked", none, none, none, "length")
+    every = q.filter(F.size("tokens") < ANCHORED).select(F.lit(EVERY), "asked", none, none, none, none)
+    brief = q.select(F.lit(BRIEF), "asked", none, none, none, F.char_length("norm"))
+    return alike.union(held).union(holding).union(every).union(brief).toDF("key", "asked", "least_size", "most_size", "least_length", "most_length")
+
+
+def _past_keys(longest: int) -> Column:
+    """The keys by which a past text (past, tokens, words) is met: its words, and if it fits into a question its longest inner word."""
+    lengths = F.transform(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    of_short = F.when(F.size("tokens") < ANCHORED, F.array(F.lit(BRIEF))).otherwise(F.array(F.concat(F.lit(INNER), F.array_max(lengths)["w"])))
+    keys = F.concat("words", F.array(F.lit(EVERY)), F.when(F.char_length("past") <= longest, of_short).otherwise(F.array().cast("array<string>")))
+    return F.when(F.col("past") != "", keys)
 
 
 def similar(questions: DataFrame, history: DataFrame, *, threshold: float = 0.90, most: int = 20) -> DataFrame:
     """Pairs (question_id, past_id) whose similarity reaches the threshold, the best ``most`` of each question.
 
-    Candidates come from exact joins on rare words; only they are compared as texts.  The normalised texts are
-    read by every join, so they are kept until the session clears its cache.
+    Keys of the questions are broadcast, if counted they are few, and the past streams by: it is read twice, once to count the words that
+    questions have and once to compare each text, where it lies, with those questions that it meets by a key.  Of the past nothing
+    is kept, and only numbers of words and pairs that reach the threshold are shuffled.  With too many keys, keys and then texts are joined
+    by shuffle.
     """
-    def told(df: DataFrame, key: str, name: str) -> DataFrame:
-        tokens = F.split(F.col(name), " ")
-        return df.select(key, T.normalize(F.col("text")).alias(name)).withColumn("tokens", tokens).withColumn("words", F.array_distinct("tokens")).filter(F.col(name) != "")
-
-    q, h = told(questions, "question_id", "norm").persist(), told(history, "past_id", "past").persist()
-    pairs = _candidates(q, h, least_jaccard(threshold))
-    pairs = pairs.join(q.select("question_id", "norm", F.col("words").alias("_q")), "question_id").join(h.select("past_id", "past", F.col("words").alias("_h")), "past_id")
-    pairs = pairs.withColumn("similarity", text_similarity(F.col("norm"), F.col("past"), F.col("_q"), F.col("_h"), threshold)).filter(F.col("similarity") >= threshold)
+    def told(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("tokens", F.split(F.col(name), " ")).withColumn("words", F.array_distinct("tokens"))
+
+    need = least_jaccard(threshold)
+    q = told(questions.select("question_id", T.normalize(F.col("text")).alias("norm"), F.monotonically_increasing_id().alias("asked")), "norm").filter(F.col("norm") != "").persist()
+    h = told(history.select("past_id", T.normalize(F.col("text")).alias("past")), "past")
+    vocabulary = q.select(F.explode("words").alias("w")).distinct()
+    n_keys, n_chars, longest = q.agg(F.sum(F.size("words")), F.sum(F.char_length("norm")), F.max(F.char_length("norm"))).first()
+    few = 3 * (n_keys or 0) <= KEYS and (n_chars or 0) <= CHARACTERS  # a word gives two keys at most, and a question three
+    said = h.select(F.explode("tokens").alias("w"))
+    rare = (said.join(F.broadcast(vocabulary), "w", "left_semi") if few else said).groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi").persist()
+    keys = _asked_keys(q, rare, need).persist()
+    asked = q.select("asked", "question_id", "norm", F.col("words").alias("_q"))
+
+    def fits(size: Column, length: Column) -> Column:
+        return size.between(F.coalesce("least_size", size), F.coalesce("most_size", size)) & length.between(F.coalesce("least_length", length), F.coalesce("most_length", length))
+
+    def reaching(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("similarity", text_similarity(F.col("norm"), F.col("past"), F.col("_q"), F.col("words"), threshold)).filter(F.col("similarity") >= threshold)
+
+    if few:  # a row of the past is told from others by its number, in the one pass that makes it
+        met = h.withColumn("held", F.monotonically_increasing_id()).withColumn("key", F.explode(_past_keys(longest or 0)))
+        pairs = reaching(met.join(F.broadcast(keys), "key").filter(fits(F.size("words"), F.char_length("past"))).join(F.broadcast(asked), "asked"))
+        pairs = pairs.select("asked", "held", "question_id", "past_id", "similarity").distinct()
+    else:  # the past is read again for its texts: rows of equal digests are looked at together, and each is compared
+        h = h.withColumn("held", F.xxhash64("past_id", "past"))
+        met = h.select("held", F.size("words").alias("size"), F.char_length("past").alias("length"), F.explode(_past_keys(longest or 0)).alias("key"))
+        pairs = reaching(met.join(keys, "key").filter(fits(F.col("size"), F.col("length"))).select("asked", "held").distinct().join(asked, "asked").join(h, "held"))
     w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "past_id")
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("question_id", "past_id", "similarity", "place")
 

@@ -147,6 +147,24 @@ def test_similar_misses_nothing(spark):
     assert got == want
 
 
+def test_similar_keeps_nothing_of_the_past(spark, monkeypatch):
+    """The past is not cached, its repeated ids are rows of their own, and keys joined by shuffle give the same."""
+    import random
+
+    rng, words = random.Random(5), [a + b for a in "bdgklmn" for b in ("a", "ei", "o")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    q = spark.createDataFrame(list(enumerate(texts[:25] + ["a", texts[40][1:], "ba " + texts[41] + " ba"])), "question_id int, text string")
+    h = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts + texts[:10] + [texts[3] + " x", "b", None])] + [(7, texts[2]), (7, texts[2])], "past_id int, text string")
+    told = lambda df: sorted(map(tuple, df.select("question_id", "past_id", "similarity").collect()))
+    plain = [(i, p, 1.0) for i, t in q.collect() for p, other in h.collect() if t == other]
+    df = reuse.similar(q, h, most=1000)
+    assert not any("past" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "InMemoryRelation" in line)
+    got = told(df)
+    assert [x for x in got if x[2] == 1.0] == sorted(plain) and len(got) > len(plain)
+    monkeypatch.setattr(reuse, "KEYS", 0)
+    assert told(reuse.similar(q, h, most=1000)) == got
+
+
 def test_all_qc_codes(spark):
     m = spark.createDataFrame([(0, 0, 0, 0, 0, 0.0, 0.0, 0.0, False, 0, 0, 0, 0, 0, 2), (500, 9, 0, 9, 400, 0.0, 0.0, 40.0, False, 1, 0, 4, 0, 4, 1)],
                               "text_chars int, n_blocks int, n_empty int, n_meaningful int, chars int, empty_ratio double, other_ratio double, avg_block double, duplicate_order boolean, n_tables int, n_without_rows int, n_rows int, n_unbound int, n_empty_rows int, declared_tables int")
