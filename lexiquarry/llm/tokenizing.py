@@ -1,7 +1,8 @@
 """Exact token ids of whole texts by the tokenizers library, with a shortcut for whole tokens.
 
-A text is cut at white space, where no pre-token of the vocabulary's pattern goes on.  Each piece is looked
-up, and only pieces not seen before are worked out:
+A text of plain letters, signs and blanks is put in lower case and cut into pre-tokens at once; each is looked up,
+and only pre-tokens not seen before are worked out.  Another text is cut at white space, where no pre-token of the
+vocabulary's pattern goes on, and its pieces are looked up in the same way:
 
 * Offline, when a worker starts, every vocabulary string that ends a word is encoded alone.  Those that come
   back as their own single id are proven whole tokens; a pre-token that equals one needs no merging.
@@ -25,13 +26,17 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: The pre-token pattern of that vocabulary, as a fixed value.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for texts that are PLAIN_TEXT, in lower case.
+PLAIN_PRETOKEN = re.compile(r"[a-zß-öø-ʯⱥⱦ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~×÷]+")
 WORD_END = "</w>"
 #: Letters and signs whose lower case and composed form don't depend on their neighbours.
 PLAIN = re.compile("[\x21-\x7eÀ-įı-ɏ]+")
+#: The same with blanks between them.
+PLAIN_TEXT = re.compile("[\x09-\x0d\x20-\x7eÀ-įı-ɏ]*")
 TAIL = ".,;:!?"
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Bytes of strings and values that the tables of pieces and of pre-tokens may hold, by a plain estimate.
-PIECE_BYTES, WORD_BYTES = 24_000_000, 24_000_000
+PIECE_BYTES, WORD_BYTES = 8_000_000, 40_000_000
 #: What an entry of a table takes beside its string's and value's own bytes.
 ENTRY_BYTES = 160
 
@@ -45,6 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merger = self._merger()
         self.pretokens = regex.compile(PRETOKEN).findall
         self.counts = counts
         vocabulary = self.library.get_vocab()
@@ -58,12 +64,25 @@ class Encoder:
         self.words, self.pieces = dict(self.whole), {}
         self.word_bytes = self.piece_bytes = 0
 
-    def _size(self, text: str, value) -> int:
-        return ENTRY_BYTES + 2 * len(text) + (0 if self.counts else len(value))
+    def _sizes(self, texts, values) -> int:
+        return ENTRY_BYTES * len(texts) + 2 * sum(map(len, texts)) + (0 if self.counts else sum(map(len, values)))
 
     def _value(self, ids):
         return len(ids) if self.counts else np.asarray(ids, "<u4").tobytes()
 
+    def _merger(self):
+        """The library for pre-tokens joined by blanks: their letters are normal and their ends known, so it only merges."""
+        import json
+
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.library.to_str())
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if not cuts or cuts[0].get("type") != "Split" or cuts[0]["pattern"].get("Regex") != PRETOKEN:
+            return self.library
+        spec["normalizer"], cuts[0] = None, {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(spec))
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -75,7 +94,7 @@ class Encoder:
 
     def _merge(self, words: list[str]) -> None:
         """Let the library merge pre-tokens: all in one text, cut again where words end."""
-        ids = np.array(self._library([" ".join(words)])[0], "<u4")
+        ids = np.array(self.merger.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words):
             if self.counts:
@@ -112,15 +131,8 @@ class Encoder:
             else:
                 other.append((piece, None))
         if want:
-            missing = list(want)
-            if self.word_bytes > WORD_BYTES:
-                kept = {w for _, core, tail in waiting for w in (core, tail) if w} | {w for _, ws in other if ws for w in ws}
-                missing = list(kept.difference(self.whole))
-                self.words = words = dict(self.whole)
-                self.word_bytes = 0
-            for k in range(0, len(missing), 4096):
-                self._merge(missing[k : k + 4096])
-            self.word_bytes += sum(self._size(w, words[w]) for w in missing)
+            self._know(want, lambda: {w for _, core, tail in waiting for w in (core, tail) if w} | {w for _, ws in other if ws for w in ws})
+            words = self.words
         for piece, core, tail in waiting:
             put[piece] = words[core] if tail is None else words[core] + words[tail]
         join = sum if self.counts else b"".join
@@ -130,7 +142,17 @@ class Encoder:
         if rest := [piece for piece, pretokens in other if pretokens is None]:
             for piece, ids in zip(rest, self._library(rest)):
                 put[piece] = self._value(ids)
-        self.piece_bytes += sum(self._size(piece, put[piece]) for piece in pieces)
+        self.piece_bytes += self._sizes(pieces, map(put.__getitem__, pieces))
+
+    def _know(self, missing: set[str], needed) -> None:
+        """Add pre-tokens to the table; if it is full, it is emptied first and gets all that are ``needed()``."""
+        if self.word_bytes > WORD_BYTES:
+            missing = needed().difference(self.whole)
+            self.words, self.word_bytes = dict(self.whole), 0
+        new = list(missing)
+        for k in range(0, len(new), 4096):
+            self._merge(new[k : k + 4096])
+        self.word_bytes += self._sizes(new, map(self.words.__getitem__, new))
 
     def texts(self, texts: list[str | None]) -> list:
         """The count or the ids of each text, some 2 MB of texts at a time."""
@@ -150,11 +172,23 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str | None]) -> list:
-        split = [None if text and any(c in text for c in ODD_BLANKS) else (text or "").split() for text in texts]
-        seen: set[str] = set()
-        for pieces in split:
-            if pieces:
-                seen.update(pieces)
+        plain, other = {}, {}
+        for k, text in enumerate(texts):
+            if not text or PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+                plain[k] = PLAIN_PRETOKEN.findall(text.lower()) if text else []
+            else:
+                other[k] = text
+        seen: set[str] = set().union(*plain.values())
+        if missing := seen.difference(self.words):
+            self._know(missing, lambda: seen)
+        get, join = self.words.__getitem__, sum if self.counts else b"".join
+        out = {k: join(map(get, words)) for k, words in plain.items()}
+        out |= zip(other, self._mixed(list(other.values())))
+        return [out[k] for k in range(len(texts))]
+
+    def _mixed(self, texts: list[str]) -> list:
+        split = [None if any(c in text for c in ODD_BLANKS) else text.split() for text in texts]
+        seen: set[str] = set().union(*[pieces for pieces in split if pieces])
         if self.piece_bytes > PIECE_BYTES:
             self.pieces, self.piece_bytes = {}, 0
         if missing := seen.difference(self.pieces):

@@ -214,3 +214,23 @@ def test_quality_terms_see_shape_and_repeats():
     cos = lambda a, b: float(a @ b) / 3  # noqa: E731 (three blocks of length 1)
     assert abs(cos(plain, plain) - 1) < 1e-6 and cos(plain, shout) < 0.5 and cos(plain, same) < 0.7
     assert not terms.vector(" \n").any() and not terms.vector(None).any()
+
+
+def test_plain_texts_are_cut_into_pretokens_at_once():
+    """Plain texts fill no table of pieces, and every letter and sign of theirs gives the library's ids."""
+    from lexiquarry.llm import tokenizing
+
+    e = tokenizing.Encoder(tokenizing.vocabulary_path(), False)
+    signs = "".join(chr(c) for c in range(0x21, 0x250) if tokenizing.PLAIN.fullmatch(chr(c)))
+    plain = [signs, " ".join(signs), "xy".join(signs), "Don't we'll THEY'RE 'tis ''s o'',s _a_b_ 12 a1b2×÷Ⱥx\tQwrtzx,\nqwrtzx. (QWRTZX)\r\n", " ", "", None]
+    odd = ["<|endoftext|> a <| b", "naïve\xa0x “q” qwrtzx…", "Ωmega ΣΑΣ é", "a\x1cb \x85 c"]
+    want = [[k for k in x.ids] for x in e.library.encode_batch([t or "" for t in plain + odd], add_special_tokens=False)]
+    for texts, ids in ((plain, want[: len(plain)]), (plain + odd, want), (odd + plain[:4], want[len(plain) :] + want[:4])):
+        got = [np.frombuffer(b, "<u4").tolist() for b in e.texts(texts)]
+        assert got == ids
+        if texts is plain:
+            assert not e.pieces
+    e.word_bytes = tokenizing.WORD_BYTES + 1
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.texts([plain[3] + " newwordzz"])] == [list(e.library.encode(plain[3] + " newwordzz", add_special_tokens=False).ids)]
+    assert e.word_bytes < tokenizing.WORD_BYTES
+    e.done()
