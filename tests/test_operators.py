@@ -165,6 +165,13 @@ def test_similar_keeps_nothing_of_the_past(spark, monkeypatch):
     assert told(reuse.similar(q, h, most=1000)) == got
 
 
+def test_reuse_decisions_keep_nothing_of_the_past(spark):
+    from lexiquarry import catalogue
+
+    plan = catalogue.QUERIES["q35_reuse_decision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("past" in line for line in plan.splitlines() if "InMemoryRelation" in line)
+
+
 def test_all_qc_codes(spark):
     m = spark.createDataFrame([(0, 0, 0, 0, 0, 0.0, 0.0, 0.0, False, 0, 0, 0, 0, 0, 2), (500, 9, 0, 9, 400, 0.0, 0.0, 40.0, False, 1, 0, 4, 0, 4, 1)],
                               "text_chars int, n_blocks int, n_empty int, n_meaningful int, chars int, empty_ratio double, other_ratio double, avg_block double, duplicate_order boolean, n_tables int, n_without_rows int, n_rows int, n_unbound int, n_empty_rows int, declared_tables int")
