@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def eligible(history: DataFrame) -> DataFrame:
 
 #: Words that a text needs so that one of them must stand whole in any text that contains it.
 ANCHORED = 3
-#: Keys of questions up to which they are broadcast, and characters up to which the questions' texts are; more are joined by shuffle.
+#: Keys of questions and characters of their texts that are broadcast at once; more are asked in turns.
 KEYS, CHARACTERS = 500_000, 50_000_000
 #: Keys that are no words: a blank before an inner word of the past, the key of all past texts, the key of brief ones.
 INNER, EVERY, BRIEF = " ", "", "  "
@@ -58,41 +60,49 @@ def _past_keys(longest: int) -> Column:
 def similar(questions: DataFrame, history: DataFrame, *, threshold: float = 0.90, most: int = 20) -> DataFrame:
     """Pairs (question_id, past_id) whose similarity reaches the threshold, the best ``most`` of each question.
 
-    Keys of the questions are broadcast, if counted they are few, and the past streams by: it is read twice, once to count the words that
-    questions have and once to compare each text, where it lies, with those questions that it meets by a key.  Of the past nothing
-    is kept, and only numbers of words and pairs that reach the threshold are shuffled.  With too many keys, keys and then texts are joined
-    by shuffle.
+    Equal questions are asked once.  Their keys are broadcast and the past streams by: it is read to count the words that questions
+    have and to compare each text, where it lies, with those questions that it meets by a key.  Of the past nothing is kept, and
+    only numbers of words and each task's best pairs are shuffled.  Questions with too many keys are asked in turns, the past read
+    again for each; the best pairs of a turn are kept.
     """
     def told(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn("tokens", F.split(F.col(name), " ")).withColumn("words", F.array_distinct("tokens"))
 
     need = least_jaccard(threshold)
-    q = told(questions.select("question_id", T.normalize(F.col("text")).alias("norm"), F.monotonically_increasing_id().alias("asked")), "norm").filter(F.col("norm") != "").persist()
+    named = questions.select("question_id", T.normalize(F.col("text")).alias("norm")).filter(F.col("norm") != "").withColumn("asked", F.unhex(F.sha2("norm", 256)))
+    q = told(named.select("norm", "asked").distinct(), "norm").persist()
     h = told(history.select("past_id", T.normalize(F.col("text")).alias("past")), "past")
     vocabulary = q.select(F.explode("words").alias("w")).distinct()
-    n_keys, n_chars, longest = q.agg(F.sum(F.size("words")), F.sum(F.char_length("norm")), F.max(F.char_length("norm"))).first()
-    few = 3 * (n_keys or 0) <= KEYS and (n_chars or 0) <= CHARACTERS  # a word gives two keys at most, and a question three
+    n_asked, n_keys, n_chars, longest = (x or 0 for x in q.agg(F.count("*"), F.sum(F.size("words")), F.sum(F.char_length("norm")), F.max(F.char_length("norm"))).first())
+    turns = max(1, min(n_asked, max(-(-3 * n_keys // max(KEYS, 1)), -(-n_chars // CHARACTERS))))  # a word gives two keys at most, and a question three
     said = h.select(F.explode("tokens").alias("w"))
-    rare = (said.join(F.broadcast(vocabulary), "w", "left_semi") if few else said).groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi").persist()
+    if n_keys <= KEYS or vocabulary.count() <= KEYS:
+        said = said.join(F.broadcast(vocabulary), "w", "left_semi")
+    rare = said.groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi").persist()
     keys = _asked_keys(q, rare, need).persist()
-    asked = q.select("asked", "question_id", "norm", F.col("words").alias("_q"))
+    asked = q.select("asked", "norm", F.col("words").alias("_q"))
+    met = h.withColumn("held", F.monotonically_increasing_id()).withColumn("key", F.explode(_past_keys(longest)))  # a row of the past is told from others by its number, in the one pass that makes it
 
     def fits(size: Column, length: Column) -> Column:
         return size.between(F.coalesce("least_size", size), F.coalesce("most_size", size)) & length.between(F.coalesce("least_length", length), F.coalesce("most_length", length))
 
-    def reaching(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("similarity", text_similarity(F.col("norm"), F.col("past"), F.col("_q"), F.col("words"), threshold)).filter(F.col("similarity") >= threshold)
-
-    if few:  # a row of the past is told from others by its number, in the one pass that makes it
-        met = h.withColumn("held", F.monotonically_increasing_id()).withColumn("key", F.explode(_past_keys(longest or 0)))
-        pairs = reaching(met.join(F.broadcast(keys), "key").filter(fits(F.size("words"), F.char_length("past"))).join(F.broadcast(asked), "asked"))
-        pairs = pairs.select("asked", "held", "question_id", "past_id", "similarity").distinct()
-    else:  # the past is read again for its texts: rows of equal digests are looked at together, and each is compared
-        h = h.withColumn("held", F.xxhash64("past_id", "past"))
-        met = h.select("held", F.size("words").alias("size"), F.char_length("past").alias("length"), F.explode(_past_keys(longest or 0)).alias("key"))
-        pairs = reaching(met.join(keys, "key").filter(fits(F.col("size"), F.col("length"))).select("asked", "held").distinct().join(asked, "asked").join(h, "held"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "past_id")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("question_id", "past_id", "similarity", "place")
+    def best(keys: DataFrame, asked: DataFrame) -> DataFrame:
+        pairs = met.join(F.broadcast(keys), "key").filter(fits(F.size("words"), F.char_length("past"))).join(F.broadcast(asked), "asked")
+        pairs = pairs.select("asked", "held", "past_id", text_similarity(F.col("norm"), F.col("past"), F.col("_q"), F.col("words"), threshold).alias("similarity")).filter(F.col("similarity") >= threshold)
+        w = Window.partitionBy("asked").orderBy(F.desc("similarity"), "past_id", "held")
+        pairs = pairs.withColumn("place", F.dense_rank().over(w)).filter(F.col("place") <= most)  # a pair that several keys meet has one place, so each task may keep its best ones
+        return pairs.select("asked", "held", "past_id", "similarity", "place").distinct().select("asked", "past_id", "similarity", "place")
+
+    if turns == 1:
+        kept = best(keys, asked)
+    else:
+        parts = []
+        for k in range(turns):
+            own = F.pmod(F.xxhash64("asked"), F.lit(turns)) == k
+            parts.append(best(keys.filter(own), asked.filter(own)).persist())
+            parts[-1].count()  # one turn's broadcasts at a time
+        kept = reduce(DataFrame.union, parts)
+    return named.select("question_id", "asked").join(kept, "asked").select("question_id", "past_id", "similarity", "place")
 
 
 def signature_score(intent: Column, past_intent: Column, measure: Column, past_measure: Column, subject: Column, past_subject: Column) -> Column:

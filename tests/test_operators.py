@@ -165,6 +165,32 @@ def test_similar_keeps_nothing_of_the_past(spark, monkeypatch):
     assert told(reuse.similar(q, h, most=1000)) == got
 
 
+def test_similar_asks_equal_questions_once_and_shuffles_no_words(spark, monkeypatch):
+    """Many questions, copies among them: only counts of words and best pairs are shuffled, and each copy gets its pairs."""
+    import random
+
+    rng, words = random.Random(11), [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(400)]
+    asked = texts[:6] * 10 + [" ".join(t.split()[3:9]) for t in texts[:12]]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id int, text string")
+    h = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 5)], "past_id int, text string").coalesce(2)
+    monkeypatch.setattr(reuse, "KEYS", 400)
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    rows = reuse.similar(q, h, most=4).collect()
+    assert shuffled() - before < 10_000  # the past has 80,000 words
+    got = {}
+    for r in rows:
+        got.setdefault(r.question_id, []).append((r.place, r.past_id, r.similarity))
+    assert all(sorted(got[k]) == sorted(got[k % 6]) for k in range(60))
+    assert sorted(got[0]) == [(p + 1, 400 * p, 1.0) for p in range(4)]
+    assert all(len(got[60 + k]) == 4 and {r[2] for r in got[60 + k]} == {0.97} for k in range(12))
+
+
 def test_reuse_decisions_keep_nothing_of_the_past(spark):
     from lexiquarry import catalogue
 
